@@ -148,8 +148,9 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     )
     # a collision's texts, hardly ever any, are told apart by their SHA-256
     split = broken.withColumn("_split", F.lit(True))
-    rows = prints.join(split, key, "left").withColumn("_sha", F.when(F.col("_split"), F.col("sha256")).otherwise(F.lit(b"")))
-    group = [*key, "_sha"]
+    rows = prints.join(split, key, "left").select("doc_id", "n_chars", "sha256", F.concat_ws(":", *key, F.when(F.col("_split"), F.hex("sha256"))).alias("_class"))
+    # another key than the join's, so that rows are summed up before they are dealt out
+    group = ["_class"]
     best = rows.groupBy(*group).agg(F.count("*").alias("group_size"), F.max(F.struct("n_chars", (-F.col("doc_id")).alias("_id"))).alias("_best"))
     best = best.select(*group, "group_size", (-F.col("_best._id")).alias("keep_id"))
     return rows.join(best, group).select(
