@@ -48,7 +48,10 @@ class Encoder:
 
     def __call__(self, text: str) -> np.ndarray:
         if self.ranks is not None:
-            return np.asarray(self.ranks.encode_to_numpy(text, allowed_special="all"), np.uint32)
+            try:
+                return np.asarray(self.ranks.encode_to_numpy(text, allowed_special="all"), np.uint32)
+            except ValueError:  # its splitter gives up on very long runs of white space
+                pass
         return np.array(self.full.encode(text, add_special_tokens=False).ids, np.uint32)
 
 
