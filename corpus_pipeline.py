@@ -1,18 +1,36 @@
-"""The corpus pipeline: stages over ``documents``, each written and read again before the next."""
+"""The corpus pipeline: stages over ``documents``, each written and read again before the next.
+
+A stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of documents.
+"""
 
 from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from leafmill.llm import exact_dedup, packing
-from leafmill.llm.common import materialize, table
+from leafmill.llm import exact_dedup, language_id, packing, secret_scan, setsketch_dedup
+from leafmill.llm.common import materialize, table, without
+
+
+def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in no known language, or in none for sure, go."""
+    found = language_id.identify(docs, language_id.fit_text_model(docs))
+    return without(docs, found.where("not accepted"))
 
 
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of equal texts stays."""
-    kept = exact_dedup.exact_duplicates(docs).where("kept").select("doc_id")
-    return docs.join(kept, "doc_id", "left_semi")
+    return without(docs, exact_dedup.exact_duplicates(docs).where("not kept"))
+
+
+def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies stays: shingles of five words, a similarity of 0.8 or more."""
+    return without(docs, setsketch_dedup.near_duplicates(docs, words=5, percent=80).where("not kept"))
+
+
+def secret_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document stays, its secrets are replaced by a mark."""
+    return secret_scan.redact_secrets(docs)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -20,8 +38,15 @@ def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return packing.pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
 
 
-STAGES = [("exact_dedup", exact_stage), ("best_fit_packing", packing_stage)]
+STAGES = [
+    ("language_id", language_stage),
+    ("exact_dedup", exact_stage),
+    ("minhash_near_dedup", near_stage),
+    ("secret_scan", secret_stage),
+    ("best_fit_packing", packing_stage),
+]
 
+#: Shingle sets, decoded keys and byte-pair merges are beyond SQL; the tests compare with brute force.
 ORACLE_SQL = None
 
 

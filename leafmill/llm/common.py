@@ -57,6 +57,20 @@ def id_and_text(docs: DataFrame, id_col: str, text_col: str, *more: str) -> Data
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), *more)
 
 
+#: Ids that may be broadcast: a table of 16 MB.
+MAX_BROADCAST_IDS = 1_000_000
+
+
+def without(docs: DataFrame, dropped: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """docs less the rows whose id is in ``dropped``; rows of null id stay.
+
+    The ids are counted first: up to ``MAX_BROADCAST_IDS`` they are broadcast, so no text is shuffled; more are
+    joined through a shuffle.
+    """
+    ids = materialize(dropped.select(id_col).distinct(), "dropped")
+    return docs.join(F.broadcast(ids) if ids.count() <= MAX_BROADCAST_IDS else ids, id_col, "left_anti").select(docs.columns)
+
+
 def utf8(column: pa.Array) -> list[bytes]:
     """A string column's values as UTF-8; null is empty."""
     return [v if v is not None else b"" for v in column.cast(pa.binary()).to_pylist()]

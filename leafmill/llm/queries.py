@@ -7,10 +7,14 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from leafmill.llm import bpe, exact_dedup, packing, pii, secret_scan, url_filter
+from leafmill.llm import bpe, exact_dedup, language_id, packing, pii, secret_scan, setsketch_dedup, url_filter
 from leafmill.llm.common import table
 
 
+def op2_setsketch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return setsketch_dedup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return packing.pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
@@ -33,16 +37,32 @@ def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.scan_secrets(table(spark, sf_dir, "documents")).drop("found")
 
 
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return language_id.identify(docs, language_id.fit_text_model(docs))
+
+
+def page_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same operator with all four kinds of evidence, on web pages."""
+    pages = language_id.page_columns(table(spark, sf_dir, "pages"))
+    names = {"id_col": "page_id", "text_col": "_text"}
+    model = language_id.fit_text_model(pages, label_col="_declared", **names)
+    return language_id.identify(pages, model, declared_col="_declared", host_col="_host", suffix_col="_suffix", **names).withColumnRenamed("doc_id", "page_id")
+
+
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_setsketch": op2_setsketch,
     "op3_packing": op3_packing,
     "op4_personal_data": op4_personal_data,
     "op5_url_filter": op5_url_filter,
     "op6_exact_dedup": op6_exact_dedup,
     "op7_secret_scan": op7_secret_scan,
+    "op8_language_id": op8_language_id,
+    "page_languages": page_languages,
     "op10_bpe": op10_bpe,
 }
 
