@@ -7,10 +7,14 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from leafmill.llm import bpe, exact_dedup, language_id, packing, pii, secret_scan, setsketch_dedup, url_filter
+from leafmill.llm import bpe, exact_dedup, language_id, multi_index, packing, pii, secret_scan, setsketch_dedup, url_filter
 from leafmill.llm.common import table
 
 
+def op1_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return multi_index.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op2_setsketch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return setsketch_dedup.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -55,6 +59,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_multi_index": op1_multi_index,
     "op2_setsketch": op2_setsketch,
     "op3_packing": op3_packing,
     "op4_personal_data": op4_personal_data,
