@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from leafmill.llm import bpe, exact_dedup, language_id, multi_index, packing, pii, secret_scan, setsketch_dedup, url_filter
+from leafmill.llm import bpe, exact_dedup, language_id, multi_index, packing, pii, secret_scan, setsketch_dedup, suffix_dedup, url_filter
 from leafmill.llm.common import table
 
 
@@ -54,6 +54,10 @@ def page_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(pages, model, declared_col="_declared", host_col="_host", suffix_col="_suffix", **names).withColumnRenamed("doc_id", "page_id")
 
 
+def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
@@ -68,6 +72,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_secret_scan": op7_secret_scan,
     "op8_language_id": op8_language_id,
     "page_languages": page_languages,
+    "op9_suffix_dedup": op9_suffix_dedup,
     "op10_bpe": op10_bpe,
 }
 
