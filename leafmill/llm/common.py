@@ -41,8 +41,10 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
 
 
 def release(*tables: DataFrame) -> None:
-    """Delete tables made by ``materialize`` that no later step reads."""
+    """Delete tables made by ``materialize`` that no later step reads; other DataFrames are passed over."""
     for df in tables:
+        if not getattr(df, "_leafmill_path", None):
+            continue
         spark = df.sparkSession
         jpath = spark._jvm.org.apache.hadoop.fs.Path(df._leafmill_path)
         jpath.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jpath, True)
@@ -61,14 +63,27 @@ def id_and_text(docs: DataFrame, id_col: str, text_col: str, *more: str) -> Data
 MAX_BROADCAST_IDS = 1_000_000
 
 
+def bounded(ids: DataFrame) -> DataFrame:
+    """ids, a written table of one column, marked for broadcast if it is counted to have at most ``MAX_BROADCAST_IDS`` rows."""
+    return F.broadcast(ids) if ids.count() <= MAX_BROADCAST_IDS else ids
+
+
 def without(docs: DataFrame, dropped: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """docs less the rows whose id is in ``dropped``; rows of null id stay.
 
-    The ids are counted first: up to ``MAX_BROADCAST_IDS`` they are broadcast, so no text is shuffled; more are
-    joined through a shuffle.
+    Few ids are broadcast, so no text is shuffled; more are joined through a shuffle.
     """
     ids = materialize(dropped.select(id_col).distinct(), "dropped")
-    return docs.join(F.broadcast(ids) if ids.count() <= MAX_BROADCAST_IDS else ids, id_col, "left_anti").select(docs.columns)
+    return docs.join(bounded(ids), id_col, "left_anti").select(docs.columns)
+
+
+def hashed_sample(df: DataFrame, max_rows: int, *key: str) -> DataFrame:
+    """About nine tenths of ``max_rows`` rows, and never more, chosen by a hash of key columns; all of a small table.
+
+    A count and a filter: nothing is sorted or shuffled but the rows chosen.
+    """
+    share = min(1.0, 0.9 * max_rows / max(1, df.count()))
+    return df.where(F.pmod(F.xxhash64(*key), F.lit(1 << 40)) < int(share * (1 << 40))).limit(max_rows)
 
 
 def utf8(column: pa.Array) -> list[bytes]:

@@ -23,11 +23,11 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from leafmill.llm.common import materialize
+from leafmill.llm.common import hashed_sample, materialize
 from leafmill.llm.components import connected_components
 from leafmill.llm.forest import Forest
 
-#: Vectors that the codebooks are fitted on, at most (those with the least hash of their id), and Lloyd's rounds.
+#: Vectors that the codebooks are fitted on, at most (chosen by a hash of their id), and Lloyd's rounds.
 SAMPLE, ROUNDS = 16_384, 8
 #: Vectors of a region's block, and visitors compared with it at once.
 BLOCK, VISITORS = 4096, 512
@@ -255,7 +255,7 @@ def near_vectors(table: DataFrame, cosine: float = 0.95, recall: float = TARGET_
     good = rows.where(F.col("dims") == dims)
     classes = materialize(good.groupBy("key").agg(F.min("vec_id").alias("node"), F.count("*").alias("weight"), F.first("vector").alias("vector")), "nodes")
     n = classes.count()
-    sample = classes.orderBy(F.xxhash64("node")).select("vector").limit(SAMPLE).toPandas()["vector"]
+    sample = hashed_sample(classes, SAMPLE, "node").select("vector").toPandas()["vector"]
     index = fit(np.frombuffer(b"".join(map(bytes, sample)), float).reshape(-1, dims), n, cosine, recall)
     found = materialize(link_counts(materialize(placed(classes.drop("key"), index, dims), "cells"), dims, cosine), "found")
     counts = found.where("v is null").groupBy(F.col("u").alias("node")).agg(F.sum("n").alias("_n"))

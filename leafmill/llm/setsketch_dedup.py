@@ -21,8 +21,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from leafmill.llm.common import ASCII_SPACE, id_and_text, materialize, release, utf8
+from leafmill.llm.common import ASCII_SPACE, bounded, id_and_text, materialize, release, utf8
 from leafmill.llm.components import connected_components
+from leafmill.llm.forest import Forest
 
 BASE, RATE, TOP = 1.001, 20.0, (1 << 16) - 1
 BANDS, ROWS = 32, 5
@@ -32,7 +33,12 @@ SLACK = 5.0
 #: Members of a hub's group in one block: those left of the hub's links, and those they are compared with.
 LEFT_BLOCK, GROUP_BLOCK = 256, 2048
 #: Bytes of text whose words are found at once.
-SLICE = 1 << 22
+SLICE = 1 << 20
+#: A signature is the lowest bits of so many registers.  Members that differ from their hub in over WIDE of them
+#: (a similarity under about 0.4) aren't of its group; those in over TIGHT look for a further hub in their bucket.
+SIGNATURE, WIDE, TIGHT = 128, 45, 24
+#: Hubs that a bucket may have before what is left of it is joined to one whatever the signatures say.
+HUBS = 6
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -92,28 +98,42 @@ def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return hashes, np.diff(bounds)
 
 
-def shingle_sets(texts: list[bytes], words: int = 2) -> list[np.ndarray]:
-    """Sorted distinct 64-bit hashes of each text's shingles; with fewer words the whole sequence is one."""
-    out: list[np.ndarray] = []
+def _words(texts: list[bytes]) -> Iterator[np.ndarray]:
+    """Word hashes of each text, of about SLICE bytes at once; a longer text is cut at white space."""
     at = 0
     while at < len(texts):
+        if len(texts[at]) > SLICE:
+            parts, text, done = [], texts[at], 0
+            while done < len(text):
+                upto = done + SLICE
+                while upto < len(text) and text[upto] not in ASCII_SPACE:
+                    upto += 1
+                parts.append(word_hashes([text[done:upto]])[0])
+                done = upto
+            yield np.concatenate(parts)
+            at += 1
+            continue
         size, upto = 0, at
-        while upto < len(texts) and (size == 0 or size + len(texts[upto]) <= SLICE):
+        while upto < len(texts) and len(texts[upto]) <= SLICE and (size == 0 or size + len(texts[upto]) <= SLICE):
             size, upto = size + len(texts[upto]) + 1, upto + 1
         hashes, counts = word_hashes(texts[at:upto])
-        place = 0
-        for n in counts.tolist():
-            own = hashes[place : place + n]
-            place += n
-            k = min(words, n)
-            if not k:
-                out.append(np.empty(0, np.uint64))
-                continue
-            joined = own[: n - k + 1].copy()
-            for j in range(1, k):
-                joined = _mix(joined * _ODD + own[j : n - k + 1 + j])
-            out.append(np.unique(joined + np.uint64(n if n < words else 0)))
+        yield from np.split(hashes, np.cumsum(counts)[:-1])
         at = upto
+
+
+def shingle_sets(texts: list[bytes], words: int = 2) -> list[np.ndarray]:
+    """Sorted distinct 64-bit hashes of each text's shingles; with fewer words the whole sequence is one."""
+    out: list[np.ndarray] = []
+    for own in _words(texts):
+        n = len(own)
+        k = min(words, n)
+        if not k:
+            out.append(np.empty(0, np.uint64))
+            continue
+        joined = own[: n - k + 1].copy()
+        for j in range(1, k):
+            joined = _mix(joined * _ODD + own[j : n - k + 1 + j])
+        out.append(np.unique(joined + np.uint64(n if n < words else 0)))
     return out
 
 
@@ -198,7 +218,12 @@ def shared_counts(a: list[np.ndarray], b: list[np.ndarray], pairs: np.ndarray) -
     return total[pairs[:, 0], pairs[:, 1]].astype(np.int64)
 
 
-SKETCHES_SQL = "doc_id long, n_shingles long, set_key binary, bands array<long>"
+def signature(regs: np.ndarray) -> tuple[int, int]:
+    """The lowest bits of the first registers; sets of similarity J agree in about (1 + J) / 2 of them."""
+    return tuple(np.packbits((regs[:SIGNATURE] & 1).astype(np.uint8)).view(np.int64).tolist())
+
+
+SKETCHES_SQL = "doc_id long, n_shingles long, set_key binary, bands array<long>, s1 long, s2 long"
 SETS_SQL = "doc_id long, n_shingles long, registers binary, shingles binary"
 
 
@@ -206,12 +231,16 @@ def sketches(docs: DataFrame, words: int = 2, id_col: str = "doc_id", text_col:
     """Each document's set size, a key of its set and its bands' keys."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            sets = shingle_sets(utf8(b.column("text")), words)
-            keys = [xxhash.xxh3_128_digest(s.tobytes()) for s in sets]
-            bands = [band_keys(registers(s)) if len(s) else None for s in sets]
-            arrays = [b.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(keys, pa.binary()), pa.array(bands, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "n_shingles", "set_key", "bands"])
+        for whole in batches:
+            for at in range(0, whole.num_rows, 1024):
+                b = whole.slice(at, 1024)
+                sets = shingle_sets(utf8(b.column("text")), words)
+                keys = [xxhash.xxh3_128_digest(s.tobytes()) for s in sets]
+                regs = [registers(s) for s in sets]
+                bands = [band_keys(r) if len(s) else None for r, s in zip(regs, sets, strict=True)]
+                s1, s2 = zip(*map(signature, regs), strict=True)
+                arrays = [b.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(keys, pa.binary()), pa.array(bands, pa.list_(pa.int64())), pa.array(s1, pa.int64()), pa.array(s2, pa.int64())]
+                yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "n_shingles", "set_key", "bands", "s1", "s2"])
 
     return id_and_text(docs, id_col, text_col).mapInArrow(run, SKETCHES_SQL)
 
@@ -229,21 +258,36 @@ def full_sets(texts: DataFrame, words: int = 2) -> DataFrame:
 
 
 def star_edges(sketch: DataFrame) -> DataFrame:
-    """(hub, doc_id): in each bucket of two or more the hub and every other member, each pair once.
+    """(hub, doc_id): members of buckets and the hubs they are near to by their signatures, each pair once.
 
-    sketch: one row per distinct set.  Buckets are counted and hubs chosen by aggregates that sum up before
-    they shuffle; members meet their hub by joins, whose skewed keys Spark splits.
+    sketch: one row per distinct set.  A bucket's hub takes the members whose signatures are near; those not near
+    enough to be linked for sure stay for a further hub of the bucket, chosen among them, until none are left.
+    Buckets are counted and hubs chosen by aggregates that sum up before they shuffle, and are written before
+    they are joined, so that Spark can split a hot bucket.
     """
     rows = sketch.select("doc_id", F.explode("bands").alias("bucket"))
-    counts = rows.groupBy("bucket").agg(F.count("*").alias("_n")).where("_n > 1")
+    counts = materialize(rows.groupBy("bucket").agg(F.count("*").alias("_n")).where("_n > 1"), "bucket-counts")
     members = materialize(rows.join(counts, "bucket"), "buckets")
-    company = members.groupBy("doc_id").agg(F.sum("_n").alias("_company"))
-    ranked = members.join(company, "doc_id").select("bucket", "doc_id", "_company")
-    hubs = ranked.groupBy("bucket").agg(F.max(F.struct("_company", (-F.col("doc_id")).alias("_id"))).alias("_hub"))
-    hubs = hubs.select("bucket", (-F.col("_hub._id")).alias("hub"))
-    edges = materialize(members.select("bucket", "doc_id").join(hubs, "bucket").where("doc_id <> hub").select("hub", "doc_id").distinct(), "stars")
-    release(members)
-    return edges
+    company = members.groupBy("doc_id").agg(F.sum("_n").alias("_company")).join(sketch.select("doc_id", "s1", "s2"), "doc_id")
+    left = materialize(members.drop("_n").join(company, "doc_id").select("bucket", "doc_id", "_company", "s1", "s2"), "bucket-members")
+    release(members, counts)
+    edges = []
+    for k in range(HUBS):
+        best = F.max(F.struct("_company", (-F.col("doc_id")).alias("_id"), "s1", "s2"))
+        hubs = left.groupBy("bucket").agg(F.count("*").alias("_n"), best.alias("_h")).where("_n > 1")
+        hubs = materialize(hubs.select("bucket", (-F.col("_h._id")).alias("hub"), F.col("_h.s1").alias("_h1"), F.col("_h.s2").alias("_h2")), "hubs")
+        if hubs.isEmpty():
+            break
+        apart = F.bit_count(F.col("s1").bitwiseXOR(F.col("_h1"))) + F.bit_count(F.col("s2").bitwiseXOR(F.col("_h2")))
+        met = materialize(left.join(hubs, "bucket").where("doc_id <> hub").withColumn("_apart", apart).drop("_h1", "_h2"), "met")
+        near = met if k + 1 == HUBS else met.where(F.col("_apart") <= WIDE)
+        edges.append(near.select("hub", "doc_id").distinct())
+        release(left, hubs)
+        left = met.where(F.col("_apart") > TIGHT).drop("hub", "_apart")
+    union = edges[0] if edges else left.select(F.col("doc_id").alias("hub"), "doc_id").limit(0)
+    for more in edges[1:]:
+        union = union.union(more)
+    return materialize(union.distinct(), "stars")
 
 
 def _sets(column: pa.Array) -> list[np.ndarray]:
@@ -256,7 +300,7 @@ def _links(u: list[int], v: list[int]) -> pa.RecordBatch:
 
 def hub_links(edges: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """(u, v, similar): each star edge, verified.  A task streams: a hub's set, then the members of that block."""
-    blocks = edges.groupBy("hub").agg(F.ceil(F.count("*") / GROUP_BLOCK).alias("_blocks"))
+    blocks = materialize(edges.groupBy("hub").agg(F.ceil(F.count("*") / GROUP_BLOCK).alias("_blocks")), "hub-blocks")
     dealt = edges.join(blocks, "hub").withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("_blocks")))
     body = F.col("n_shingles"), F.col("registers"), F.col("shingles")
     members = dealt.join(sets, "doc_id").select("hub", "block", F.lit(1).alias("side"), "doc_id", *body)
@@ -283,25 +327,6 @@ def hub_links(edges: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return together.mapInArrow(run, "u long, v long, similar boolean")
 
 
-class Forest:
-    """Union-find over the ids of one task's block."""
-
-    def __init__(self) -> None:
-        self.up: dict[int, int] = {}
-
-    def root(self, x: int) -> int:
-        while (p := self.up.get(x, x)) != x:
-            self.up[x] = self.up.get(p, p)
-            x = p
-        return x
-
-    def join(self, a: int, b: int) -> bool:
-        """False if they were together before."""
-        a, b = self.root(a), self.root(b)
-        self.up[max(a, b)] = min(a, b)
-        return a != b
-
-
 def rest_links(stars: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Links (u, v) of members that their hub isn't linked with, to any other member of the hub's group.
 
@@ -309,7 +334,7 @@ def rest_links(stars: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     and returns links that join what nothing in the task joined before.
     """
     size = stars.groupBy("u").agg(F.count("*").alias("_n"), F.count_if(~F.col("similar")).alias("_rest")).where("_rest > 0 and _n > 1")
-    sized = stars.join(size, "u").withColumns({"_lefts": F.ceil(F.col("_rest") / LEFT_BLOCK), "_rights": F.ceil(F.col("_n") / GROUP_BLOCK)})
+    sized = stars.join(materialize(size, "hub-sizes"), "u").withColumns({"_lefts": F.ceil(F.col("_rest") / LEFT_BLOCK), "_rights": F.ceil(F.col("_n") / GROUP_BLOCK)})
     left_of, right_of = F.pmod(F.xxhash64("v"), F.col("_lefts")), F.pmod(F.xxhash64("v", F.lit(1)), F.col("_rights"))
     upto = lambda n: F.sequence(F.lit(0).cast("long"), F.col(n) - 1)
     lefts = sized.where("not similar").select("u", "v", "similar", left_of.alias("left"), F.explode(upto("_rights")).alias("right"), F.lit(0).alias("side"))
@@ -371,10 +396,10 @@ def near_duplicates(docs: DataFrame, words: int = 2, percent: int = 80, id_col:
     # equal sets are one node, called by its smallest doc_id
     filled = sketch.where("n_shingles > 0")
     classes = materialize(filled.groupBy("set_key", "n_shingles").agg(F.min("doc_id").alias("node")), "classes")
-    nodes = classes.select(F.col("node").alias("doc_id")).join(filled.select("doc_id", "bands").dropDuplicates(["doc_id"]), "doc_id")
+    nodes = filled.join(classes.select(F.col("node").alias("doc_id")), "doc_id", "left_semi").select("doc_id", "bands", "s1", "s2").dropDuplicates(["doc_id"])
     edges = star_edges(nodes)
-    wanted = edges.select("doc_id").union(edges.select("hub")).distinct()
-    texts = id_and_text(docs, id_col, text_col).join(wanted, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    wanted = materialize(edges.select("doc_id").union(edges.select("hub")).distinct(), "wanted")
+    texts = id_and_text(docs, id_col, text_col).join(bounded(wanted), "doc_id", "left_semi").dropDuplicates(["doc_id"])
     sets = materialize(full_sets(texts, words), "sets")
     stars = materialize(hub_links(edges, sets, percent), "hub-links")
     links = stars.where("similar").select("u", "v").union(rest_links(stars, sets, percent))

@@ -22,15 +22,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from leafmill.llm.common import MAX_BROADCAST_IDS, id_and_text, materialize, release, utf8
+from leafmill.llm.common import bounded, id_and_text, materialize, release, utf8
 
 GRAM = 32
 #: Bytes of a document that are sampled at once; what spans two pieces is sampled in both.
 PIECE = 1 << 22
+#: Bytes of text whose sampled suffixes are combined before they are dealt out.
+COMBINED = 1 << 23
 #: First occurrences of one gram whose windows a task compares; those of more are exploded and grouped by Spark.
 HOT = 20_000
 #: Windows sorted at once; whole grams, so at most HOT blocks more.
-SORTED = 1 << 21
+SORTED = 1 << 19
 #: Stands for a null doc_id, which comes before all others.
 NO_ID = -(1 << 63)
 
@@ -116,31 +118,35 @@ SUFFIXES = pa.schema([("gram", pa.int64()), ("sides", pa.int64()), ("doc_id", pa
 
 
 def sampled_suffixes(docs: DataFrame, length: int) -> DataFrame:
-    """(gram, sides, doc_id, lo, n): sampled suffixes and their number of windows, the first of its triple in each batch.
+    """(gram, sides, doc_id, lo, n): sampled suffixes and their number of windows, the first of its triple in each combined part.
 
-    The later ones of a batch are known to repeat; they come with n negative and a gram by chance.
+    The later ones are known to repeat; they come with n negative and a gram by chance.
     """
 
+    def combined(parts: list[tuple]) -> pa.RecordBatch:
+        gram, sides, doc, lo, n = map(np.concatenate, zip(*parts, strict=True))
+        order = np.lexsort((lo, doc, sides, gram))
+        gram, sides, doc, lo, n = gram[order], sides[order], doc[order], lo[order], n[order]
+        first = np.append(True, (np.diff(gram) != 0) | (np.diff(sides) != 0))
+        again = np.append(True, (np.diff(doc) != 0) | (np.diff(lo) != 0)) & ~first
+        keep = first | again
+        gram = np.where(first, gram, _mix(gram + lo.astype(np.uint64)))
+        columns = (gram.view(np.int64), sides.view(np.int64), doc, lo, np.where(first, n, -n))
+        return pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in columns], schema=SUFFIXES)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            parts = []
+            parts, held = [], 0
             for doc, text in zip(b.column("doc_id").to_pylist(), utf8(b.column("text")), strict=True):
                 for offset, data in pieces(text, length):
                     gram, left, right, lo, hi = sampled(data, length)
                     parts.append((gram, _mix(left * _U(3) + right) ^ left, np.full(len(lo), doc, np.int64), lo + offset, (hi - lo + 1).astype(np.int32)))
-            if not parts:
-                continue
-            gram, sides, doc, lo, n = map(np.concatenate, zip(*parts, strict=True))
-            order = np.lexsort((lo, doc, sides, gram))
-            gram, sides, doc, lo, n = gram[order], sides[order], doc[order], lo[order], n[order]
-            first = np.append(True, (np.diff(gram) != 0) | (np.diff(sides) != 0))
-            again = np.append(True, (np.diff(doc) != 0) | (np.diff(lo) != 0)) & ~first
-            keep = first | again
-            gram = np.where(first, gram, _mix(gram + lo.astype(np.uint64)))
-            n = np.where(first, n, -n)
-            for at in range(0, len(gram), 1 << 18):
-                cut = slice(at, at + (1 << 18))
-                yield pa.RecordBatch.from_arrays([pa.array(x[cut][keep[cut]]) for x in (gram.view(np.int64), sides.view(np.int64), doc, lo, n)], schema=SUFFIXES)
+                    held += len(data)
+                    if held > COMBINED:
+                        yield combined(parts)
+                        parts, held = [], 0
+            if parts:
+                yield combined(parts)
 
     return docs.mapInArrow(run, "gram long, sides long, doc_id long, lo long, n int")
 
@@ -341,9 +347,7 @@ def remove_repeats(docs: DataFrame, length: int = 100, id_col: str = "doc_id", t
     rows = keyed(docs, id_col, text_col)
     marks = materialize(sorted_neighbours(sampled_suffixes(rows, length)), "suffixes")
     some = materialize(marks.where("gram is not null").groupBy("doc_id").agg(F.collect_list(F.struct("gram", "lo", "n")).alias("places")), "first-occurrences")
-    n = some.count()
-    ids = some.select("doc_id")
-    wanted = rows.join(F.broadcast(ids) if n <= MAX_BROADCAST_IDS else ids, "doc_id", "left_semi")
+    wanted = rows.join(bounded(some.select("doc_id")), "doc_id", "left_semi")
     blocks = materialize(block_texts(wanted.join(some, "doc_id"), length).distinct(), "blocks")
     hot = materialize(blocks.groupBy("gram").count().where(F.col("count") > HOT).select("gram"), "hot-grams")
     ordinary = merged_windows(blocks.join(hot, "gram", "left_anti"), length)
