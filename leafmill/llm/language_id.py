@@ -17,12 +17,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from leafmill.llm.common import id_and_text, materialize, utf8
+from leafmill.llm.common import hashed_sample, id_and_text, materialize, utf8
 
 #: No language: what the background class is called.
 NONE = "und"
 BUCKETS = 1 << 15
-#: Labelled rows that the text model is fitted on, at most; those with the least hash of id and text.
+#: Labelled rows that the text model is fitted on, at most; chosen by a hash of their id.
 MAX_TRAINING = 4000
 #: Code points of each training text that count.
 TRAINING_CHARS = 20_000
@@ -86,8 +86,7 @@ def fit_text_model(docs: DataFrame, label_col: str = "lang", id_col: str = "doc_
     rows = rows.where(F.col("text").isNotNull() & F.col("label").isNotNull() & (F.col("label") != NONE))
     if languages is not None:
         rows = rows.where(F.col("label").isin(list(languages)))
-    order = F.xxhash64("_id", F.length("text"))
-    rows = rows.select("label", "text", order.alias("_order")).orderBy("_order").limit(max_rows)
+    rows = hashed_sample(rows, max_rows, "_id").select("label", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
@@ -165,18 +164,19 @@ def identify(
     of_parent = F.array(*(smoothed(F.col(f"p{k}"), overall[k]) for k in range(number)))
     parents = parents.select("parent", F.transform(of_parent, lambda x: x / F.aggregate(of_parent, F.lit(0.0), lambda a, b: a + b)).alias("_parent"))
     of_host = F.array(*(smoothed(F.col(f"h{k}"), F.col("_parent")[k]) for k in range(number)))
+    # written tables of known size: Spark broadcasts them while they are small and splits hot hosts beyond
     priors = hosts.join(parents, "parent").select("host", F.transform(of_host, lambda x: F.log(x / F.aggregate(of_host, F.lit(0.0), lambda a, b: a + b))).alias("_prior"))
 
     def evidence(column: str) -> DataFrame:
         """log P(value | class), the empty value telling nothing."""
         per = rows.where(F.col(column) != "").groupBy(column).agg(*per_class("v"))
         table = F.array(*(F.log((F.col(f"v{k}") + prior_weight * 0.01) / (F.lit(float(got[f"t{k}"] or 0)) + prior_weight)) for k in range(number)))
-        return per.select(column, table.alias(f"_{column}"))
+        return materialize(per.select(column, table.alias(f"_{column}")), column)
 
     def held(name: str) -> Column:
         return F.coalesce(F.col(name), F.lit([0.0] * number))
 
-    joined = rows.join(priors, "host", "left")
+    joined = rows.join(materialize(priors, "priors"), "host", "left")
     parts = [held("_prior")]
     for column, given in (("declared", declared_col), ("suffix", suffix_col)):
         if given:
