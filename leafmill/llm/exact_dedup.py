@@ -138,7 +138,8 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     """
     prints = materialize(fingerprints(docs, id_col, text_col, prime, chunk), "fingerprints")
     key = ["fingerprint", "n_bytes"]
-    shared = prints.groupBy(*key).agg(F.count("*").alias("_n")).where("_n > 1").select(*key)
+    # aggregates are written before they are joined, so that Spark can split a hot group
+    shared = materialize(prints.groupBy(*key).agg(F.count("*").alias("_n")).where("_n > 1").select(*key), "shared")
     # texts of documents whose fingerprint others have too, compared chunk by chunk
     doubtful = prints.join(shared, key, "left_semi").select("doc_id", *key).distinct()
     texts = id_and_text(docs, id_col, text_col).join(doubtful, "doc_id").select(*key, "text")
@@ -152,7 +153,7 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     # another key than the join's, so that rows are summed up before they are dealt out
     group = ["_class"]
     best = rows.groupBy(*group).agg(F.count("*").alias("group_size"), F.max(F.struct("n_chars", (-F.col("doc_id")).alias("_id"))).alias("_best"))
-    best = best.select(*group, "group_size", (-F.col("_best._id")).alias("keep_id"))
+    best = materialize(best.select(*group, "group_size", (-F.col("_best._id")).alias("keep_id")), "groups")
     return rows.join(best, group).select(
         "doc_id",
         "keep_id",
