@@ -65,29 +65,31 @@ def matching_rule(host: Column, path: Column, rules: Iterable[tuple[str, str]])
 def ngrams(host: Column, path: Column, sizes: Iterable[int] = (3, 4)) -> Column:
     """Character n-grams of ``^host$`` and ``^path$``, marked h and p so that the two never share a feature."""
 
-    def of(mark: str, text: Column) -> list[Column]:
+    def of(mark: str, n: int, text: Column) -> Column:
         padded = F.concat(F.lit("^"), text, F.lit("$"))
-        return [
-            F.transform(
-                F.sequence(F.lit(1), F.greatest(F.length(padded) - (n - 1), F.lit(1))),
-                lambda i, n=n: F.concat(F.lit(f"{mark}{n}:"), F.substring(padded, i, F.lit(n))),
-            )
-            for n in sizes
-        ]
+        starts = F.sequence(F.lit(1), F.greatest(F.length(padded) - (n - 1), F.lit(1)))
+        return F.transform(starts, lambda i: F.concat(F.lit(f"{mark}{n}:"), F.substring(padded, i, F.lit(n))))
+
+    return F.concat(*[of(mark, n, text) for mark, text in (("h", host), ("p", path)) for n in sizes])
 
-    return F.concat(*of("h", host), *of("p", path))
 
 
 def fit(labelled: DataFrame, url_col: str = "url", label_col: str = "block", features: int = 1 << 14) -> PipelineModel:
     """Fit on a labelled URL table of at most ``MAX_LABELLED`` rows (checked), null labels left out."""
-    rows = labelled.where(F.col(label_col).isNotNull()).limit(MAX_LABELLED + 1).count()
+    labelled = labelled.where(F.col(label_col).isNotNull())
+    rows, blocked = labelled.limit(MAX_LABELLED + 1).agg(F.count("*"), F.count_if(F.col(label_col) > 0)).first()
     if rows > MAX_LABELLED:
         raise ValueError(f"the labelled table has over {MAX_LABELLED} rows")
     host, path = host_and_path(F.col(url_col))
-    data = labelled.where(F.col(label_col).isNotNull()).select(ngrams(host, path).alias("_grams"), F.col(label_col).cast("double").alias("_label"))
+    # both labels weigh the same in all, however many rows each has
+    weight = F.when(F.col(label_col) > 0, rows / 2 / max(1, blocked)).otherwise(rows / 2 / max(1, rows - blocked))
+    data = labelled.select(ngrams(host, path).alias("_grams"), F.col(label_col).cast("double").alias("_label"), weight.alias("_weight"))
     hashing = HashingTF(inputCol="_grams", outputCol="_features", numFeatures=features, binary=True)
     # one partition: the sums of the gradient then always add up in the same order
-    regression = LogisticRegression(featuresCol="_features", labelCol="_label", rawPredictionCol="_raw", probabilityCol="_probability", predictionCol="_prediction", regParam=0.01, maxIter=50)
+    regression = LogisticRegression(
+        featuresCol="_features", labelCol="_label", weightCol="_weight", rawPredictionCol="_raw", probabilityCol="_probability", predictionCol="_prediction",
+        regParam=0.003, maxIter=100, standardization=False,
+    )
     return PipelineModel([hashing, regression.fit(hashing.transform(data.coalesce(1)))])
 
 
