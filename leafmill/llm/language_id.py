@@ -92,7 +92,8 @@ def fit_text_model(docs: DataFrame, label_col: str = "lang", id_col: str = "doc_
         sums: dict[str, np.ndarray] = {}
         for b in batches:
             for label, text in zip(b.column("label").to_pylist(), utf8(b.column("text")), strict=True):
-                got = np.bincount(trigram_buckets(np.frombuffer(folded(text), np.uint8)), minlength=BUCKETS)
+                # once a text, so that no text that repeats itself stands for its label
+                got = np.minimum(np.bincount(trigram_buckets(np.frombuffer(folded(text), np.uint8)), minlength=BUCKETS), 1)
                 sums[label] = sums.get(label, 0) + got
         for label, got in sums.items():
             at = np.flatnonzero(got)
