@@ -19,7 +19,7 @@ import regex
 from pyspark.sql import DataFrame
 from tokenizers import Tokenizer
 
-from leafmill.llm.common import batch, id_and_text, strings
+from leafmill.llm.common import batch, id_and_text, slices, strings
 
 #: Texts with other code points are split by the tokenizers library itself, whose Unicode tables may be older or newer.
 UNSURE = regex.compile(r"[^\u0000-\u0557\u2000-\u206f]")
@@ -238,7 +238,7 @@ def encode_documents(docs: DataFrame, tokenizer_file: str, id_col: str = "doc_id
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = encoder(tokenizer_file)
-        for b in batches:
+        for b in slices(batches):
             out: list[list] = [[] for _ in range(len(schema) - 1)]
             for ids, text in bpe.encode_all(strings(b.column("text"))):
                 row = [len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(text.encode()).hexdigest()]

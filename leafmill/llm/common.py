@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Sequence
+from collections.abc import Iterable, Iterator, Sequence
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -86,6 +86,16 @@ def hashed_sample(df: DataFrame, max_rows: int, *key: str) -> DataFrame:
     return df.where(F.pmod(F.xxhash64(*key), F.lit(1 << 40)) < int(share * (1 << 40))).limit(max_rows)
 
 
+#: Rows of a batch that are unpacked at once: what a task holds doesn't depend on the session's batch size.
+SLICED_ROWS = 256
+
+
+def slices(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for whole in batches:
+        for at in range(0, whole.num_rows, SLICED_ROWS):
+            yield whole.slice(at, SLICED_ROWS)
+
+
 def utf8(column: pa.Array) -> list[bytes]:
     """A string column's values as UTF-8; null is empty."""
     return [v if v is not None else b"" for v in column.cast(pa.binary()).to_pylist()]

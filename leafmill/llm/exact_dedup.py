@@ -19,7 +19,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from leafmill.llm.common import ASCII_SPACE, batch, id_and_text, materialize, utf8
+from leafmill.llm.common import ASCII_SPACE, batch, id_and_text, materialize, slices, utf8
 
 PRIME = (1 << 31) - 1
 BASES = (1_000_003, 998_244_353)
@@ -64,7 +64,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """doc_id, code points, bytes after normalising, fingerprint and SHA-256 of the normalised text; one scan."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             raw = utf8(b.column("text"))
             texts = [t.translate(None, ASCII_SPACE) for t in raw]
             yield batch(
@@ -111,7 +111,7 @@ def chunk_rows(rows: DataFrame, chunk: int = CHUNK) -> DataFrame:
     """(fingerprint, n_bytes, chunk_no, chunk) of rows (fingerprint, n_bytes, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             out: tuple[list, list, list, list] = ([], [], [], [])
             held = 0
             for key, n, text in zip(b.column("fingerprint").to_pylist(), b.column("n_bytes").to_pylist(), utf8(b.column("text")), strict=True):

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from leafmill.llm.common import hashed_sample, id_and_text, materialize, utf8
+from leafmill.llm.common import hashed_sample, id_and_text, materialize, slices, utf8
 
 #: No language: what the background class is called.
 NONE = "und"
@@ -90,7 +90,7 @@ def fit_text_model(docs: DataFrame, label_col: str = "lang", id_col: str = "doc_
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
-        for b in batches:
+        for b in slices(batches):
             for label, text in zip(b.column("label").to_pylist(), utf8(b.column("text")), strict=True):
                 # once a text, so that no text that repeats itself stands for its label
                 got = np.minimum(np.bincount(trigram_buckets(np.frombuffer(folded(text), np.uint8)), minlength=BUCKETS), 1)
@@ -140,7 +140,7 @@ def identify(
     extra = [some(declared_col).alias("declared"), some(host_col).alias("host"), some(suffix_col).alias("suffix")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             sums, counts = model.score(utf8(b.column("text")))
             likely = np.hstack([TEMPER * sums, np.zeros((len(counts), 1))])
             arrays = [b.column("doc_id"), b.column("declared"), b.column("host"), b.column("suffix"), pa.array(counts, pa.int64()), pa.array(list(likely), pa.list_(pa.float64()))]

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from leafmill.llm.common import batch, id_and_text, strings
+from leafmill.llm.common import batch, id_and_text, slices, strings
 
 BLOCK_DOCS = 8192
 #: Texts are encoded in parts of about so many characters, to bound what one call holds.
@@ -33,19 +33,29 @@ class Encoder:
     """
 
     def __init__(self, tokenizer_file: str, ranks_file: str | None = None):
-        import base64
+        self.tokenizer_file, self.whole, self.ranks = tokenizer_file, None, None
+        if ranks_file:
+            import base64
+            import json
 
-        import public_tokenizers
-        import tiktoken
-        from tokenizers import Tokenizer
+            import public_tokenizers
+            import tiktoken
 
-        self.full, self.ranks = Tokenizer.from_file(tokenizer_file), None
-        if ranks_file:
             with open(ranks_file, "rb") as lines:
                 ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
-            special = {t.content: i for i, t in self.full.get_added_tokens_decoder().items()}
+            with open(tokenizer_file, encoding="utf-8") as spec:
+                special = {t["content"]: t["id"] for t in json.load(spec)["added_tokens"]}
             self.ranks = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=special)
 
+    @property
+    def full(self):
+        """The tokenizers library's own, loaded where it is needed."""
+        if self.whole is None:
+            from tokenizers import Tokenizer
+
+            self.whole = Tokenizer.from_file(self.tokenizer_file)
+        return self.whole
+
     def __call__(self, text: str) -> np.ndarray:
         if self.ranks is not None:
             try:
@@ -79,7 +89,7 @@ def document_pieces(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(tokenizer_file, ranks_file)
-        for b in batches:
+        for b in slices(batches):
             out: list[list] = [[] for _ in schema]
             for doc_id, text in zip(b.column("doc_id").to_pylist(), strings(b.column("text")), strict=True):
                 ids = np.append(encode(text), np.uint32(end_id)).astype("<u4")

@@ -18,7 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from leafmill.llm.common import batch, id_and_text, materialize, strings
+from leafmill.llm.common import batch, id_and_text, materialize, slices, strings
 from leafmill.llm.spans import SPAN_SQL, SPAN_TYPE, Span, as_dicts, joined_column, sha256
 
 KINDS = ("email", "ip", "card", "phone")
@@ -115,7 +115,7 @@ def extract(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         row_id = TaskContext.get().partitionId() << 33
         nothing = (0, 0, 0, 0, sha256([]), [], [])
-        for b in batches:
+        for b in slices(batches):
             out = [nothing] * b.num_rows
             likely = pc.indices_nonzero(pc.fill_null(pc.match_substring_regex(b.column("text"), "[0-9@]"), False))
             for i, text in zip(likely.to_pylist(), strings(b.column("text").take(likely)), strict=True):

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from leafmill.llm.common import ASCII_SPACE, bounded, id_and_text, materialize, release, utf8
+from leafmill.llm.common import ASCII_SPACE, bounded, id_and_text, materialize, release, slices, utf8
 from leafmill.llm.components import connected_components
 from leafmill.llm.forest import Forest
 
@@ -231,16 +231,14 @@ def sketches(docs: DataFrame, words: int = 2, id_col: str = "doc_id", text_col:
     """Each document's set size, a key of its set and its bands' keys."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for at in range(0, whole.num_rows, 1024):
-                b = whole.slice(at, 1024)
-                sets = shingle_sets(utf8(b.column("text")), words)
-                keys = [xxhash.xxh3_128_digest(s.tobytes()) for s in sets]
-                regs = [registers(s) for s in sets]
-                bands = [band_keys(r) if len(s) else None for r, s in zip(regs, sets, strict=True)]
-                s1, s2 = zip(*map(signature, regs), strict=True)
-                arrays = [b.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(keys, pa.binary()), pa.array(bands, pa.list_(pa.int64())), pa.array(s1, pa.int64()), pa.array(s2, pa.int64())]
-                yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "n_shingles", "set_key", "bands", "s1", "s2"])
+        for b in slices(batches):
+            sets = shingle_sets(utf8(b.column("text")), words)
+            keys = [xxhash.xxh3_128_digest(s.tobytes()) for s in sets]
+            regs = [registers(s) for s in sets]
+            bands = [band_keys(r) if len(s) else None for r, s in zip(regs, sets, strict=True)]
+            s1, s2 = zip(*map(signature, regs), strict=True)
+            arrays = [b.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(keys, pa.binary()), pa.array(bands, pa.list_(pa.int64())), pa.array(s1, pa.int64()), pa.array(s2, pa.int64())]
+            yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "n_shingles", "set_key", "bands", "s1", "s2"])
 
     return id_and_text(docs, id_col, text_col).mapInArrow(run, SKETCHES_SQL)
 
@@ -249,7 +247,7 @@ def full_sets(texts: DataFrame, words: int = 2) -> DataFrame:
     """Sets and registers of rows (doc_id, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             sets = shingle_sets(utf8(b.column("text")), words)
             arrays = [b.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([registers(s).tobytes() for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())]
             yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "n_shingles", "registers", "shingles"])

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from leafmill.llm.common import bounded, id_and_text, materialize, release, utf8
+from leafmill.llm.common import bounded, id_and_text, materialize, release, slices, utf8
 
 GRAM = 32
 #: Bytes of a document that are sampled at once; what spans two pieces is sampled in both.
@@ -135,8 +135,8 @@ def sampled_suffixes(docs: DataFrame, length: int) -> DataFrame:
         return pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in columns], schema=SUFFIXES)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            parts, held = [], 0
+        parts, held = [], 0
+        for b in slices(batches):
             for doc, text in zip(b.column("doc_id").to_pylist(), utf8(b.column("text")), strict=True):
                 for offset, data in pieces(text, length):
                     gram, left, right, lo, hi = sampled(data, length)
@@ -145,8 +145,8 @@ def sampled_suffixes(docs: DataFrame, length: int) -> DataFrame:
                     if held > COMBINED:
                         yield combined(parts)
                         parts, held = [], 0
-            if parts:
-                yield combined(parts)
+        if parts:
+            yield combined(parts)
 
     return docs.mapInArrow(run, "gram long, sides long, doc_id long, lo long, n int")
 
@@ -215,7 +215,7 @@ def block_texts(texts: DataFrame, length: int) -> DataFrame:
     """(gram, doc_id, lo, n, block): what the windows of first occurrences show, from rows (doc_id, text, places)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             out: list[list] = [[] for _ in BLOCKS]
             for doc, text, places in zip(b.column("doc_id").to_pylist(), utf8(b.column("text")), b.column("places").to_pylist(), strict=True):
                 for p in places:
@@ -322,7 +322,7 @@ def cut_texts(joined: DataFrame, with_text: bool) -> DataFrame:
         return b"".join([*parts, text[done:]]), spans
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             out: list[list] = [[] for _ in schema]
             for doc, text, found in zip(b.column("doc_id").to_pylist(), utf8(b.column("text")), b.column("runs").to_pylist(), strict=True):
                 kept, spans = cut(text, [(r["start"], r["end"]) for r in found or ()])
