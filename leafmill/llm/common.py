@@ -59,12 +59,12 @@ def id_and_text(docs: DataFrame, id_col: str, text_col: str, *more: str) -> Data
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), *more)
 
 
-#: Ids that may be broadcast: a table of 16 MB.
+#: Rows of ids that may be broadcast: tables of 16 to 40 MB.
 MAX_BROADCAST_IDS = 1_000_000
 
 
 def bounded(ids: DataFrame) -> DataFrame:
-    """ids, a written table of one column, marked for broadcast if it is counted to have at most ``MAX_BROADCAST_IDS`` rows."""
+    """ids, a written table of an id and at most a key beside it, marked for broadcast if it is counted to have at most ``MAX_BROADCAST_IDS`` rows."""
     return F.broadcast(ids) if ids.count() <= MAX_BROADCAST_IDS else ids
 
 

@@ -19,7 +19,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from leafmill.llm.common import ASCII_SPACE, batch, id_and_text, materialize, slices, utf8
+from leafmill.llm.common import ASCII_SPACE, batch, bounded, id_and_text, materialize, slices, utf8
 
 PRIME = (1 << 31) - 1
 BASES = (1_000_003, 998_244_353)
@@ -141,8 +141,8 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     # aggregates are written before they are joined, so that Spark can split a hot group
     shared = materialize(prints.groupBy(*key).agg(F.count("*").alias("_n")).where("_n > 1").select(*key), "shared")
     # texts of documents whose fingerprint others have too, compared chunk by chunk
-    doubtful = prints.join(shared, key, "left_semi").select("doc_id", *key).distinct()
-    texts = id_and_text(docs, id_col, text_col).join(doubtful, "doc_id").select(*key, "text")
+    doubtful = materialize(prints.join(shared, key, "left_semi").select("doc_id", *key).distinct(), "doubtful")
+    texts = id_and_text(docs, id_col, text_col).join(bounded(doubtful), "doc_id").select(*key, "text")
     broken = materialize(
         chunk_rows(texts, chunk).groupBy(*key, "chunk_no").agg(F.min("chunk").alias("_lo"), F.max("chunk").alias("_hi")).where("_lo <> _hi").select(*key).distinct(),
         "collisions",
