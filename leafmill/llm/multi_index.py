@@ -5,7 +5,8 @@ lies in the cell of its nearest codewords, and visits cells in the order of a mu
 sum of both halves' squared slack, half the excess of a codeword's distance over the nearest one's.  By the
 triangle inequality a vector at distances (a, b) of the two halves lies in a cell of slacks at most (a, b), so
 going on up to the whole squared distance can't miss; the traversal ends earlier, where the target recall is
-reached for pairs at the very threshold.  All that visitors meet is verified in double precision.
+reached for pairs at the very threshold.  Of two cells the one of lower number visits the other.  All that visitors
+meet is verified in double precision.
 
 Cells are dealt in regions of about ``BLOCK`` vectors; hot ones are split, so a task holds one block and
 streams its visitors.  Links are counted and joined to trees inside tasks; pairs never become rows.
@@ -32,7 +33,7 @@ SAMPLE, ROUNDS = 16_384, 8
 #: Vectors of a region's block, and visitors compared with it at once.
 BLOCK, VISITORS = 4096, 512
 #: Share of pairs at the threshold that the traversal is to reach.
-TARGET_RECALL = 0.999
+TARGET_RECALL = 0.9995
 
 
 @dataclass(frozen=True)
@@ -74,6 +75,14 @@ class MultiIndex:
                     heapq.heappush(heap, (x[following[0]] + y[following[1]], *following))
         return out
 
+    def ahead(self, cells: list[int]) -> dict[int, list[int]]:
+        """Of a vector's visits those to its own cell and cells of higher number, by region: the others visit it."""
+        out: dict[int, list[int]] = {}
+        for c in cells:
+            if c >= cells[0]:
+                out.setdefault(self.region(c), []).append(c)
+        return out
+
     def region(self, cell: int) -> int:
         return cell // self.k * self.k + cell % self.k // self.together
 
@@ -119,7 +128,10 @@ def fit(sample: np.ndarray, n: int, cosine: float, recall: float = TARGET_RECALL
 
 
 def vectors(table: DataFrame, id_col: str, vector_col: str) -> DataFrame:
-    """(vec_id, dims, key, vector): float64 bytes and a key of them; nulls for vectors that link with nothing."""
+    """(vec_id, dims, key, vector): a vector's bytes and a key of them; nulls for vectors that link with nothing.
+
+    The bytes are float32 where that says the same, so that a vector of floats isn't carried along as doubles.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -130,7 +142,8 @@ def vectors(table: DataFrame, id_col: str, vector_col: str) -> DataFrame:
                 if good and np.isfinite(x).all() and x.any():
                     scale = np.abs(x).max()
                     x = x if 1e-100 < scale < 1e100 else x / scale  # so that squares neither vanish nor overflow
-                    data = x.tobytes()
+                    single = x.astype(np.float32)
+                    data = (single if (single == x).all() else x).tobytes()
                     dims.append(len(x))
                     keys.append(xxhash.xxh3_128_digest(data))
                     values.append(data)
@@ -144,20 +157,28 @@ def vectors(table: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     return rows.mapInArrow(run, "vec_id long, dims int, key binary, vector binary")
 
 
+def unpacked(values: list[bytes], dims: int) -> np.ndarray:
+    """float64 rows of vectors' bytes."""
+    if all(len(v) == 4 * dims for v in values):
+        return np.frombuffer(b"".join(values), np.float32).reshape(-1, dims).astype(float)
+    return np.array([np.frombuffer(v, np.float32 if len(v) == 4 * dims else float) for v in values], float).reshape(-1, dims)
+
+
 def placed(nodes: DataFrame, index: MultiIndex, dims: int) -> DataFrame:
-    """nodes with their cell and the cells they visit."""
+    """nodes with their cell, its region, and by region the cells they visit."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             cells = []
             if b.num_rows:
-                x = np.frombuffer(b"".join(b.column("vector").to_pylist()), float).reshape(-1, dims)
+                x = unpacked(b.column("vector").to_pylist(), dims)
                 cells = [index.visits(p, q) for p, q in zip(*index.slacks(unit_rows(x)), strict=True)]
             arrays = [*(b.column(c) for c in ("node", "weight", "vector")), pa.array([c[0] for c in cells], pa.int32()), pa.array([index.region(c[0]) for c in cells], pa.int32())]
-            arrays += [pa.array(cells, pa.list_(pa.int32())), pa.array([sorted({index.region(x) for x in c}) for c in cells], pa.list_(pa.int32()))]
-            yield pa.RecordBatch.from_arrays(arrays, ["node", "weight", "vector", "cell", "region", "visits", "regions"])
+            visits = [[{"region": k, "cells": v} for k, v in index.ahead(c).items()] for c in cells]
+            arrays.append(pa.array(visits, pa.list_(pa.struct([("region", pa.int32()), ("cells", pa.list_(pa.int32()))]))))
+            yield pa.RecordBatch.from_arrays(arrays, ["node", "weight", "vector", "cell", "region", "visits"])
 
-    return nodes.mapInArrow(run, "node long, weight long, vector binary, cell int, region int, visits array<int>, regions array<int>")
+    return nodes.mapInArrow(run, "node long, weight long, vector binary, cell int, region int, visits array<struct<region:int,cells:array<int>>>")
 
 
 class _Block:
@@ -172,41 +193,58 @@ class _Block:
         self.forest = Forest()
 
     def _arrays(self, rows: list[tuple]) -> tuple[np.ndarray, ...]:
-        unit = unit_rows(np.frombuffer(b"".join(r[2] for r in rows), float).reshape(-1, self.dims))
+        unit = unit_rows(unpacked([r[2] for r in rows], self.dims))
         return unit, np.array([r[0] for r in rows]), np.array([r[1] for r in rows]), np.array([r[3] for r in rows])
 
     def meet(self, visitors: list[tuple]) -> None:
-        """Verify visitors with the members of cells they visit; a pair that visits each other counts for the smaller id."""
+        """Verify visitors with the members of cells they visit; of one cell's members the smaller id visits the greater."""
         if not self.rows or not visitors:
             return
         if not self.ready:
             self.unit, self.ids, self.weights, self.cells = self._arrays(self.rows)
-            self.sets = [frozenset(r[4]) for r in self.rows]
             self.local = {c: i for i, c in enumerate(np.unique(self.cells).tolist())}
             self.place = np.array([self.local[c] for c in self.cells.tolist()])
+            self.roots = self.ids.copy()
+            self.found = np.zeros(len(self.rows), np.int64)
             self.ready = True
         unit, ids, weights, cells = self._arrays(visitors)
         open_ = np.zeros((len(visitors), len(self.local)), bool)
         for i, r in enumerate(visitors):
             open_[i, [self.local[c] for c in r[4] if c in self.local]] = True
-        good = (unit @ self.unit.T >= self.cosine) & open_[:, self.place] & (ids[:, None] != self.ids)
-        for i, j in np.argwhere(good).tolist():
-            if ids[i] > self.ids[j] and int(cells[i]) in self.sets[j]:
-                continue  # the other one comes visiting too
-            a, b = int(ids[i]), int(self.ids[j])
-            self.counts[a] = self.counts.get(a, 0) + int(self.weights[j])
-            self.counts[b] = self.counts.get(b, 0) + int(weights[i])
-            if self.forest.join(a, b):
-                self.links.append((a, b))
+        good = (unit @ self.unit.T >= self.cosine) & open_[:, self.place]
+        good &= (cells[:, None] != self.cells) | (ids[:, None] < self.ids)
+        some, there = np.flatnonzero(good.any(1)), np.flatnonzero(good.any(0))
+        if not len(some):
+            return
+        good = good[np.ix_(some, there)]
+        for i, n in zip(ids[some].tolist(), (good @ self.weights[there]).tolist(), strict=True):
+            self.counts[i] = self.counts.get(i, 0) + n
+        self.found[there] += weights[some] @ good
+        for i, row in zip(ids[some].tolist(), good, strict=True):
+            at = there[row]
+            # one link for each tree that the visitor's members stand in
+            for k in np.unique(self.roots[at], return_index=True)[1]:
+                other = int(self.ids[at[k]])
+                if self.forest.join(i, other):
+                    self.links.append((i, other))
+            self.roots[np.isin(self.roots, self.roots[at])] = self.forest.root(i)
+
+    def counted(self) -> dict[int, int]:
+        if self.ready:
+            for i, n in zip(self.ids.tolist(), self.found.tolist(), strict=True):
+                if n:
+                    self.counts[i] = self.counts.get(i, 0) + n
+        return self.counts
 
 
 def link_counts(cells: DataFrame, dims: int, cosine: float) -> DataFrame:
     """(u, v, n): links counted for u where v is null, else a link between u and v."""
     regions = materialize(cells.groupBy("region").agg(F.ceil(F.count("*") / BLOCK).alias("_blocks")), "regions")
-    body = ["node", "weight", "vector", "cell", "visits"]
-    members = cells.join(regions, "region").select("region", F.pmod(F.xxhash64("node"), "_blocks").alias("block"), F.lit(0).alias("side"), *body)
-    visitors = cells.select(*body, F.explode("regions").alias("region")).join(regions, "region")
-    visitors = visitors.select("region", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_blocks") - 1)).alias("block"), F.lit(1).alias("side"), *body)
+    body = ["node", "weight", "vector", "cell"]
+    none = F.lit(None).cast("array<int>").alias("visits")
+    members = cells.join(regions, "region").select("region", F.pmod(F.xxhash64("node"), "_blocks").alias("block"), F.lit(0).alias("side"), *body, none)
+    visitors = cells.select(*body, F.explode("visits").alias("v")).select(*body, F.col("v.region").alias("region"), F.col("v.cells").alias("visits")).join(regions, "region")
+    visitors = visitors.select("region", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_blocks") - 1)).alias("block"), F.lit(1).alias("side"), *body, "visits")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, block, held = None, _Block(dims, cosine), []
@@ -214,9 +252,10 @@ def link_counts(cells: DataFrame, dims: int, cosine: float) -> DataFrame:
         def result() -> pa.RecordBatch:
             block.meet(held)
             held.clear()
-            u = [*block.counts, *(a for a, _ in block.links)]
-            v = [*[None] * len(block.counts), *(b for _, b in block.links)]
-            n = [*block.counts.values(), *[None] * len(block.links)]
+            counts = block.counted()
+            u = [*counts, *(a for a, _ in block.links)]
+            v = [*[None] * len(counts), *(b for _, b in block.links)]
+            n = [*counts.values(), *[None] * len(block.links)]
             return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (u, v, n)], ["u", "v", "n"])
 
         for b in batches:
@@ -256,7 +295,7 @@ def near_vectors(table: DataFrame, cosine: float = 0.95, recall: float = TARGET_
     classes = materialize(good.groupBy("key").agg(F.min("vec_id").alias("node"), F.count("*").alias("weight"), F.first("vector").alias("vector")), "nodes")
     n = classes.count()
     sample = hashed_sample(classes, SAMPLE, "node").select("vector").toPandas()["vector"]
-    index = fit(np.frombuffer(b"".join(map(bytes, sample)), float).reshape(-1, dims), n, cosine, recall)
+    index = fit(unpacked([bytes(v) for v in sample], dims), n, cosine, recall)
     found = materialize(link_counts(materialize(placed(classes.drop("key"), index, dims), "cells"), dims, cosine), "found")
     counts = found.where("v is null").groupBy(F.col("u").alias("node")).agg(F.sum("n").alias("_n"))
     components = connected_components(found.where("v is not null").select("u", "v")).withColumnsRenamed({"id": "node", "component_id": "_component"})
