@@ -50,6 +50,37 @@ def full_outer(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.join(s, "nation", "full").select("nation", F.coalesce("_c", F.lit(0)).alias("n_customers"), F.coalesce("_s", F.lit(0)).alias("n_suppliers"))
 
 
+@query("j_right_outer", "SELECT s_suppkey, n_name FROM nation RIGHT JOIN supplier ON s_nationkey = n_nationkey AND n_regionkey = 2")
+def right_outer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nations = table(spark, sf_dir, "nation").where("n_regionkey = 2")
+    return nations.join(table(spark, sf_dir, "supplier"), F.col("s_nationkey") == F.col("n_nationkey"), "right").select("s_suppkey", "n_name")
+
+
+_SUPPLIED = "SELECT s_suppkey, count(*) AS n FROM supplier JOIN lineitem ON l_suppkey = s_suppkey WHERE l_quantity < 5 GROUP BY 1"
+
+
+def _supplied(spark: SparkSession, sf_dir: str, hint: str) -> DataFrame:
+    lines = table(spark, sf_dir, "lineitem").where("l_quantity < 5").select("l_suppkey")
+    joined = lines.join(table(spark, sf_dir, "supplier").select("s_suppkey").hint(hint), F.col("l_suppkey") == F.col("s_suppkey"))
+    return joined.groupBy("s_suppkey").agg(F.count("*").alias("n"))
+
+
+@query("j_sort_merge", _SUPPLIED)
+def sort_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _supplied(spark, sf_dir, "merge")
+
+
+@query("j_shuffle_hash", _SUPPLIED)
+def shuffle_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _supplied(spark, sf_dir, "shuffle_hash")
+
+
+@query("j_theta", "SELECT a.n_name AS a, b.n_name AS b FROM nation a JOIN nation b ON a.n_regionkey = b.n_regionkey AND a.n_nationkey < b.n_nationkey")
+def theta(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a, b = (table(spark, sf_dir, "nation").select("n_regionkey", F.col("n_nationkey").alias(f"{x}_key"), F.col("n_name").alias(x)) for x in "ab")
+    return a.join(b, "n_regionkey").where("a_key < b_key").select("a", "b")
+
+
 @query("j_semi", "SELECT p_partkey, p_brand FROM part WHERE EXISTS (SELECT 1 FROM lineitem WHERE l_partkey = p_partkey AND l_quantity > 49)")
 def semi(spark: SparkSession, sf_dir: str) -> DataFrame:
     big = table(spark, sf_dir, "lineitem").where("l_quantity > 49")
@@ -222,6 +253,26 @@ def time_bucket(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("bucket", F.col("bucket").cast("timestamp_ntz"))
 
 
+@query("a_distinct", "SELECT DISTINCT p_brand, p_type FROM part")
+def distinct(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "part").select("p_brand", "p_type").distinct()
+
+
+@query("a_duplicate_texts", "SELECT md5(text) AS digest, count(*) AS n, min(doc_id) AS first_id FROM documents GROUP BY text HAVING count(*) > 1")
+def duplicate_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # the shuffle carries digests, not texts
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.md5("text").alias("digest"))
+    return rows.groupBy("digest").agg(F.count("*").alias("n"), F.min("doc_id").alias("first_id")).where("n > 1")
+
+
+@query("a_approximate")
+def approximate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sketches: their answers are Spark's own, so SQL elsewhere can't repeat them; the tests bound their errors."""
+    return table(spark, sf_dir, "lineitem").groupBy("l_returnflag").agg(
+        F.approx_count_distinct("l_partkey", 0.02).alias("n_parts"), F.percentile_approx("l_extendedprice", 0.5, 10_000).alias("median_price")
+    )
+
+
 @query(
     "w_ranking",
     """
