@@ -155,57 +155,47 @@ MARKS = pa.schema([("doc_id", pa.int64()), ("lo", pa.int64()), ("n", pa.int32())
 
 
 def sorted_neighbours(suffixes: DataFrame) -> DataFrame:
-    """(doc_id, lo, n, gram): suffixes whose triple came before (gram null), and firsts of a gram with several triples.
+    """(doc_id, lo, n, gram): suffixes whose triple came before (gram null), and first occurrences of triples whose
+    gram has others.
 
-    A task streams its suffixes in order and keeps a gram's first occurrences, no more.
+    The suffixes are sorted over all partitions, which cuts a hot gram or triple into several of them; a task
+    streams its part and keeps one row.  What came before a partition isn't known in it, so the first occurrences
+    at its ends are always handed on: there the windows themselves are compared.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] = []  # the current gram's first occurrences: gram, sides, doc, lo, n
+        last, handed = None, False  # the first occurrence of the current triple; whether it is handed on already
         for b in batches:
             rows = np.stack([b.column(c).to_numpy().astype(np.int64) for c in ("gram", "sides", "doc_id", "lo", "n")])
             known = rows[:, rows[4] < 0]
+            yield from emit(known[2:] * np.array([[1], [1], [-1]]), None)
             rows = rows[:, rows[4] > 0]
-            out = [known[2:] * np.array([[1], [1], [-1]])]
-            out_gram = [np.zeros(known.shape[1], bool)]
-            if rows.shape[1]:
-                carried = held[-1][:, -1:] if held else rows[:, :0]
-                both = np.hstack((carried, rows))
-                first = np.append(not carried.shape[1] or None, (np.diff(both[0]) != 0) | (np.diff(both[1]) != 0)).astype(bool)
-                if carried.shape[1]:
-                    first[0] = True
-                # the first occurrence of each row's triple; a repeated row is no second occurrence
-                start = np.maximum.accumulate(np.where(first, np.arange(both.shape[1]), 0))
-                other = ~first & ((both[2] != both[2, start]) | (both[3] != both[3, start]))
-                out.append(both[2:, other])
-                out_gram.append(np.zeros(int(other.sum()), bool))
-                firsts = both[:, first]
-                if carried.shape[1]:
-                    firsts = firsts[:, 1:]  # it is held already
-                if firsts.shape[1]:
-                    held.append(firsts)
-                # grams before the last are complete
-                last = rows[0, -1]
-                together = np.hstack(held)
-                done, held = together[:, together[0] != last], [together[:, together[0] == last]]
-                yield from several(done)
-            yield from emit(np.hstack(out), None)
-        if held:
-            yield from several(np.hstack(held))
-
-    def several(firsts: np.ndarray) -> Iterator[pa.RecordBatch]:
-        if firsts.shape[1]:
-            same = np.diff(firsts[0]) == 0
-            some = np.append(same, False) | np.append(False, same)
-            yield from emit(firsts[2:, some], firsts[0, some])
+            if not rows.shape[1]:
+                continue
+            both = rows if last is None else np.hstack((last, rows))
+            new = np.append(True, (np.diff(both[0]) != 0) | (np.diff(both[1]) != 0))
+            head = np.maximum.accumulate(np.where(new, np.arange(both.shape[1]), 0))
+            # a repeated row of the first occurrence is no second one
+            again = (both[2] != both[2, head]) | (both[3] != both[3, head])
+            yield from emit(both[2:, again], None)
+            firsts = both[:, new]
+            beside = np.diff(firsts[0]) == 0
+            hand = np.append(last is None, beside) | np.append(beside, False)
+            if last is not None and handed:
+                hand[0], handed = False, True
+            yield from emit(firsts[2:, hand], firsts[0, hand])
+            handed = bool(hand[-1]) or (handed and firsts.shape[1] == 1)
+            last = firsts[:, -1:]
+        if last is not None and not handed:
+            yield from emit(last[2:], last[0])
 
     def emit(rows: np.ndarray, gram: np.ndarray | None) -> Iterator[pa.RecordBatch]:
         if rows.shape[1]:
             grams = pa.nulls(rows.shape[1], pa.int64()) if gram is None else pa.array(gram)
             yield pa.RecordBatch.from_arrays([pa.array(rows[0]), pa.array(rows[1]), pa.array(rows[2].astype(np.int32)), grams], schema=MARKS)
 
-    dealt = suffixes.repartition("gram").sortWithinPartitions("gram", "sides", "doc_id", "lo")
-    return dealt.mapInArrow(run, "doc_id long, lo long, n int, gram long")
+    order = ["gram", "sides", "doc_id", "lo"]
+    return suffixes.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(run, "doc_id long, lo long, n int, gram long")
 
 
 BLOCKS = pa.schema([("gram", pa.int64()), ("doc_id", pa.int64()), ("lo", pa.int64()), ("n", pa.int32()), ("block", pa.binary())])
@@ -345,7 +335,9 @@ def remove_repeats(docs: DataFrame, length: int = 100, id_col: str = "doc_id", t
     if length < GRAM + 2:
         raise ValueError(f"strings of {length} bytes are too short to be sampled")
     rows = keyed(docs, id_col, text_col)
-    marks = materialize(sorted_neighbours(sampled_suffixes(rows, length)), "suffixes")
+    suffixes = materialize(sampled_suffixes(rows, length), "suffixes")
+    marks = materialize(sorted_neighbours(suffixes), "neighbours")
+    release(suffixes)
     some = materialize(marks.where("gram is not null").groupBy("doc_id").agg(F.collect_list(F.struct("gram", "lo", "n")).alias("places")), "first-occurrences")
     wanted = rows.join(bounded(some.select("doc_id")), "doc_id", "left_semi")
     blocks = materialize(block_texts(wanted.join(some, "doc_id"), length).distinct(), "blocks")
