@@ -131,23 +131,23 @@ def extract(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
 
 def score_patterns(edges: DataFrame, rounds: int = 3, min_seeds: int = 3) -> DataFrame:
-    """(pattern, confidence, n_instances) from edges (pattern, instance, seed), one per pair.
+    """(pattern, confidence, n_instances) of patterns with ``min_seeds`` seeds, from edges (pattern, instance, seed).
 
-    Every round is two aggregations: the pattern's mean over its instances, nought under ``min_seeds`` seeds,
-    and the instance's noisy-or over its patterns.
+    Edges are one per pair.  Every round is two aggregations: the pattern's mean over its instances, and the
+    instance's noisy-or over its patterns; a seed is sure.
     """
     scored = edges.withColumn("score", F.col("seed").cast("double"))
     for k in range(rounds):
         patterns = scored.groupBy("pattern").agg(
-            F.avg("score").alias("_mean"), F.count_if("seed").alias("n_seeds"), F.count("*").alias("n_instances")
+            F.avg("score").alias("confidence"), F.count_if("seed").alias("n_seeds"), F.count("*").alias("n_instances")
         )
-        patterns = patterns.select("pattern", F.when(F.col("n_seeds") >= min_seeds, F.col("_mean")).otherwise(0.0).alias("confidence"), "n_instances")
+        # only patterns and instances that have a score are written and joined, so hot ones can be split or broadcast
+        patterns = materialize(patterns.where(F.col("n_seeds") >= min_seeds).select("pattern", "confidence", "n_instances"), "patterns")
         if k + 1 < rounds:
-            known = edges.join(patterns.where("confidence > 0"), "pattern", "left")
-            doubt = F.sum(F.log1p(-F.least(F.coalesce(F.col("confidence"), F.lit(0.0)), F.lit(0.999999))))
-            instances = known.groupBy("instance").agg((1 - F.exp(doubt)).alias("_or"), F.max("seed").alias("_seed"))
-            instances = instances.select("instance", F.when(F.col("_seed"), 1.0).otherwise(F.col("_or")).alias("score"))
-            scored = edges.join(instances, "instance")
+            doubt = F.sum(F.log1p(-F.least(F.col("confidence"), F.lit(0.999999))))
+            instances = edges.join(patterns, "pattern").groupBy("instance").agg((1 - F.exp(doubt)).alias("_or"))
+            scored = edges.join(materialize(instances, "instances"), "instance", "left")
+            scored = scored.withColumn("score", F.when(F.col("seed"), 1.0).otherwise(F.coalesce("_or", F.lit(0.0))))
     return patterns
 
 
@@ -160,7 +160,7 @@ def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     rows = materialize(extract(docs, id_col, text_col), "pii")
     edges = rows.select("row_id", F.explode("edges").alias("e")).select("row_id", "e.*")
     graph = materialize(edges.groupBy("pattern", "instance").agg(F.max("seed").alias("seed")), "pii-graph")
-    sure = score_patterns(graph, rounds, min_seeds).where(F.col("confidence") >= min_confidence).select("pattern")
+    sure = materialize(score_patterns(graph, rounds, min_seeds).where(F.col("confidence") >= min_confidence).select("pattern"), "sure")
     span = F.struct("start", F.lit(len(KINDS)).alias("rank"), "end", F.lit(CONTEXT).alias("kind")).cast(SPAN_SQL)
     added = edges.where("not seed").join(sure, "pattern", "left_semi").groupBy("row_id").agg(F.collect_list(span).alias("_added"))
     found = F.array_sort(F.concat("base", F.coalesce("_added", F.array().cast(f"array<{SPAN_SQL}>"))))
