@@ -2,39 +2,26 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterable, Iterator, Sequence
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from leafmill.sources.scratch import new_path
+
 #: Bytes that count as white space in every contract here: space and TAB to CR.
 ASCII_SPACE = b" \t\n\x0b\x0c\r"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; a local one only where that is unset, as in tests."""
-    conf = spark.sparkContext.getConf()
-    found = conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = f"file://{tempfile.mkdtemp(prefix='leafmill-')}"
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write df to the shared folder and read it back: a cut in the lineage that outlives any executor.
 
     The files go when the application ends, or earlier by ``release``.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/leafmill-{label}-{uuid.uuid4().hex}"
-    schema = df.schema
+    path, schema = new_path(spark, label), df.schema
     df.write.parquet(path)
-    jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
-    jpath.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(jpath)
     out = spark.read.schema(schema).parquet(path)
     out._leafmill_path = path
     return out
