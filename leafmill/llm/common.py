@@ -41,9 +41,27 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def id_and_text(docs: DataFrame, id_col: str, text_col: str, *more: str) -> DataFrame:
-    """The columns that an operator reads, under names that can't clash with others of the input."""
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), *more)
+def numbered(df: DataFrame) -> DataFrame:
+    """df with columns called _0, _1 and so on, which no other names can clash with, whatever their case."""
+    return df.toDF(*(f"_{i}" for i in range(len(df.columns))))
+
+
+def place(df: DataFrame, name: str) -> str:
+    """What ``numbered`` calls a column: that of exactly this name, else the first of it in another case."""
+    for same in (lambda c: c == name, lambda c: c.lower() == name.lower()):
+        for i, c in enumerate(df.columns):
+            if same(c):
+                return f"_{i}"
+    raise ValueError(f"no column {name} among {df.columns}")
+
+
+def picked(df: DataFrame, **columns: str | None) -> DataFrame:
+    """The columns that an operator reads, under the operator's own names; nulls for those that aren't given."""
+    return numbered(df).select(*(F.col(place(df, c)).alias(n) if c else F.lit(None).cast("string").alias(n) for n, c in columns.items()))
+
+
+def id_and_text(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return picked(docs, doc_id=id_col, text=text_col).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
 
 #: Rows of ids that may be broadcast: tables of 16 to 40 MB.
@@ -60,8 +78,9 @@ def without(docs: DataFrame, dropped: DataFrame, id_col: str = "doc_id") -> Data
 
     Few ids are broadcast, so no text is shuffled; more are joined through a shuffle.
     """
-    ids = materialize(dropped.select(id_col).distinct(), "dropped")
-    return docs.join(bounded(ids), id_col, "left_anti").select(docs.columns)
+    ids = materialize(dropped.select(F.col(id_col).alias("_dropped")).distinct(), "dropped")
+    plain = numbered(docs)
+    return plain.join(bounded(ids), F.col(place(docs, id_col)) == F.col("_dropped"), "left_anti").toDF(*docs.columns)
 
 
 def hashed_sample(df: DataFrame, max_rows: int, *key: str) -> DataFrame:

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from leafmill.llm.common import hashed_sample, id_and_text, materialize, slices, utf8
+from leafmill.llm.common import hashed_sample, materialize, picked, slices, utf8
 
 #: No language: what the background class is called.
 NONE = "und"
@@ -82,7 +82,8 @@ def fit_text_model(docs: DataFrame, label_col: str = "lang", id_col: str = "doc_
 
     Counts are summed by Spark; what reaches the driver is BUCKETS numbers for each language.
     """
-    rows = docs.select(F.col(id_col).alias("_id"), F.substring(F.col(text_col).cast("string"), 1, TRAINING_CHARS).alias("text"), F.col(label_col).cast("string").alias("label"))
+    rows = picked(docs, _id=id_col, text=text_col, label=label_col)
+    rows = rows.select("_id", F.substring(F.col("text").cast("string"), 1, TRAINING_CHARS).alias("text"), F.col("label").cast("string").alias("label"))
     rows = rows.where(F.col("text").isNotNull() & F.col("label").isNotNull() & (F.col("label") != NONE))
     if languages is not None:
         rows = rows.where(F.col("label").isin(list(languages)))
@@ -136,8 +137,9 @@ def identify(
     repeated results; an empty table gives none.
     """
     names = [*model.languages, NONE]
-    some = lambda c: F.coalesce(F.lower(F.col(c).cast("string")), F.lit("")) if c else F.lit("")
-    extra = [some(declared_col).alias("declared"), some(host_col).alias("host"), some(suffix_col).alias("suffix")]
+    read = picked(docs, doc_id=id_col, text=text_col, declared=declared_col, host=host_col, suffix=suffix_col)
+    extra = [F.coalesce(F.lower(F.col(c).cast("string")), F.lit("")).alias(c) for c in ("declared", "host", "suffix")]
+    read = read.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *extra)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
@@ -146,7 +148,7 @@ def identify(
             arrays = [b.column("doc_id"), b.column("declared"), b.column("host"), b.column("suffix"), pa.array(counts, pa.int64()), pa.array(list(likely), pa.list_(pa.float64()))]
             yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "declared", "host", "suffix", "n_grams", "likely"])
 
-    scored = id_and_text(docs, id_col, text_col, *extra).mapInArrow(run, "doc_id long, declared string, host string, suffix string, n_grams long, likely array<double>")
+    scored = read.mapInArrow(run, "doc_id long, declared string, host string, suffix string, n_grams long, likely array<double>")
     rows = materialize(scored.withColumn("text_class", F.expr("cast(array_position(likely, array_max(likely)) - 1 as int)")), "language")
 
     # counts of classes, one row for each value; sums before the shuffle, so a hot host is one row a task

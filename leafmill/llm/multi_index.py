@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from leafmill.llm.common import hashed_sample, materialize
+from leafmill.llm.common import hashed_sample, materialize, picked
 from leafmill.llm.components import connected_components
 from leafmill.llm.forest import Forest
 
@@ -153,7 +153,7 @@ def vectors(table: DataFrame, id_col: str, vector_col: str) -> DataFrame:
                     values.append(None)
             yield pa.RecordBatch.from_arrays([b.column("vec_id"), pa.array(dims, pa.int32()), pa.array(keys, pa.binary()), pa.array(values, pa.binary())], ["vec_id", "dims", "key", "vector"])
 
-    rows = table.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("vector"))
+    rows = picked(table, vec_id=id_col, vector=vector_col).select(F.col("vec_id").cast("long").alias("vec_id"), F.col("vector").cast("array<double>").alias("vector"))
     return rows.mapInArrow(run, "vec_id long, dims int, key binary, vector binary")
 
 

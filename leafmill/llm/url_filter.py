@@ -15,6 +15,8 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from leafmill.llm.common import picked
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Rules become literals of the plan; a longer list must be a table that is joined instead.
 MAX_RULES = 1000
@@ -108,7 +110,7 @@ def judge_urls(
     repeated rows give repeated results; an empty table gives an empty one.
     """
     host, path = host_and_path(F.col("_url"))
-    rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).cast("string").alias("_url")).select("page_id", host.alias("host"), path.alias("path"))
+    rows = picked(pages, page_id=id_col, _url=url_col).select("page_id", F.col("_url").cast("string").alias("_url")).select("page_id", host.alias("host"), path.alias("path"))
     scored = model.transform(rows.withColumn("_grams", ngrams(F.col("host"), F.col("path"))))
     rule = matching_rule(F.col("host"), F.col("path"), rules)
     probability = vector_to_array("_probability")[1]

@@ -25,6 +25,7 @@ CLASHING = ["row_id", "fingerprint", "block", "_block", "key", "_class", "bands"
 
 
 def with_clashes(df: DataFrame) -> DataFrame:
+    """df with columns that have an operator's names, and its own names in another case."""
     from pyspark.sql import functions as F
 
-    return df.select("*", *[F.lit("x").alias(c) for c in CLASHING])
+    return df.select("*", *[F.lit("x").alias(c) for c in (*CLASHING, *(c.upper() for c in df.columns))])
