@@ -33,3 +33,13 @@ def test_approximations_are_near(spark):
         assert abs(got[r["l_returnflag"]]["n_parts"] / r["n"] - 1) < 0.1
         assert abs(got[r["l_returnflag"]]["median_price"] / r["m"] - 1) < 0.01
     assert set(registry.QUERIES) - set(registry.ORACLES) == {"a_approximate"}
+
+
+def test_entry_without_the_llm_subpackage():
+    """The registry stands on its own where the subpackage is absent."""
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    code = "import sys; sys.modules['corpus_pipeline'] = None; sys.modules['leafmill.llm'] = None; import __spark_entry__ as e; assert e.queries() and not any(n.startswith('op') for n in e.queries())"
+    subprocess.run([sys.executable, "-c", code], cwd=Path(__file__).resolve().parent.parent, check=True)
