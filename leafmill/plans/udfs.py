@@ -49,7 +49,7 @@ def aggregate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("u_table", "SELECT n_nationkey, unnest(range(0, n_nationkey % 3 + 1))::INT AS k FROM nation")
 def table_function(spark: SparkSession, sf_dir: str) -> DataFrame:
-    @F.udtf(returnType="k: int")
+    @F.udtf(returnType="k: int", useArrow=True)
     class Upto:
         def eval(self, n: int):
             for k in range(n % 3 + 1):
