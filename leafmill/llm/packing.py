@@ -106,9 +106,10 @@ def document_pieces(
 def best_fit(lengths: np.ndarray, capacity: np.ndarray, weights: np.ndarray, rule: str = "dot") -> tuple[np.ndarray, np.ndarray]:
     """(bin, offset in tokens) of each piece, by vector best fit over decreasing lengths.
 
-    A piece is (length, 1, length ** 2).  ``rule`` dot: the greatest weighted dot product of piece and residual
-    loses to a tighter fit only through the weights, so it favours bins with room where the piece needs it;
-    norm: the least weighted norm of the residual after placing.  Ties: the bin opened first.
+    A piece is (length, 1, length ** 2).  Only bins with room in every dimension are looked at.  ``rule`` dot: the
+    greatest weighted dot product of piece and residual, so bins with most room where the piece needs it; norm:
+    the least weighted norm of the residual after placing, so the tightest.  Ties: the bin opened first, as
+    long as none is closed, else a fixed one.  Bins that not even the least piece fits in are closed.
     """
     n = len(lengths)
     order = np.lexsort((np.arange(n), -lengths))
