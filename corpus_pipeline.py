@@ -12,29 +12,46 @@ from leafmill.llm import exact_dedup, language_id, packing, secret_scan, setsket
 from leafmill.llm.common import materialize, table, without
 
 
+#: Rows and bytes of a batch: whole texts are wide rows, and an executor holds several batches for each of its tasks.
+BATCHES = {"spark.sql.parquet.columnarReaderBatchSize": 1024, "spark.sql.execution.arrow.maxRecordsPerBatch": 1024, "spark.sql.execution.arrow.maxBytesPerBatch": 4 << 20}
+
+
+def wide_rows(spark: SparkSession) -> None:
+    """Lower the session's batches to ``BATCHES``; settings that are lower already stay."""
+    for key, most in BATCHES.items():
+        now = spark.conf.get(key)
+        if not now.isdigit() or not 0 < int(now) <= most:
+            spark.conf.set(key, str(most))
+
+
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in no known language, or in none for sure, go."""
+    wide_rows(spark)
     found = language_id.identify(docs, language_id.fit_text_model(docs))
     return without(docs, found.where("not accepted"))
 
 
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of equal texts stays."""
+    wide_rows(spark)
     return without(docs, exact_dedup.exact_duplicates(docs).where("not kept"))
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies stays: shingles of five words, a similarity of 0.8 or more."""
+    wide_rows(spark)
     return without(docs, setsketch_dedup.near_duplicates(docs, words=5, percent=80).where("not kept"))
 
 
 def secret_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document stays, its secrets are replaced by a mark."""
+    wide_rows(spark)
     return secret_scan.redact_secrets(docs)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document's pieces with their sequence and place."""
+    wide_rows(spark)
     return packing.pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
 
 
