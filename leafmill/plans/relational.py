@@ -128,6 +128,19 @@ def range_(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joins.range_join(table(spark, sf_dir, "part"), ranges, "p_retailprice", "lo", "hi", 30.0).select("p_partkey", "lo", "hi")
 
 
+@query(
+    "j_range_whole",
+    """
+    SELECT p_partkey, c_custkey FROM part JOIN (SELECT c_custkey, c_acctbal AS lo, c_acctbal + 1 + c_custkey % 3 AS hi FROM customer) b
+    ON p_retailprice >= b.lo AND p_retailprice < b.hi
+    """,
+)
+def range_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every part and a narrow range of every customer, so that few pairs meet without a subset of ids."""
+    ranges = table(spark, sf_dir, "customer").select("c_custkey", F.col("c_acctbal").alias("lo"), (F.col("c_acctbal") + 1 + F.col("c_custkey") % 3).alias("hi"))
+    return joins.range_join(table(spark, sf_dir, "part"), ranges, "p_retailprice", "lo", "hi", 2.0).select("p_partkey", "c_custkey")
+
+
 @query(
     "j_interval",
     """
@@ -229,6 +242,14 @@ def unpivot(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.unpivot(["l_orderkey", "l_linenumber"], ["l_quantity", "l_tax"], "name", "value")
 
 
+@query(
+    "a_unpivot_whole",
+    "SELECT l_orderkey, l_linenumber, name, value FROM (SELECT l_orderkey, l_linenumber, l_quantity, l_tax FROM lineitem) UNPIVOT (value FOR name IN (l_quantity, l_tax))",
+)
+def unpivot_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "lineitem").unpivot(["l_orderkey", "l_linenumber"], ["l_quantity", "l_tax"], "name", "value")
+
+
 @query("a_distinct_by_group", "SELECT l_returnflag, count(DISTINCT l_partkey) AS n_parts FROM lineitem GROUP BY 1")
 def distinct_by_group(spark: SparkSession, sf_dir: str) -> DataFrame:
     return aggregates.exact_distinct_by_group(table(spark, sf_dir, "lineitem"), ["l_returnflag"], "l_partkey", "n_parts")
@@ -353,6 +374,17 @@ def _set_sides(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     return table(spark, sf_dir, "customer").where("c_custkey <= 120").select(F.col("c_nationkey").alias("k")), table(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("k"))
 
 
+#: Whole tables; by nation and thousands of balance there are values that only one side has.
+_WHOLE_SET = "SELECT c_nationkey AS k, floor(c_acctbal / 1000)::BIGINT AS thousands FROM customer {} SELECT s_nationkey AS k, floor(s_acctbal / 1000)::BIGINT AS thousands FROM supplier"
+
+
+def _whole_set_sides(spark: SparkSession, sf_dir: str) -> list[DataFrame]:
+    return [
+        table(spark, sf_dir, name).select(F.col(f"{x}_nationkey").alias("k"), F.floor(F.col(f"{x}_acctbal") / 1000).cast("long").alias("thousands"))
+        for name, x in (("customer", "c"), ("supplier", "s"))
+    ]
+
+
 for _name, _sql, _method in (
     ("s_union", "UNION", lambda a, b: a.union(b).distinct()),
     ("s_union_all", "UNION ALL", lambda a, b: a.union(b)),
@@ -362,6 +394,7 @@ for _name, _sql, _method in (
     ("s_except_all", "EXCEPT ALL", lambda a, b: a.exceptAll(b)),
 ):
     query(_name, _SET.format(_sql))(lambda spark, sf_dir, _method=_method: _method(*_set_sides(spark, sf_dir)))
+    query(f"{_name}_whole", _WHOLE_SET.format(_sql))(lambda spark, sf_dir, _method=_method: _method(*_whole_set_sides(spark, sf_dir)))
 
 
 @query("s_recursive", "WITH RECURSIVE t(n, f) AS (SELECT 1::BIGINT, 1::BIGINT UNION ALL SELECT n + 1, f * (n + 1) FROM t WHERE n < 15) SELECT n, f FROM t")
