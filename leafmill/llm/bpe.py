@@ -23,7 +23,7 @@ from leafmill.llm.common import batch, id_and_text, slices, strings
 
 #: Texts with other code points are split by the tokenizers library itself, whose Unicode tables may be older or newer.
 UNSURE = regex.compile(r"[^\u0000-\u0557\u2000-\u206f]")
-#: Code points of text whose words are held at once, and words whose encodings a worker keeps.
+#: Code points of text whose words are held at once, and words whose encodings a worker keeps from slice to slice; a slice's own are all held.
 SLICE, KEPT_WORDS = 1 << 21, 250_000
 #: A longer word (in byte-level letters) gets a walk of its own, which keeps no encoding of every prefix.
 LONG = 128
@@ -126,9 +126,6 @@ class WordBPE:
 
     def learn(self, words: set[str]) -> None:
         """Encode distinct words that aren't known yet, walking their trie depth first."""
-        if len(self.ids) + len(words) > KEPT_WORDS:
-            self.ids.clear()
-            self.text.clear()
         vocab, whole, follows, bytes_of, end, longest, names = self.vocab, self.whole, self.follows, self.bytes_of, self.end, self.longest, self.names
         # of the path's depths: last token and encoding
         last: list[str] = [""] * (LONG + 1)
@@ -201,12 +198,14 @@ class WordBPE:
             while upto < len(texts) and (size == 0 or size + len(texts[upto]) <= SLICE):
                 size, upto = size + len(texts[upto]) + 1, upto + 1
             split = [self.words(t) for t in texts[at:upto]]
-            new = set().union(*split).difference(self.ids)
-            if new - self.special.keys():
-                known = len(self.ids)
-                self.learn(new - self.special.keys())
-                if len(self.ids) < known + len(new - self.special.keys()):  # it began anew
-                    self.learn(set().union(*split).difference(self.ids) - self.special.keys())
+            need = set().union(*split) - self.special.keys()
+            new = need.difference(self.ids)
+            if new:
+                if len(self.ids) + len(new) > KEPT_WORDS:  # begin anew, with all words of this slice however many
+                    self.ids.clear()
+                    self.text.clear()
+                    new = need
+                self.learn(new)
             for t, i in self.special.items():
                 self.ids[t], self.text[t] = self.bytes_of[t], self.names[i]
             for words in split:

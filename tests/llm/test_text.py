@@ -165,6 +165,17 @@ def test_bpe_any_text(text):
     assert np.frombuffer(ids, "<u4").tolist() == want and decoded == tokenizer.decode(want, skip_special_tokens=False)
 
 
+def test_bpe_slice_of_more_words_than_are_kept(monkeypatch):
+    """A slice with words that are known and more new ones than the worker keeps."""
+    monkeypatch.setattr(bpe, "KEPT_WORDS", 10)
+    monkeypatch.setattr(bpe, "SLICE", 20)
+    coder, many = bpe.WordBPE(WORD), " ".join(f"word{chr(97 + k)}" for k in range(25))
+    texts = ["worda wordb other", many, "other <|endoftext|> wordc", many + " other", "worda"]
+    for text, (ids, decoded) in zip(texts, coder.encode_all(texts), strict=True):
+        want = _tokenizer().encode(text, add_special_tokens=False).ids
+        assert np.frombuffer(ids, "<u4").tolist() == want and decoded == _tokenizer().decode(want, skip_special_tokens=False)
+
+
 def _tokenizer(found=[]):  # noqa: B006
     if not found:
         found.append(Tokenizer.from_file(WORD))
