@@ -17,12 +17,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from leafmill.llm.common import hashed_sample, materialize, picked, slices, utf8
+from leafmill.llm.common import bounded, materialize, picked, slices, utf8
 
 #: No language: what the background class is called.
 NONE = "und"
 BUCKETS = 1 << 15
-#: Labelled rows that the text model is fitted on, at most; chosen by a hash of their id.
+#: Labelled rows of each label that the text model is fitted on, about; all rows of a label that has no more.
 MAX_TRAINING = 4000
 #: Code points of each training text that count.
 TRAINING_CHARS = 20_000
@@ -77,8 +77,21 @@ class TextModel:
         return out, counts
 
 
+def label_sample(rows: DataFrame, max_rows: int) -> DataFrame:
+    """All rows of a label of at most ``max_rows``, else about so many, chosen by a hash of id and text; equal rows are chosen together.
+
+    The row of a label's least hash is always chosen. Labels are counted over all rows; no text is shuffled
+    while their table is small enough to broadcast.
+    """
+    rows = rows.withColumn("_hash", F.pmod(F.xxhash64("_id", "text"), F.lit(1 << 40)))
+    labels = rows.groupBy("label").agg(F.count("*").alias("_n"), F.min("_hash").alias("_least"))
+    upto = F.greatest(F.col("_least"), F.when(F.col("_n") <= max_rows, F.lit((1 << 40) - 1)).otherwise((F.lit(float(max_rows)) / F.col("_n") * (1 << 40)).cast("long")))
+    labels = materialize(labels.select(F.col("label").alias("_label"), upto.alias("_upto")), "labels")
+    return rows.join(bounded(labels), F.col("label") == F.col("_label")).where(F.col("_hash") <= F.col("_upto"))
+
+
 def fit_text_model(docs: DataFrame, label_col: str = "lang", id_col: str = "doc_id", text_col: str = "text", languages: Sequence[str] | None = None, max_rows: int = MAX_TRAINING) -> TextModel:
-    """Fit on at most ``max_rows`` labelled rows; a row without label or text isn't one.
+    """Fit on about ``max_rows`` labelled rows of each label, and never none; a row without label or text isn't one.
 
     Counts are summed by Spark; what reaches the driver is BUCKETS numbers for each language.
     """
@@ -87,7 +100,7 @@ def fit_text_model(docs: DataFrame, label_col: str = "lang", id_col: str = "doc_
     rows = rows.where(F.col("text").isNotNull() & F.col("label").isNotNull() & (F.col("label") != NONE))
     if languages is not None:
         rows = rows.where(F.col("label").isin(list(languages)))
-    rows = hashed_sample(rows, max_rows, "_id").select("label", "text")
+    rows = label_sample(rows, max_rows).select("label", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}

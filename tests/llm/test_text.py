@@ -349,6 +349,21 @@ def test_language_evidence_and_rejection(spark):
     assert language_id.identify(table.limit(0), model).count() == 0
 
 
+def test_language_of_few_rows_is_a_class(spark):
+    """Two rows of a language among a thousand others, and rows without id or all alike."""
+    rows = [tuple(r) for r in read(spark, SF_DIR).select("doc_id", "text", "lang", "source").collect()]
+    rare = ["žluťoučký kůň úpěl ďábelské ódy, příliš žluťoučký kůň běžel přes šťastné údolí " * 5, "šťastný kůň běžel přes příliš žluťoučké údolí a úpěl ódy jako ďábelský býk v údolí " * 5]
+    rows += [(8001 + i, t, "cs", "src0") for i, t in enumerate(rare)] + [(None, "ολα τα παιδια παιζουν εξω στην αυλη " * 5, "el", "src1")] * 60
+    table = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    model = language_id.fit_text_model(table, max_rows=40)
+    assert model.languages == ("cs", "de", "el", "en", "es", "fr")
+    got = by_id(language_id.identify(table, model))
+    assert all(got[i]["language"] == "cs" and got[i]["accepted"] for i in (8001, 8002))
+    sample = language_id.label_sample(table.select(table.doc_id.alias("_id"), "text", table.lang.alias("label")).where("lang in ('cs', 'en')"), 40)
+    found = {r["label"]: r["count"] for r in sample.groupBy("label").count().collect()}
+    assert found["cs"] == 2 and 10 < found["en"] < 80
+
+
 def test_language_text_scores_by_hand(spark):
     model = language_id.fit_text_model(read(spark, SF_DIR))
     text = "Ätherische Öle und der Wald, the end.".encode()
