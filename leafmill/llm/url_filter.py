@@ -31,15 +31,35 @@ RULES = (
     ("block", "net/fr/"),
 )
 
-#: The labelled table of the registered query: every host with every path, so that paths alone decide nothing.
-BLOCKED_HOSTS = (
-    "spam-farm", "spam-blog", "cheap-pills", "pills-online", "casino-win", "casino-bonus", "free-bets", "bets-tips", "adult-x", "adult-cams", "ads-track",
-    "ads-click", "click-track", "link-farm", "free-crack", "warez-keygen", "win-lottery", "get-rich", "replica-sale", "payday-loans", "phish-login", "free-spins",
-)
+#: The labelled table of the registered query, written by hand from common English words. No host of it is one of the pages tables,
+#: but single words are (spam, pills, cheap, casino, win, bets, ads and adult). Each tail stands with words of both labels, and each
+#: host with every path, so that neither decides.
+BLOCKED_WORDS = """
+    spam spammer pills pharma meds cialis casino slots roulette blackjack jackpot gambling bookmaker betting bets wager lottery lotto sweepstake
+    adult porn xxx sex nude camgirl escort hookup hentai erotic fetish milf ads adserver adclick popup banner-ads click tracker tracking pixel
+    crack cracked keygen serial warez nulled pirate pirated torrents leech phish phishing verify-account login-alert secure-signin password-reset bank-alert
+    wallet-unlock malicious trojan ransom spyware exploit botnet stealer hacked replica fake counterfeit knockoff loan loans payday cash-advance quick-cash
+    get-rich easy-money earn-fast make-money crypto-doubler forex-signals pyramid giveaway free-iphone free-gift prize winner win-big spins bonus
+    weight-loss diet-pills slimming steroid backlinks link-farm seo-links doorway followers-buy cheap cheapest rx no-prescription
+""".split()
+ALLOWED_WORDS = """
+    news weather library museum docs wiki forum science garden city travel health music school books archive times data coast north south river
+    mountain village history theatre cinema gallery painting poetry novel writer author journal magazine radio press gazette herald tribune chronicle
+    kitchen recipes baking bread coffee tea farm farmer orchard flowers forest nature birds fishing hiking camping cycling running football tennis hockey
+    chess sailing railway station airport bridge transport bicycle motor engine repair tools timber stone brick building architect design studio
+    pottery knitting fashion shoes jewel antique furniture house home family children parent nursery teacher student college university institute research
+    physics chemistry biology geology astronomy mathematics statistics software python linux database network computer hardware electronics robotics
+    hospital clinic doctor dentist nurse pharmacy medicine therapy wellness fitness yoga church temple charity volunteer council government parliament
+    justice law court police fire energy solar water climate ocean harbour island beach valley bakery brewery winery restaurant hotel hostel
+    market bank insurance finance economy business trade export craft photo camera video film animation language grammar dictionary translation
+""".split()
+TAILS = ("shop", "online", "world", "hub", "room", "blog", "tips", "zone", "best", "info", "direct", "center")
+#: Bad and clean hosts that share words: what is said about a thing is not the thing.
+BLOCKED_HOSTS = ("free-casino", "music-warez", "school-porn", "bank-phish", "news-adclick", "weather-spam", "movie-torrents", "pharmacy-rx", "win-prize", "city-escort", "software-crack", "book-loans-payday")
 ALLOWED_HOSTS = (
-    "news", "weather", "library", "museum", "docs", "wiki", "forum", "science", "garden", "city", "travel", "health", "music", "school", "books", "archive",
-    "the-times", "open-data", "north-coast", "thenth", "anthre", "therth", "tionth", "hether", "thanand", "ondre", "eatha", "nderth", "ingthe", "relyes", "thouti", "stonth",
-    "erinth", "thblean", "hanthe", "tionble",
+    "anti-spam-research", "casino-history-museum", "adult-education", "adult-learning", "track-and-field", "race-track", "click-chemistry", "win-win-design", "free-software", "free-library",
+    "student-loan-advice", "interlibrary-loans", "sex-education", "gambling-help", "betting-law", "lottery-fund", "pirate-history", "password-manager-docs", "malware-research", "torrent-river-walks",
+    "cheap-flights", "cheap-eats", "login-docs", "bonus-track-radio", "crack-climbing", "serial-novel", "escort-ship-history", "pills-and-pharmacy-law", "free-press", "farm-shop",
 )
 PATHS = ("/", "/en/1", "/de/27.html", "/es/305/", "/fr/4411", "/en/2087.html")
 SUBDOMAINS, DOMAINS = ("", "www.", "m.", "blog."), ("example.com", "example.net", "example.org")
@@ -124,12 +144,17 @@ def judge_urls(
     )
 
 
+def labelled_hosts(words: Iterable[str], hosts: Iterable[str]) -> list[str]:
+    n = len(TAILS)
+    return [*hosts, *(host for i, w in enumerate(words) for host in (w, f"{w}-{TAILS[i % n]}", f"{TAILS[(i + 5) % n]}-{w}"))]
+
+
 def labelled_urls(spark: SparkSession) -> DataFrame:
-    """(block, url): each host once under each path, subdomain and domain taking turns."""
+    """(block, url): each host once under each path, subdomain and domain taking turns; a word alone and with two tails."""
     rows = [
         (block, f"https://{SUBDOMAINS[(i + k) % len(SUBDOMAINS)]}{host}.{DOMAINS[(i + k // 2) % len(DOMAINS)]}{path}")
-        for block, hosts in ((1, BLOCKED_HOSTS), (0, ALLOWED_HOSTS))
-        for i, host in enumerate(hosts)
+        for block, words, hosts in ((1, BLOCKED_WORDS, BLOCKED_HOSTS), (0, ALLOWED_WORDS, ALLOWED_HOSTS))
+        for i, host in enumerate(labelled_hosts(words, hosts))
         for k, path in enumerate(PATHS)
     ]
     return spark.createDataFrame(rows, "block int, url string")
