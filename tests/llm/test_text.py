@@ -154,6 +154,19 @@ def test_bpe_odd_texts(spark):
     assert bpe.encode_documents(table.limit(0), WORD).count() == 0
     full = bpe.encode_documents(table, WORD, with_ids=True)
     assert {i: r["decoded"] for i, r in by_id(bpe.decode_ids(full, WORD)).items()} == {i: r["decoded"] for i, r in by_id(full).items()}
+    odd = spark.createDataFrame([(1, [10**6, 49406, None, -1]), (2, None), (3, [])], "doc_id long, ids array<int>")
+    assert {i: r["decoded"] for i, r in by_id(bpe.decode_ids(odd, WORD)).items()} == {1: "<|startoftext|>", 2: "", 3: ""}
+
+
+def test_bpe_long_words_and_forgotten_pairs(monkeypatch):
+    """Words longer than the walk keeps a path for, and a worker that forgets which tokens may stand together."""
+    monkeypatch.setattr(bpe, "LONG", 12)
+    monkeypatch.setattr(bpe, "KEPT_PAIRS", 50)
+    coder, rng = bpe.WordBPE(WORD), random.Random(8)
+    texts = ["".join(rng.choices("abcdehinorst é1'", k=rng.randrange(1, 300))) for _ in range(60)] + ["ha" * 50_000, "é" * 40_000 + " x"]
+    for text, (ids, decoded) in zip(texts, coder.encode_all(texts), strict=True):
+        want = _tokenizer().encode(text, add_special_tokens=False).ids
+        assert np.frombuffer(ids, "<u4").tolist() == want and decoded == _tokenizer().decode(want, skip_special_tokens=False)
 
 
 @settings(max_examples=300, deadline=None)
