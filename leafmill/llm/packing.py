@@ -1,8 +1,8 @@
 """Vector best-fit packing of tokenized documents into training sequences.
 
 Every piece is a vector (tokens, documents, attention cost); a sequence has a capacity in each dimension.
-Pieces are dealt by a hash of their id into blocks of a fixed expected size and each block is packed on its
-own, largest first: of the open sequences with room in every dimension the one with the best score takes
+Pieces are numbered where they arise and dealt by a hash of that number into blocks of a fixed expected size,
+equal ones as well as others, and each block is packed on its own, largest first: of the open sequences with room in every dimension the one with the best score takes
 the piece, by the weighted dot product of piece and residual or by the least norm of what would remain.
 A block leaves a handful of sequences part full, whatever the size of the corpus.
 """
@@ -13,15 +13,15 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from leafmill.llm.common import batch, id_and_text, slices, strings
+from leafmill.llm.common import batch, id_and_text, materialize, slices, strings
 
-BLOCK_DOCS = 8192
-#: Texts are encoded in parts of about so many characters, to bound what one call holds.
+#: Pieces of a block, about.
+BLOCK_PIECES = 8192
 PIECES = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())])
 
 
@@ -84,23 +84,24 @@ def cuts(n: int, capacity: int) -> list[tuple[int, int]]:
 def document_pieces(
     docs: DataFrame, tokenizer_file: str, ranks_file: str | None = None, end_id: int = 0, capacity: int = 2048, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False
 ) -> DataFrame:
-    """Tokenize and cut: one row per piece (doc_id, piece, start, length, ids_crc32[, ids])."""
-    schema = pa.schema([*PIECES, pa.field("ids", pa.list_(pa.int32()))]) if with_ids else PIECES
+    """Tokenize and cut: one row per piece (doc_id, piece, start, length, ids_crc32[, ids], row_no), numbered by ``row_no``."""
+    schema = pa.schema([*PIECES, *([pa.field("ids", pa.list_(pa.int32()))] if with_ids else []), ("row_no", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(tokenizer_file, ranks_file)
+        encode, row_no = encoder(tokenizer_file, ranks_file), TaskContext.get().partitionId() << 40
         for b in slices(batches):
             out: list[list] = [[] for _ in schema]
             for doc_id, text in zip(b.column("doc_id").to_pylist(), strings(b.column("text")), strict=True):
                 ids = np.append(encode(text), np.uint32(end_id)).astype("<u4")
                 for k, (start, length) in enumerate(cuts(len(ids), capacity)):
                     own = ids[start : start + length]
-                    row = [doc_id, k, start, length, zlib.crc32(own.tobytes())]
-                    for column, value in zip(out, [*row, own.astype(np.int32)] if with_ids else row, strict=True):
+                    row = [doc_id, k, start, length, zlib.crc32(own.tobytes()), *([own.astype(np.int32)] if with_ids else []), row_no]
+                    for column, value in zip(out, row, strict=True):
                         column.append(value)
+                    row_no += 1
             yield batch(schema, out)
 
-    return id_and_text(docs, id_col, text_col).mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * with_ids)
+    return id_and_text(docs, id_col, text_col).mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * with_ids + ", row_no long")
 
 
 def best_fit(lengths: np.ndarray, capacity: np.ndarray, weights: np.ndarray, rule: str = "dot") -> tuple[np.ndarray, np.ndarray]:
@@ -152,40 +153,42 @@ def pack_pieces(
     capacity: int = 2048,
     max_documents: int | None = None,
     max_attention: float | None = None,
-    weights: tuple[float, float, float] = (1.0, 1e-6, 1e-6),
+    weights: tuple[float, float, float] = (1.0, 0.5, 0.5),
     rule: str = "norm",
 ) -> DataFrame:
-    """pieces with sequence_id and offset; every other column is carried along.
+    """pieces with sequence_id and offset; every other column but ``row_no`` is carried along as it is.
 
     No sequence has over ``capacity`` tokens, ``max_documents`` pieces or ``max_attention`` as its sum of
-    squared lengths.  The defaults of the last two can't bind before the first.  A piece that alone is over a
-    capacity raises.  One shuffle, of the pieces' rows; a block of one task holds about ``BLOCK_DOCS`` of them.
+    squared lengths; without the last two they are those of a sequence of single tokens and of one piece.  All three
+    residuals weigh in the choice.  A piece that alone is over a capacity raises.  One shuffle, of the pieces' rows;
+    ``row_no`` deals and orders them.
     """
     caps = np.array([capacity, max_documents or capacity, max_attention or float(capacity) ** 2], float)
     weight = np.array(weights, float)
 
-    def pack(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["doc_id", "piece", "ids_crc32"], kind="stable", ignore_index=True)
-        lengths = pdf["length"].to_numpy(np.int64)
+    def pack(block: pa.Table) -> pa.Table:
+        lengths = block.column("length").to_numpy().astype(np.int64)
         if ((lengths > caps[0]) | (lengths.astype(float) ** 2 > caps[2])).any():
             raise ValueError("a piece is longer than a sequence may be")
-        bins, offsets = best_fit(lengths, caps, weight, rule)
-        return pdf.assign(sequence_id=pdf["_block"].to_numpy(np.int64) * (1 << 32) + bins, offset=offsets)
+        block = block.take(np.argsort(block.column("row_no").to_numpy()))
+        bins, offsets = best_fit(block.column("length").to_numpy().astype(np.int64), caps, weight, rule)
+        first = block.column("_block")[0].as_py() << 32
+        return block.drop_columns(["_block", "row_no"]).append_column("sequence_id", pa.array(bins + first)).append_column("offset", pa.array(offsets))
 
-    block = F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(blocks))
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema)
-    packed = pieces.withColumn("_block", block).groupBy("_block").applyInPandas(pack, f"{fields}, _block long, sequence_id long, offset long")
-    return packed.drop("_block")
+    block = F.pmod(F.xxhash64("row_no"), F.lit(blocks).cast("long"))
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema if f.name != "row_no")
+    return pieces.withColumn("_block", block).groupBy("_block").applyInArrow(pack, f"{fields}, sequence_id long, offset long")
 
 
-def pack_documents(docs: DataFrame, tokenizer_file: str, ranks_file: str | None = None, end_id: int = 0, capacity: int = 2048, block_docs: int = BLOCK_DOCS, with_ids: bool = False, id_col: str = "doc_id", text_col: str = "text", **limits) -> DataFrame:
+def pack_documents(docs: DataFrame, tokenizer_file: str, ranks_file: str | None = None, end_id: int = 0, capacity: int = 2048, block_pieces: int = BLOCK_PIECES, with_ids: bool = False, id_col: str = "doc_id", text_col: str = "text", **limits) -> DataFrame:
     """One row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset[, ids].
 
-    Null texts count as empty and give one piece of the end id alone.  Equal or repeated documents are
-    packed each for itself.  An empty table gives no rows.
+    Null texts count as empty and give one piece of the end id alone.  Equal or repeated documents, and rows without
+    id, are packed each for itself.  An empty table gives no rows.  The pieces are written once, so that blocks can be
+    counted by them: a very long document makes as many blocks as its pieces fill.
     """
-    pieces = document_pieces(docs, tokenizer_file, ranks_file, end_id, capacity, id_col, text_col, with_ids)
-    blocks = max(1, -(-docs.count() // block_docs))
+    pieces = materialize(document_pieces(docs, tokenizer_file, ranks_file, end_id, capacity, id_col, text_col, with_ids), "pieces")
+    blocks = max(1, -(-pieces.count() // block_pieces))
     return pack_pieces(pieces, blocks, capacity, **limits)
 
 

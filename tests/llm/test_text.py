@@ -107,6 +107,50 @@ def test_packing_odd_texts(spark):
     assert packing.pack_documents(docs(spark, [(1, "a"), (1, "a"), (None, None)]), BYTE, RANKS).count() == 3
 
 
+def test_packing_keeps_ids_and_spreads_equal_rows(spark):
+    """Ids beyond a double's digits beside a null one; equal rows, with and without id, are dealt over all blocks."""
+    big = (1 << 60) + 1
+    rows = packing.pack_documents(docs(spark, [(big, "a"), (None, "b"), (-(1 << 63), "c"), ((1 << 63) - 1, None)]), BYTE, RANKS).collect()
+    assert sorted(r["doc_id"] or 0 for r in rows) == [-(1 << 63), 0, big, (1 << 63) - 1]
+    equal = spark.range(400).selectExpr("if(id % 2 = 0, null, 7L) AS doc_id", "cast(null as string) AS text")
+    rows = packing.pack_documents(equal, BYTE, RANKS, block_pieces=50).collect()
+    per_block = np.unique([r["sequence_id"] >> 32 for r in rows], return_counts=True)[1]
+    assert len(rows) == 400 and len(per_block) == 8 and per_block.max() < 100
+
+
+def plain_best_fit(lengths, caps, weights, rule):
+    """The same choice without any arrays: every open bin is scored."""
+    bins, out = [], {}
+    for i in sorted(range(len(lengths)), key=lambda i: (-lengths[i], i)):
+        item = (lengths[i], 1, lengths[i] ** 2)
+        scored = []
+        for b, room in enumerate(bins):
+            if all(r >= x for r, x in zip(room, item, strict=True)):
+                if rule == "norm":
+                    scored.append((sum(w * ((r - x) / c) ** 2 for w, r, x, c in zip(weights, room, item, caps, strict=True)), b))
+                else:
+                    scored.append((-sum(w * x / c * r / c for w, r, x, c in zip(weights, room, item, caps, strict=True)), b))
+        if not scored:
+            bins.append(list(caps))
+            scored = [(0, len(bins) - 1)]
+        out[i] = min(scored)[1]
+        bins[out[i]] = [r - x for r, x in zip(bins[out[i]], item, strict=True)]
+    return [out[i] for i in range(len(lengths))]
+
+
+@pytest.mark.parametrize("rule", ["norm", "dot"])
+def test_packing_choice_matches_brute_force(rule):
+    """Bound documents and attention change where pieces go, and so do their weights."""
+    rng = np.random.default_rng(4)
+    lengths = rng.integers(20, 400, 150)
+    found = []
+    for caps, weights in (((1000, 1000, 1e6), (1, 0.5, 0.5)), ((1000, 5, 250_000), (1, 0.5, 0.5)), ((1000, 5, 250_000), (0.02, 1, 0.02))):
+        bins, _ = packing.best_fit(lengths, np.array(caps, float), np.array(weights, float), rule)
+        assert bins.tolist() == plain_best_fit(lengths.tolist(), caps, weights, rule)
+        found.append(bins.tolist())
+    assert all(a != b for i, a in enumerate(found) for b in found[:i])
+
+
 @pytest.mark.parametrize("rule", ["norm", "dot"])
 def test_packing_keeps_every_capacity(rule):
     rng = np.random.default_rng(1)
