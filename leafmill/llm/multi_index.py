@@ -10,6 +10,8 @@ meet is verified in double precision.
 
 Cells are dealt in regions of about ``BLOCK`` vectors; hot ones are split, so a task holds one block and
 streams its visitors.  Links are counted and joined to trees inside tasks; pairs never become rows.
+
+Vectors of each length have an index of their own, and their length is part of every key, so one pass serves them all.
 """
 
 from __future__ import annotations
@@ -24,12 +26,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from leafmill.llm.common import hashed_sample, materialize, picked
+from leafmill.llm.common import materialize, picked, release
 from leafmill.llm.components import connected_components
 from leafmill.llm.forest import Forest
 
-#: Vectors that the codebooks are fitted on, at most (chosen by a hash of their id), and Lloyd's rounds.
-SAMPLE, ROUNDS = 16_384, 8
+#: Vectors that the codebooks are fitted on, about (chosen by a hash), shared out to the lengths by their numbers but at
+#: least ``LEAST`` for each, and Lloyd's rounds.
+SAMPLE, LEAST, ROUNDS = 16_384, 64, 8
 #: Vectors of a region's block, and visitors compared with it at once.
 BLOCK, VISITORS = 4096, 512
 #: Share of pairs at the threshold that the traversal is to reach.
@@ -108,7 +111,8 @@ def fit(sample: np.ndarray, n: int, cosine: float, recall: float = TARGET_RECALL
     """Codebooks for n vectors: about four times the fourth root of n codewords each, so cells grow slowly.
 
     The end of the traversal is the quantile ``recall`` of the slack sums at which vectors turned by exactly the
-    threshold's angle in a random direction are found; it is never beyond the bound that can't miss.
+    threshold's angle are found, in random directions or in those of the sample's own differences, whichever takes
+    more; it is never beyond the bound that can't miss.
     """
     rng = np.random.default_rng(seed)
     unit = unit_rows(sample.astype(float))
@@ -117,14 +121,19 @@ def fit(sample: np.ndarray, n: int, cosine: float, recall: float = TARGET_RECALL
     first, second = codebook(unit[:, :half], k, rng), codebook(unit[:, half:], k, rng)
     index = MultiIndex(first, second, 0.0, max(1, min(k, round(BLOCK * k * k / max(n, 1)))))
     some = unit[rng.choice(len(unit), 4096)]
-    aside = rng.normal(size=some.shape)
-    aside -= (aside * some).sum(1, keepdims=True) * some
-    turned = cosine * some + np.sqrt(1 - cosine**2) * unit_rows(aside)
-    a, b = index.slacks(some)
-    own = [np.argmin(s, 1) for s in index.slacks(turned)]
-    rows = np.arange(len(some))
-    found = a[rows, own[0]] + b[rows, own[1]]
-    return MultiIndex(first, second, float(min(np.quantile(found, recall), 2 - 2 * cosine)), index.together)
+    limit = 0.0
+    # in any direction, and in directions in which the vectors themselves differ
+    for aside in (rng.normal(size=some.shape), unit[rng.choice(len(unit), 4096)] - unit[rng.choice(len(unit), 4096)]):
+        aside = aside - (aside * some).sum(1, keepdims=True) * some
+        length = np.linalg.norm(aside, axis=1)
+        near, aside = some[length > 1e-9], aside[length > 1e-9]
+        if len(near):
+            turned = cosine * near + np.sqrt(1 - cosine**2) * unit_rows(aside)
+            a, b = index.slacks(near)
+            own = [np.argmin(x, 1) for x in index.slacks(turned)]
+            rows = np.arange(len(near))
+            limit = max(limit, float(np.quantile(a[rows, own[0]] + b[rows, own[1]], recall)))
+    return MultiIndex(first, second, min(limit, 2 - 2 * cosine), index.together)
 
 
 def vectors(table: DataFrame, id_col: str, vector_col: str) -> DataFrame:
@@ -142,9 +151,10 @@ def vectors(table: DataFrame, id_col: str, vector_col: str) -> DataFrame:
                 if good and np.isfinite(x).all() and x.any():
                     scale = np.abs(x).max()
                     x = x if 1e-100 < scale < 1e100 else x / scale  # so that squares neither vanish nor overflow
+                    dims.append(len(x))
+                    x = x if len(x) > 1 else np.append(x, 0.0)  # the halves have a number each; the cosine stays
                     single = x.astype(np.float32)
                     data = (single if (single == x).all() else x).tobytes()
-                    dims.append(len(x))
                     keys.append(xxhash.xxh3_128_digest(data))
                     values.append(data)
                 else:
@@ -158,27 +168,30 @@ def vectors(table: DataFrame, id_col: str, vector_col: str) -> DataFrame:
 
 
 def unpacked(values: list[bytes], dims: int) -> np.ndarray:
-    """float64 rows of vectors' bytes."""
+    """float64 rows of vectors' bytes; those of one number have a nought beside it."""
+    dims = max(dims, 2)
     if all(len(v) == 4 * dims for v in values):
         return np.frombuffer(b"".join(values), np.float32).reshape(-1, dims).astype(float)
     return np.array([np.frombuffer(v, np.float32 if len(v) == 4 * dims else float) for v in values], float).reshape(-1, dims)
 
 
-def placed(nodes: DataFrame, index: MultiIndex, dims: int) -> DataFrame:
+def placed(nodes: DataFrame, indexes: dict[int, MultiIndex]) -> DataFrame:
     """nodes with their cell, its region, and by region the cells they visit."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            cells = []
-            if b.num_rows:
-                x = unpacked(b.column("vector").to_pylist(), dims)
+            lengths = b.column("dims").to_numpy()
+            for dims in np.unique(lengths).tolist():
+                part, index = b.take(pa.array(np.flatnonzero(lengths == dims))), indexes[dims]
+                x = unpacked(part.column("vector").to_pylist(), dims)
                 cells = [index.visits(p, q) for p, q in zip(*index.slacks(unit_rows(x)), strict=True)]
-            arrays = [*(b.column(c) for c in ("node", "weight", "vector")), pa.array([c[0] for c in cells], pa.int32()), pa.array([index.region(c[0]) for c in cells], pa.int32())]
-            visits = [[{"region": k, "cells": v} for k, v in index.ahead(c).items()] for c in cells]
-            arrays.append(pa.array(visits, pa.list_(pa.struct([("region", pa.int32()), ("cells", pa.list_(pa.int32()))]))))
-            yield pa.RecordBatch.from_arrays(arrays, ["node", "weight", "vector", "cell", "region", "visits"])
+                arrays = [*(part.column(c) for c in ("dims", "node", "weight", "vector")), pa.array([c[0] for c in cells], pa.int32()), pa.array([index.region(c[0]) for c in cells], pa.int32())]
+                visits = [[{"region": k, "cells": v} for k, v in index.ahead(c).items()] for c in cells]
+                arrays.append(pa.array(visits, pa.list_(pa.struct([("region", pa.int32()), ("cells", pa.list_(pa.int32()))]))))
+                yield pa.RecordBatch.from_arrays(arrays, ["dims", "node", "weight", "vector", "cell", "region", "visits"])
 
-    return nodes.mapInArrow(run, "node long, weight long, vector binary, cell int, region int, visits array<struct<region:int,cells:array<int>>>")
+    rows = nodes.select("dims", "node", "weight", "vector")
+    return rows.mapInArrow(run, "dims int, node long, weight long, vector binary, cell int, region int, visits array<struct<region:int,cells:array<int>>>")
 
 
 class _Block:
@@ -237,17 +250,16 @@ class _Block:
         return self.counts
 
 
-def link_counts(cells: DataFrame, dims: int, cosine: float) -> DataFrame:
-    """(u, v, n): links counted for u where v is null, else a link between u and v."""
-    regions = materialize(cells.groupBy("region").agg(F.ceil(F.count("*") / BLOCK).alias("_blocks")), "regions")
+def link_counts(cells: DataFrame, regions: DataFrame, cosine: float) -> DataFrame:
+    """(u, v, n): links counted for u where v is null, else a link between u and v.  regions: their numbers of blocks."""
     body = ["node", "weight", "vector", "cell"]
     none = F.lit(None).cast("array<int>").alias("visits")
-    members = cells.join(regions, "region").select("region", F.pmod(F.xxhash64("node"), "_blocks").alias("block"), F.lit(0).alias("side"), *body, none)
-    visitors = cells.select(*body, F.explode("visits").alias("v")).select(*body, F.col("v.region").alias("region"), F.col("v.cells").alias("visits")).join(regions, "region")
-    visitors = visitors.select("region", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_blocks") - 1)).alias("block"), F.lit(1).alias("side"), *body, "visits")
+    members = cells.join(regions, ["dims", "region"]).select("dims", "region", F.pmod(F.xxhash64("node"), "_blocks").alias("block"), F.lit(0).alias("side"), *body, none)
+    visitors = cells.select("dims", *body, F.explode("visits").alias("v")).select("dims", *body, F.col("v.region").alias("region"), F.col("v.cells").alias("visits"))
+    visitors = visitors.join(regions, ["dims", "region"]).select("dims", "region", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_blocks") - 1)).alias("block"), F.lit(1).alias("side"), *body, "visits")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, block, held = None, _Block(dims, cosine), []
+        key, block, held = None, _Block(0, cosine), []
 
         def result() -> pa.RecordBatch:
             block.meet(held)
@@ -259,12 +271,12 @@ def link_counts(cells: DataFrame, dims: int, cosine: float) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (u, v, n)], ["u", "v", "n"])
 
         for b in batches:
-            keys = zip(b.column("region").to_pylist(), b.column("block").to_pylist(), strict=True)
+            keys = zip(b.column("dims").to_pylist(), b.column("region").to_pylist(), b.column("block").to_pylist(), strict=True)
             rows = zip(*(b.column(c).to_pylist() for c in ("node", "weight", "vector", "cell", "visits")), strict=True)
             for k, side, row in zip(keys, b.column("side").to_pylist(), rows, strict=True):
                 if k != key:
                     yield result()
-                    key, block = k, _Block(dims, cosine)
+                    key, block = k, _Block(k[0], cosine)
                 if side == 0:
                     block.rows.append(row)
                 else:
@@ -274,34 +286,59 @@ def link_counts(cells: DataFrame, dims: int, cosine: float) -> DataFrame:
                         held.clear()
         yield result()
 
-    dealt = members.unionByName(visitors).repartition("region", "block").sortWithinPartitions("region", "block", "side")
+    dealt = members.unionByName(visitors).repartition("dims", "region", "block").sortWithinPartitions("dims", "region", "block", "side")
     return dealt.mapInArrow(run, "u long, v long, n long")
 
 
+def sampled(classes: DataFrame, sizes: dict[int, int]) -> dict[int, list[bytes]]:
+    """By length the vectors that codebooks are fitted on, chosen by a hash of their key."""
+    everything, spark = sum(sizes.values()), classes.sparkSession
+    upto = [(dims, float(min(1.0, max(SAMPLE * n / everything, LEAST) / n))) for dims, n in sizes.items()]
+    shares = F.broadcast(spark.createDataFrame(upto, "dims int, _share double"))
+    chosen = classes.join(shares, "dims").where(F.pmod(F.xxhash64("key"), F.lit(1 << 40)) <= F.col("_share") * (1 << 40)).select("dims", "vector")
+    out: dict[int, list[bytes]] = {}
+    for r in chosen.toLocalIterator():
+        out.setdefault(r["dims"], []).append(bytes(r["vector"]))
+    return out
+
+
 def near_vectors(table: DataFrame, cosine: float = 0.95, recall: float = TARGET_RECALL, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """One row per vector: vec_id, n_links, component_id, kept.
 
-    Vectors that are null, empty or nought, hold nulls or non-finite numbers, or have another length than
-    most, link with nothing.  Equal vectors count as one node of their number and link with each other.
-    An empty table gives none.
+    Vectors that are null, empty or nought, or hold nulls or non-finite numbers, link with nothing; vectors of
+    different lengths don't link with each other.  Equal vectors count as one node of their number and link with each
+    other; rows repeated under one vec_id are rows of their own, and so are rows without one, whose component may have no
+    smallest vec_id: it is null then, and they are kept.  A vec_id shouldn't stand for different vectors: what
+    one is linked with, the other is too.  An empty table gives none.
     """
     rows = materialize(vectors(table, id_col, vector_col), "vectors")
-    common = rows.where("dims > 1").groupBy("dims").count().orderBy(F.desc("count"), "dims").first()
     alone = F.col("vec_id")
-    if common is None:
+    good = rows.where("dims > 0")
+    classes = good.groupBy("dims", "key").agg(F.min("vec_id").alias("least"), F.count("*").alias("weight"), F.first("vector").alias("vector"))
+    # vectors of no id at all have to be called something
+    classes = materialize(classes.withColumn("node", F.coalesce("least", F.xxhash64("dims", "key"))), "nodes")
+    # a row for each length there is
+    sizes = {r["dims"]: r["count"] for r in classes.groupBy("dims").count().collect()}
+    if not sizes:
         return rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), alone.alias("component_id"), F.lit(True).alias("kept"))
-    dims = common["dims"]
-    good = rows.where(F.col("dims") == dims)
-    classes = materialize(good.groupBy("key").agg(F.min("vec_id").alias("node"), F.count("*").alias("weight"), F.first("vector").alias("vector")), "nodes")
-    n = classes.count()
-    sample = hashed_sample(classes, SAMPLE, "node").select("vector").toPandas()["vector"]
-    index = fit(unpacked([bytes(v) for v in sample], dims), n, cosine, recall)
-    found = materialize(link_counts(materialize(placed(classes.drop("key"), index, dims), "cells"), dims, cosine), "found")
+    samples = sampled(classes, sizes)
+    # the least hash of a short list may lie above its share
+    for dims in sizes.keys() - samples.keys():
+        samples[dims] = [bytes(classes.where(F.col("dims") == dims).first()["vector"])]
+    indexes = {dims: fit(unpacked(samples[dims], dims), n, cosine, recall) for dims, n in sizes.items()}
+    cells = materialize(placed(classes, indexes), "cells")
+    regions = materialize(cells.groupBy("dims", "region").agg(F.ceil(F.count("*") / BLOCK).alias("_blocks")), "regions")
+    found = materialize(link_counts(cells, regions, cosine), "found")
+    release(cells, regions)
     counts = found.where("v is null").groupBy(F.col("u").alias("node")).agg(F.sum("n").alias("_n"))
     components = connected_components(found.where("v is not null").select("u", "v")).withColumnsRenamed({"id": "node", "component_id": "_component"})
     nodes = classes.drop("vector").join(counts, "node", "left").join(components, "node", "left")
-    nodes = nodes.select("key", (F.coalesce("_n", F.lit(0)) + F.col("weight") - 1).alias("_links"), F.coalesce("_component", "node").alias("_component"))
+    nodes = nodes.select("dims", "key", "least", (F.coalesce("_n", F.lit(0)) + F.col("weight") - 1).alias("_links"), F.coalesce("_component", "node").alias("_root"))
     nodes = materialize(nodes, "node-links")
+    # written before it is joined, so that Spark can split a large component
+    least = materialize(nodes.groupBy("_root").agg(F.min("least").alias("_component")), "components")
+    nodes = nodes.drop("least").join(least, "_root")
+    release(classes, found)
     component = F.coalesce("_component", alone)
-    out = rows.withColumn("key", F.when(F.col("dims") == dims, F.col("key"))).join(nodes, "key", "left")
+    out = rows.join(nodes, ["dims", "key"], "left")
     return out.select("vec_id", F.coalesce("_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), alone.eqNullSafe(component).alias("kept"))

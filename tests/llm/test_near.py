@@ -78,6 +78,50 @@ def test_setsketch_on_the_documents(spark):
     assert results(queries.op2_setsketch(spark, SF_DIR)) == brute(texts)
 
 
+def thue_morse(n):
+    word = "a"
+    while len(word) < n:
+        word += word.translate(str.maketrans("ab", "ba"))
+    return word
+
+
+def test_words_of_polynomials_alike_are_told_apart(spark):
+    """Such words have equal polynomials modulo a power of two, whatever the base."""
+    one = thue_morse(1024)
+    other = one.translate(str.maketrans("ab", "ba"))
+    hashes, _ = setsketch_dedup.word_hashes([one.encode(), other.encode()])
+    assert hashes[0] != hashes[1]
+    got = results(setsketch_dedup.near_duplicates(docs(spark, [one, other, one])))
+    assert got == brute({1: one, 2: other, 3: one})
+
+
+def test_signatures_keep_linked_pairs_together():
+    """Pairs at the threshold differ in fewer bits than a hub's two bounds lie apart."""
+    rng, apart = np.random.default_rng(9), []
+    for _ in range(1500):
+        values = rng.integers(0, 1 << 63, 270).astype(np.uint64)
+        a, b = (setsketch_dedup.signature(setsketch_dedup.registers(np.unique(v))) for v in (values[:243], values[27:]))
+        apart.append(sum(int(x ^ y).bit_count() if x ^ y >= 0 else int((x ^ y) & (1 << 64) - 1).bit_count() for x, y in zip(a, b, strict=True)))
+    assert abs(np.mean(apart) - 12.8) < 0.5 and np.mean(np.array(apart) > setsketch_dedup.WIDE - setsketch_dedup.TIGHT) <= 0.001
+
+
+def test_setsketch_links_in_buckets_of_several_hubs(spark):
+    """Texts of one short common core and long parts of their own meet in the same buckets under different hubs."""
+    rng = random.Random(12)
+    vocabulary, texts = [f"v{k}" for k in range(3000)], []
+    for _ in range(25):
+        core = rng.choices(vocabulary, k=150)
+        for _ in range(4):
+            base = core + rng.choices(vocabulary, k=100)
+            for _ in range(6):
+                w = list(base)
+                for at in rng.sample(range(len(w)), rng.randrange(0, 18)):
+                    w[at] = rng.choice(vocabulary)
+                texts.append(" ".join(w))
+    rng.shuffle(texts)
+    assert results(setsketch_dedup.near_duplicates(docs(spark, texts))) == brute(dict(enumerate(texts, 1)))
+
+
 def test_setsketch_hot_groups_and_empty_tables(spark, monkeypatch):
     monkeypatch.setattr(setsketch_dedup, "GROUP_BLOCK", 20)
     monkeypatch.setattr(setsketch_dedup, "LEFT_BLOCK", 7)
@@ -170,6 +214,37 @@ def test_multi_index_odd_vectors(spark):
     assert vector_results(multi_index.near_vectors(table.where("vec_id in (3, 4)"))) == {3: (0, 3, True), 4: (0, 4, True)}
 
 
+def test_multi_index_vectors_of_several_lengths(spark):
+    """Every length is compared, that of one number by its sign; a length of few vectors as well as others."""
+    rng = np.random.default_rng(6)
+    rows = [[1.0], [2.0], [-3.0], [-0.5], [1.0, 0.0], [2.0, 0.0], [0.0, 1.0], [1.0, 0.0, 0.0], [1.0, 0.1, 0.0]]
+    rows += [[float(x) for x in v] for base in rng.normal(size=(12, 5)) for v in (base, base * 3, base + rng.normal(size=5) * 0.05)]
+    rows += [[float(x) for x in v] for base in rng.normal(size=(40, 3)) for v in (base, base + rng.normal(size=3) * 0.1)]
+    vectors = dict(enumerate(rows, 1))
+    table = spark.createDataFrame(list(vectors.items()), "vec_id long, embedding array<double>")
+    assert vector_results(multi_index.near_vectors(table)) == vector_brute(vectors)
+
+
+def test_multi_index_repeated_rows_and_ids(spark):
+    table = spark.createDataFrame([(4, [1.0, 1.0]), (4, [1.0, 1.0]), (9, [2.0, 2.0]), (None, [1.0, 1.0]), (None, [0.0, -1.0])], "vec_id long, embedding array<double>")
+    rows = sorted((r["vec_id"] or 0, r["n_links"], r["component_id"], r["kept"]) for r in multi_index.near_vectors(table).collect())
+    assert rows == [(0, 0, None, True), (0, 3, 4, False), (4, 3, 4, True), (4, 3, 4, True), (9, 3, 4, False)]
+
+
+def test_multi_index_recall_on_a_narrow_cloud(spark):
+    """Vectors that share a direction and vary along few others, as embeddings do."""
+    rng = np.random.default_rng(8)
+    scale = np.concatenate(([2.0], 1 / np.arange(1, 32)))
+    base = rng.normal(size=(300, 32)) * scale + scale
+    near = [b + rng.normal(size=32) * scale * s for b in base for s in (0.05, 0.1, 0.15)]
+    vectors = {i: [float(x) for x in v] for i, v in enumerate([*base, *near], 1)}
+    got, want = vector_results(multi_index.near_vectors(spark.createDataFrame(list(vectors.items()), "vec_id long, embedding array<double>"))), vector_brute(vectors)
+    assert all(got[i][0] <= want[i][0] for i in want)
+    share = sum(g[0] for g in got.values()) / sum(w[0] for w in want.values())
+    print("recall on a narrow cloud:", share)
+    assert share >= 0.99
+
+
 def test_multi_index_on_the_embeddings(spark):
     vectors = {r["vec_id"]: list(r["embedding"]) for r in read(spark, SF_DIR, "embeddings").collect()}
     assert vector_results(queries.op1_multi_index(spark, SF_DIR)) == vector_brute(vectors)
