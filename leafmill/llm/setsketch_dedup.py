@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 from leafmill.llm.common import ASCII_SPACE, bounded, id_and_text, materialize, release, slices, utf8
 from leafmill.llm.components import connected_components
 from leafmill.llm.forest import Forest
+from leafmill.llm.hashing import Names, mix
 
 BASE, RATE, TOP = 1.001, 20.0, (1 << 16) - 1
 BANDS, ROWS = 32, 5
@@ -35,65 +36,34 @@ LEFT_BLOCK, GROUP_BLOCK = 256, 2048
 #: Bytes of text whose words are found at once.
 SLICE = 1 << 20
 #: A signature is the lowest bits of so many registers.  Members that differ from their hub in over WIDE of them
-#: (a similarity under about 0.4) aren't of its group; those in over TIGHT look for a further hub in their bucket.
-SIGNATURE, WIDE, TIGHT = 128, 45, 24
+#: (a similarity under about a quarter) aren't of its group; those in over TIGHT look for a further hub in their bucket.
+#: A member that stays with a hub thus has all others of its bucket beside it that it differs from in WIDE - TIGHT
+#: bits at most; of pairs at a similarity of 0.8, which differ in 12.8 on average, some 3 in a million differ in more.
+SIGNATURE, WIDE, TIGHT = 128, 48, 18
 #: Hubs that a bucket may have before what is left of it is joined to one whatever the signatures say.
 HUBS = 6
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
-def _mix(x: np.ndarray) -> np.ndarray:
-    """A finalizer of 64 bits: xors of shifts and odd products."""
-    x = x ^ (x >> np.uint64(32))
-    x = x * np.uint64(0xD6E8FEB86659FD93)
-    x = x ^ (x >> np.uint64(32))
-    x = x * np.uint64(0xD6E8FEB86659FD93)
-    return x ^ (x >> np.uint64(32))
-
-
-_BYTE = _mix(np.arange(1, 257, dtype=np.uint64) * _ODD)
 _SPACE = np.zeros(256, bool)
 _SPACE[list(ASCII_SPACE)] = True
 _LOWER = bytes(range(256)).lower()
-_SEEDS = _mix(np.arange(1, 2 * REGISTERS + 1, dtype=np.uint64) * _ODD)
+_SEEDS = mix(np.arange(1, 2 * REGISTERS + 1, dtype=np.uint64) * _ODD)
 _FACTOR, _ADDEND = _SEEDS[:REGISTERS] | np.uint64(1), _SEEDS[REGISTERS:]
 
 
-def _inverse(odd: int) -> int:
-    return pow(odd, -1, 1 << 64)
-
-
-_POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-
-
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the odd base and of its inverse, modulo 2 ** 64."""
-    size = 1 << max(16, (n + 1).bit_length())
-    if size not in _POWERS:
-        _POWERS.clear()
-        one = np.ones(size, np.uint64)
-        up, down = one.copy(), one.copy()
-        up[1:], down[1:] = _ODD, np.uint64(_inverse(int(_ODD)))
-        _POWERS[size] = np.multiply.accumulate(up), np.multiply.accumulate(down)
-    return _POWERS[size]
-
-
 def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hash of each word of all texts, A-Z lower-cased, and each text's number of words.
 
-    Polynomials over the bytes' random values, from prefix sums, so all words are hashed at once.
+    Polynomials modulo a prime, from prefix sums, so all words are hashed at once.
     """
     data = np.frombuffer((b" ".join(texts) + b" ").translate(_LOWER), np.uint8)
     lengths = np.fromiter((len(t) + 1 for t in texts), np.int64, len(texts))
     blank = _SPACE[data]
     edge = np.diff(blank.view(np.int8), prepend=np.int8(1))
     starts, ends = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
-    up, down = _powers(len(data))
-    sums = np.empty(len(data) + 1, np.uint64)
-    sums[0] = 0
-    np.cumsum(_BYTE[data] * up[: len(data)], out=sums[1:])
-    hashes = _mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64))
+    hashes = Names(data).of(starts, ends)
     bounds = np.searchsorted(starts, np.concatenate(([0], np.cumsum(lengths))))
     return hashes, np.diff(bounds)
 
@@ -132,7 +102,7 @@ def shingle_sets(texts: list[bytes], words: int = 2) -> list[np.ndarray]:
             continue
         joined = own[: n - k + 1].copy()
         for j in range(1, k):
-            joined = _mix(joined * _ODD + own[j : n - k + 1 + j])
+            joined = mix(joined * _ODD + own[j : n - k + 1 + j])
         out.append(np.unique(joined + np.uint64(n if n < words else 0)))
     return out
 
@@ -386,9 +356,10 @@ def rest_links(stars: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 def near_duplicates(docs: DataFrame, words: int = 2, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id, kept.
 
-    Linked are documents with 100 * intersection >= percent * union of their shingle sets.  Null, empty and blank
-    texts have an empty set and are linked with nothing.  Repeated rows of one doc_id are equal and stay rows.
-    An empty table gives none.  Ties don't arise: the smallest doc_id of a component stays.
+    Linked are documents with 100 * intersection >= percent * union of their shingle sets, of whole texts however
+    long.  Null, empty and blank texts have an empty set and are linked with nothing.  Repeated rows of one doc_id are
+    equal and stay rows.  A row without id is linked with the documents of an equal set only.  An empty table gives
+    none.  Ties don't arise: the smallest doc_id of a component stays.
     """
     sketch = materialize(sketches(docs, words, id_col, text_col), "sketches")
     # equal sets are one node, called by its smallest doc_id
@@ -400,7 +371,8 @@ def near_duplicates(docs: DataFrame, words: int = 2, percent: int = 80, id_col:
     texts = id_and_text(docs, id_col, text_col).join(bounded(wanted), "doc_id", "left_semi").dropDuplicates(["doc_id"])
     sets = materialize(full_sets(texts, words), "sets")
     stars = materialize(hub_links(edges, sets, percent), "hub-links")
-    links = stars.where("similar").select("u", "v").union(rest_links(stars, sets, percent))
+    links = materialize(stars.where("similar").select("u", "v").union(rest_links(stars, sets, percent)), "links")
+    release(edges, wanted, sets, stars)
     found = connected_components(links).withColumnsRenamed({"id": "node", "component_id": "_component"})
     nodes = classes.join(found, "node", "left").select("set_key", "n_shingles", F.coalesce("_component", "node").alias("_component"))
     out = sketch.join(nodes, ["set_key", "n_shingles"], "left")

@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from leafmill.llm.common import bounded, id_and_text, materialize, release, slices, utf8
+from leafmill.llm.hashing import Names, mix
 
 GRAM = 32
 #: Bytes of a document that are sampled at once; what spans two pieces is sampled in both.
@@ -36,47 +37,9 @@ SORTED = 1 << 19
 #: Stands for a null doc_id, which comes before all others.
 NO_ID = -(1 << 63)
 
-_ODD = 0x9E3779B97F4A7C15
 _U = np.uint64
 
 
-def _mix(x: np.ndarray) -> np.ndarray:
-    x = x ^ (x >> _U(32))
-    x = x * _U(0xD6E8FEB86659FD93)
-    x = x ^ (x >> _U(29))
-    x = x * _U(0xA24BAED4963EE407)
-    return x ^ (x >> _U(32))
-
-
-_BYTE = _mix(np.arange(1, 257, dtype=np.uint64) * _U(_ODD))
-_POWERS: list[np.ndarray] = []
-
-
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the odd base and its inverse modulo 2 ** 64."""
-    if not _POWERS or len(_POWERS[0]) < n:
-        size = 1 << max(17, n.bit_length())
-        for base in (_ODD, pow(_ODD, -1, 1 << 64)):
-            factors = np.full(size, base, np.uint64)
-            factors[0] = 1
-            _POWERS.append(np.multiply.accumulate(factors))
-        del _POWERS[:-2]
-    return _POWERS[0], _POWERS[1]
-
-
-class Names:
-    """Names of all substrings of one piece of text, each in constant time."""
-
-    def __init__(self, data: np.ndarray):
-        up, self.down = _powers(len(data) + 1)
-        self.sums = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum(_BYTE[data] * up[: len(data)], out=self.sums[1:])
-
-    def of(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        """Names that depend on the bytes and their number only."""
-        return _mix((self.sums[ends] - self.sums[starts]) * self.down[starts] + (ends - starts).astype(np.uint64))
-
-
 def sampled(data: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
     """(gram, left, right, lo, hi) of each sampled suffix: its names, and its first and last window."""
     names, span = Names(data), length - GRAM + 1
@@ -130,7 +93,7 @@ def sampled_suffixes(docs: DataFrame, length: int) -> DataFrame:
         first = np.append(True, (np.diff(gram) != 0) | (np.diff(sides) != 0))
         again = np.append(True, (np.diff(doc) != 0) | (np.diff(lo) != 0)) & ~first
         keep = first | again
-        gram = np.where(first, gram, _mix(gram + lo.astype(np.uint64)))
+        gram = np.where(first, gram, mix(gram + lo.astype(np.uint64)))
         columns = (gram.view(np.int64), sides.view(np.int64), doc, lo, np.where(first, n, -n))
         return pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in columns], schema=SUFFIXES)
 
@@ -140,7 +103,7 @@ def sampled_suffixes(docs: DataFrame, length: int) -> DataFrame:
             for doc, text in zip(b.column("doc_id").to_pylist(), utf8(b.column("text")), strict=True):
                 for offset, data in pieces(text, length):
                     gram, left, right, lo, hi = sampled(data, length)
-                    parts.append((gram, _mix(left * _U(3) + right) ^ left, np.full(len(lo), doc, np.int64), lo + offset, (hi - lo + 1).astype(np.int32)))
+                    parts.append((gram, mix(left * _U(3) + right) ^ left, np.full(len(lo), doc, np.int64), lo + offset, (hi - lo + 1).astype(np.int32)))
                     held += len(data)
                     if held > COMBINED:
                         yield combined(parts)
