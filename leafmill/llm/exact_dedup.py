@@ -1,9 +1,9 @@
 """Exact deduplication by composable polynomial fingerprints.
 
 A text's fingerprint is a polynomial in a fixed base modulo a prime.  Chunks are hashed on their own and
-combined by length-shifted arithmetic, H(AB) = H(A) * base ** len(B) + H(B), so a huge document needs no
-pass over the whole and chunks may come from different tasks (``combine_chunks``).  Equal fingerprints
-are then compared chunk by chunk: the least and the greatest content of each chunk position of a group are
+combined by length-shifted arithmetic, H(AB) = H(A) * base ** len(B) + H(B).  Documents of over ``HUGE`` bytes
+are cut into rows of one chunk, which are hashed by as many tasks as there are and combined by a grouped sum
+(``combine_chunks``); shorter ones are hashed where they are read.  Equal fingerprints are then compared chunk by chunk: the least and the greatest content of each chunk position of a group are
 aggregated before the shuffle, so a group of any size sends one row per task and chunk position.
 """
 
@@ -19,13 +19,16 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from leafmill.llm.common import ASCII_SPACE, batch, bounded, id_and_text, materialize, slices, utf8
+from leafmill.llm.common import ASCII_SPACE, batch, bounded, id_and_text, materialize, release, slices, utf8
 
 PRIME = (1 << 31) - 1
 BASES = (1_000_003, 998_244_353)
 CHUNK = 1 << 16
+#: Texts of more bytes are hashed chunk by chunk in tasks of their own.
+HUGE = 1 << 22
 
 FINGERPRINTS = pa.schema([("doc_id", pa.int64()), ("n_chars", pa.int64()), ("n_bytes", pa.int64()), ("fingerprint", pa.int64()), ("sha256", pa.binary())])
+HASHES = pa.schema([("doc_id", pa.binary()), ("chunk_no", pa.int64()), ("n_bytes", pa.int64()), ("h1", pa.int64()), ("h2", pa.int64())])
 CHUNKS = pa.schema([("fingerprint", pa.int64()), ("n_bytes", pa.int64()), ("chunk_no", pa.int64()), ("chunk", pa.binary())])
 
 
@@ -60,8 +63,11 @@ def fingerprint(text: bytes, prime: int = PRIME, size: int = CHUNK) -> int:
     return found[0] << 31 | found[1]
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", prime: int = PRIME, chunk: int = CHUNK) -> DataFrame:
-    """doc_id, code points, bytes after normalising, fingerprint and SHA-256 of the normalised text; one scan."""
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", prime: int = PRIME, chunk: int = CHUNK, huge: int = HUGE) -> DataFrame:
+    """doc_id, code points, bytes after normalising, fingerprint and SHA-256 of the normalised text; one scan.
+
+    The fingerprint of a text of over ``huge`` bytes is null.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
@@ -73,7 +79,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                     b.column("doc_id"),
                     pc.cast(pc.fill_null(pc.utf8_length(b.column("text")), 0), pa.int64()),
                     [len(t) for t in texts],
-                    [fingerprint(t, prime, chunk) for t in texts],
+                    [fingerprint(t, prime, chunk) if len(r) <= huge else None for t, r in zip(texts, raw, strict=True)],
                     [hashlib.sha256(t).digest() for t in texts],
                 ],
             )
@@ -81,6 +87,29 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return id_and_text(docs, id_col, text_col).mapInArrow(run, "doc_id long, n_chars long, n_bytes long, fingerprint long, sha256 binary")
 
 
+def huge_fingerprints(texts: DataFrame, prime: int = PRIME, chunk: int = CHUNK) -> DataFrame:
+    """(sha256, fingerprint) of rows (text): a row for each chunk is dealt to any task, hashed there, and combined."""
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches):
+            for text in utf8(b.column("text")):
+                text = text.translate(None, ASCII_SPACE)
+                name = hashlib.sha256(text).digest()
+                for no, at in enumerate(range(0, len(text) or 1, chunk)):
+                    yield pa.RecordBatch.from_arrays([pa.array([name], pa.binary()), pa.array([no], pa.int64()), pa.array([text[at : at + chunk]], pa.binary())], ["sha256", "chunk_no", "chunk"])
+
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches):
+            parts = b.column("chunk").to_pylist()
+            h1, h2 = ([chunk_hash(p, base, prime, chunk) for p in parts] for base in BASES)
+            yield batch(HASHES, [b.column("sha256"), b.column("chunk_no"), [len(p) for p in parts], h1, h2])
+
+    # equal texts have equal chunks: one of each is enough
+    chunks = texts.mapInArrow(cut, "sha256 binary, chunk_no long, chunk binary").repartition("sha256", "chunk_no")
+    hashes = chunks.mapInArrow(hashed, "doc_id binary, chunk_no long, n_bytes long, h1 long, h2 long").distinct()
+    return combine_chunks(hashes, prime).select(F.col("doc_id").alias("sha256"), "fingerprint")
+
+
 def combine_chunks(chunks: DataFrame, prime: int = PRIME) -> DataFrame:
     """Fingerprints of documents that come as rows (doc_id, chunk_no, n_bytes, h1, h2), in plain arithmetic.
 
@@ -129,31 +158,57 @@ def chunk_rows(rows: DataFrame, chunk: int = CHUNK) -> DataFrame:
     return rows.mapInArrow(run, "fingerprint long, n_bytes long, chunk_no long, chunk binary")
 
 
-def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", prime: int = PRIME, chunk: int = CHUNK) -> DataFrame:
+def keyed_texts(rows: DataFrame, prime: int, chunk: int, huge: int) -> DataFrame:
+    """(fingerprint, n_bytes, text) of rows (text), worked out anew; null fingerprints for huge texts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches):
+            raw = utf8(b.column("text"))
+            texts = [t.translate(None, ASCII_SPACE) for t in raw]
+            keys = [fingerprint(t, prime, chunk) if len(r) <= huge else None for t, r in zip(texts, raw, strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array([len(t) for t in texts], pa.int64()), b.column("text")], ["fingerprint", "n_bytes", "text"])
+
+    return rows.mapInArrow(run, "fingerprint long, n_bytes long, text string")
+
+
+def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", prime: int = PRIME, chunk: int = CHUNK, huge: int = HUGE) -> DataFrame:
     """One row per document: doc_id, keep_id, group_size, kept, text_sha256.
 
     Texts are equal when they are so after deleting ASCII white space; null counts as empty, so empty, blank
     and null texts form one group.  Of a group the row with most code points stays, of those the smallest
-    doc_id.  Rows repeated under one doc_id share their fate and count each.  An empty table gives none.
+    doc_id, a row without id last.  Rows repeated under one doc_id share their fate and count each, and so do a group's
+    rows without id if one of them stays.  An empty table gives none.
     """
-    prints = materialize(fingerprints(docs, id_col, text_col, prime, chunk), "fingerprints")
+    rows = id_and_text(docs, id_col, text_col)
+    prints = materialize(fingerprints(docs, id_col, text_col, prime, chunk, huge), "fingerprints")
+    long_ones = prints.where("fingerprint is null")
+    if not long_ones.isEmpty():
+        texts = rows.where(F.octet_length("text") > huge).select("text")
+        whole = materialize(huge_fingerprints(texts, prime, chunk), "huge")
+        filled = long_ones.drop("fingerprint").join(whole, "sha256").select(prints.columns)
+        short = prints
+        prints = materialize(prints.where("fingerprint is not null").unionByName(filled), "fingerprints")
+        release(whole, short)
     key = ["fingerprint", "n_bytes"]
     # aggregates are written before they are joined, so that Spark can split a hot group
     shared = materialize(prints.groupBy(*key).agg(F.count("*").alias("_n")).where("_n > 1").select(*key), "shared")
-    # texts of documents whose fingerprint others have too, compared chunk by chunk
-    doubtful = materialize(prints.join(shared, key, "left_semi").select("doc_id", *key).distinct(), "doubtful")
-    texts = id_and_text(docs, id_col, text_col).join(bounded(doubtful), "doc_id").select(*key, "text")
-    broken = materialize(
-        chunk_rows(texts, chunk).groupBy(*key, "chunk_no").agg(F.min("chunk").alias("_lo"), F.max("chunk").alias("_hi")).where("_lo <> _hi").select(*key).distinct(),
-        "collisions",
-    )
+    # texts of documents whose fingerprint others have too, compared chunk by chunk; rows without id are looked at by
+    # their fingerprint itself, worked out again, and the huge of them by their SHA-256 alone
+    doubtful = materialize(prints.where("doc_id is not null").join(shared, key, "left_semi").select("doc_id", *key).distinct(), "doubtful")
+    texts = rows.join(bounded(doubtful), "doc_id").select(*key, "text")
+    nameless = keyed_texts(rows.where("doc_id is null").select("text"), prime, chunk, huge).join(bounded(shared), key, "left_semi").select(*key, "text")
+    pieces = chunk_rows(texts.unionByName(nameless), chunk)
+    broken = pieces.groupBy(*key, "chunk_no").agg(F.min("chunk").alias("_lo"), F.max("chunk").alias("_hi")).where("_lo <> _hi").select(*key)
+    unlike = prints.where((F.col("n_bytes") > huge) & F.col("doc_id").isNull()).select(*key)
+    broken = materialize(broken.union(unlike).distinct(), "collisions")
+    release(doubtful, shared)
     # a collision's texts, hardly ever any, are told apart by their SHA-256
     split = broken.withColumn("_split", F.lit(True))
     rows = prints.join(split, key, "left").select("doc_id", "n_chars", "sha256", F.concat_ws(":", *key, F.when(F.col("_split"), F.hex("sha256"))).alias("_class"))
     # another key than the join's, so that rows are summed up before they are dealt out
     group = ["_class"]
-    best = rows.groupBy(*group).agg(F.count("*").alias("group_size"), F.max(F.struct("n_chars", (-F.col("doc_id")).alias("_id"))).alias("_best"))
-    best = materialize(best.select(*group, "group_size", (-F.col("_best._id")).alias("keep_id")), "groups")
+    best = rows.groupBy(*group).agg(F.count("*").alias("group_size"), F.min(F.struct((-F.col("n_chars")).alias("_n"), F.col("doc_id").isNull().alias("_null"), "doc_id")).alias("_best"))
+    best = materialize(best.select(*group, "group_size", F.col("_best.doc_id").alias("keep_id")), "groups")
     return rows.join(best, group).select(
         "doc_id",
         "keep_id",

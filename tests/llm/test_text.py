@@ -46,6 +46,26 @@ def test_exact_with_collisions(spark, prime):
             assert got[i] == {"doc_id": i, "keep_id": keep, "group_size": len(members), "kept": i == keep, "text_sha256": hashlib.sha256(norm.encode()).hexdigest()}
 
 
+@pytest.mark.parametrize("prime", [exact_dedup.PRIME, 3])
+def test_exact_huge_texts_and_extreme_ids(spark, prime):
+    """Texts hashed chunk by chunk in many tasks, the smallest id there is, and rows without id."""
+    rng = random.Random(3)
+    big = "".join(rng.choices("abc é", k=3000))
+    low, high = -(1 << 63), (1 << 63) - 1
+    rows = [(high, big), (low, big), (3, big + " "), (4, big[:-1] + "x"), (5, " " * 4000), (6, ""), (7, "short"), (8, "sho rt"), (9, "tr osh"), (10, big + "  "), (11, big[::-1])]
+    got = by_id(exact_dedup.exact_duplicates(docs(spark, rows), prime=prime, chunk=64, huge=500))
+    texts, groups = dict(rows), {}
+    for i, t in rows:
+        groups.setdefault(re.sub(r"[\x20\x09-\x0D]", "", t), []).append((-len(t), i))
+    for norm, members in groups.items():
+        for _, i in members:
+            assert got[i] == {"doc_id": i, "keep_id": min(members)[1], "group_size": len(members), "kept": i == min(members)[1], "text_sha256": hashlib.sha256(norm.encode()).hexdigest()}, texts[i][:20]
+    # equal fingerprints of other texts among rows without id
+    nameless = [(None, "abc"), (None, "acb"), (None, "ab c"), (1, "bac"), (2, "abc"), (None, big), (None, big[:-1] + "y")]
+    rows = exact_dedup.exact_duplicates(docs(spark, nameless), prime=prime, chunk=2, huge=500).collect()
+    assert sorted((r["doc_id"] or 0, r["keep_id"] or 0, r["group_size"], r["kept"]) for r in rows) == [(0, 0, 1, True)] * 3 + [(0, 0, 3, True)] * 2 + [(1, 1, 1, True), (2, 0, 3, False)]
+
+
 def test_exact_empty_and_repeated(spark):
     assert exact_dedup.exact_duplicates(docs(spark, ["x"]).limit(0)).count() == 0
     rows = exact_dedup.exact_duplicates(docs(spark, [(1, "a"), (1, "a"), (None, "b")])).collect()
