@@ -1,9 +1,13 @@
-"""Names of substrings by polynomials modulo a prime, many at once."""
+"""Names of substrings by polynomials modulo a prime, many at once, and of the words of texts."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 
+from leafmill.llm.common import ASCII_SPACE
+
 PRIME = (1 << 31) - 1
 _P = np.uint64(PRIME)
 _31, _32 = np.uint64(31), np.uint64(32)
@@ -21,6 +25,11 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
+#: Bytes of text whose words are found at once.
+SLICE = 1 << 20
+_SPACE = np.zeros(256, bool)
+_SPACE[list(ASCII_SPACE)] = True
+_LOWER = bytes(range(256)).lower()
 _VALUES = [mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(k)) % (_P - np.uint64(1)) + np.uint64(1) for k in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)]
 _POWERS: list[tuple[np.ndarray, np.ndarray]] = []
 
@@ -79,3 +88,41 @@ class Names:
             out = x if out is None else (out << _31) | x
         out ^= mix((ends - starts).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
         return mix(out)
+
+
+def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hash of each word of all texts, A-Z lower-cased, and each text's number of words.
+
+    Polynomials modulo a prime, from prefix sums, so all words are hashed at once.
+    """
+    data = np.frombuffer((b" ".join(texts) + b" ").translate(_LOWER), np.uint8)
+    lengths = np.fromiter((len(t) + 1 for t in texts), np.int64, len(texts))
+    blank = _SPACE[data]
+    edge = np.diff(blank.view(np.int8), prepend=np.int8(1))
+    starts, ends = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
+    hashes = Names(data).of(starts, ends)
+    bounds = np.searchsorted(starts, np.concatenate(([0], np.cumsum(lengths))))
+    return hashes, np.diff(bounds)
+
+
+def text_words(texts: list[bytes]) -> Iterator[np.ndarray]:
+    """Word hashes of each text, of about SLICE bytes at once; a longer text is cut at white space."""
+    at = 0
+    while at < len(texts):
+        if len(texts[at]) > SLICE:
+            parts, text, done = [], texts[at], 0
+            while done < len(text):
+                upto = done + SLICE
+                while upto < len(text) and text[upto] not in ASCII_SPACE:
+                    upto += 1
+                parts.append(word_hashes([text[done:upto]])[0])
+                done = upto
+            yield np.concatenate(parts)
+            at += 1
+            continue
+        size, upto = 0, at
+        while upto < len(texts) and len(texts[upto]) <= SLICE and (size == 0 or size + len(texts[upto]) <= SLICE):
+            size, upto = size + len(texts[upto]) + 1, upto + 1
+        hashes, counts = word_hashes(texts[at:upto])
+        yield from np.split(hashes, np.cumsum(counts)[:-1])
+        at = upto

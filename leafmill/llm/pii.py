@@ -1,16 +1,19 @@
 """Personal data: plain patterns as seeds, and bootstrapped contextual extraction of further identifiers.
 
-One scan finds the seeds and every other identifier-like token, each with its lexical context, the two words
-before it.  Contexts (patterns) and tokens (instances) form a graph that Spark scores in rounds: a pattern is
-as sure as its instances, an instance as its patterns together.  Tokens in patterns of high confidence are
-reported as kind ``context``.
+One scan finds the seeds and every other identifier-like token, each with its lexical patterns, the one to three
+words before it and behind it.  Patterns and tokens (instances) form a graph that Spark scores in rounds: a pattern is
+as sure as its instances are known and as its words stand beside nothing else, an instance as its patterns together.
+Instances of sure patterns are seeds of the next round.  In the end they are reported wherever they occur, as kind
+``context``.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
@@ -18,7 +21,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from leafmill.llm.common import batch, id_and_text, materialize, slices, strings
+from leafmill.llm.common import batch, bounded, id_and_text, materialize, release, slices, strings, utf8
+from leafmill.llm.hashing import mix, text_words
 from leafmill.llm.spans import SPAN_SQL, SPAN_TYPE, Span, as_dicts, joined_column, sha256
 
 KINDS = ("email", "ip", "card", "phone")
@@ -32,10 +36,15 @@ CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 DIGITS = re.compile(r"[0-9]+")
 SPACES = str.maketrans("\t\n\x0b\x0c\r", "     ")
-#: An identifier-like token: with a digit, of so many code points.
-TOKEN_CHARS = (5, 64)
-#: Code points before a token in which its two words of context are looked for.
-CONTEXT_CHARS = 64
+#: An identifier-like token: with a digit, of at least so many code points between the marks around it.
+TOKEN_CHARS = 5
+MARKS = ".,;:!?()[]{}<>\"'"
+#: Words on either side that make a pattern, at most.
+WORDS = 3
+#: What an instance that is neither known nor accepted counts against a pattern; an ordinary word there counts 1.
+UNKNOWN = 0.25
+#: Bits of the map by which tasks pass over word sequences that no pattern asks for, as a power of two.
+MAP_BITS = 24
 
 
 def emails(text: str) -> list[tuple[int, int]]:
@@ -76,41 +85,64 @@ def base_spans(text: str) -> list[Span]:
     return out
 
 
-def context(clean: str, start: int) -> str:
-    """The two words before a place, lower-cased; a mark stands for a missing one."""
-    words = clean[max(0, start - CONTEXT_CHARS) : start].lower().split(" ")
-    words = [w for w in words if w][-2:]
-    return " ".join(["^"] * (2 - len(words)) + words)
-
-
-def instance(token: str) -> int:
-    return xxhash.xxh3_64_intdigest(token) - (1 << 63)
-
-
 def candidates(clean: str, base: list[Span]) -> list[tuple[int, int]]:
-    """Tokens with a digit that no base span touches."""
+    """Tokens with a digit that no base span touches, without the marks around them."""
     out, done, taken = [], 0, sorted((s[0], s[2]) for s in base)
-    k = 0
+    k, reach = 0, -1
     for m in DIGITS.finditer(clean):
         if m.start() < done:
             continue
         start = clean.rfind(" ", done and done - 1, m.start()) + 1 or done
         end = clean.find(" ", m.end())
         end = done = len(clean) if end < 0 else end
-        while k < len(taken) and taken[k][1] <= start:
+        token = clean[start:end]
+        start += len(token) - len(token.lstrip(MARKS))
+        end -= len(token) - len(token.rstrip(MARKS))
+        while k < len(taken) and taken[k][0] < end:
+            reach = max(reach, taken[k][1])
             k += 1
-        if TOKEN_CHARS[0] <= end - start <= TOKEN_CHARS[1] and not (k < len(taken) and taken[k][0] < end):
+        if end - start >= TOKEN_CHARS and reach <= start:
             out.append((start, end))
     return out
 
 
-_EDGE = pa.struct([("start", pa.int64()), ("end", pa.int64()), ("seed", pa.bool_()), ("pattern", pa.string()), ("instance", pa.int64())])
+def instance(token: str) -> int:
+    return xxhash.xxh3_64_intdigest(token) - (1 << 63)
+
+
+def sequences(words: np.ndarray) -> list[np.ndarray]:
+    """Hashes of one, two and more words in a row, by their first word, from the words' hashes; all even."""
+    out, last = [], None
+    for n in range(WORDS):
+        last = mix(words ^ np.uint64(n + 1)) if last is None else mix(last[:-1] * np.uint64(0x9E3779B97F4A7C15) + words[n:])
+        out.append(last & np.uint64((1 << 64) - 2))
+        if len(last) < 2:
+            break
+    return out
+
+
+WORD = re.compile(r"[^ ]+")
+
+
+def patterns(clean: str, words: np.ndarray, places: list[tuple[int, int]]) -> list[list[int]]:
+    """Of each place its patterns: up to ``WORDS`` words before it (even numbers) and behind it (odd ones)."""
+    starts = [m.start() for m in WORD.finditer(clean)]
+    rows = [r.view(np.int64) for r in sequences(words)]
+    out = []
+    for start, end in places:
+        first, behind = bisect_right(starts, start) - 1, bisect_right(starts, end - 1)
+        own = [int(r[first - n]) for n, r in enumerate(rows, 1) if first >= n]
+        out.append(own + [int(r[behind]) | 1 for n, r in enumerate(rows, 1) if behind + n <= len(starts)])
+    return out
+
+
+_EDGE = pa.struct([("start", pa.int64()), ("end", pa.int64()), ("seed", pa.bool_()), ("instance", pa.int64()), ("patterns", pa.list_(pa.int64()))])
 ROWS = pa.schema([("row_id", pa.int64()), ("doc_id", pa.int64()), *((f"n_{k}", pa.int64()) for k in KINDS), ("base_sha256", pa.string()), ("base", pa.list_(SPAN_TYPE)), ("edges", pa.list_(_EDGE))])
-ROWS_SQL = f"row_id long, doc_id long, {', '.join(f'n_{k} long' for k in KINDS)}, base_sha256 string, base array<{SPAN_SQL}>, edges array<struct<start:bigint,end:bigint,seed:boolean,pattern:string,instance:bigint>>"
+ROWS_SQL = f"row_id long, doc_id long, {', '.join(f'n_{k} long' for k in KINDS)}, base_sha256 string, base array<{SPAN_SQL}>, edges array<struct<start:bigint,end:bigint,seed:boolean,instance:bigint,patterns:array<bigint>>>"
 
 
 def extract(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Base spans of each document, and its edges between contexts and tokens."""
+    """Base spans of each document, and its edges between patterns and tokens."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         row_id = TaskContext.get().partitionId() << 33
@@ -118,51 +150,102 @@ def extract(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
         for b in slices(batches):
             out = [nothing] * b.num_rows
             likely = pc.indices_nonzero(pc.fill_null(pc.match_substring_regex(b.column("text"), "[0-9@]"), False))
+            found = []
             for i, text in zip(likely.to_pylist(), strings(b.column("text").take(likely)), strict=True):
                 base, clean = base_spans(text), text.translate(SPACES)
                 places = [(s, e, True) for s, _, e, _ in base] + [(s, e, False) for s, e in candidates(clean, base)]
-                edges = [{"start": s, "end": e, "seed": seed, "pattern": context(clean, s), "instance": instance(text[s:e])} for s, e, seed in places]
-                if edges:
-                    out[i] = (*(sum(s[1] == k for s in base) for k in range(4)), sha256(base), as_dicts(base), edges)
+                if places:
+                    found.append((i, text, clean, base, places))
+            for (i, text, clean, base, places), words in zip(found, text_words([f[1].encode() for f in found]), strict=True):
+                around = patterns(clean, words, [p[:2] for p in places])
+                edges = [{"start": s, "end": e, "seed": seed, "instance": instance(text[s:e]), "patterns": p} for (s, e, seed), p in zip(places, around, strict=True)]
+                out[i] = (*(sum(s[1] == k for s in base) for k in range(4)), sha256(base), as_dicts(base), edges)
             ids = range(row_id, row_id := row_id + b.num_rows)
             yield batch(ROWS, [list(ids), b.column("doc_id"), *map(list, zip(*out, strict=True))] if out else [[]] * len(ROWS))
 
     return id_and_text(docs, id_col, text_col).mapInArrow(run, ROWS_SQL)
 
 
-def score_patterns(edges: DataFrame, rounds: int = 3, min_seeds: int = 3) -> DataFrame:
-    """(pattern, confidence, n_instances) of patterns with ``min_seeds`` seeds, from edges (pattern, instance, seed).
+def sequence_map(wanted: DataFrame) -> np.ndarray:
+    """A bit for the highest bits of each sequence in ``wanted``: of fixed size, however many there are."""
+    place = F.shiftrightunsigned("sequence", 64 - MAP_BITS) + 1  # buckets begin with 1
+    parts = wanted.select(place.alias("at")).groupBy(F.bitmap_bucket_number("at").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias("bits"))
+    out = np.zeros((1 << MAP_BITS) // 8, np.uint8)
+    for bucket, bits in parts.collect():  # at most 2 ** MAP_BITS / 32,768 rows of 4 kB
+        out[(bucket - 1) * 4096 : bucket * 4096] = np.frombuffer(bits, np.uint8)
+    return out
+
+
+def count_sequences(docs: DataFrame, wanted: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(sequence, total): how often each word sequence in ``wanted`` occurs in all texts; one scan."""
+    bits = sequence_map(wanted)
+
+    def seen(values: np.ndarray) -> np.ndarray:
+        at = values >> np.uint64(64 - MAP_BITS)
+        return (bits[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8) & np.uint8(1)).astype(bool)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches):
+            hits = [np.empty(0, np.uint64)]
+            for words in text_words(utf8(b.column("text"))):
+                if len(words):
+                    hits += [r[seen(r)] for r in sequences(words)]
+            values, n = np.unique(np.concatenate(hits), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(values.view(np.int64)), pa.array(n)], ["sequence", "n"])
+
+    hits = id_and_text(docs, id_col, text_col).select("text").mapInArrow(run, "sequence long, n long")
+    return hits.join(bounded(wanted), "sequence").groupBy("sequence").agg(F.sum("n").alias("total"))
+
+
+def accepted_instances(graph: DataFrame, count, rounds: int, min_support: float, min_confidence: float) -> DataFrame:
+    """(instance, score) of unknown instances that the graph (pattern, instance, n, seed) makes sure of.
 
-    Edges are one per pair.  Every round is two aggregations: the pattern's mean over its instances, and the
-    instance's noisy-or over its patterns; a seed is sure.
+    Every round scores patterns by their instances, and instances by their patterns.  A pattern's support is the sum
+    of its instances' scores; against it count its unknown instances, a little, and all places where its words
+    stand beside an ordinary word, which ``count`` finds for the patterns that could be sure without them.  An
+    instance's score is the noisy-or over its sure patterns.  Accepted instances are known in the next round, in
+    which they induce patterns of their own; the rounds end when nothing is accepted any more.
     """
-    scored = edges.withColumn("score", F.col("seed").cast("double"))
-    for k in range(rounds):
-        patterns = scored.groupBy("pattern").agg(
-            F.avg("score").alias("confidence"), F.count_if("seed").alias("n_seeds"), F.count("*").alias("n_instances")
-        )
-        # only patterns and instances that have a score are written and joined, so hot ones can be split or broadcast
-        patterns = materialize(patterns.where(F.col("n_seeds") >= min_seeds).select("pattern", "confidence", "n_instances"), "patterns")
-        if k + 1 < rounds:
-            doubt = F.sum(F.log1p(-F.least(F.col("confidence"), F.lit(0.999999))))
-            instances = edges.join(patterns, "pattern").groupBy("instance").agg((1 - F.exp(doubt)).alias("_or"))
-            scored = edges.join(materialize(instances, "instances"), "instance", "left")
-            scored = scored.withColumn("score", F.when(F.col("seed"), 1.0).otherwise(F.coalesce("_or", F.lit(0.0))))
-    return patterns
-
-
-def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rounds: int = 3, min_seeds: int = 3, min_confidence: float = 0.75) -> DataFrame:
+    spark = graph.sparkSession
+    accepted = spark.createDataFrame([], "instance long, score double")
+    counted = spark.createDataFrame([], "sequence long, total long")
+    known, sequence = 0, (F.col("pattern").bitwiseAND(F.lit(-2))).alias("sequence")
+    share = lambda against: F.col("support") / (F.col("support") + UNKNOWN * F.col("unknown") + against)
+    for _ in range(rounds):
+        scored = graph.join(accepted, "instance", "left").withColumn("score", F.when(F.col("seed"), 1.0).otherwise(F.coalesce("score", F.lit(0.0))))
+        stats = scored.groupBy("pattern").agg(F.sum("score").alias("support"), F.count_if(F.col("score") == 0).alias("unknown"), F.count_if(~F.col("seed")).alias("others"), F.sum("n").alias("met"))
+        hopeful = stats.where((F.col("others") > 0) & (F.col("support") >= min_support) & (share(F.lit(0)) >= min_confidence)).select("*", sequence)
+        hopeful = materialize(hopeful, "hopeful-patterns")
+        new = materialize(hopeful.select("sequence").distinct().join(counted, "sequence", "left_anti"), "sequences")
+        if not new.isEmpty():
+            counted = materialize(counted.unionByName(count(new)), "counted")
+        sure = hopeful.join(counted, "sequence").withColumn("confidence", share(F.greatest(F.col("total") - F.col("met"), F.lit(0))))
+        sure = materialize(sure.where(F.col("confidence") >= min_confidence).select("pattern", "confidence"), "sure-patterns")
+        doubt = F.sum(F.log1p(-F.least(F.col("confidence"), F.lit(0.999999))))
+        found = graph.where("not seed").join(sure, "pattern").groupBy("instance").agg((1 - F.exp(doubt)).alias("score"))
+        before, accepted = accepted, materialize(accepted.unionByName(found).groupBy("instance").agg(F.max("score").alias("score")), "accepted")
+        release(before, hopeful, new, sure)
+        if accepted.count() == known:
+            break
+        known = accepted.count()
+    return accepted
+
+
+def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rounds: int = 5, min_support: float = 0.9, min_confidence: float = 0.75) -> DataFrame:
     """One row per document: doc_id, counts of the base kinds, base_sha256, spans as text and found as an array.
 
     A null text is empty; repeated rows give repeated results; an empty table gives none.  Base spans of
-    different kinds may overlap, spans of kind ``context`` overlap none of them.
+    different kinds may overlap, spans of kind ``context`` overlap none of them.  Whole texts are read, with tokens
+    and words of any length.
     """
     rows = materialize(extract(docs, id_col, text_col), "pii")
-    edges = rows.select("row_id", F.explode("edges").alias("e")).select("row_id", "e.*")
-    graph = materialize(edges.groupBy("pattern", "instance").agg(F.max("seed").alias("seed")), "pii-graph")
-    sure = materialize(score_patterns(graph, rounds, min_seeds).where(F.col("confidence") >= min_confidence).select("pattern"), "sure")
+    places = rows.select("row_id", F.explode("edges").alias("e")).select("row_id", "e.*")
+    edges = places.select("instance", "seed", F.explode("patterns").alias("pattern"))
+    # aggregates are written before they are joined, so that Spark can split a hot pattern
+    graph = materialize(edges.groupBy("pattern", "instance").agg(F.max("seed").alias("seed"), F.count("*").alias("n")), "pii-graph")
+    accepted = accepted_instances(graph, lambda wanted: count_sequences(docs, wanted, id_col, text_col), rounds, min_support, min_confidence)
     span = F.struct("start", F.lit(len(KINDS)).alias("rank"), "end", F.lit(CONTEXT).alias("kind")).cast(SPAN_SQL)
-    added = edges.where("not seed").join(sure, "pattern", "left_semi").groupBy("row_id").agg(F.collect_list(span).alias("_added"))
+    added = places.where("not seed").join(accepted.select("instance"), "instance", "left_semi").groupBy("row_id").agg(F.collect_list(span).alias("_added"))
     found = F.array_sort(F.concat("base", F.coalesce("_added", F.array().cast(f"array<{SPAN_SQL}>"))))
     out = rows.drop("edges").join(added, "row_id", "left").withColumn("found", found)
     return out.select("doc_id", *(f"n_{k}" for k in KINDS), "base_sha256", joined_column(F.col("found")).alias("spans"), "found")

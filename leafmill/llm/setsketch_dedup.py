@@ -21,10 +21,10 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from leafmill.llm.common import ASCII_SPACE, bounded, id_and_text, materialize, release, slices, utf8
+from leafmill.llm.common import bounded, id_and_text, materialize, release, slices, utf8
 from leafmill.llm.components import connected_components
 from leafmill.llm.forest import Forest
-from leafmill.llm.hashing import Names, mix
+from leafmill.llm.hashing import mix, text_words
 
 BASE, RATE, TOP = 1.001, 20.0, (1 << 16) - 1
 BANDS, ROWS = 32, 5
@@ -33,8 +33,6 @@ REGISTERS = BANDS * ROWS
 SLACK = 5.0
 #: Members of a hub's group in one block: those left of the hub's links, and those they are compared with.
 LEFT_BLOCK, GROUP_BLOCK = 256, 2048
-#: Bytes of text whose words are found at once.
-SLICE = 1 << 20
 #: A signature is the lowest bits of so many registers.  Members that differ from their hub in over WIDE of them
 #: (a similarity under about a quarter) aren't of its group; those in over TIGHT look for a further hub in their bucket.
 #: A member that stays with a hub thus has all others of its bucket beside it that it differs from in WIDE - TIGHT
@@ -46,55 +44,14 @@ HUBS = 6
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
-_SPACE = np.zeros(256, bool)
-_SPACE[list(ASCII_SPACE)] = True
-_LOWER = bytes(range(256)).lower()
 _SEEDS = mix(np.arange(1, 2 * REGISTERS + 1, dtype=np.uint64) * _ODD)
 _FACTOR, _ADDEND = _SEEDS[:REGISTERS] | np.uint64(1), _SEEDS[REGISTERS:]
 
 
-def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit hash of each word of all texts, A-Z lower-cased, and each text's number of words.
-
-    Polynomials modulo a prime, from prefix sums, so all words are hashed at once.
-    """
-    data = np.frombuffer((b" ".join(texts) + b" ").translate(_LOWER), np.uint8)
-    lengths = np.fromiter((len(t) + 1 for t in texts), np.int64, len(texts))
-    blank = _SPACE[data]
-    edge = np.diff(blank.view(np.int8), prepend=np.int8(1))
-    starts, ends = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
-    hashes = Names(data).of(starts, ends)
-    bounds = np.searchsorted(starts, np.concatenate(([0], np.cumsum(lengths))))
-    return hashes, np.diff(bounds)
-
-
-def _words(texts: list[bytes]) -> Iterator[np.ndarray]:
-    """Word hashes of each text, of about SLICE bytes at once; a longer text is cut at white space."""
-    at = 0
-    while at < len(texts):
-        if len(texts[at]) > SLICE:
-            parts, text, done = [], texts[at], 0
-            while done < len(text):
-                upto = done + SLICE
-                while upto < len(text) and text[upto] not in ASCII_SPACE:
-                    upto += 1
-                parts.append(word_hashes([text[done:upto]])[0])
-                done = upto
-            yield np.concatenate(parts)
-            at += 1
-            continue
-        size, upto = 0, at
-        while upto < len(texts) and len(texts[upto]) <= SLICE and (size == 0 or size + len(texts[upto]) <= SLICE):
-            size, upto = size + len(texts[upto]) + 1, upto + 1
-        hashes, counts = word_hashes(texts[at:upto])
-        yield from np.split(hashes, np.cumsum(counts)[:-1])
-        at = upto
-
-
 def shingle_sets(texts: list[bytes], words: int = 2) -> list[np.ndarray]:
     """Sorted distinct 64-bit hashes of each text's shingles; with fewer words the whole sequence is one."""
     out: list[np.ndarray] = []
-    for own in _words(texts):
+    for own in text_words(texts):
         n = len(own)
         k = min(words, n)
         if not k:

@@ -6,7 +6,7 @@ import re
 import numpy as np
 import pytest
 
-from leafmill.llm import components, multi_index, queries, setsketch_dedup
+from leafmill.llm import components, hashing, multi_index, queries, setsketch_dedup
 from tests.conftest import SF_DIR
 from tests.llm.util import by_id, docs, read, with_clashes
 
@@ -89,7 +89,7 @@ def test_words_of_polynomials_alike_are_told_apart(spark):
     """Such words have equal polynomials modulo a power of two, whatever the base."""
     one = thue_morse(1024)
     other = one.translate(str.maketrans("ab", "ba"))
-    hashes, _ = setsketch_dedup.word_hashes([one.encode(), other.encode()])
+    hashes, _ = hashing.word_hashes([one.encode(), other.encode()])
     assert hashes[0] != hashes[1]
     got = results(setsketch_dedup.near_duplicates(docs(spark, [one, other, one])))
     assert got == brute({1: one, 2: other, 3: one})
@@ -134,7 +134,7 @@ def test_setsketch_hot_groups_and_empty_tables(spark, monkeypatch):
 def test_setsketch_long_text_and_words(monkeypatch):
     text = b"ab " * 200_000 + b"x" * 3_000_000 + b" end"
     whole = setsketch_dedup.shingle_sets([text])[0]
-    monkeypatch.setattr(setsketch_dedup, "SLICE", 1000)
+    monkeypatch.setattr(hashing, "SLICE", 1000)
     assert len(whole) == 3 and (setsketch_dedup.shingle_sets([text])[0] == whole).all()
 
 

@@ -14,7 +14,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from leafmill.llm import bpe, exact_dedup, language_id, packing, pii, queries, secret_scan, spans, suffix_dedup, url_filter
+from leafmill.llm import bpe, exact_dedup, hashing, language_id, packing, pii, queries, secret_scan, spans, suffix_dedup, url_filter
 from tests import oracle
 from tests.conftest import SF_DIR
 from tests.llm.util import by_id, docs, read, with_clashes
@@ -319,18 +319,60 @@ def test_span_queries(spark, query, plain, kinds):
         assert set(filter(None, base.split(","))) <= set(filter(None, got[i]["spans"].split(",")))
 
 
+def context_spans(got, texts):
+    return {i: [texts[i - 1][int(a) : int(b)] for kind, a, b in (x.split(":") for x in filter(None, r["spans"].split(","))) if kind == "context"] for i, r in got.items()}
+
+
 def test_pii_finds_unseen_identifiers(spark):
-    """Contexts of known identifiers find tokens of other forms in the same place."""
-    known = [f"please write to agent number user{k}@example.com today" for k in range(30)]
-    unseen = ["and write to agent number QX-77-K91 again", "room 12345 is free"]
-    got = by_id(pii.find_personal_data(with_clashes(docs(spark, known + unseen + [None, ""]))))
-    a = unseen[0].index("QX")
-    assert got[31]["spans"] == f"context:{a}:{a + 9}" and got[32]["spans"] == "" and got[33]["spans"] == ""
+    """Patterns of known identifiers find tokens of other forms in the same place, and these bring patterns of their own."""
+    texts = [f"please write to agent number user{k}@example.com today" for k in range(30)]
+    texts += ["and write to agent number QX-77-K91 again", "show your badge code QX-77-K91, please", "the badge code ZZ-99-K44 was lost", "in short (ZZ-99-K44) it is", "room 12345 is free", None, ""]
+    got = by_id(pii.find_personal_data(with_clashes(docs(spark, texts))))
+    found = context_spans(got, texts)
+    assert {i: f for i, f in found.items() if f} == {31: ["QX-77-K91"], 32: ["QX-77-K91"], 33: ["ZZ-99-K44"], 34: ["ZZ-99-K44"]}
     assert got[1]["spans"].startswith("email:") and got[1]["n_email"] == 1
+    one_round = context_spans(by_id(pii.find_personal_data(docs(spark, texts), rounds=1)), texts)
+    assert {i for i, f in one_round.items() if f} == {31, 32}
     assert pii.find_personal_data(docs(spark, ["x"]).limit(0)).count() == 0
     assert pii.find_personal_data(docs(spark, [(1, "a@b.c"), (1, "none"), (None, "x@y.z")])).count() == 3
 
 
+def test_pii_words_beside_anything_are_no_pattern(spark):
+    """Words that stand beside ordinary words too, and the bounds of a text, make no identifier."""
+    texts = [f"the user{k}@example.com wrote" for k in range(40)] + ["the 987654321 wrote"] + ["the cat wrote"] * 30
+    texts += [f"user{k}@example.org" for k in range(40)] + ["123456789", "4111111111111112"]
+    got = context_spans(by_id(pii.find_personal_data(docs(spark, texts))), texts)
+    assert not any(got.values())
+    # without the cats both sides are sure
+    fewer = texts[:41]
+    assert context_spans(by_id(pii.find_personal_data(docs(spark, fewer))), fewer)[41] == ["987654321"]
+
+
+def test_pii_long_tokens_and_contexts(spark):
+    long = "w" * 3000
+    texts = [f"{long} agent key user{k}@example.com" for k in range(9)] + [f"{long} agent key {'A1b2' * 100}"]
+    assert context_spans(by_id(pii.find_personal_data(docs(spark, texts))), texts)[10] == ["A1b2" * 100]
+
+
+def test_pii_counts_word_sequences(spark):
+    """Against plain counting, for every sequence of one to three words of the documents that a text has."""
+    rows = read(spark, "/root/testdata/sf0.001")
+    texts = [r["text"] for r in rows.collect()]
+    split = [re.findall(r"[^\x20\x09-\x0D]+", t.translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"))) for t in texts]
+    counts, hashes = {}, {}
+    for words, own in zip(split, hashing.text_words([t.encode() for t in texts]), strict=True):
+        for n, row in enumerate(pii.sequences(own), 1):
+            for at, h in enumerate(row.view(np.int64).tolist()):
+                key = tuple(words[at : at + n])
+                counts[key] = counts.get(key, 0) + 1
+                assert hashes.setdefault(key, h) == h
+    assert len(set(hashes.values())) == len(hashes)
+    some = sorted(counts, key=lambda k: (-counts[k], k))[::37]
+    wanted = spark.createDataFrame([(hashes[k],) for k in some] + [(2,)], "sequence long")
+    got = {r["sequence"]: r["total"] for r in pii.count_sequences(rows, wanted).collect()}
+    assert got == {hashes[k]: counts[k] for k in some}
+
+
 def test_pii_long_runs_are_linear():
     for text in ("a" * 300_000, "1" * 300_000, "1." * 150_000, "@" * 100_000, "+1" + " (" * 100_000, "a@" * 100_000, "9 " * 150_000):
         pii.base_spans(text)
