@@ -5,6 +5,9 @@ record declares, the suffix of its address and its host.  The last three count b
 from all rows by grouped aggregation: how often a declaration or suffix goes with a language, smoothed, and
 the share of languages of a host, smoothed towards its parent domain and that towards the whole.  A class of no
 language, in which every trigram is as likely as any other, takes what isn't prose.
+
+Where the label that the text model is fitted on is declared evidence as well, models are fitted in folds of the ids:
+a document's text is scored by the model of the other folds, so that its own label isn't evidence twice.
 """
 
 from __future__ import annotations
@@ -24,8 +27,10 @@ NONE = "und"
 BUCKETS = 1 << 15
 #: Labelled rows of each label that the text model is fitted on, about; all rows of a label that has no more.
 MAX_TRAINING = 4000
-#: Code points of each training text that count.
-TRAINING_CHARS = 20_000
+#: A label of so few rows has all of them in every fold's model, or some fold might not know it.
+FEW = 200
+#: Labels that a text model may have: a table of BUCKETS numbers for each reaches the driver.
+MAX_LABELS = 256
 #: Trigrams overlap and follow one another, so each counts as a part of one independent observation.
 TEMPER = 0.25
 #: Bytes scored at once.
@@ -86,44 +91,65 @@ def label_sample(rows: DataFrame, max_rows: int) -> DataFrame:
     rows = rows.withColumn("_hash", F.pmod(F.xxhash64("_id", "text"), F.lit(1 << 40)))
     labels = rows.groupBy("label").agg(F.count("*").alias("_n"), F.min("_hash").alias("_least"))
     upto = F.greatest(F.col("_least"), F.when(F.col("_n") <= max_rows, F.lit((1 << 40) - 1)).otherwise((F.lit(float(max_rows)) / F.col("_n") * (1 << 40)).cast("long")))
-    labels = materialize(labels.select(F.col("label").alias("_label"), upto.alias("_upto")), "labels")
+    labels = materialize(labels.select(F.col("label").alias("_label"), "_n", upto.alias("_upto")), "labels")
+    if labels.count() > MAX_LABELS:
+        raise ValueError(f"over {MAX_LABELS} labels; name those that are languages")
     return rows.join(bounded(labels), F.col("label") == F.col("_label")).where(F.col("_hash") <= F.col("_upto"))
 
 
-def fit_text_model(docs: DataFrame, label_col: str = "lang", id_col: str = "doc_id", text_col: str = "text", languages: Sequence[str] | None = None, max_rows: int = MAX_TRAINING) -> TextModel:
-    """Fit on about ``max_rows`` labelled rows of each label, and never none; a row without label or text isn't one.
+def fold_of(identifier: Column, folds: int) -> Column:
+    return F.pmod(F.xxhash64(identifier.cast("string"), F.lit("fold")), F.lit(folds)).cast("int")
+
+
+def fit_text_models(docs: DataFrame, folds: int = 2, label_col: str = "lang", id_col: str = "doc_id", text_col: str = "text", languages: Sequence[str] | None = None, max_rows: int = MAX_TRAINING, few: int = FEW) -> list[TextModel]:
+    """A model for each fold of ids, fitted on the other folds' labelled rows; with one fold, on all rows.
 
-    Counts are summed by Spark; what reaches the driver is BUCKETS numbers for each language.
+    Fitted on about ``max_rows`` labelled rows of each label, and never none; a row without label or text isn't one.
+    Counts are summed by Spark; what reaches the driver is BUCKETS numbers for each language and fold, of at most
+    ``MAX_LABELS`` languages (checked).
     """
     rows = picked(docs, _id=id_col, text=text_col, label=label_col)
-    rows = rows.select("_id", F.substring(F.col("text").cast("string"), 1, TRAINING_CHARS).alias("text"), F.col("label").cast("string").alias("label"))
+    rows = rows.select("_id", F.col("text").cast("string").alias("text"), F.col("label").cast("string").alias("label"))
     rows = rows.where(F.col("text").isNotNull() & F.col("label").isNotNull() & (F.col("label") != NONE))
     if languages is not None:
         rows = rows.where(F.col("label").isin(list(languages)))
-    rows = label_sample(rows, max_rows).select("label", "text")
+    rows = label_sample(rows, max_rows)
+    rows = rows.select("label", "text", F.when(F.col("_n") <= few, -1).otherwise(fold_of(F.col("_id"), folds)).alias("fold"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[str, np.ndarray] = {}
+        sums: dict[tuple, np.ndarray] = {}
         for b in slices(batches):
-            for label, text in zip(b.column("label").to_pylist(), utf8(b.column("text")), strict=True):
+            for label, fold, text in zip(b.column("label").to_pylist(), b.column("fold").to_pylist(), utf8(b.column("text")), strict=True):
                 # once a text, so that no text that repeats itself stands for its label
-                got = np.minimum(np.bincount(trigram_buckets(np.frombuffer(folded(text), np.uint8)), minlength=BUCKETS), 1)
-                sums[label] = sums.get(label, 0) + got
-        for label, got in sums.items():
+                got = np.zeros(BUCKETS, np.int64)
+                for at in range(0, max(1, len(text)), SCORED):
+                    got[trigram_buckets(np.frombuffer(folded(text[at : at + SCORED]), np.uint8))] = 1
+                sums[label, fold] = sums.get((label, fold), 0) + got
+        for (label, fold), got in sums.items():
             at = np.flatnonzero(got)
-            yield pa.RecordBatch.from_arrays([pa.array([label] * len(at), pa.string()), pa.array(at, pa.int32()), pa.array(got[at], pa.int64())], ["label", "bucket", "n"])
+            columns = pa.array([label] * len(at), pa.string()), pa.array([fold] * len(at), pa.int32()), pa.array(at, pa.int32()), pa.array(got[at], pa.int64())
+            yield pa.RecordBatch.from_arrays(list(columns), ["label", "fold", "bucket", "n"])
 
-    counts = rows.mapInArrow(run, "label string, bucket int, n long").groupBy("label", "bucket").agg(F.sum("n").alias("n")).toPandas()
+    counts = rows.mapInArrow(run, "label string, fold int, bucket int, n long").groupBy("label", "fold", "bucket").agg(F.sum("n").alias("n")).toPandas()
     found = tuple(sorted(counts["label"].unique()))
-    table = np.zeros((BUCKETS, len(found)))
-    for k, label in enumerate(found):
-        own = counts[counts["label"] == label]
-        table[own["bucket"].to_numpy(), k] = own["n"].to_numpy()
-    table[int(trigram_buckets(np.frombuffer(b"   ", np.uint8))[0])] = 0
-    likely = (table + 0.05) / (table.sum(0) + 0.05 * BUCKETS)
-    ratios = np.log(likely * BUCKETS).astype(np.float32)
-    ratios[int(trigram_buckets(np.frombuffer(b"   ", np.uint8))[0])] = 0
-    return TextModel(found, ratios)
+    models = []
+    for k in range(folds):
+        table = np.zeros((BUCKETS, len(found)))
+        for j, label in enumerate(found):
+            own = counts[(counts["label"] == label) & ((counts["fold"] != k) | (folds == 1))]
+            np.add.at(table[:, j], own["bucket"].to_numpy(), own["n"].to_numpy())
+        blank = int(trigram_buckets(np.frombuffer(b"   ", np.uint8))[0])
+        table[blank] = 0
+        likely = (table + 0.05) / (table.sum(0) + 0.05 * BUCKETS)
+        ratios = np.log(likely * BUCKETS).astype(np.float32)
+        ratios[blank] = 0
+        models.append(TextModel(found, ratios))
+    return models
+
+
+def fit_text_model(docs: DataFrame, **options) -> TextModel:
+    """One model of all labelled rows, for documents that aren't among them; options as of ``fit_text_models``."""
+    return fit_text_models(docs, folds=1, **options)[0]
 
 
 def parent_of(host: Column) -> Column:
@@ -133,7 +159,7 @@ def parent_of(host: Column) -> Column:
 
 def identify(
     docs: DataFrame,
-    model: TextModel,
+    model: TextModel | Sequence[TextModel],
     id_col: str = "doc_id",
     text_col: str = "text",
     declared_col: str | None = "lang",
@@ -146,17 +172,22 @@ def identify(
 
     language is the class of the greatest posterior, ``und`` if that is no language; accepted: a language, of
     at least ``min_confidence``.  A text that is null or without letters has no evidence of its own: it is
-    ``und`` whatever is declared.  Ties go to the first language in alphabetical order; repeated rows give
+    ``und`` whatever is declared.  Several models are those of ``fit_text_models``, each for its fold of ids.  Ties go to the first language in alphabetical order; repeated rows give
     repeated results; an empty table gives none.
     """
-    names = [*model.languages, NONE]
+    models = [model] if isinstance(model, TextModel) else list(model)
+    names = [*models[0].languages, NONE]
     read = picked(docs, doc_id=id_col, text=text_col, declared=declared_col, host=host_col, suffix=suffix_col)
     extra = [F.coalesce(F.lower(F.col(c).cast("string")), F.lit("")).alias(c) for c in ("declared", "host", "suffix")]
-    read = read.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *extra)
+    read = read.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *extra, fold_of(F.col("doc_id"), len(models)).alias("fold"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
-            sums, counts = model.score(utf8(b.column("text")))
+            texts, folds = utf8(b.column("text")), b.column("fold").to_numpy()
+            sums, counts = np.zeros((len(texts), len(names) - 1)), np.zeros(len(texts), np.int64)
+            for k, one in enumerate(models):
+                own = np.flatnonzero(folds == k)
+                sums[own], counts[own] = one.score([texts[i] for i in own])
             likely = np.hstack([TEMPER * sums, np.zeros((len(counts), 1))])
             arrays = [b.column("doc_id"), b.column("declared"), b.column("host"), b.column("suffix"), pa.array(counts, pa.int64()), pa.array(list(likely), pa.list_(pa.float64()))]
             yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "declared", "host", "suffix", "n_grams", "likely"])

@@ -43,15 +43,15 @@ def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    return language_id.identify(docs, language_id.fit_text_model(docs))
+    return language_id.identify(docs, language_id.fit_text_models(docs))
 
 
 def page_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same operator with all four kinds of evidence, on web pages."""
     pages = language_id.page_columns(table(spark, sf_dir, "pages"))
     names = {"id_col": "page_id", "text_col": "_text"}
-    model = language_id.fit_text_model(pages, label_col="_declared", **names)
-    return language_id.identify(pages, model, declared_col="_declared", host_col="_host", suffix_col="_suffix", **names).withColumnRenamed("doc_id", "page_id")
+    models = language_id.fit_text_models(pages, label_col="_declared", **names)
+    return language_id.identify(pages, models, declared_col="_declared", host_col="_host", suffix_col="_suffix", **names).withColumnRenamed("doc_id", "page_id")
 
 
 def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

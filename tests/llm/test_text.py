@@ -280,7 +280,6 @@ def plain_pii(text):
 
 
 def plain_secrets(text):
-    letters = "".join(f"[{c}{c.upper()}]" for c in "x")  # noqa: F841
     either = lambda word: "".join(f"[{c}{c.upper()}]" for c in word)
     names = "|".join([*(either(w) for w in ("password", "passwd", "secret", "token")), either("api") + "_?" + either("key")])
     out = [(*m.span(), "assign") for m in re.finditer(rf"""({names})["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", text) if len(m[2]) >= 6]
@@ -518,10 +517,73 @@ def test_language_text_scores_by_hand(spark):
     folded = b" " + bytes(c if c >= 128 else ord(chr(c).lower()) if chr(c).isalpha() else 32 for c in text) + b" "
     buckets = [((a << 16 | b << 8 | c) * 2_654_435_761 & 0xFFFFFFFF) >> 17 for a, b, c in zip(folded, folded[1:], folded[2:], strict=False)]
     scores, counts = model.score([text])
-    assert counts[0] == sum(b != 0 or True for b in buckets) - sum(folded[i : i + 3] == b"   " for i in range(len(folded) - 2))
+    assert counts[0] == len(buckets) - sum(folded[i : i + 3] == b"   " for i in range(len(folded) - 2))
     assert np.allclose(scores[0], model.ratios[buckets].sum(0, dtype=float), atol=1e-3)
 
 
+def test_language_models_of_folds(spark):
+    """A fold's model has its other rows only; a label of few rows is in all of them."""
+    rows = read(spark, SF_DIR)
+    fold = {r["doc_id"]: r["f"] for r in rows.select("doc_id", language_id.fold_of(rows["doc_id"], 2).alias("f")).collect()}
+    models = language_id.fit_text_models(rows, few=0)
+    for k in (0, 1):
+        ids = [i for i, f in fold.items() if f != k]
+        alone = language_id.fit_text_model(rows.where(rows["doc_id"].isin(ids)))
+        assert models[k].languages == alone.languages and np.array_equal(models[k].ratios, alone.ratios)
+    got = by_id(language_id.identify(rows, models))
+    lang = {r["doc_id"]: r["lang"] for r in rows.collect()}
+    assert np.mean([g["language"] == lang[i] for i, g in got.items()]) > 0.99
+    few = language_id.fit_text_models(rows.where("lang in ('en', 'es')"), few=110)  # es has 106 rows
+    assert np.array_equal(few[0].ratios[:, 1], few[1].ratios[:, 1]) and not np.array_equal(few[0].ratios[:, 0], few[1].ratios[:, 0])
+    many = rows.selectExpr("doc_id", "text", "concat(lang, doc_id) as lang")
+    with pytest.raises(ValueError, match="labels"):
+        language_id.fit_text_models(many)
+
+
+def plain_posterior(rows, model, weight=10.0):
+    """The fused posterior in plain arithmetic, from rows (id, text, declared, host, suffix)."""
+    names = [*model.languages, "und"]
+    size, out = len(names), {}
+    sums, grams = model.score([(r[1] or "").encode() for r in rows])
+    likely = [[0.25 * x for x in s] + [0.0] for s in sums]
+    classes = [max(range(size), key=lambda k: (v[k], -k)) for v in likely]
+    count = lambda pick, value: [sum(1 for r, c in zip(rows, classes, strict=True) if c == k and pick(r) == value) for k in range(size)]
+    norm = lambda xs: [x / sum(xs) for x in xs]
+    total = [classes.count(k) for k in range(size)]
+    overall = [(n + 1) / (len(rows) + size) for n in total]
+    host, parent = (lambda r: (r[3] or "").lower()), (lambda r: ".".join(h.split(".")[-2:]) if len((h := (r[3] or "").lower()).split(".")) > 2 else "")
+    for r, scores, n in zip(rows, likely, grams, strict=True):
+        above = norm([c + weight * o for c, o in zip(count(parent, parent(r)), overall, strict=True)])
+        prior = norm([c + weight * a for c, a in zip(count(host, host(r)), above, strict=True)])
+        fused = [s + np.log(p) for s, p in zip(scores, prior, strict=True)]
+        for pick in (lambda x: (x[2] or "").lower(), lambda x: (x[4] or "").lower()):
+            if pick(r):
+                fused = [f + np.log((c + weight * 0.01) / (t + weight)) for f, c, t in zip(fused, count(pick, pick(r)), total, strict=True)]
+        best = max(range(size), key=lambda k: (fused[k], -k))
+        share = 1 / sum(np.exp(f - fused[best]) for f in fused)
+        out[r[0]] = (names[best], share) if n else ("und", 1.0)
+    return out
+
+
+def test_language_posterior_by_hand(spark):
+    """All four kinds of evidence fused, against plain arithmetic; nulls, repeated and very long texts among them."""
+    rng = random.Random(6)
+    texts = [(r["text"], r["lang"]) for r in read(spark, SF_DIR).limit(120).collect()]
+    rows = []
+    for i, (text, lang) in enumerate(texts, 1):
+        short = text[: rng.choice([1, 2, 3, 5, 400])]
+        host = rng.choice(["a.x.org", "b.x.org", f"{lang}.site.net", "x.org", "", None])
+        rows.append((i, short, rng.choice([lang, lang, "en", "", None]), host, rng.choice([lang, "com", "", None])))
+    rows += [(901, None, "en", "a.x.org", "com"), (902, "", "fr", None, None), (903, "12 34", "de", "x.org", "de"), (904, texts[0][0] * 400, "en", "b.x.org", "com"), (905, rows[0][1], rows[0][2], rows[0][3], rows[0][4])]
+    table = spark.createDataFrame(rows, "doc_id long, text string, lang string, host string, suffix string")
+    model = language_id.fit_text_model(read(spark, SF_DIR))
+    got = by_id(language_id.identify(with_clashes(table), model, host_col="host", suffix_col="suffix"))
+    want = plain_posterior(rows, model)
+    assert {i: g["language"] for i, g in got.items()} == {i: w[0] for i, w in want.items()}
+    assert all(abs(got[i]["confidence"] - w[1]) < 1e-6 for i, w in want.items())
+    assert len({w[0] for w in want.values()}) >= 4 and any(w[1] < 0.9 for w in want.values())
+
+
 def test_page_languages(spark):
     got = by_id(queries.page_languages(spark, SF_DIR), "page_id")
     declared = {r["page_id"]: re.search('lang="(..)"', r["html"])[1] for r in read(spark, SF_DIR, "pages").collect()}
