@@ -27,7 +27,7 @@ def wide_rows(spark: SparkSession) -> None:
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in no known language, or in none for sure, go."""
     wide_rows(spark)
-    found = language_id.identify(docs, language_id.fit_text_model(docs))
+    found = language_id.identify(docs, language_id.fit_text_models(docs))
     return without(docs, found.where("not accepted"))
 
 
