@@ -225,9 +225,9 @@ def accepted_instances(graph: DataFrame, count, rounds: int, min_support: float,
         found = graph.where("not seed").join(sure, "pattern").groupBy("instance").agg((1 - F.exp(doubt)).alias("score"))
         before, accepted = accepted, materialize(accepted.unionByName(found).groupBy("instance").agg(F.max("score").alias("score")), "accepted")
         release(before, hopeful, new, sure)
-        if accepted.count() == known:
+        known, was = accepted.count(), known
+        if known == was:
             break
-        known = accepted.count()
     return accepted
 
 

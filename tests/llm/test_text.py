@@ -407,6 +407,54 @@ def test_structural_confirmation(spark):
     assert secret_scan.scan_secrets(docs(spark, ["x"]).limit(0)).count() == 0
 
 
+def made_keys(rng):
+    """(kind, DER or token bytes) of random keys of every form."""
+    number = lambda n: der(2, bytes([rng.randrange(1, 127)]) + rng.randbytes(n - 1))
+    algorithm = der(0x30, der(6, b"\x2a\x86\x48\x86\xf7\x0d\x01\x01\x01"), der(5))
+    rsa = der(0x30, der(2, b"\0"), *[number(rng.randrange(20, 130)) for _ in range(8)])
+    yield "private_key", rsa
+    yield "private_key", der(0x30, der(2, b"\0"), algorithm, der(4, rsa))
+    yield "private_key", der(0x30, der(2, b"\0"), *[number(rng.randrange(20, 130)) for _ in range(5)])
+    yield "private_key", der(0x30, der(2, b"\1"), der(4, rng.randbytes(32)), der(0xA0, der(6, b"\x2a\x86\x48\xce\x3d")))
+    yield "private_key", der(0x30, der(0x30, der(6, b"\x2a\x86\x48\x86\xf7\x0d\x01\x05\x0d"), der(0x30, number(8))), der(4, rng.randbytes(64)))
+    yield "public_key", der(0x30, algorithm, der(3, b"\0" + rng.randbytes(rng.randrange(60, 200))))
+    field = lambda x: len(x).to_bytes(4, "big") + x
+    yield "ssh_key", b"openssh-key-v1\0" + field(b"none") + field(b"none") + field(b"") + b"\0\0\0\1" + field(rng.randbytes(51))
+    yield "ssh_key", field(b"ssh-ed25519") + field(rng.randbytes(32))
+
+
+def test_structural_confirmation_on_made_keys():
+    """Every made key is found in every writing, near misses of the same length aren't."""
+    rng, found, missed, wrong = random.Random(11), 0, [], []
+    for _ in range(40):
+        for kind, data in made_keys(rng):
+            b64 = base64.b64encode(data).decode()
+            lines = re.findall(".{1,64}", b64)
+            block = lambda sep, head="": f"-----BEGIN {label}-----{sep}{head}{sep.join(lines)}{sep}-----END {label}-----"  # noqa: B023, E731
+            label = rng.choice(["PRIVATE KEY", "RSA PRIVATE KEY", "A LABEL THAT IS LONGER THAN FORTY LETTERS IN ALL PRIVATE KEY"])
+            for text in (b64, base64.urlsafe_b64encode(data).decode().rstrip("="), data.hex(), data.hex().upper(), block("\n"), block("\r\n"), block("\\n"), block("\n", "Comment: made\nX-Y: 1\n\n")):
+                spans_ = [s for s in secret_scan.confirmed_spans(f'say "{text}" now') if s[3] == kind]
+                found += len(spans_) == 1 and (spans_[0][0], spans_[0][2]) == (5, 5 + len(text))
+                if len(spans_) != 1:
+                    missed.append((kind, text[:40]))
+            if kind != "ssh_key":
+                for bad in (data[:-1], data[:-1] + b"\0\0", data[:2] + bytes([data[2] ^ 1]) + data[3:], rng.randbytes(len(data)), b"\x31" + data[1:]):
+                    wrong += [kind for s in secret_scan.confirmed_spans(f"say {base64.b64encode(bad).decode()} now")]
+    assert not missed and not wrong and found == 40 * 8 * 8
+    sealed = "-----BEGIN RSA PRIVATE KEY-----\nProc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,00FF\n\n" + base64.b64encode(rng.randbytes(160)).decode() + "\n-----END RSA PRIVATE KEY-----"
+    assert [s[3] for s in secret_scan.confirmed_spans(sealed)] == ["private_key"]
+    assert secret_scan.confirmed_spans(sealed.replace("DEK-Info", "Other")) == []
+    token = lambda *parts: ".".join(base64.urlsafe_b64encode(json.dumps(p).encode()).decode().rstrip("=") for p in parts)
+    for head, payload, good in (({"alg": "RS256"}, {"a": 1}, True), ({"typ": "JWT"}, {"a": 1}, False), ({"alg": 1}, {}, False), (["alg"], {}, False), ({"alg": "none"}, [1], False)):
+        assert bool(secret_scan.confirmed_spans(f"({token(head, payload)}.{'s' * 43})")) == good
+
+
+def test_secrets_in_long_texts_are_linear():
+    for text in ("-----BEGIN A-----" * 60_000, "-----BEGIN A-----\n-----END A-----" * 30_000, "a" * 1_000_000, "ab.cd" * 200_000, "0" * 1_000_000, "3080" * 200_000, base64.b64encode(b"\x30\x82\xff\xff" * 200_000).decode(), base64.b64encode(b"\x30\x80" * 200_000).decode()):
+        secret_scan.base_spans(text)
+        secret_scan.confirmed_spans(text)
+
+
 def test_redaction(spark):
     table = docs(spark, ["the password: hunter22, ok", "clean", None, "AKIA" + "A" * 20 + " é " + "0123456789abcdef" * 2])
     got = by_id(secret_scan.redact_secrets(table))
