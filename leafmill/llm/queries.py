@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from leafmill.llm import bpe, exact_dedup, language_id, multi_index, packing, pii, secret_scan, setsketch_dedup, suffix_dedup, url_filter
 from leafmill.llm.common import table
@@ -28,11 +29,22 @@ def op4_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find_personal_data(table(spark, sf_dir, "documents")).drop("found")
 
 
+def personal_data_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What SQL can say of op4's result: all but the spans that the bootstrapping adds."""
+    return op4_personal_data(spark, sf_dir).drop("spans")
+
+
 def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = url_filter.fit(url_filter.labelled_urls(spark))
     return url_filter.judge_urls(table(spark, sf_dir, "pages"), model)
 
 
+def url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What SQL can say of op5's result: all but the model's own verdicts."""
+    judged = op5_url_filter(spark, sf_dir)
+    return judged.select("page_id", "host", "path", "rule", F.when(F.col("rule").isNotNull(), F.col("verdict")).alias("verdict"))
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_duplicates(table(spark, sf_dir, "documents"))
 
@@ -41,6 +53,11 @@ def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.scan_secrets(table(spark, sf_dir, "documents")).drop("found")
 
 
+def secret_scan_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What SQL can say of op7's result: all but the spans that are confirmed by their structure."""
+    return op7_secret_scan(spark, sf_dir).drop("spans")
+
+
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return language_id.identify(docs, language_id.fit_text_models(docs))
@@ -67,17 +84,89 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_setsketch": op2_setsketch,
     "op3_packing": op3_packing,
     "op4_personal_data": op4_personal_data,
+    "personal_data_base": personal_data_base,
     "op5_url_filter": op5_url_filter,
+    "url_rules": url_rules,
     "op6_exact_dedup": op6_exact_dedup,
     "op7_secret_scan": op7_secret_scan,
+    "secret_scan_base": secret_scan_base,
     "op8_language_id": op8_language_id,
     "page_languages": page_languages,
     "op9_suffix_dedup": op9_suffix_dedup,
     "op10_bpe": op10_bpe,
 }
 
-#: op6 in DuckDB; the others can't be said in SQL, or only in part.
+#: The smallest id that links reach, of tables nodes (id) and links (u, v) of both directions.
+_REACHED = """
+    reached(id, other) AS (SELECT id, id FROM nodes UNION SELECT r.id, l.v FROM reached r JOIN links l ON l.u = r.other),
+    components AS (SELECT id, min(other) AS component_id FROM reached GROUP BY id)
+"""
+
+
+def _spans(kinds: list[tuple[str, str, str]]) -> str:
+    """doc_id, counts and base_sha256 from patterns (kind, pattern, condition on a match m).
+
+    Splitting by a pattern gives what stands between its matches, so places are sums of lengths.
+    """
+    found = []
+    for rank, (kind, pattern, good) in enumerate(kinds):
+        between = f"string_split_regex(t, '{pattern}')"
+        begin = "list_sum(list_transform(between[1:k], lambda x: length(x))) + coalesce(list_sum(list_transform(matches[1:k - 1], lambda x: length(x))), 0)"
+        found.append(f"""
+            SELECT doc_id, {rank} AS rank, '{kind}' AS kind, matches[k] AS m, ({begin})::BIGINT AS a, ({begin} + length(matches[k]))::BIGINT AS b
+            FROM (SELECT doc_id, {between} AS between, regexp_extract_all(t, '{pattern}') AS matches, unnest(range(1, len(matches) + 1)) AS k FROM texts) WHERE {good}""")
+    counts = ", ".join(f"count(*) FILTER (kind = '{kind}') AS n_{kind}" for kind, _, _ in kinds)
+    return f"""
+        WITH texts AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), found AS ({" UNION ALL ".join(found)})
+        SELECT doc_id, {counts}, sha256(coalesce(string_agg(kind || ':' || a || ':' || b, ',' ORDER BY a, rank), '')) AS base_sha256
+        FROM texts LEFT JOIN found USING (doc_id) GROUP BY doc_id
+    """
+
+
+_DIGITS = "regexp_replace(m, '[^0-9]', '', 'g')"
+_LUHN = f"""list_sum(list_transform(range(1, length({_DIGITS}) + 1), lambda i: CASE WHEN i % 2 = 1 THEN {_DIGITS}[-i]::INT ELSE (2 * {_DIGITS}[-i]::INT) // 10 + (2 * {_DIGITS}[-i]::INT) % 10 END)) % 10 = 0"""
+_SECRET = r"""(?:[pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])["'']?\x20*[:=]\x20*["'']?"""
+_VALUE = "[A-Za-z0-9+/_.=-]+"
+
+#: DuckDB SQL.  Tokens (op3, op10), a fitted model's verdicts (op5, op8), bootstrapped (op4) and decoded spans (op7) are beyond
+#: it, and op9's 100-byte strings of all texts are too many: those are tested against brute force.
 ORACLES: dict[str, str] = {
+    "op1_multi_index": f"""
+        WITH RECURSIVE nodes AS (SELECT DISTINCT vec_id AS id FROM embeddings),
+        vectors AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings WHERE list_sum(list_transform(embedding, lambda x: abs(x))) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+        links AS (SELECT a.vec_id AS u, b.vec_id AS v FROM vectors a JOIN vectors b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e) AND list_cosine_similarity(a.e, b.e) >= 0.95), {_REACHED}
+        SELECT id AS vec_id, (SELECT count(*) FROM links WHERE u = id) AS n_links, component_id, id = component_id AS kept FROM components
+    """,
+    "op2_setsketch": f"""
+        WITH RECURSIVE nodes AS (SELECT doc_id AS id FROM documents),
+        words AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+        sets AS (SELECT doc_id, list_distinct(CASE WHEN len(w) < 2 THEN w ELSE list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) END) AS s, len(s) AS n FROM words),
+        near AS (SELECT a.doc_id AS a, b.doc_id AS b, a.n + b.n AS total, len(list_intersect(a.s, b.s)) AS shared
+                 FROM sets a JOIN sets b ON a.doc_id < b.doc_id AND a.n > 0 AND 100 * a.n >= 80 * b.n AND 100 * b.n >= 80 * a.n),
+        linked AS (SELECT a, b FROM near WHERE 100 * shared >= 80 * (total - shared)),
+        links AS (SELECT a AS u, b AS v FROM linked UNION ALL SELECT b, a FROM linked), {_REACHED}
+        SELECT id AS doc_id, n AS n_shingles, component_id, id = component_id AS kept FROM components JOIN sets ON doc_id = id
+    """,
+    "personal_data_base": _spans([
+        ("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+", "true"),
+        ("ip", r"[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)", "len(list_filter(string_split(m, '.'), lambda x: x::HUGEINT > 255)) = 0"),
+        ("card", r"[0-9](?:[\x20-]?[0-9])+", f"length({_DIGITS}) BETWEEN 12 AND 19 AND {_LUHN}"),
+        ("phone", r"\+[0-9][\x20().0-9-]+[0-9]", f"length({_DIGITS}) BETWEEN 9 AND 15"),
+    ]),
+    "secret_scan_base": _spans([
+        ("assign", _SECRET + _VALUE, f"length(regexp_extract(m, '{_SECRET}({_VALUE})', 1)) >= 6"),
+        # runs under the least length hold no match
+        ("access", "AKIA[A-Z0-9]{16,}", "true"),
+        ("hex", "[0-9a-f]{24,}", "true"),
+    ]),
+    "url_rules": r"""
+        WITH parts AS (SELECT page_id, translate(regexp_extract(coalesce(url, ''), '://([^/?#]*)([^?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+          regexp_extract(coalesce(url, ''), '://([^/?#]*)([^?#]*)', 2) AS path FROM pages),
+        rules(verdict, rule, domain, prefix) AS (VALUES ('allow', 'com/', 'com', '/'), ('block', 'example.com/en/', 'example.com', '/en/'), ('allow', 'www.example.com/en/', 'www.example.com', '/en/'),
+          ('block', 'net/es/', 'net', '/es/'), ('block', 'net/fr/', 'net', '/fr/'))
+        SELECT page_id, host, path, r.rule, r.verdict FROM parts LEFT JOIN LATERAL (SELECT rule, verdict FROM rules
+          WHERE (host = domain OR ends_with(host, '.' || domain)) AND starts_with(path, prefix) ORDER BY length(rule) DESC LIMIT 1) r ON true
+    """,
     "op6_exact_dedup": r"""
         WITH t AS (
             SELECT doc_id, length(coalesce(text, '')) AS n, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') AS norm FROM documents

@@ -26,9 +26,10 @@ ODD_TEXTS = ["", None, " \t\n\x0b\x0c\r", "a", "<|endoftext|> x<|startoftext|>",
 # exact deduplication
 
 
-def test_exact_matches_sql(spark):
+@pytest.mark.parametrize("name", sorted(queries.ORACLES))
+def test_queries_match_sql(name, spark):
     con = oracle.connect(SF_DIR)
-    assert oracle.differences(queries.op6_exact_dedup(spark, SF_DIR), queries.ORACLES["op6_exact_dedup"], con) == ""
+    assert oracle.differences(queries.QUERIES[name](spark, SF_DIR), queries.ORACLES[name], con) == ""
 
 
 @pytest.mark.parametrize("prime", [exact_dedup.PRIME, 3])
