@@ -7,19 +7,21 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from leafmill.operators.names import free, fresh
 
-def top_k(df: DataFrame, by: Sequence[str], order: Sequence[Column], k: int) -> DataFrame:
-    """The first k rows of each group; give a unique last order column.
+
+def top_k(df: DataFrame, by: Sequence[str], order: Sequence[Column], k: int, name: str = "rank") -> DataFrame:
+    """The first k rows of each group with their rank, from 1; give a unique last order column.
 
     Spark limits each task's groups before the shuffle (a window group limit), so a hot group sends k rows a task.
     """
     w = Window.partitionBy(*by).orderBy(*order)
-    return df.withColumn("_rank", F.row_number().over(w)).where(F.col("_rank") <= k).withColumnRenamed("_rank", "rank")
+    return df.withColumn(free(df.columns, name), F.row_number().over(w)).where(F.col(name) <= k)
 
 
 def exact_distinct_by_group(df: DataFrame, by: Sequence[str], column: str, name: str) -> DataFrame:
     """count(DISTINCT column) by group in two sums: pairs first, which spreads a hot group over its values."""
-    return df.where(F.col(column).isNotNull()).groupBy(*by, column).agg(F.lit(1).alias("_one")).groupBy(*by).agg(F.count("*").alias(name))
+    return df.where(F.col(column).isNotNull()).groupBy(*by, column).agg(F.count("*")).groupBy(*by).agg(F.count("*").alias(name))
 
 
 def rollup_to_buckets(df: DataFrame, time: str, width: str, by: Sequence[str], aggregates: Sequence[Column]) -> DataFrame:
@@ -27,9 +29,10 @@ def rollup_to_buckets(df: DataFrame, time: str, width: str, by: Sequence[str], a
     return df.groupBy(F.window(F.col(time).cast("timestamp"), width)["start"].alias("bucket"), *by).agg(*aggregates)
 
 
-def sessions(df: DataFrame, by: Sequence[str], time: str, gap_seconds: int) -> DataFrame:
-    """df with ``session``, which goes up after each pause of more than ``gap_seconds`` of a key."""
+def sessions(df: DataFrame, by: Sequence[str], time: str, gap_seconds: int, name: str = "session") -> DataFrame:
+    """df with ``session`` (or another name), which goes up after each pause of more than ``gap_seconds`` of a key."""
     w = Window.partitionBy(*by).orderBy(time)
     pause = F.unix_micros(F.col(time).cast("timestamp")) - F.lag(F.unix_micros(F.col(time).cast("timestamp"))).over(w)
     new = F.when(pause > gap_seconds * 1_000_000, 1).otherwise(0)
-    return df.withColumn("_new", new).withColumn("session", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_new")
+    (mark,) = fresh([*df.columns, name], "new")
+    return df.withColumn(mark, new).withColumn(free(df.columns, name), F.sum(mark).over(w.rowsBetween(Window.unboundedPreceding, 0))).drop(mark)

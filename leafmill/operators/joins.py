@@ -7,22 +7,25 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from leafmill.operators.names import fresh
+
 
 def asof_join(left: DataFrame, right: DataFrame, on: Sequence[str], time: str, values: Sequence[str], tie: str | None = None) -> DataFrame:
     """Each left row with the values of the last right row of its key at or before its time.
 
     One shuffle on the key: both sides are united and a window carries the last right row forward.  Right rows of
-    equal time: the one with the greatest ``tie`` column counts.  Unmatched rows get nulls.  A hot key may be cut
+    equal time: the one with the greatest ``tie`` column counts, in that column's own order (nulls are least).  Unmatched rows get nulls.  A hot key may be cut
     into time buckets first by adding them to ``on`` where matches can't reach further back.
     """
     names = left.columns
-    carried = F.struct(*[F.col(v) for v in values])
-    rank = F.col(tie).cast("string") if tie else F.lit("")
-    a = left.select(*names, F.lit(None).cast(right.select(carried.alias("c")).schema["c"].dataType).alias("_c"), F.lit(1).alias("_side"), F.lit("").alias("_tie"))
-    b = right.select(*[F.col(n) if n in (*on, time) else F.lit(None).cast(left.schema[n].dataType).alias(n) for n in names], carried.alias("_c"), F.lit(0).alias("_side"), rank.alias("_tie"))
-    w = Window.partitionBy(*on).orderBy(time, "_side", "_tie").rowsBetween(Window.unboundedPreceding, 0)
-    both = a.unionByName(b).withColumn("_c", F.last("_c", ignorenulls=True).over(w)).where("_side = 1")
-    return both.select(*names, *[F.col("_c")[v].alias(f"asof_{v}") for v in values])
+    c, side, rank = fresh([*names, *right.columns], "c", "side", "tie")
+    carried, order = F.struct(*[F.col(v) for v in values]), F.col(tie) if tie else F.lit(None).cast("int")
+    kinds = right.select(carried.alias(c), order.alias(rank)).schema
+    a = left.select(*names, F.lit(None).cast(kinds[c].dataType).alias(c), F.lit(1).alias(side), F.lit(None).cast(kinds[rank].dataType).alias(rank))
+    b = right.select(*[F.col(n) if n in (*on, time) else F.lit(None).cast(left.schema[n].dataType).alias(n) for n in names], carried.alias(c), F.lit(0).alias(side), order.alias(rank))
+    w = Window.partitionBy(*on).orderBy(time, side, rank).rowsBetween(Window.unboundedPreceding, 0)
+    both = a.unionByName(b).withColumn(c, F.last(c, ignorenulls=True).over(w)).where(F.col(side) == 1)
+    return both.select(*names, *[F.col(c)[v].alias(f"asof_{v}") for v in values])
 
 
 def range_join(points: DataFrame, ranges: DataFrame, point: str, low: str, high: str, width: float, on: Sequence[str] = ()) -> DataFrame:
@@ -31,20 +34,22 @@ def range_join(points: DataFrame, ranges: DataFrame, point: str, low: str, high:
     A range is repeated once for each bucket it touches, so ``width`` should be about a range's usual length; a point
     has one bucket, so a pair is met once and the predicate is checked again.  Empty ranges match nothing.
     """
+    (name,) = fresh([*points.columns, *ranges.columns], "bucket")
     bucket = lambda c: F.floor(F.col(c).cast("double") / width)
-    cut = ranges.where(F.col(low) < F.col(high)).withColumn("_bucket", F.explode(F.sequence(bucket(low), bucket(high))))
-    dealt = points.withColumn("_bucket", bucket(point))
+    cut = ranges.where(F.col(low) < F.col(high)).withColumn(name, F.explode(F.sequence(bucket(low), bucket(high))))
+    dealt = points.withColumn(name, bucket(point))
     inside = (F.col(point) >= F.col(low)) & (F.col(point) < F.col(high))
-    return dealt.join(cut, [*on, "_bucket"]).where(inside).drop("_bucket")
+    return dealt.join(cut, [*on, name]).where(inside).drop(name)
 
 
 def interval_join(left: DataFrame, right: DataFrame, on: Sequence[str], left_time: str, right_time: str, seconds: int) -> DataFrame:
     """Pairs of one key whose times are at most ``seconds`` apart; right rows visit their own and both next buckets."""
+    (name,) = fresh([*left.columns, *right.columns], "bucket")
     bucket = lambda c: F.floor(F.unix_micros(F.col(c).cast("timestamp")) / F.lit(seconds * 1_000_000))
-    a = left.withColumn("_bucket", bucket(left_time))
-    b = right.withColumn("_bucket", F.explode(F.array(*[bucket(right_time) + k for k in (-1, 0, 1)])))
+    a = left.withColumn(name, bucket(left_time))
+    b = right.withColumn(name, F.explode(F.array(*[bucket(right_time) + k for k in (-1, 0, 1)])))
     apart = F.abs(F.unix_micros(F.col(left_time).cast("timestamp")) - F.unix_micros(F.col(right_time).cast("timestamp")))
-    return a.join(b, [*on, "_bucket"]).where(apart <= seconds * 1_000_000).drop("_bucket")
+    return a.join(b, [*on, name]).where(apart <= seconds * 1_000_000).drop(name)
 
 
 def salted_join(big: DataFrame, small: DataFrame, on: Sequence[str], salts: int, spread: Column, how: str = "inner") -> DataFrame:
@@ -54,6 +59,7 @@ def salted_join(big: DataFrame, small: DataFrame, on: Sequence[str], salts: int,
     """
     if how not in ("inner", "left", "left_semi", "left_anti"):
         raise ValueError(f"a repeated right side can't give a {how} join")
-    a = big.withColumn("_salt", F.pmod(F.xxhash64(spread), F.lit(salts)))
-    b = small.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))
-    return a.join(b, [*on, "_salt"], how).drop("_salt")
+    (salt,) = fresh([*big.columns, *small.columns], "salt")
+    a = big.withColumn(salt, F.pmod(F.xxhash64(spread), F.lit(salts)))
+    b = small.withColumn(salt, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))
+    return a.join(b, [*on, salt], how).drop(salt)

@@ -56,11 +56,11 @@ def right_outer(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nations.join(table(spark, sf_dir, "supplier"), F.col("s_nationkey") == F.col("n_nationkey"), "right").select("s_suppkey", "n_name")
 
 
-_SUPPLIED = "SELECT s_suppkey, count(*) AS n FROM supplier JOIN lineitem ON l_suppkey = s_suppkey WHERE l_quantity < 5 GROUP BY 1"
+_SUPPLIED = "SELECT s_suppkey, count(*) AS n FROM supplier JOIN lineitem ON l_suppkey = s_suppkey GROUP BY 1"
 
 
 def _supplied(spark: SparkSession, sf_dir: str, hint: str) -> DataFrame:
-    lines = table(spark, sf_dir, "lineitem").where("l_quantity < 5").select("l_suppkey")
+    lines = table(spark, sf_dir, "lineitem").select("l_suppkey")
     joined = lines.join(table(spark, sf_dir, "supplier").select("s_suppkey").hint(hint), F.col("l_suppkey") == F.col("s_suppkey"))
     return joined.groupBy("s_suppkey").agg(F.count("*").alias("n"))
 
@@ -75,10 +75,12 @@ def shuffle_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _supplied(spark, sf_dir, "shuffle_hash")
 
 
-@query("j_theta", "SELECT a.n_name AS a, b.n_name AS b FROM nation a JOIN nation b ON a.n_regionkey = b.n_regionkey AND a.n_nationkey < b.n_nationkey")
+@query("j_theta", "SELECT a.s_suppkey AS a, b.s_suppkey AS b FROM supplier a JOIN supplier b ON b.s_acctbal > a.s_acctbal AND b.s_acctbal < a.s_acctbal + 40")
 def theta(spark: SparkSession, sf_dir: str) -> DataFrame:
-    a, b = (table(spark, sf_dir, "nation").select("n_regionkey", F.col("n_nationkey").alias(f"{x}_key"), F.col("n_name").alias(x)) for x in "ab")
-    return a.join(b, "n_regionkey").where("a_key < b_key").select("a", "b")
+    """No equality at all: a range join, so that neither side is broadcast or crossed."""
+    s = table(spark, sf_dir, "supplier")
+    points, ranges = s.select(F.col("s_suppkey").alias("b"), "s_acctbal"), s.select(F.col("s_suppkey").alias("a"), F.col("s_acctbal").alias("lo"), (F.col("s_acctbal") + 40).alias("hi"))
+    return joins.range_join(points, ranges, "s_acctbal", "lo", "hi", 40.0).where("s_acctbal > lo").select("a", "b")
 
 
 @query("j_semi", "SELECT p_partkey, p_brand FROM part WHERE EXISTS (SELECT 1 FROM lineitem WHERE l_partkey = p_partkey AND l_quantity > 49)")
@@ -97,9 +99,10 @@ def anti(spark: SparkSession, sf_dir: str) -> DataFrame:
     "SELECT o_orderkey, o_totalprice FROM orders o WHERE o_totalprice > (SELECT 1.9 * avg(i.o_totalprice) FROM orders i WHERE i.o_custkey = o.o_custkey)",
 )
 def correlated(spark: SparkSession, sf_dir: str) -> DataFrame:
-    w = Window.partitionBy("o_custkey")
-    rows = table(spark, sf_dir, "orders").withColumn("_mean", F.avg("o_totalprice").over(w))
-    return rows.where(F.col("o_totalprice") > 1.9 * F.col("_mean")).select("o_orderkey", "o_totalprice")
+    """A correlated scalar subquery, which Spark turns into one aggregate and one join."""
+    o, i = table(spark, sf_dir, "orders").alias("o"), table(spark, sf_dir, "orders").alias("i")
+    mean = i.where(F.col("i.o_custkey") == F.col("o.o_custkey").outer()).select(F.avg("i.o_totalprice")).scalar()
+    return o.where(F.col("o.o_totalprice") > 1.9 * mean).select("o_orderkey", "o_totalprice")
 
 
 @query(
@@ -115,16 +118,31 @@ def asof(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joins.asof_join(left, right, ["user_id"], "ts", ["event_id"], tie="event_id").select("event_id", "user_id", "asof_event_id")
 
 
+@query(
+    "j_asof_ties",
+    """
+    SELECT event_id, user_id, asof_event_id, asof_value FROM (
+      SELECT c.event_id, c.user_id, v.event_id AS asof_event_id, v.value AS asof_value, row_number() OVER (PARTITION BY c.event_id ORDER BY v.h DESC NULLS LAST, v.event_id DESC) AS k
+      FROM (SELECT *, date_trunc('day', ts) AS h FROM events WHERE event_type = 'purchase') c LEFT JOIN (SELECT *, date_trunc('day', ts) AS h FROM events WHERE event_type = 'view') v ON c.user_id = v.user_id AND c.h >= v.h) WHERE k = 1
+    """,
+)
+def asof_ties(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Times cut to days, so that many right rows tie: the one of the greatest number counts."""
+    e = table(spark, sf_dir, "events").withColumn("ts", F.date_trunc("day", "ts"))
+    left, right = e.where("event_type = 'purchase'").select("event_id", "user_id", "ts"), e.where("event_type = 'view'").select("event_id", "user_id", "ts", "value")
+    return joins.asof_join(left, right, ["user_id"], "ts", ["event_id", "value"], tie="event_id").drop("ts")
+
+
 @query(
     "j_range",
     """
-    SELECT p_partkey, b.lo AS lo, b.hi AS hi FROM part JOIN (SELECT (c_custkey % 50 * 40)::DOUBLE AS lo, (c_custkey % 50 * 40 + 25 + c_custkey % 7)::DOUBLE AS hi FROM customer WHERE c_custkey <= 200) b
+    SELECT p_partkey, b.lo AS lo, b.hi AS hi FROM part JOIN (SELECT (c_custkey % 50 * 40)::DOUBLE AS lo, (c_custkey % 50 * 40 + 25 + c_custkey % 7)::DOUBLE AS hi FROM customer) b
     ON p_retailprice >= b.lo AND p_retailprice < b.hi
     """,
 )
 def range_(spark: SparkSession, sf_dir: str) -> DataFrame:
     lo = (F.col("c_custkey") % 50 * 40.0).alias("lo")
-    ranges = table(spark, sf_dir, "customer").where("c_custkey <= 200").select(lo, (F.col("c_custkey") % 50 * 40.0 + 25 + F.col("c_custkey") % 7).alias("hi"))
+    ranges = table(spark, sf_dir, "customer").select(lo, (F.col("c_custkey") % 50 * 40.0 + 25 + F.col("c_custkey") % 7).alias("hi"))
     return joins.range_join(table(spark, sf_dir, "part"), ranges, "p_retailprice", "lo", "hi", 30.0).select("p_partkey", "lo", "hi")
 
 
@@ -163,11 +181,13 @@ def salted(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "j_lateral",
-    "SELECT c_custkey, o.o_orderkey FROM customer, LATERAL (SELECT o_orderkey FROM orders WHERE o_custkey = c_custkey ORDER BY o_totalprice DESC, o_orderkey LIMIT 2) o WHERE c_nationkey = 3",
+    "SELECT c_custkey, o.o_orderkey FROM customer, LATERAL (SELECT o_orderkey FROM orders WHERE o_custkey = c_custkey ORDER BY o_totalprice DESC, o_orderkey LIMIT 2) o",
 )
 def lateral(spark: SparkSession, sf_dir: str) -> DataFrame:
-    own = table(spark, sf_dir, "orders").join(table(spark, sf_dir, "customer").where("c_nationkey = 3"), F.col("o_custkey") == F.col("c_custkey"))
-    return aggregates.top_k(own, ["c_custkey"], [F.col("o_totalprice").desc(), F.col("o_orderkey")], 2).select("c_custkey", "o_orderkey")
+    """A lateral subquery with a limit, which Spark turns into a window with a group limit before the shuffle."""
+    own = table(spark, sf_dir, "orders").where(F.col("o_custkey") == F.col("c.c_custkey").outer())
+    best = own.orderBy(F.col("o_totalprice").desc(), "o_orderkey").limit(2)
+    return table(spark, sf_dir, "customer").alias("c").lateralJoin(best).select("c_custkey", "o_orderkey")
 
 
 @query(
@@ -235,11 +255,10 @@ def pivot(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "a_unpivot",
-    "SELECT l_orderkey, l_linenumber, name, value FROM (SELECT l_orderkey, l_linenumber, l_quantity, l_tax FROM lineitem WHERE l_orderkey < 200) UNPIVOT (value FOR name IN (l_quantity, l_tax))",
+    "SELECT l_orderkey, l_linenumber, name, value FROM (SELECT l_orderkey, l_linenumber, l_quantity, l_tax, l_discount FROM lineitem) UNPIVOT (value FOR name IN (l_quantity, l_tax, l_discount))",
 )
 def unpivot(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "lineitem").where("l_orderkey < 200")
-    return rows.unpivot(["l_orderkey", "l_linenumber"], ["l_quantity", "l_tax"], "name", "value")
+    return table(spark, sf_dir, "lineitem").unpivot(["l_orderkey", "l_linenumber"], ["l_quantity", "l_tax", "l_discount"], "name", "value")
 
 
 @query(
@@ -366,22 +385,14 @@ def sort_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice").orderBy(F.col("o_totalprice").desc(), "o_orderkey").offset(10).limit(25)
 
 
-
-_SET = "SELECT c_nationkey AS k FROM customer WHERE c_custkey <= 120 {} SELECT s_nationkey AS k FROM supplier"
-
-
-def _set_sides(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    return table(spark, sf_dir, "customer").where("c_custkey <= 120").select(F.col("c_nationkey").alias("k")), table(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("k"))
-
-
-#: Whole tables; by nation and thousands of balance there are values that only one side has.
-_WHOLE_SET = "SELECT c_nationkey AS k, floor(c_acctbal / 1000)::BIGINT AS thousands FROM customer {} SELECT s_nationkey AS k, floor(s_acctbal / 1000)::BIGINT AS thousands FROM supplier"
+#: Whole tables; by nation and steps of balance there are values that only one side has.
+_SET = "SELECT c_nationkey AS k, floor(c_acctbal / {step})::BIGINT AS {name} FROM customer {set} SELECT s_nationkey AS k, floor(s_acctbal / {step})::BIGINT AS {name} FROM supplier"
 
 
-def _whole_set_sides(spark: SparkSession, sf_dir: str) -> list[DataFrame]:
+def _set_sides(spark: SparkSession, sf_dir: str, step: int, name: str) -> list[DataFrame]:
     return [
-        table(spark, sf_dir, name).select(F.col(f"{x}_nationkey").alias("k"), F.floor(F.col(f"{x}_acctbal") / 1000).cast("long").alias("thousands"))
-        for name, x in (("customer", "c"), ("supplier", "s"))
+        table(spark, sf_dir, t).select(F.col(f"{x}_nationkey").alias("k"), F.floor(F.col(f"{x}_acctbal") / step).cast("long").alias(name))
+        for t, x in (("customer", "c"), ("supplier", "s"))
     ]
 
 
@@ -393,8 +404,8 @@ for _name, _sql, _method in (
     ("s_except", "EXCEPT", lambda a, b: a.subtract(b)),
     ("s_except_all", "EXCEPT ALL", lambda a, b: a.exceptAll(b)),
 ):
-    query(_name, _SET.format(_sql))(lambda spark, sf_dir, _method=_method: _method(*_set_sides(spark, sf_dir)))
-    query(f"{_name}_whole", _WHOLE_SET.format(_sql))(lambda spark, sf_dir, _method=_method: _method(*_whole_set_sides(spark, sf_dir)))
+    for _suffix, _step, _column in (("", 250, "quarters"), ("_whole", 1000, "thousands")):
+        query(_name + _suffix, _SET.format(set=_sql, step=_step, name=_column))(lambda spark, sf_dir, _m=_method, _s=_step, _c=_column: _m(*_set_sides(spark, sf_dir, _s, _c)))
 
 
 @query("s_recursive", "WITH RECURSIVE t(n, f) AS (SELECT 1::BIGINT, 1::BIGINT UNION ALL SELECT n + 1, f * (n + 1) FROM t WHERE n < 15) SELECT n, f FROM t")

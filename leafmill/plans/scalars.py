@@ -113,22 +113,39 @@ def arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "f_words",
     """
-    SELECT word, count(*) AS n, count(DISTINCT doc_id) AS n_docs FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z]+')) AS word FROM documents WHERE lang = 'en')
+    SELECT word, count(*) AS n, count(DISTINCT doc_id) AS n_docs FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z]+')) AS word FROM documents)
     GROUP BY word HAVING count(*) >= 50
     """,
 )
 def words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "documents").where("lang = 'en'").select("doc_id", F.explode(scalar.bag_of_words(F.col("text"))).alias("word"))
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.explode(scalar.bag_of_words(F.col("text"))).alias("word"))
     per = rows.groupBy("word", "doc_id").agg(F.count("*").alias("_n"))
     return per.groupBy("word").agg(F.sum("_n").alias("n"), F.count("*").alias("n_docs")).where("n >= 50")
 
 
-@query("f_maps", "SELECT lang, source, count(*) AS n FROM documents GROUP BY ALL")
+@query(
+    "f_maps",
+    """
+    SELECT lang, upper(source) AS source, n * 10 + 1 AS n, count(*) OVER (PARTITION BY lang) AS n_kept, n_all, has_first, most FROM (
+      SELECT lang, source, count(*) AS n, count(*) OVER (PARTITION BY lang) AS n_all, bool_or(source = 'src0') OVER (PARTITION BY lang) AS has_first, max(count(*)) OVER (PARTITION BY lang) AS most
+      FROM documents GROUP BY lang, source) WHERE n % 2 = 1
+    """,
+)
 def maps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Maps made of groups, filtered, their keys and values changed, and asked for keys, values and size."""
     counts = table(spark, sf_dir, "documents").groupBy("lang", "source").agg(F.count("*").alias("n"))
     packed = counts.groupBy("lang").agg(F.map_from_entries(F.collect_list(F.struct("source", "n"))).alias("m"))
-    kept = packed.select("lang", F.map_filter("m", lambda k, v: v > 0).alias("m"))
-    return kept.select("lang", F.explode("m").alias("source", "n"))
+    kept = F.map_filter("m", lambda k, v: v % 2 == 1)
+    changed = F.transform_values(F.transform_keys(kept, lambda k, v: F.upper(k)), lambda k, v: v * 10 + 1)
+    asked = packed.select(
+        "lang",
+        F.size(kept).cast("long").alias("n_kept"),
+        F.size(F.map_keys("m")).cast("long").alias("n_all"),
+        F.map_contains_key("m", "src0").alias("has_first"),
+        F.array_max(F.map_values("m")).alias("most"),
+        changed.alias("m"),
+    )
+    return asked.select("lang", "n_kept", "n_all", "has_first", "most", F.explode("m").alias("source", "n"))
 
 
 @query(

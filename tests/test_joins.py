@@ -21,6 +21,32 @@ def test_asof_ties_nulls_and_empty(spark):
     assert joins.asof_join(left, right.limit(0), ["k"], "ts", ["v"]).where("asof_v is not null").count() == 0
 
 
+def test_asof_ties_in_the_columns_own_order(spark):
+    """9 comes before 10 as a number, after it as a string; nulls are least."""
+    left = spark.createDataFrame([(1, "a", at(5)), (2, "b", at(5))], "id int, k string, ts timestamp")
+    right = spark.createDataFrame([("a", at(5), 9), ("a", at(5), 10), ("a", at(5), None), ("b", at(4), None)], "k string, ts timestamp, v int")
+    right = right.selectExpr("*", "coalesce(cast(v AS string), 'none') AS name")
+    got = {r["id"]: r["asof_name"] for r in joins.asof_join(left, right, ["k"], "ts", ["name"], tie="v").collect()}
+    assert got == {1: "10", 2: "none"}
+
+
+def test_callers_columns_stay(spark):
+    """Columns that are called as an operator's own would be."""
+    import pytest
+
+    odd = ["_c", "c", "side", "_side", "tie", "bucket", "_bucket", "salt", "new", "_new"]
+    left = spark.createDataFrame([(1, "a", at(5), 2.0)], "id int, k string, ts timestamp, p double").selectExpr("*", *[f"'{c}' AS {c}" for c in odd])
+    right = spark.createDataFrame([("a", at(5), 9.0, 1.0, 3.0)], "k string, ts timestamp, v double, lo double, hi double")
+    found = [joins.asof_join(left, right, ["k"], "ts", ["v"]), joins.range_join(left, right.select("lo", "hi"), "p", "lo", "hi", 1.0)]
+    found += [joins.salted_join(left, right.select("k", "v"), ["k"], 3, F.col("id")), joins.interval_join(left, right.select("k", F.col("ts").alias("t")), ["k"], "ts", "t", 60)]
+    found += [aggregates.sessions(left, ["k"], "ts", 60), aggregates.top_k(left, ["k"], [F.col("ts")], 1)]
+    for df in found:
+        (row,) = df.select(*odd).collect()
+        assert list(row) == odd
+    with pytest.raises(ValueError, match="rank"):
+        aggregates.top_k(left.withColumn("RANK", F.lit(1)), ["k"], [F.col("ts")], 1)
+
+
 def test_range_join_meets_each_pair_once(spark):
     points = spark.range(0, 100).select((F.col("id") * 1.0).alias("p"))
     ranges = spark.createDataFrame([(0.0, 35.0), (10.0, 10.0), (95.5, 200.0), (-5.0, 1.0)], "lo double, hi double")
