@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leafmill.plans.registry import query
+from leafmill.plans.registry import query, table
 from leafmill.streaming import events
 
 
@@ -37,7 +37,7 @@ def session(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("t_dedup", "SELECT DISTINCT user_id, event_type FROM events")
 def dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return events.drain(events.distinct_events(events.read_events(spark, sf_dir, "60 days")), "append")
+    return events.drain(events.distinct_events(events.read_events(spark, sf_dir, "60 days")), "append")  # longer than the data: every pair once
 
 
 @query("t_state", "SELECT user_id, count(*) AS n, round(sum(value), 2) AS total FROM events GROUP BY user_id")
@@ -45,3 +45,46 @@ def state(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = events.drain(events.running_totals(events.read_events(spark, sf_dir)), "update")
     last = rows.groupBy("user_id").agg(F.max(F.struct("n", "total")).alias("l"))
     return last.select("user_id", F.col("l.n").alias("n"), F.round("l.total", 2).alias("total"))
+
+
+def _days(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "events").select("event_id", "user_id", "event_type", F.col("ts").cast("timestamp").alias("ts"))
+
+
+@query(
+    "t_late",
+    """
+    SELECT date_trunc('day', ts)::TIMESTAMP AS start, count(*) AS n FROM events
+    WHERE NOT (event_id % 7 = 0 AND ts < TIMESTAMP '2024-01-04') AND date_trunc('day', ts) + INTERVAL 1 DAY <= (SELECT max(ts) FROM events) - INTERVAL 2 DAY GROUP BY 1
+    """,
+)
+def late(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Batches of eight days; the third has rows of the first days, which the watermark of two days leaves out.
+
+    What is late in a batch is judged by the watermark with which the batch before began.
+    """
+    e, day = _days(spark, sf_dir), F.dayofmonth("ts")
+    behind = (F.col("event_id") % 7 == 0) & (day <= 3)
+    turn = F.when(behind, 2).otherwise(F.floor((day - 1) / 8))
+    parts = [e.where(turn == k) for k in range(4)]
+    return events.drain(events.closed_days(events.in_turns(parts, "ts", "2 days")), "append")
+
+
+@query(
+    "t_streaks",
+    """
+    WITH runs AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS run FROM events)
+    SELECT user_id, sum(k)::BIGINT AS n, max(k) AS longest FROM (SELECT user_id, event_type, run, count(*) AS k FROM runs GROUP BY ALL) GROUP BY user_id
+    """,
+)
+def streaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Own state over three batches; the state store that it needs is set for this stream alone."""
+    key, e, day = "spark.sql.streaming.stateStore.providerClass", _days(spark, sf_dir), F.dayofmonth("ts")
+    parts = [e.where(day <= 10), e.where((day > 10) & (day <= 20)), e.where(day > 20)]
+    before = spark.conf.get(key)
+    spark.conf.set(key, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        rows = events.drain(events.streaks(events.in_turns(parts, "ts", "0 seconds")), "update")
+    finally:
+        spark.conf.set(key, before)
+    return rows.groupBy("user_id").agg(F.max("n").alias("n"), F.max("longest").alias("longest"))

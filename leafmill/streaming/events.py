@@ -1,4 +1,4 @@
-"""Structured Streaming over the events table: windows, sessions, deduplication and state of one's own.
+"""Structured Streaming over the events table: windows, sessions, deduplication, late rows and state of one's own.
 
 Each query reads all that is there (availableNow) and leaves its result as a table, so that streams can be
 compared with batches; with another trigger and sink the same functions run on.
@@ -12,6 +12,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from leafmill.sources.scratch import new_path
 
@@ -24,16 +25,35 @@ def read_events(spark: SparkSession, sf_dir: str, delay: str = "10 minutes") ->
 
 
 def drain(stream: DataFrame, mode: str) -> DataFrame:
-    """Run a stream over what is there; its rows as a table.  complete: those of the last batch, else of all."""
+    """Run a stream over what is there; its rows as a table.  complete: those of the last batch, else of all.
+
+    Each batch overwrites a folder of its own number, so a batch that is run again after a failure leaves its rows
+    once.
+    """
     spark = stream.sparkSession
     out, checkpoint = new_path(spark, "stream"), new_path(spark, "stream-state")
 
-    def write(batch: DataFrame, _: int) -> None:
-        batch.write.mode("overwrite" if mode == "complete" else "append").parquet(out)
+    def write(batch: DataFrame, number: int) -> None:
+        write_batch(batch, out, 0 if mode == "complete" else number)
 
     query = stream.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
-    return spark.read.schema(stream.schema).parquet(out)
+    return spark.read.schema(stream.schema).option("recursiveFileLookup", "true").parquet(out)
+
+
+def write_batch(batch: DataFrame, out: str, number: int) -> None:
+    batch.write.mode("overwrite").parquet(f"{out}/batch={number}")
+
+
+def in_turns(parts: list[DataFrame], time: str, delay: str) -> DataFrame:
+    """A stream that reads the parts one after the other, a batch each, with a watermark on ``time``."""
+    spark = parts[0].sparkSession
+    path = new_path(spark, "turns")
+    for part in parts:
+        # one file each, in the order of their writing
+        part.coalesce(1).write.mode("append").parquet(path)
+    stream = spark.readStream.schema(parts[0].schema).option("maxFilesPerTrigger", 1).parquet(path)
+    return stream.withWatermark(time, delay)
 
 
 def tumbling(events: DataFrame, width: str = "1 hour") -> DataFrame:
@@ -69,3 +89,32 @@ def running_totals(events: DataFrame) -> DataFrame:
     schema = "user_id long, n long, total double"
     return events.groupBy("user_id").applyInPandasWithState(update, schema, "n long, total double", "update", GroupStateTimeout.NoTimeout)
 
+
+def closed_days(events: DataFrame) -> DataFrame:
+    """(start, n) of each day once the watermark has passed its end; rows that come later than that are dropped."""
+    per = events.groupBy(F.window("ts", "1 day")).agg(F.count("*").alias("n"))
+    return per.select(F.col("window.start").cast("timestamp_ntz").alias("start"), "n")
+
+
+class Streaks(StatefulProcessor):
+    """By user the number of events, and of the longest run of one type, over all batches."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.state = handle.getValueState("streak", "n long, longest long, current long, last string, at timestamp")
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: object) -> Iterator[pd.DataFrame]:
+        n, longest, current, last, at = self.state.get() if self.state.exists() else (0, 0, 0, None, None)
+        frame = pd.concat(rows).sort_values(["ts", "event_id"])
+        for kind in frame["event_type"]:
+            current = current + 1 if kind == last else 1
+            n, longest, last = n + 1, max(longest, current), kind
+        self.state.update((n, longest, current, last, frame["ts"].max().to_pydatetime()))
+        yield pd.DataFrame({"user_id": [key[0]], "n": [n], "longest": [longest]})
+
+    def close(self) -> None:
+        pass
+
+
+def streaks(events: DataFrame) -> DataFrame:
+    """(user_id, n, longest) whenever a user has events; a batch mustn't hold events before those of an earlier one."""
+    return events.groupBy("user_id").transformWithStateInPandas(Streaks(), "user_id long, n long, longest long", "Update", "None")
