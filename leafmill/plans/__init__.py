@@ -1,3 +1,3 @@
 """Registered queries: importing the package fills the registry."""
 
-from leafmill.plans import formats, relational, scalars, streams, udfs  # noqa: F401
+from leafmill.plans import families, formats, relational, scalars, streams, udfs  # noqa: F401

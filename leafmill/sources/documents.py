@@ -31,10 +31,19 @@ FAMILIES = {
     "image": ("png", "jpg", "jpeg", "gif", "bmp", "webp"),
     "code": ("py", "java", "kt", "js", "ts", "c", "h", "cpp", "rs", "go", "rb", "sh", "sql", "html", "css", "xml", "json", "yaml", "yml", "toml"),
 }
-#: Unpacked bytes of one archive member or PDF stream that are read, so that a crafted file can't fill a task.
+#: Names of the languages of code, by suffix.
+LANGUAGES = {
+    "py": "Python", "java": "Java", "kt": "Kotlin", "js": "JavaScript", "ts": "TypeScript", "c": "C", "h": "C", "cpp": "C++", "rs": "Rust", "go": "Go",
+    "rb": "Ruby", "sh": "Shell", "sql": "SQL", "html": "HTML", "css": "CSS", "xml": "XML", "json": "JSON", "yaml": "YAML", "yml": "YAML", "toml": "TOML",
+}
+#: Unpacked bytes of one archive member or PDF stream at most, so that a crafted file can't fill a task; a larger one is an error.
 MAX_MEMBER = 256 << 20
 
 
+class TooLargeError(ValueError):
+    pass
+
+
 def suffix(path: Column) -> Column:
     return F.lower(F.regexp_extract(path, r"\.([A-Za-z0-9]+)$", 1))
 
@@ -66,19 +75,28 @@ def read_text(spark: SparkSession, path: str) -> DataFrame:
     return _whole(spark, path, "text")
 
 
+def code_rows(files: DataFrame) -> DataFrame:
+    """(path, language, text, n_lines, language_name) of rows (path, text); the language is the file's suffix."""
+    names = F.create_map(*[F.lit(x) for pair in LANGUAGES.items() for x in pair])
+    rows = files.select("path", suffix(F.col("path")).alias("language"), "text", F.size(F.split("text", "\n")).alias("n_lines"))
+    return rows.withColumn("language_name", names[F.col("language")])
+
+
 def read_code(spark: SparkSession, path: str) -> DataFrame:
-    """(path, language, text, n_lines); the language is the file's suffix."""
-    rows = _whole(spark, path, "code")
-    return rows.select("path", suffix(F.col("path")).alias("language"), "text", F.size(F.split("text", "\n")).alias("n_lines"))
+    return code_rows(_whole(spark, path, "code"))
 
 
-def read_markdown(spark: SparkSession, path: str) -> DataFrame:
-    """(path, title, headings, text): the first heading, all of them, and the text without marks."""
+def markdown_rows(files: DataFrame) -> DataFrame:
+    """(path, title, headings, text) of rows (path, text): the first heading, all of them, and the text without marks."""
     headings = F.regexp_extract_all("text", F.lit(r"(?m)^\s{0,3}#{1,6}\s+(.*?)\s*#*\s*$"), F.lit(1))
-    rows = _whole(spark, path, "markdown").withColumn("headings", headings)
+    rows = files.withColumn("headings", headings)
     return rows.select("path", F.get("headings", F.lit(0)).alias("title"), "headings", markdown_text(F.col("text")).alias("text"))
 
 
+def read_markdown(spark: SparkSession, path: str) -> DataFrame:
+    return markdown_rows(_whole(spark, path, "markdown"))
+
+
 def read_csv(spark: SparkSession, path: str, schema: str | None = None, **options: str) -> DataFrame:
     """A table from CSV files with a header; give a schema at scale, inference is a pass of its own."""
     reader = spark.read.options(**({"header": "true", "multiLine": "true", "escape": '"', "recursiveFileLookup": "true"} | options))
@@ -94,8 +112,14 @@ def image_size(data: bytes) -> tuple[str, int, int] | None:
     if data[:2] == b"BM" and len(data) >= 26:
         width, height = struct.unpack("<ii", data[18:26])
         return "bmp", width, abs(height)
-    if data[:4] == b"RIFF" and data[8:12] == b"WEBP" and data[12:16] == b"VP8X" and len(data) >= 30:
-        return "webp", 1 + int.from_bytes(data[24:27], "little"), 1 + int.from_bytes(data[27:30], "little")
+    if data[:4] == b"RIFF" and data[8:12] == b"WEBP" and len(data) >= 30:
+        if data[12:16] == b"VP8X":
+            return "webp", 1 + int.from_bytes(data[24:27], "little"), 1 + int.from_bytes(data[27:30], "little")
+        if data[12:16] == b"VP8 " and data[23:26] == b"\x9d\x01\x2a":
+            return "webp", *(n & 0x3FFF for n in struct.unpack("<HH", data[26:30]))
+        if data[12:16] == b"VP8L" and data[20] == 0x2F:
+            bits = int.from_bytes(data[21:25], "little")
+            return "webp", 1 + (bits & 0x3FFF), 1 + (bits >> 14 & 0x3FFF)
     if data[:2] == b"\xff\xd8":
         at = 2
         while at + 9 <= len(data) and data[at] == 0xFF:
@@ -109,7 +133,10 @@ def image_size(data: bytes) -> tuple[str, int, int] | None:
 
 def _member(archive: zipfile.ZipFile, name: str) -> bytes:
     with archive.open(name) as f:
-        return f.read(MAX_MEMBER)
+        data = f.read(MAX_MEMBER + 1)
+    if len(data) > MAX_MEMBER:
+        raise TooLargeError(f"{name} has over {MAX_MEMBER} bytes")
+    return data
 
 
 def _xml_text(data: bytes, blocks: frozenset[str], texts: frozenset[str] | None) -> str:
@@ -182,9 +209,12 @@ def pdf_parts(data: bytes) -> Iterator[str]:
         stream = data[m.end() : end if end >= 0 else len(data)]
         if b"FlateDecode" in m[0]:
             try:
-                stream = zlib.decompressobj().decompress(stream, MAX_MEMBER)
+                unpacked = zlib.decompressobj()
+                stream = unpacked.decompress(stream, MAX_MEMBER)
             except zlib.error:
                 continue
+            if unpacked.unconsumed_tail:
+                raise TooLargeError(f"a stream has over {MAX_MEMBER} bytes")
         if b"BT" not in stream:
             continue
         out = []
@@ -199,7 +229,11 @@ PARTS = pa.schema([("path", pa.string()), ("family", pa.string()), ("part", pa.i
 
 def read_packed(spark: SparkSession, path: str) -> DataFrame:
     """PDF, Office, LibreOffice and image files: a row for each part, or one with ``error`` if a file can't be read."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    return packed_parts(spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path))
+
+
+def packed_parts(files: DataFrame) -> DataFrame:
+    """The same of rows (path, content)."""
     kinds = ("pdf", "office", "libreoffice", "image")
     files = files.select("path", family(F.col("path")).alias("family"), "content").where(F.col("family").isin(*kinds))
 

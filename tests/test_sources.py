@@ -75,3 +75,22 @@ def test_everything_together(spark, folder):
     assert found == {"pdf", "office", "libreoffice", "image", "text", "code", "csv", "markdown"}
     listed = documents.list_files(spark, folder)
     assert listed.where("family is null").count() == 0 and listed.count() == 12
+
+
+def test_webp_headers():
+    lossy = b"RIFF\0\0\0\0WEBPVP8 \0\0\0\0\0\0\0\x9d\x01\x2a" + struct.pack("<HH", 640, 480 | 1 << 14)
+    lossless = b"RIFF\0\0\0\0WEBPVP8L\0\0\0\0\x2f" + (99 | 49 << 14).to_bytes(4, "little") + b"\0" * 5
+    assert documents.image_size(lossy) == ("webp", 640, 480) and documents.image_size(lossless) == ("webp", 100, 50)
+
+
+def test_members_over_the_bound_are_errors(monkeypatch):
+    monkeypatch.setattr(documents, "MAX_MEMBER", 1000)
+    packed = zlib.compress(b"BT (" + b"x" * 5000 + b") Tj ET")
+    pdf = b"%PDF-1.4\n1 0 obj\n<</Filter /FlateDecode>>\nstream\n" + packed + b"\nendstream\nendobj\n"
+    with pytest.raises(documents.TooLargeError):
+        list(documents.pdf_parts(pdf))
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+        z.writestr("content.xml", "<a>" + "x" * 5000 + "</a>")
+    with pytest.raises(documents.TooLargeError):
+        list(documents.office_parts(out.getvalue()))
