@@ -34,6 +34,8 @@ COMBINED = 1 << 23
 HOT = 20_000
 #: Windows sorted at once; whole grams, so at most HOT blocks more.
 SORTED = 1 << 19
+#: Windows whose bytes are compared at once.
+VERIFIED = 1 << 15
 #: Stands for a null doc_id, which comes before all others.
 NO_ID = -(1 << 63)
 
@@ -59,11 +61,11 @@ def sampled(data: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
     return grams[here], names.of(lo, here), names.of(here + GRAM, hi + length), lo, hi
 
 
-def pieces(text: bytes, length: int) -> Iterator[tuple[int, np.ndarray]]:
+def pieces(text: bytes, length: int, piece: int = PIECE) -> Iterator[tuple[int, np.ndarray]]:
     """(offset, bytes) of parts that together show every window once at least."""
     data = np.frombuffer(text, np.uint8)
-    for at in range(0, max(len(data) - length + 1, 0), PIECE):
-        yield at, data[at : at + PIECE + length - 1]
+    for at in range(0, max(len(data) - length + 1, 0), piece):
+        yield at, data[at : at + piece + length - 1]
 
 
 def runs(places: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
@@ -80,7 +82,7 @@ def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 SUFFIXES = pa.schema([("gram", pa.int64()), ("sides", pa.int64()), ("doc_id", pa.int64()), ("lo", pa.int64()), ("n", pa.int32())])
 
 
-def sampled_suffixes(docs: DataFrame, length: int) -> DataFrame:
+def sampled_suffixes(docs: DataFrame, length: int, piece: int = PIECE, together: int = COMBINED) -> DataFrame:
     """(gram, sides, doc_id, lo, n): sampled suffixes and their number of windows, the first of its triple in each combined part.
 
     The later ones are known to repeat; they come with n negative and a gram by chance.
@@ -101,11 +103,11 @@ def sampled_suffixes(docs: DataFrame, length: int) -> DataFrame:
         parts, held = [], 0
         for b in slices(batches):
             for doc, text in zip(b.column("doc_id").to_pylist(), utf8(b.column("text")), strict=True):
-                for offset, data in pieces(text, length):
+                for offset, data in pieces(text, length, piece):
                     gram, left, right, lo, hi = sampled(data, length)
                     parts.append((gram, mix(left * _U(3) + right) ^ left, np.full(len(lo), doc, np.int64), lo + offset, (hi - lo + 1).astype(np.int32)))
                     held += len(data)
-                    if held > COMBINED:
+                    if held > together:
                         yield combined(parts)
                         parts, held = [], 0
         if parts:
@@ -181,26 +183,50 @@ def block_texts(texts: DataFrame, length: int) -> DataFrame:
     return texts.mapInArrow(run, "gram long, doc_id long, lo long, n int, block binary")
 
 
-def window_names(blocks: list[bytes], n: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """(row, name) of every window of the blocks."""
+def window_names(blocks: list[bytes], n: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, Windows]:
+    """(row, name) of every window of the blocks, and the windows' bytes."""
     data = np.frombuffer(b"".join(blocks), np.uint8)
     names = Names(data)
     begin = np.cumsum([0, *map(len, blocks[:-1])])
     row = np.repeat(np.arange(len(blocks)), n)
     at = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n) + begin[row]
-    return row, names.of(at, at + length)
+    return row, names.of(at, at + length), Windows(data, at, length)
 
 
-def merged_windows(blocks: DataFrame, length: int) -> DataFrame:
-    """(doc_id, start, end): runs covered by windows that an earlier first occurrence of the gram shows too."""
+class Windows:
+    """The bytes of windows, copied out only as they are asked for."""
+
+    def __init__(self, data: np.ndarray, at: np.ndarray, length: int):
+        self.view = np.lib.stride_tricks.sliding_window_view(data, length) if len(data) >= length else np.empty((0, length), np.uint8)
+        self.at = at
+
+    def __getitem__(self, rows: np.ndarray) -> np.ndarray:
+        return self.view[self.at[rows]]
+
+
+def unlike(windows: Windows, one: np.ndarray, other: np.ndarray) -> bool:
+    """Whether any of the pairs of windows differs."""
+    return any((windows[one[k : k + VERIFIED]] != windows[other[k : k + VERIFIED]]).any() for k in range(0, len(one), VERIFIED))
+
+
+def merged_windows(blocks: DataFrame, length: int, at_once: int = SORTED) -> DataFrame:
+    """(doc_id, start, end): runs covered by windows that an earlier first occurrence of the gram shows too.
+
+    Windows of one name are compared byte by byte; should any differ, all are named by their bytes.
+    """
 
     def found(grams: list[int], docs: list[int], los: list[int], ns: list[int], texts: list[bytes]) -> pa.RecordBatch:
         n, doc, lo = np.array(ns, np.int64), np.array(docs, np.int64), np.array(los, np.int64)
-        row, name = window_names(texts, n, length)
+        row, name, windows = window_names(texts, n, length)
         gram = np.array(grams, np.int64)[row]
         place = lo[row] + np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
-        order = np.lexsort((place, doc[row], name, gram))
-        same = np.append(False, (np.diff(gram[order]) == 0) & (np.diff(name[order]) == 0))
+        for _ in range(2):
+            order = np.lexsort((place, doc[row], name, gram))
+            same = np.append(False, (np.diff(gram[order]) == 0) & (np.diff(name[order]) == 0))
+            again = np.flatnonzero(same)
+            if not unlike(windows, order[again], order[again - 1]):
+                break
+            name = np.unique(np.ascontiguousarray(windows[np.arange(len(row))]).view(f"V{length}").ravel(), return_inverse=True)[1]
         # of neighbours with equal windows all but the first; a repeated row is the first again
         start = np.maximum.accumulate(np.where(same, 0, np.arange(len(order))))
         head = order[start]
@@ -213,7 +239,7 @@ def merged_windows(blocks: DataFrame, length: int) -> DataFrame:
         windows = 0
         for b in batches:
             for r in zip(*(b.column(c).to_pylist() for c in ("gram", "doc_id", "lo", "n", "block")), strict=True):
-                if windows > SORTED and r[0] != held[0][-1]:
+                if windows > at_once and r[0] != held[0][-1]:
                     yield found(*held)
                     held, windows = [[] for _ in range(5)], 0
                 for column, value in zip(held, r, strict=True):
@@ -243,7 +269,7 @@ def hot_windows(blocks: DataFrame, length: int) -> DataFrame:
             if not b.num_rows:
                 continue
             n = b.column("n").to_numpy().astype(np.int64)
-            row, name = window_names(b.column("block").to_pylist(), n, length)
+            row, name, _ = window_names(b.column("block").to_pylist(), n, length)
             place = b.column("lo").to_numpy()[row] + np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
             columns = (b.column("gram").to_numpy()[row], name.view(np.int64), b.column("doc_id").to_numpy()[row], place)
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["gram", "name", "doc_id", "place"])
@@ -287,26 +313,29 @@ def cut_texts(joined: DataFrame, with_text: bool) -> DataFrame:
     return joined.mapInArrow(run, RESULT_SQL + ", kept binary" * with_text)
 
 
-def remove_repeats(docs: DataFrame, length: int = 100, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False) -> DataFrame:
+def remove_repeats(
+    docs: DataFrame, length: int = 100, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False, piece: int = PIECE, together: int = COMBINED, at_once: int = SORTED, hot: int = HOT
+) -> DataFrame:
     """One row per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256, and ``with_text`` the bytes kept.
 
     Removed is each byte covered by a string of ``length`` bytes that also starts earlier, in a smaller doc_id or
     before in the document.  Null texts are empty; a null doc_id comes before all others; rows repeated under one
     doc_id are one document, and each has its result; an empty table gives none.  A doc_id shouldn't stand
-    for different texts: what is removed from one is removed from the other.
+    for different texts: what is removed from one is removed from the other.  The last four are sizes of what a task
+    holds (see ``PIECE``, ``COMBINED``, ``SORTED`` and ``HOT``) and don't change the result.
     """
     if length < GRAM + 2:
         raise ValueError(f"strings of {length} bytes are too short to be sampled")
     rows = keyed(docs, id_col, text_col)
-    suffixes = materialize(sampled_suffixes(rows, length), "suffixes")
+    suffixes = materialize(sampled_suffixes(rows, length, piece, together), "suffixes")
     marks = materialize(sorted_neighbours(suffixes), "neighbours")
     release(suffixes)
     some = materialize(marks.where("gram is not null").groupBy("doc_id").agg(F.collect_list(F.struct("gram", "lo", "n")).alias("places")), "first-occurrences")
     wanted = rows.join(bounded(some.select("doc_id")), "doc_id", "left_semi")
     blocks = materialize(block_texts(wanted.join(some, "doc_id"), length).distinct(), "blocks")
-    hot = materialize(blocks.groupBy("gram").count().where(F.col("count") > HOT).select("gram"), "hot-grams")
-    ordinary = merged_windows(blocks.join(hot, "gram", "left_anti"), length)
-    many = hot_windows(blocks.join(hot, "gram", "left_semi"), length)
+    crowded = materialize(blocks.groupBy("gram").count().where(F.col("count") > hot).select("gram"), "hot-grams")
+    ordinary = merged_windows(blocks.join(crowded, "gram", "left_anti"), length, at_once)
+    many = hot_windows(blocks.join(crowded, "gram", "left_semi"), length)
     repeats = marks.where("gram is null").select("doc_id", F.col("lo").alias("start"), (F.col("lo") + F.col("n") - 1 + length).alias("end"))
     runs = repeats.union(ordinary).union(many).groupBy("doc_id").agg(F.collect_list(F.struct("start", "end")).alias("runs"))
     runs = materialize(runs, "runs")

@@ -703,25 +703,39 @@ def repeated_texts(seed):
 
 
 @pytest.mark.parametrize("hot", [suffix_dedup.HOT, 3])
-def test_suffixes_match_brute_force(spark, monkeypatch, hot):
-    monkeypatch.setattr(suffix_dedup, "HOT", hot)
+def test_suffixes_match_brute_force(spark, hot):
     texts = repeated_texts(hot)
-    assert by_id(suffix_dedup.remove_repeats(with_clashes(docs(spark, texts)))) == plain_cut(dict(enumerate(texts, 1)))
+    assert by_id(suffix_dedup.remove_repeats(with_clashes(docs(spark, texts)), hot=hot)) == plain_cut(dict(enumerate(texts, 1)))
 
 
-def test_suffixes_in_pieces(spark, monkeypatch):
-    monkeypatch.setattr(suffix_dedup, "PIECE", 150)
-    monkeypatch.setattr(suffix_dedup, "COMBINED", 1000)
-    monkeypatch.setattr(suffix_dedup, "SORTED", 50)
+def test_suffixes_in_pieces(spark):
+    """Every seam: of a document's pieces, of what a task combines, and of the windows that it sorts at once."""
     texts = {i: (t or "").encode() for i, t in enumerate(repeated_texts(9), 1)}
     for text in texts.values():
-        shown = {p + at for at, data in suffix_dedup.pieces(text, 100) for p in range(len(data) - 99)}
+        shown = {p + at for at, data in suffix_dedup.pieces(text, 100, 150) for p in range(len(data) - 99)}
         assert shown == set(range(len(text) - 99))
+    got = by_id(suffix_dedup.remove_repeats(docs(spark, repeated_texts(9)), piece=150, together=1000, at_once=50))
+    assert got == plain_cut(dict(enumerate(repeated_texts(9), 1)))
+
+
+def test_suffixes_of_names_alike_are_told_apart(monkeypatch):
+    """Should windows share a name, their bytes decide."""
+    monkeypatch.setattr(suffix_dedup, "VERIFIED", 7)
+    rng = random.Random(5)
+    blocks = [bytes(rng.choices(b"ab", k=130)) for _ in range(4)]
+    n = np.full(4, 31)
+    row, name, windows = suffix_dedup.window_names(blocks, n, 100)
+    pairs = [(i, j) for i in range(len(row)) for j in range(i)]
+    equal = [blocks[row[i]][i % 31 : i % 31 + 100] == blocks[row[j]][j % 31 : j % 31 + 100] for i, j in pairs]
+    assert [name[i] == name[j] for i, j in pairs] == equal
+    one, other = (np.array(x) for x in zip(*[p for p, e in zip(pairs, equal, strict=True) if e] or [(0, 0)], strict=True))
+    assert not suffix_dedup.unlike(windows, one, other) and suffix_dedup.unlike(windows, np.append(one, 0), np.append(other, 40))
 
 
 def test_suffixes_on_the_documents(spark):
-    texts = {r["doc_id"]: r["text"] for r in read(spark, "/root/testdata/sf0.001").collect()}
-    assert by_id(queries.op9_suffix_dedup(spark, "/root/testdata/sf0.001")) == plain_cut(texts)
+    texts = {r["doc_id"]: r["text"] for r in read(spark, SF_DIR).collect()}
+    assert by_id(queries.op9_suffix_dedup(spark, SF_DIR)) == plain_cut(texts)
+    assert by_id(suffix_dedup.remove_repeats(read(spark, SF_DIR), piece=1000, together=20_000, at_once=300, hot=10)) == plain_cut(texts)
 
 
 def test_suffixes_nulls_repeats_and_empty(spark):
