@@ -13,11 +13,14 @@ from leafmill.llm.common import materialize, table, without
 
 
 #: Rows and bytes of a batch: whole texts are wide rows, and an executor holds several batches for each of its tasks.
-BATCHES = {"spark.sql.parquet.columnarReaderBatchSize": 1024, "spark.sql.execution.arrow.maxRecordsPerBatch": 1024, "spark.sql.execution.arrow.maxBytesPerBatch": 4 << 20}
+BATCHES = {"spark.sql.parquet.columnarReaderBatchSize": 256, "spark.sql.execution.arrow.maxRecordsPerBatch": 256, "spark.sql.execution.arrow.maxBytesPerBatch": 1 << 20}
 
 
 def wide_rows(spark: SparkSession) -> None:
-    """Lower the session's batches to ``BATCHES``; settings that are lower already stay."""
+    """Lower the session's batches to ``BATCHES``; settings that are lower already stay.
+
+    A stage's result is worked out after its function returns, so a stage leaves them so; ``run`` sets them back.
+    """
     for key, most in BATCHES.items():
         now = spark.conf.get(key)
         if not now.isdigit() or not 0 < int(now) <= most:
@@ -68,7 +71,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir), name)
-    return STAGES[-1][1](spark, docs, sf_dir)
+    """All stages over ``documents``; the session's settings are as before when it returns."""
+    before = {key: spark.conf.get(key) for key in BATCHES}
+    try:
+        docs = table(spark, sf_dir, "documents")
+        for name, stage in STAGES[:-1]:
+            docs = materialize(stage(spark, docs, sf_dir), name)
+        return STAGES[-1][1](spark, docs, sf_dir)
+    finally:
+        for key, value in before.items():
+            spark.conf.set(key, value)
