@@ -74,7 +74,7 @@ def bounded(ids: DataFrame) -> DataFrame:
 
 
 def without(docs: DataFrame, dropped: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """docs less the rows whose id is in ``dropped``; rows of null id stay.
+    """docs less the rows whose id is in ``dropped``; rows of null id stay, rows of one id go or stay together.
 
     Few ids are broadcast, so no text is shuffled; more are joined through a shuffle.
     """

@@ -26,7 +26,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 #: Bytes of text whose words are found at once.
-SLICE = 1 << 20
+SLICE = 1 << 18
 _SPACE = np.zeros(256, bool)
 _SPACE[list(ASCII_SPACE)] = True
 _LOWER = bytes(range(256)).lower()
