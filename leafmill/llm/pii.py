@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import re
 from bisect import bisect_right
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -124,8 +125,11 @@ def sequences(words: np.ndarray) -> list[np.ndarray]:
 WORD = re.compile(r"[^ ]+")
 
 
-def patterns(clean: str, words: np.ndarray, places: list[tuple[int, int]]) -> list[list[int]]:
-    """Of each place its patterns: up to ``WORDS`` words before it (even numbers) and behind it (odd ones)."""
+def patterns(clean: str, words: np.ndarray, places: list[tuple[int, int]]) -> tuple[list[list[int]], list[list[int]]]:
+    """Of each place its patterns: up to ``WORDS`` words before it (even numbers) and behind it (odd ones).
+
+    Beside each stands at how many other places of the text its words occur, told once in a text.
+    """
     starts = [m.start() for m in WORD.finditer(clean)]
     rows = [r.view(np.int64) for r in sequences(words)]
     out = []
@@ -133,12 +137,16 @@ def patterns(clean: str, words: np.ndarray, places: list[tuple[int, int]]) -> li
         first, behind = bisect_right(starts, start) - 1, bisect_right(starts, end - 1)
         own = [int(r[first - n]) for n, r in enumerate(rows, 1) if first >= n]
         out.append(own + [int(r[behind]) | 1 for n, r in enumerate(rows, 1) if behind + n <= len(starts)])
-    return out
+    here = Counter(p for own in out for p in own)
+    values, n = np.unique(np.concatenate(rows), return_counts=True)
+    asked = np.fromiter(here, np.int64, len(here))
+    total = dict(zip(asked.tolist(), n[np.searchsorted(values, asked & -2)].tolist(), strict=True)) if len(asked) else {}
+    return out, [[total.pop(p) - here[p] if p in total else 0 for p in own] for own in out]
 
 
-_EDGE = pa.struct([("start", pa.int64()), ("end", pa.int64()), ("seed", pa.bool_()), ("instance", pa.int64()), ("patterns", pa.list_(pa.int64()))])
+_EDGE = pa.struct([("start", pa.int64()), ("end", pa.int64()), ("seed", pa.bool_()), ("instance", pa.int64()), ("patterns", pa.list_(pa.int64())), ("elsewhere", pa.list_(pa.int64()))])
 ROWS = pa.schema([("row_id", pa.int64()), ("doc_id", pa.int64()), *((f"n_{k}", pa.int64()) for k in KINDS), ("base_sha256", pa.string()), ("base", pa.list_(SPAN_TYPE)), ("edges", pa.list_(_EDGE))])
-ROWS_SQL = f"row_id long, doc_id long, {', '.join(f'n_{k} long' for k in KINDS)}, base_sha256 string, base array<{SPAN_SQL}>, edges array<struct<start:bigint,end:bigint,seed:boolean,instance:bigint,patterns:array<bigint>>>"
+ROWS_SQL = f"row_id long, doc_id long, {', '.join(f'n_{k} long' for k in KINDS)}, base_sha256 string, base array<{SPAN_SQL}>, edges array<struct<start:bigint,end:bigint,seed:boolean,instance:bigint,patterns:array<bigint>,elsewhere:array<bigint>>>"
 
 
 def extract(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -157,8 +165,8 @@ def extract(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
                 if places:
                     found.append((i, text, clean, base, places))
             for (i, text, clean, base, places), words in zip(found, text_words([f[1].encode() for f in found]), strict=True):
-                around = patterns(clean, words, [p[:2] for p in places])
-                edges = [{"start": s, "end": e, "seed": seed, "instance": instance(text[s:e]), "patterns": p} for (s, e, seed), p in zip(places, around, strict=True)]
+                around = zip(places, *patterns(clean, words, [p[:2] for p in places]), strict=True)
+                edges = [{"start": s, "end": e, "seed": seed, "instance": instance(text[s:e]), "patterns": p, "elsewhere": q} for (s, e, seed), p, q in around]
                 out[i] = (*(sum(s[1] == k for s in base) for k in range(4)), sha256(base), as_dicts(base), edges)
             ids = range(row_id, row_id := row_id + b.num_rows)
             yield batch(ROWS, [list(ids), b.column("doc_id"), *map(list, zip(*out, strict=True))] if out else [[]] * len(ROWS))
@@ -194,15 +202,17 @@ def count_sequences(docs: DataFrame, wanted: DataFrame, id_col: str = "doc_id",
             yield pa.RecordBatch.from_arrays([pa.array(values.view(np.int64)), pa.array(n)], ["sequence", "n"])
 
     hits = id_and_text(docs, id_col, text_col).select("text").mapInArrow(run, "sequence long, n long")
-    return hits.join(bounded(wanted), "sequence").groupBy("sequence").agg(F.sum("n").alias("total"))
+    # summed up before they are joined: a row for each sequence, however many tasks saw it
+    return hits.groupBy("sequence").agg(F.sum("n").alias("total")).join(bounded(wanted), "sequence")
 
 
 def accepted_instances(graph: DataFrame, count, rounds: int, min_support: float, min_confidence: float) -> DataFrame:
-    """(instance, score) of unknown instances that the graph (pattern, instance, n, seed) makes sure of.
+    """(instance, score) of unknown instances that the graph (pattern, instance, n, seed, elsewhere) makes sure of.
 
     Every round scores patterns by their instances, and instances by their patterns.  A pattern's support is the sum
     of its instances' scores; against it count its unknown instances, a little, and all places where its words
-    stand beside an ordinary word, which ``count`` finds for the patterns that could be sure without them.  An
+    stand beside an ordinary word, which ``count`` finds for the patterns that those in the same texts (elsewhere)
+    leave sure, so that it isn't asked for common words.  An
     instance's score is the noisy-or over its sure patterns.  Accepted instances are known in the next round, in
     which they induce patterns of their own; the rounds end when nothing is accepted any more.
     """
@@ -213,8 +223,8 @@ def accepted_instances(graph: DataFrame, count, rounds: int, min_support: float,
     share = lambda against: F.col("support") / (F.col("support") + UNKNOWN * F.col("unknown") + against)
     for _ in range(rounds):
         scored = graph.join(accepted, "instance", "left").withColumn("score", F.when(F.col("seed"), 1.0).otherwise(F.coalesce("score", F.lit(0.0))))
-        stats = scored.groupBy("pattern").agg(F.sum("score").alias("support"), F.count_if(F.col("score") == 0).alias("unknown"), F.count_if(~F.col("seed")).alias("others"), F.sum("n").alias("met"))
-        hopeful = stats.where((F.col("others") > 0) & (F.col("support") >= min_support) & (share(F.lit(0)) >= min_confidence)).select("*", sequence)
+        stats = scored.groupBy("pattern").agg(F.sum("score").alias("support"), F.count_if(F.col("score") == 0).alias("unknown"), F.count_if(~F.col("seed")).alias("others"), F.sum("n").alias("met"), F.sum("elsewhere").alias("elsewhere"))
+        hopeful = stats.where((F.col("others") > 0) & (F.col("support") >= min_support) & (share(F.col("elsewhere")) >= min_confidence)).select("*", sequence)
         hopeful = materialize(hopeful, "hopeful-patterns")
         new = materialize(hopeful.select("sequence").distinct().join(counted, "sequence", "left_anti"), "sequences")
         if not new.isEmpty():
@@ -240,9 +250,9 @@ def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """
     rows = materialize(extract(docs, id_col, text_col), "pii")
     places = rows.select("row_id", F.explode("edges").alias("e")).select("row_id", "e.*")
-    edges = places.select("instance", "seed", F.explode("patterns").alias("pattern"))
+    edges = places.select("instance", "seed", F.explode(F.arrays_zip("patterns", "elsewhere")).alias("p")).select("instance", "seed", F.col("p.patterns").alias("pattern"), F.col("p.elsewhere").alias("elsewhere"))
     # aggregates are written before they are joined, so that Spark can split a hot pattern
-    graph = materialize(edges.groupBy("pattern", "instance").agg(F.max("seed").alias("seed"), F.count("*").alias("n")), "pii-graph")
+    graph = materialize(edges.groupBy("pattern", "instance").agg(F.max("seed").alias("seed"), F.count("*").alias("n"), F.sum("elsewhere").alias("elsewhere")), "pii-graph")
     accepted = accepted_instances(graph, lambda wanted: count_sequences(docs, wanted, id_col, text_col), rounds, min_support, min_confidence)
     span = F.struct("start", F.lit(len(KINDS)).alias("rank"), "end", F.lit(CONTEXT).alias("kind")).cast(SPAN_SQL)
     added = places.where("not seed").join(accepted.select("instance"), "instance", "left_semi").groupBy("row_id").agg(F.collect_list(span).alias("_added"))
