@@ -46,6 +46,8 @@ WORDS = 3
 UNKNOWN = 0.25
 #: Bits of the map by which tasks pass over word sequences that no pattern asks for, as a power of two.
 MAP_BITS = 24
+#: Sequences whose counts a task holds.
+HELD = 1 << 19
 
 
 def emails(text: str) -> list[tuple[int, int]]:
@@ -192,14 +194,27 @@ def count_sequences(docs: DataFrame, wanted: DataFrame, id_col: str = "doc_id",
         at = values >> np.uint64(64 - MAP_BITS)
         return (bits[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8) & np.uint8(1)).astype(bool)
 
+    def merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+        values, at = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
+        return values, np.bincount(at, np.concatenate([p[1] for p in parts]), len(values)).astype(np.int64)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # a task sums up what it sees, of up to HELD sequences at once
+        parts, held = [(np.empty(0, np.uint64), np.empty(0, np.int64))], 0
         for b in slices(batches):
-            hits = [np.empty(0, np.uint64)]
             for words in text_words(utf8(b.column("text"))):
-                if len(words):
-                    hits += [r[seen(r)] for r in sequences(words)]
-            values, n = np.unique(np.concatenate(hits), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(values.view(np.int64)), pa.array(n)], ["sequence", "n"])
+                for row in sequences(words) if len(words) else ():
+                    found = np.unique(row[seen(row)], return_counts=True)
+                    parts.append(found)
+                    held += len(found[0])
+            if held > HELD:
+                parts = [merged(parts)]
+                held = len(parts[0][0])
+                if held > HELD // 2:
+                    yield pa.RecordBatch.from_arrays([pa.array(parts[0][0].view(np.int64)), pa.array(parts[0][1])], ["sequence", "n"])
+                    parts, held = [(np.empty(0, np.uint64), np.empty(0, np.int64))], 0
+        values, n = merged(parts)
+        yield pa.RecordBatch.from_arrays([pa.array(values.view(np.int64)), pa.array(n)], ["sequence", "n"])
 
     hits = id_and_text(docs, id_col, text_col).select("text").mapInArrow(run, "sequence long, n long")
     # summed up before they are joined: a row for each sequence, however many tasks saw it
