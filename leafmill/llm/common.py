@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterable, Iterator, Sequence
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from leafmill.sources.scratch import new_path
@@ -83,13 +84,14 @@ def without(docs: DataFrame, dropped: DataFrame, id_col: str = "doc_id") -> Data
     return plain.join(bounded(ids), F.col(place(docs, id_col)) == F.col("_dropped"), "left_anti").toDF(*docs.columns)
 
 
-def hashed_sample(df: DataFrame, max_rows: int, *key: str) -> DataFrame:
-    """About nine tenths of ``max_rows`` rows, and never more, chosen by a hash of key columns; all of a small table.
+def in_order(df: DataFrame, keys: list[Column], part_rows: int, label: str) -> DataFrame:
+    """df, a table that can be read twice, written in the order of keys, with the number of each row's range partition (pid) and its place there (k).
 
-    A count and a filter: nothing is sorted or shuffled but the rows chosen.
+    A partition has about ``part_rows`` rows, whatever share of the table one key has; the last key should tell rows apart.
     """
-    share = min(1.0, 0.9 * max_rows / max(1, df.count()))
-    return df.where(F.pmod(F.xxhash64(*key), F.lit(1 << 40)) < int(share * (1 << 40))).limit(max_rows)
+    parts = max(1, math.ceil(df.count() / part_rows))
+    ranged = df.repartitionByRange(parts, *keys).sortWithinPartitions(*keys).withColumn("_at", F.monotonically_increasing_id())
+    return materialize(ranged.select("*", F.shiftright("_at", 33).alias("pid"), F.col("_at").bitwiseAND((1 << 33) - 1).alias("k")).drop("_at"), label)
 
 
 #: Rows of a batch that are unpacked at once: what a task holds doesn't depend on the session's batch size.

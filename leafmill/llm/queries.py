@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leafmill.llm import bpe, exact_dedup, language_id, multi_index, packing, pii, secret_scan, setsketch_dedup, suffix_dedup, url_filter, winnowing
+from leafmill.llm import bpe, conversation_repair, exact_dedup, language_id, merkle, multi_index, packing, pii, secret_scan, setsketch_dedup, suffix_dedup, url_filter, winnowing
 from leafmill.llm.common import table
 
 
@@ -83,6 +83,14 @@ def op11_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return winnowing.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.manifest(table(spark, sf_dir, "documents"))
+
+
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_repair.repair(table(spark, sf_dir, "conversations"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_multi_index": op1_multi_index,
     "op2_setsketch": op2_setsketch,
@@ -99,6 +107,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_suffix_dedup": op9_suffix_dedup,
     "op10_bpe": op10_bpe,
     "op11_winnowing": op11_winnowing,
+    "op12_merkle": op12_merkle,
+    "op13_conversation_repair": op13_conversation_repair,
 }
 
 #: The smallest id that links reach, of tables nodes (id) and links (u, v) of both directions.
@@ -133,6 +143,61 @@ _LUHN = f"""list_sum(list_transform(range(1, length({_DIGITS}) + 1), lambda i: C
 _SECRET = r"""(?:[pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])["'']?\x20*[:=]\x20*["'']?"""
 _VALUE = "[A-Za-z0-9+/_.=-]+"
 
+def _crc32(text: str) -> str:
+    """CRC-32 of an ASCII text, bit by bit."""
+    step = "list_reduce(range(8), lambda a, k: xor(a >> 1, (a & 1) * 3988292384), xor(c, x))"
+    return f"xor(list_reduce(list_transform(string_split({text}, ''), lambda ch: ascii(ch)::BIGINT), lambda c, x: {step}, 4294967295), 4294967295)"
+
+
+def _field(column: str) -> str:
+    return f"coalesce(strlen({column}::VARCHAR) || ':' || {column}, '-')"
+
+
+def _merkle_levels(tree: str, levels: int) -> str:
+    """CTEs of a tree's levels, {tree}0 being (g, i, h, w): node i of w of group g; its runs' sides; rows {tree}_p0 (key, g, i, p, f) folded up."""
+    out = []
+    for k in range(levels):
+        out.append(f"""
+        {tree}_s{k} AS MATERIALIZED (SELECT a.g, a.i, coalesce(string_agg(b.h, '' ORDER BY b.i) FILTER (b.i < a.i), '') AS l, coalesce(string_agg(b.h, '' ORDER BY b.i) FILTER (b.i > a.i), '') AS r
+          FROM {tree}{k} a JOIN {tree}{k} b ON a.g = b.g AND a.i // 3 = b.i // 3 WHERE a.w > 1 GROUP BY a.g, a.i),
+        {tree}{k + 1} AS MATERIALIZED (SELECT g, i // 3 AS i, CASE WHEN max(w) > 1 THEN sha256(string_agg(h, '' ORDER BY i)) ELSE max(h) END AS h, (max(w) + 2) // 3 AS w FROM {tree}{k} GROUP BY g, i // 3),
+        {tree}_p{k + 1} AS MATERIALIZED (SELECT key, p.g, p.i // 3 AS i, p || coalesce(l || r, '') AS p, CASE WHEN l IS NULL THEN f ELSE sha256(l || f || r) END AS f
+          FROM {tree}_p{k} p LEFT JOIN {tree}_s{k} s ON p.g = s.g AND p.i = s.i)""")
+    return ",".join(out)
+
+
+def _merkle() -> str:
+    """Levels enough for 3^14 documents of a source and 3^7 sources; the sources' names get a mark so that none is null."""
+    rest = [_field(c) for c in ("doc_id", "source", "lang", "n_chars")]
+    leaf = lambda text: f"sha256({' || '.join([*rest, _field(text)])})"
+    damaged = f"CASE WHEN {_crc32('doc_id::VARCHAR')} % 2 = 0 THEN replace(text, chr(10), '') ELSE text END"
+    return f"""
+        WITH leaves AS MATERIALIZED (SELECT row_number() OVER () AS key, doc_id, coalesce('s' || source, '') AS g, {leaf("text")} AS h, {leaf(f"({damaged})")} AS f FROM documents),
+        a0 AS MATERIALIZED (SELECT key, g, row_number() OVER (PARTITION BY g ORDER BY doc_id NULLS FIRST, h) - 1 AS i, h, count(*) OVER (PARTITION BY g) AS w, f FROM leaves),
+        a_p0 AS (SELECT key, g, i, '' AS p, f FROM a0),{_merkle_levels("a", 14)},
+        b0 AS MATERIALIZED (SELECT 0 AS g, row_number() OVER (ORDER BY a14.g) - 1 AS i, h, count(*) OVER () AS w, a14.g AS key FROM a14),
+        b_p0 AS (SELECT a_p14.key, 0 AS g, b0.i, p, f FROM a_p14 JOIN b0 ON b0.key = a_p14.g),{_merkle_levels("b", 7)}
+        SELECT doc_id, leaves.h AS leaf, a14.h AS subroot, b7.h AS root, sha256(b_p7.p) AS proof_sha256, b_p7.f AS folded_root, b_p7.f = b7.h AS verified
+        FROM leaves JOIN b_p7 USING (key) JOIN a14 ON a14.g = leaves.g CROSS JOIN b7
+    """
+
+
+def _conversation_moves() -> str:
+    """(state, kind, initial that it needs, edits, state after, cost, lines before, role that it gives) of what may be done to a turn."""
+    after, may, needed, names = {"s": 1, "u": 2, "a": 3}, ("su", "u", "a", "u"), "uuau", {"u": "user", "a": "assistant"}
+    rows = []
+    for state in range(4):
+        rows.append((state, "D", "", "D", state, 4, [], ""))
+        at, lines = state, []
+        for k in range(3):
+            rows += [(state, "K", c, "I" * k + "K", after[c], 3 * k, list(lines), "") for c in may[at]]
+            rows.append((state, "R", "", "I" * k + "R", after[needed[at]], 3 * k + 3, list(lines), names[needed[at]]))
+            lines.append(names[needed[at]] + ":")
+            at = after[needed[at]]
+    sql = lambda v: "[" + ", ".join(map(sql, v)) + "]::VARCHAR[]" if isinstance(v, list) else f"'{v}'" if isinstance(v, str) else str(v)
+    return ", ".join("(" + ", ".join(map(sql, r)) + ")" for r in rows)
+
+
 #: DuckDB SQL.  Tokens (op3, op10), a fitted model's verdicts (op5, op8), bootstrapped (op4) and decoded spans (op7) are beyond
 #: it, and op9's 100-byte strings of all texts are too many: those are tested against brute force.
 ORACLES: dict[str, str] = {
@@ -191,4 +256,31 @@ ORACLES: dict[str, str] = {
         SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
         FROM docs LEFT JOIN words USING (r) LEFT JOIN named USING (r)
     """,
+    "op12_merkle": _merkle(),
+    "op13_conversation_repair": f"""
+        WITH RECURSIVE moves(st, kind, needs, letters, st2, price, lines, gives) AS (VALUES {_conversation_moves()}),
+        closing(st, price, letters, lines) AS (VALUES (0, 0, '', []::VARCHAR[]), (1, 6, 'II', ['user:', 'assistant:']), (2, 3, 'I', ['assistant:']), (3, 0, '', [])),
+        hurt AS (SELECT coalesce(conv_id::VARCHAR, 'none') AS c, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, {_crc32("(coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' '))")} % 20 AS how FROM conversations),
+        left_over AS (SELECT c, turn, CASE WHEN how = 4 THEN 'user' ELSE role END AS role, CASE how WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text
+          FROM hurt, unnest(range(CASE how WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)) WHERE how <> 0),
+        placed AS (SELECT *, row_number() OVER (PARTITION BY c ORDER BY turn NULLS FIRST, role, text) AS i, rtrim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS t, left(role, 1) AS ini FROM left_over),
+        seen AS (SELECT *, t = '' AS blank, t <> '' AND row_number() OVER (PARTITION BY c, role, text ORDER BY i) > 1 AS twice, ini || lead(ini) OVER (PARTITION BY c ORDER BY i) AS pair FROM placed),
+        turns AS (SELECT *, blank OR twice AS gone, NOT blank AND NOT twice AND right(t, 1) NOT IN ('.', '!', '?') AS cut FROM seen),
+        best AS (
+            SELECT c, 0::BIGINT AS i, 0 AS st, struct_pack(cost := 0::BIGINT, audit := '', lines := []::VARCHAR[]) AS b FROM (SELECT DISTINCT c FROM turns)
+            UNION ALL
+            SELECT c, i, st2, min(b) FROM (
+                SELECT best.c, turns.i, st2, struct_pack(
+                    cost := (b.cost + price + CASE WHEN cut AND kind <> 'D' THEN 3 ELSE 0 END)::BIGINT, audit := b.audit || letters,
+                    lines := CASE WHEN kind = 'D' THEN b.lines ELSE list_concat(b.lines, moves.lines, [CASE WHEN kind = 'R' THEN gives ELSE role END || ':' || text]) END) AS b
+                FROM best JOIN turns ON turns.c = best.c AND turns.i = best.i + 1 JOIN moves ON moves.st = best.st
+                WHERE kind = 'D' OR (NOT gone AND (kind = 'R' OR ini = needs))) GROUP BY c, i, st2),
+        done AS (SELECT c, min(struct_pack(cost := b.cost + price, audit := b.audit || letters, lines := list_concat(b.lines, closing.lines))) AS b
+          FROM best JOIN (SELECT c, max(i) AS n FROM turns GROUP BY c) USING (c) JOIN closing USING (st) WHERE i = n GROUP BY c),
+        counts AS (SELECT c, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (blank) AS blank, count(*) FILTER (twice) AS duplicate, count(*) FILTER (cut) AS truncated,
+          count(*) FILTER (pair NOT IN ('su', 'ua', 'au')) AS illegal FROM turns GROUP BY c)
+        SELECT conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+          coalesce(b.cost, 0) AS cost, coalesce(b.audit, '') AS audit, sha256(coalesce(array_to_string(b.lines, chr(10)), '')) AS repaired_sha256
+        FROM (SELECT DISTINCT conv_id, coalesce(conv_id::VARCHAR, 'none') AS c FROM conversations) LEFT JOIN counts USING (c) LEFT JOIN done USING (c)
+    """,
 }
