@@ -14,10 +14,12 @@ def asof_join(left: DataFrame, right: DataFrame, on: Sequence[str], time: str, v
     """Each left row with the values of the last right row of its key at or before its time.
 
     One shuffle on the key: both sides are united and a window carries the last right row forward.  Right rows of
-    equal time: the one with the greatest ``tie`` column counts, in that column's own order (nulls are least).  Unmatched rows get nulls.  A hot key may be cut
-    into time buckets first by adding them to ``on`` where matches can't reach further back.
+    equal time: the one with the greatest ``tie`` column counts, in that column's own order (nulls are least).  Unmatched rows get nulls.  Rows of null key or time match
+    nothing, on either side.  A hot key may be cut into time buckets first by adding them to ``on`` where matches
+    can't reach further back.
     """
     names = left.columns
+    right = right.dropna(subset=[*on, time])
     c, side, rank = fresh([*names, *right.columns], "c", "side", "tie")
     carried, order = F.struct(*[F.col(v) for v in values]), F.col(tie) if tie else F.lit(None).cast("int")
     kinds = right.select(carried.alias(c), order.alias(rank)).schema
@@ -32,8 +34,10 @@ def range_join(points: DataFrame, ranges: DataFrame, point: str, low: str, high:
     """Points with every range [low, high) around them, as an equi-join on buckets of ``width``.
 
     A range is repeated once for each bucket it touches, so ``width`` should be about a range's usual length; a point
-    has one bucket, so a pair is met once and the predicate is checked again.  Empty ranges match nothing.
+    has one bucket, so a pair is met once and the predicate is checked again.  Empty ranges match nothing, nor do nulls.
     """
+    if not width > 0:
+        raise ValueError("width has to be positive")
     (name,) = fresh([*points.columns, *ranges.columns], "bucket")
     bucket = lambda c: F.floor(F.col(c).cast("double") / width)
     cut = ranges.where(F.col(low) < F.col(high)).withColumn(name, F.explode(F.sequence(bucket(low), bucket(high))))
@@ -43,9 +47,11 @@ def range_join(points: DataFrame, ranges: DataFrame, point: str, low: str, high:
 
 
 def interval_join(left: DataFrame, right: DataFrame, on: Sequence[str], left_time: str, right_time: str, seconds: int) -> DataFrame:
-    """Pairs of one key whose times are at most ``seconds`` apart; right rows visit their own and both next buckets."""
+    """Pairs of one key whose times are at most ``seconds`` apart; right rows visit their own and both next buckets.  Nulls match nothing."""
+    if seconds < 0:
+        raise ValueError("seconds can't be negative")
     (name,) = fresh([*left.columns, *right.columns], "bucket")
-    bucket = lambda c: F.floor(F.unix_micros(F.col(c).cast("timestamp")) / F.lit(seconds * 1_000_000))
+    bucket = lambda c: F.floor(F.unix_micros(F.col(c).cast("timestamp")) / F.lit(max(1, seconds) * 1_000_000))
     a = left.withColumn(name, bucket(left_time))
     b = right.withColumn(name, F.explode(F.array(*[bucket(right_time) + k for k in (-1, 0, 1)])))
     apart = F.abs(F.unix_micros(F.col(left_time).cast("timestamp")) - F.unix_micros(F.col(right_time).cast("timestamp")))

@@ -1,113 +1,203 @@
-"""Documents of each family, made from rows of the tables inside tasks and read again by the formats' own readers."""
+"""Documents of each family, made from rows of the tables inside tasks, written as files and read again from their folder."""
 
 from __future__ import annotations
 
-import io
-import struct
-import zipfile
-import zlib
+import datetime as dt
+import os
+import re
 from collections.abc import Callable, Iterator
-from xml.sax.saxutils import escape
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from leafmill.plans import writers
 from leafmill.plans.registry import query, table
-from leafmill.sources import documents
+from leafmill.sources import datasource, documents
+from leafmill.sources.scratch import new_path
 
-#: What is left of a text's lines: without blanks around them, and none that are empty.
-_LINES = "array_to_string(list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x, ' ' || chr(9) || chr(11) || chr(12) || chr(13))), lambda x: x <> ''), chr(10))"
+_TRIM = "trim(x, ' ' || chr(9) || chr(11) || chr(12) || chr(13))"
 
 
-def _archive(members: dict[str, str]) -> bytes:
-    out = io.BytesIO()
-    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
-        for name, text in members.items():
-            z.writestr(name, text)
-    return out.getvalue()
+def _lines(lines: str) -> str:
+    """What is left of lines: without blanks around them, and none that are empty."""
+    return f"array_to_string(list_filter(list_transform({lines}, lambda x: {_TRIM}), lambda x: x <> ''), chr(10))"
 
 
-def docx(text: str) -> bytes:
-    body = "".join(f"<w:p><w:r><w:t>{escape(line)}</w:t></w:r></w:p>" for line in text.split("\n"))
-    return _archive({"word/document.xml": f'<w:document xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"><w:body>{body}</w:body></w:document>'})
+_LINES = _lines("string_split(text, chr(10))")
+#: Lines of a page in the PDF files that are made.
+PAGE = 20
 
 
-def xlsx(rows: list[list]) -> bytes:
-    space = "http://schemas.openxmlformats.org/spreadsheetml/2006/main"
-    names = sorted({str(c) for row in rows for c in row if isinstance(c, str)})
-    cell = lambda c: f'<c t="s"><v>{names.index(c)}</v></c>' if isinstance(c, str) else f"<c><v>{c}</v></c>"
-    body = "".join(f"<row>{''.join(map(cell, row))}</row>" for row in rows)
-    return _archive({
-        "xl/workbook.xml": f'<workbook xmlns="{space}"/>',
-        "xl/sharedStrings.xml": f'<sst xmlns="{space}">{"".join(f"<si><t>{escape(n)}</t></si>" for n in names)}</sst>',
-        "xl/worksheets/sheet1.xml": f'<worksheet xmlns="{space}"><sheetData>{body}</sheetData></worksheet>',
-    })
+def made(rows: DataFrame, name: Callable[[dict], str], make: Callable[[dict], bytes]) -> DataFrame:
+    """(path, content): a file for each row."""
 
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for at in range(0, len(frame), 100):
+                records = frame.iloc[at : at + 100].to_dict("records")
+                yield pd.DataFrame({"path": [name(r) for r in records], "content": [make(r) for r in records]})
 
-def odt(text: str) -> bytes:
-    body = "".join(f"<t:p>{escape(line)}</t:p>" for line in text.split("\n"))
-    return _archive({"mimetype": "application/vnd.oasis.opendocument.text", "content.xml": f'<o:body xmlns:o="urn:o" xmlns:t="urn:t">{body}</o:body>'})
-
-
-def pdf(lines: list[str]) -> bytes:
-    shown = " T* ".join("({}) Tj".format(line.replace("\\", "\\\\").replace("(", "\\(").replace(")", "\\)")) for line in lines)
-    packed = zlib.compress(f"BT {shown} ET".encode("latin-1"))
-    return b"%PDF-1.4\n1 0 obj\n<</Length " + str(len(packed)).encode() + b" /Filter /FlateDecode>>\nstream\n" + packed + b"\nendstream\nendobj\n"
-
+    return rows.mapInPandas(run, "path string, content binary")
 
-def image(kind: str, width: int, height: int) -> bytes:
-    """A header of the kind; readers of sizes look no further."""
-    if kind == "png":
-        return b"\x89PNG\r\n\x1a\n" + struct.pack(">I4sII", 13, b"IHDR", width, height) + b"\x08\x02\0\0\0"
-    if kind == "gif":
-        return b"GIF89a" + struct.pack("<HH", width, height) + b"\0\0\0"
-    if kind == "bmp":
-        return b"BM" + struct.pack("<IHHIIii", 0, 0, 0, 54, 40, width, height) + b"\0" * 28
-    if kind == "jpeg":
-        return b"\xff\xd8\xff\xe0\0\x04ab\xff\xc0\0\x11\x08" + struct.pack(">HH", height, width) + b"\x03" * 10
-    return b"RIFF\0\0\0\0WEBPVP8L\0\0\0\0\x2f" + ((width - 1) | (height - 1) << 14).to_bytes(4, "little") + b"\0" * 8
 
+def folder(files: DataFrame, label: str) -> str:
+    """A new folder below the shared one with rows (path, content) as files; a task that runs twice writes the same.
 
-def made(rows: DataFrame, key: str, suffix: str, make: Callable[[dict], bytes]) -> DataFrame:
-    """(path, content): a file for each row, called by its key."""
+    Tasks write with the file system's own calls, so the shared folder has to be mounted; another one is refused.
+    """
+    path = new_path(files.sparkSession, label)
+    if not re.match(r"(file:)?/", path):
+        raise ValueError(f"{path} isn't mounted where tasks run")
+    local = re.sub(r"^file:(//)?", "", path)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        os.makedirs(local, exist_ok=True)
         for frame in frames:
-            records = frame.to_dict("records")
-            yield pd.DataFrame({"path": [f"{r[key]}.{suffix if suffix else r['kind']}" for r in records], "content": [make(r) for r in records]})
+            for name, content in zip(frame["path"], frame["content"], strict=True):
+                with open(f"{local}/{name}.part{os.getpid()}", "wb") as f:
+                    f.write(content)
+                os.replace(f.name, f"{local}/{name}")
+            yield frame[["path"]]
 
-    return rows.mapInPandas(run, "path string, content binary")
+    files.mapInPandas(run, "path string").write.format("noop").mode("overwrite").save()
+    return path
 
 
 def _key(path: str = "path") -> Column:
-    return F.regexp_extract(path, r"^(\d+)\.", 1).cast("long")
+    return F.regexp_extract(path, r"([0-9]+)\.[a-z]+$", 1).cast("long")
+
+
+def damaged_member(data: bytes, name: str) -> bytes:
+    """An archive whose member of this name can't be inflated: its data begin with a block of no known kind."""
+    at = data.index(name.encode(), data.index(b"PK\x03\x04")) + len(name)
+    return data[:at] + b"\xff" * 8 + data[at + 8 :]
+
+
+def _texts(spark: SparkSession, sf_dir: str, suffix: str, make: Callable[[str, str], bytes], damage: Callable[[bytes], bytes]) -> DataFrame:
+    """Every document as a file, each tenth with a header, one of forty damaged; read back with its errors."""
+    head = lambda r: f"Header {r['doc_id']}" if r["doc_id"] % 10 == 0 else ""
+    one = lambda r: damage(make(r["text"], head(r))) if r["doc_id"] % 40 == 7 else make(r["text"], head(r))
+    files = made(table(spark, sf_dir, "documents").select("doc_id", "text"), lambda r: f"{r['doc_id']}.{suffix}", one)
+    parts = documents.read_packed(spark, folder(files, suffix))
+    return parts.select(_key().alias("doc_id"), "part", "name", "text", F.col("error").isNotNull().alias("failed"))
+
+
+def _texts_sql(header: str | None) -> str:
+    heads = f"UNION ALL SELECT doc_id, 1, '{header}', 'Header ' || doc_id, false FROM documents WHERE doc_id % 10 = 0" if header else ""
+    return f"""
+    SELECT doc_id, 0 AS part, CASE WHEN doc_id % 40 <> 7 THEN 'document' END AS name, CASE WHEN doc_id % 40 <> 7 THEN {_LINES} END AS text, doc_id % 40 = 7 AS failed FROM documents
+    {heads}
+    """
 
 
-@query("doc_office", f"SELECT doc_id, 0 AS part, {_LINES} AS text FROM documents")
+@query("doc_office", _texts_sql("header"))
 def office(spark: SparkSession, sf_dir: str) -> DataFrame:
-    files = made(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id", "docx", lambda r: docx(r["text"]))
-    return documents.packed_parts(files).where("error is null").select(_key().alias("doc_id"), "part", "text")
+    return _texts(spark, sf_dir, "docx", writers.docx, lambda data: damaged_member(data, "word/document.xml"))
+
+
+@query("doc_libreoffice", _texts_sql(None))
+def libreoffice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _texts(spark, sf_dir, "odt", lambda text, _: writers.odt(text), lambda data: damaged_member(data, "content.xml"))
+
+
+@query("doc_legacy_word", _texts_sql("headers"))
+def legacy_word(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Compound files; the damaged ones end in their middle."""
+    return _texts(spark, sf_dir, "doc", writers.doc, lambda data: data[: len(data) // 2])
 
 
 @query("doc_sheets", "SELECT p_partkey, p_name || chr(9) || p_brand || chr(10) || p_size || chr(9) || p_partkey AS text FROM part")
 def sheets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    def make(r: dict) -> bytes:
+        cells = [(0, 0, "text", r["p_name"]), (0, 1, "text", r["p_brand"]), (1, 0, "number", r["p_size"]), (1, 1, "number", r["p_partkey"])]
+        return writers.xlsx({"Sheet": [(*c, 1, 1) for c in cells]})
+
     rows = table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_brand", "p_size")
-    files = made(rows, "p_partkey", "xlsx", lambda r: xlsx([[r["p_name"], r["p_brand"]], [r["p_size"], r["p_partkey"]]]))
-    return documents.packed_parts(files).where("error is null").select(_key().alias("p_partkey"), "text")
+    files = made(rows, lambda r: f"{r['p_partkey']}.xlsx", make)
+    return documents.packed_parts(files).select(_key().alias("p_partkey"), "text")
 
 
-@query("doc_libreoffice", f"SELECT doc_id, 0 AS part, {_LINES} AS text FROM documents")
-def libreoffice(spark: SparkSession, sf_dir: str) -> DataFrame:
-    files = made(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id", "odt", lambda r: odt(r["text"]))
-    return documents.packed_parts(files).where("error is null").select(_key().alias("doc_id"), "part", "text")
+#: Parts of one file of sheets.
+FILE_PARTS = 50
+
+
+def part_sheets(parts: list) -> dict[str, list[writers.CellValue]]:
+    """Two sparse sheets: every third row, columns far apart, a merged cell, three equal neighbours."""
+    first, second = [], []
+    for p in parts:
+        row = 3 * (p["p_partkey"] % FILE_PARTS)
+        first += [(row, 1, "text", p["p_name"], 1, 1), (row, 2, "number", p["p_retailprice"], 1, 1), (row, 5, "date", dt.date(1995, 1, 1) + dt.timedelta(days=p["p_size"]), 1, 1), (row, 27, "boolean", p["p_size"] > 25, 1, 1)]
+        second += [*((row, c, "number", p["p_size"], 1, 1) for c in range(3)), (row, 30, "text", p["p_brand"], 2, 3)]
+    return {"Main & more": first, "Über": second}
+
+
+def _cells(spark: SparkSession, sf_dir: str, suffix: str, make: Callable[[dict], bytes]) -> DataFrame:
+    """Fifty parts a file, one file of seven cut in half."""
+    names = ["p_partkey", "p_name", "p_retailprice", "p_size", "p_brand"]
+    rows = table(spark, sf_dir, "part").groupBy((F.col("p_partkey") / FILE_PARTS).cast("long").alias("file")).agg(F.sort_array(F.collect_list(F.struct(*names))).alias("parts"))
+    cut = lambda r, data: data[: len(data) // 2] if suffix != "csv" and r["file"] % 7 == 3 else data
+    files = made(rows, lambda r: f"{r['file']}.{suffix}", lambda r: cut(r, make(part_sheets(r["parts"]))))
+    cells = documents.read_cells(spark, folder(files, suffix))
+    own = ["sheet_no", "sheet", "row", "column", "type", "value", "rows_spanned", "columns_spanned"]
+    return cells.select(_key().alias("file"), *own, F.col("error").isNotNull().alias("failed"))
 
 
-@query("doc_pdf", "SELECT c_custkey, c_name || ' (' || c_mktsegment || ')' || chr(10) || 'nation ' || c_nationkey AS text FROM customer")
+def _cells_sql(csv: bool = False) -> str:
+    number = lambda x: f"CASE WHEN {x} = floor({x}) THEN {x}::BIGINT::VARCHAR ELSE {x}::VARCHAR END"
+    made_cells = [
+        (0, "1", "text", "p_name", 1, 1), (0, "2", "number", number("p_retailprice"), 1, 1), (0, "5", "date", "strftime(DATE '1995-01-01' + p_size::INT, '%Y-%m-%d')", 1, 1), (0, "27", "boolean", "(p_size > 25)::VARCHAR", 1, 1),
+        *((1, str(c), "number", "p_size::VARCHAR", 1, 1) for c in range(3)), (1, "30", "text", "p_brand", 2, 3),
+    ]
+    name = lambda no: "" if csv else ("Main & more", "Über")[no]
+    select = " UNION ALL ".join(
+        f"SELECT p_partkey // {FILE_PARTS} AS file, {no} AS sheet_no, '{name(no)}' AS sheet, (3 * (p_partkey % {FILE_PARTS}))::INT AS row, {column} AS \"column\", '{kind}' AS type, {value} AS value, {high} AS rows_spanned, {wide} AS columns_spanned, false AS failed FROM part"
+        for no, column, kind, value, high, wide in made_cells if not (csv and no)
+    )
+    if csv:
+        return select
+    return f"SELECT * FROM ({select}) WHERE file % 7 <> 3 UNION ALL SELECT DISTINCT p_partkey // {FILE_PARTS}, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, true FROM part WHERE p_partkey // {FILE_PARTS} % 7 = 3"
+
+
+@query("doc_cells_xlsx", _cells_sql())
+def cells_xlsx(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _cells(spark, sf_dir, "xlsx", writers.xlsx)
+
+
+@query("doc_cells_xls", _cells_sql())
+def cells_xls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shared strings in records of 64 bytes, so that strings go on from record to record."""
+    return _cells(spark, sf_dir, "xls", lambda found: writers.xls(found, limit=64))
+
+
+@query("doc_cells_ods", _cells_sql())
+def cells_ods(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _cells(spark, sf_dir, "ods", writers.ods)
+
+
+@query("doc_cells_csv", _cells_sql(csv=True))
+def cells_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _cells(spark, sf_dir, "csv", writers.csv_file)
+
+
+@query(
+    "doc_pdf",
+    f"""
+    WITH pages AS (SELECT doc_id, string_split(text, chr(10)) AS lines, unnest(range(greatest(1, (len(string_split(text, chr(10))) + {PAGE - 1}) // {PAGE}))) AS page FROM documents)
+    SELECT doc_id, page::INT AS part, CASE WHEN NOT failed THEN {_lines(f"lines[page * {PAGE} + 1 : page * {PAGE} + {PAGE}]").replace(_TRIM, f"regexp_replace({_TRIM}, ' +', ' ', 'g')")} END AS text, failed
+    FROM (SELECT *, doc_id % 40 = 7 AND page = (len(lines) + {PAGE - 1}) // {PAGE} - 1 AS failed FROM pages)
+    """,
+)
 def pdfs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_mktsegment", "c_nationkey")
-    files = made(rows, "c_custkey", "pdf", lambda r: pdf([f"{r['c_name']} ({r['c_mktsegment']})", f"nation {r['c_nationkey']}"]))
-    return documents.packed_parts(files).where("error is null").select(_key().alias("c_custkey"), "text")
+    """Every document as pages of twenty lines: by one-byte codes, or by numbers with a Unicode map in object streams; some have a page that can't be decoded."""
+
+    def make(r: dict) -> bytes:
+        lines = r["text"].split("\n")
+        return writers.pdf([lines[i : i + PAGE] for i in range(0, len(lines), PAGE)], plain=r["doc_id"] % 2 == 0, broken=r["doc_id"] % 40 == 7)
+
+    files = made(table(spark, sf_dir, "documents").select("doc_id", "text"), lambda r: f"{r['doc_id']}.pdf", make)
+    parts = documents.read_packed(spark, folder(files, "pdf"))
+    return parts.select(_key().alias("doc_id"), "part", "text", F.col("error").isNotNull().alias("failed"))
 
 
 @query(
@@ -117,8 +207,42 @@ def pdfs(spark: SparkSession, sf_dir: str) -> DataFrame:
 def images(spark: SparkSession, sf_dir: str) -> DataFrame:
     kinds = F.array(*map(F.lit, ("png", "gif", "bmp", "jpeg", "webp")))
     rows = table(spark, sf_dir, "part").select("p_partkey", kinds[(F.col("p_partkey") % 5).cast("int")].alias("kind"), (F.col("p_size") * 31).alias("width"), (F.col("p_partkey") % 977 + 1).alias("height"))
-    files = made(rows, "p_partkey", "", lambda r: image(r["kind"], r["width"], r["height"]))
-    return documents.packed_parts(files).where("error is null").select(_key().alias("p_partkey"), "format", "width", "height")
+    files = made(rows, lambda r: f"{r['p_partkey']}.{r['kind']}", lambda r: writers.image(r["kind"], r["width"], r["height"]))
+    return documents.packed_parts(files).select(_key().alias("p_partkey"), "format", "width", "height")
+
+
+#: Suffix of a document's file in the folder of mixed families, by its id modulo 4.
+MIXED = ("txt", "md", "docx", "pdf")
+
+
+def mixed_folder(spark: SparkSession, sf_dir: str) -> str:
+    def make(r: dict) -> bytes:
+        kind = MIXED[r["doc_id"] % 4]
+        return writers.docx(r["text"]) if kind == "docx" else writers.pdf([r["text"].split("\n")], plain=True) if kind == "pdf" else r["text"].encode()
+
+    return folder(made(table(spark, sf_dir, "documents").select("doc_id", "text"), lambda r: f"{r['doc_id']}.{MIXED[r['doc_id'] % 4]}", make), "mixed")
+
+
+_MIXED_SQL = f"SELECT doc_id, CASE WHEN doc_id % 4 = 2 THEN 'office' ELSE 'pdf' END AS family, CASE WHEN doc_id % 4 = 2 THEN {_LINES} ELSE {_LINES.replace(_TRIM, f"regexp_replace({_TRIM}, ' +', ' ', 'g')")} END AS text FROM documents WHERE doc_id % 4 >= 2"
+
+
+@query("doc_source", _MIXED_SQL)
+def source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two families of a mixed folder by the data source of documents, which opens no file of another."""
+    datasource.register(spark)
+    found = spark.read.format("documents").option("partitionBytes", 1 << 20).load(mixed_folder(spark, sf_dir))
+    return found.where(F.col("family").isin("office", "pdf")).select(_key().alias("doc_id"), "family", "text")
+
+
+@query("doc_source_stream", _MIXED_SQL)
+def source_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same folder as a stream that reads what there is and ends."""
+    datasource.register(spark)
+    found = spark.readStream.format("documents").option("partitionBytes", 1 << 20).load(mixed_folder(spark, sf_dir))
+    out, state = new_path(spark, "documents-stream"), new_path(spark, "documents-state")
+    running = found.where(F.col("family").isin("office", "pdf")).writeStream.format("parquet").option("checkpointLocation", state).trigger(availableNow=True).start(out)
+    running.awaitTermination()
+    return spark.read.schema(found.schema).parquet(out).select(_key().alias("doc_id"), "family", "text")
 
 
 @query(

@@ -118,6 +118,21 @@ def asof(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joins.asof_join(left, right, ["user_id"], "ts", ["event_id"], tie="event_id").select("event_id", "user_id", "asof_event_id")
 
 
+@query(
+    "j_asof_nulls",
+    """
+    WITH c AS (SELECT event_id, CASE WHEN event_id % 10 <> 0 THEN user_id END AS user_id, CASE WHEN event_id % 11 <> 0 THEN ts END AS ts FROM events WHERE event_type = 'click'),
+    v AS (SELECT event_id, CASE WHEN event_id % 7 <> 0 THEN user_id END AS user_id, CASE WHEN event_id % 9 <> 0 THEN ts END AS ts FROM events WHERE event_type = 'view')
+    SELECT c.event_id, c.user_id, v.event_id AS asof_event_id FROM c ASOF LEFT JOIN v ON c.user_id = v.user_id AND c.ts >= v.ts
+    """,
+)
+def asof_nulls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Keys and times that are null on either side match nothing."""
+    kept = lambda c, n: F.when(F.col("event_id") % n != 0, F.col(c)).alias(c)
+    sides = [table(spark, sf_dir, "events").where(F.col("event_type") == kind).select("event_id", kept("user_id", a), kept("ts", b)) for kind, a, b in (("click", 10, 11), ("view", 7, 9))]
+    return joins.asof_join(*sides, ["user_id"], "ts", ["event_id"], tie="event_id").select("event_id", "user_id", "asof_event_id")
+
+
 @query(
     "j_asof_ties",
     """

@@ -10,7 +10,6 @@ import io
 import re
 import struct
 import zipfile
-import zlib
 from collections.abc import Iterator
 from xml.etree import ElementTree
 
@@ -19,11 +18,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from leafmill.functions.scalar import markdown_text
+from leafmill.sources import cells, compound, pdf
 
 #: Suffixes of each family.
 FAMILIES = {
     "pdf": ("pdf",),
-    "office": ("docx", "xlsx", "pptx"),
+    "office": ("docx", "xlsx", "pptx", "doc", "xls"),
     "libreoffice": ("odt", "ods", "odp"),
     "text": ("txt", "text", "log"),
     "markdown": ("md", "markdown"),
@@ -36,12 +36,12 @@ LANGUAGES = {
     "py": "Python", "java": "Java", "kt": "Kotlin", "js": "JavaScript", "ts": "TypeScript", "c": "C", "h": "C", "cpp": "C++", "rs": "Rust", "go": "Go",
     "rb": "Ruby", "sh": "Shell", "sql": "SQL", "html": "HTML", "css": "CSS", "xml": "XML", "json": "JSON", "yaml": "YAML", "yml": "YAML", "toml": "TOML",
 }
-#: Unpacked bytes of one archive member or PDF stream at most, so that a crafted file can't fill a task; a larger one is an error.
-MAX_MEMBER = 256 << 20
-
-
-class TooLargeError(ValueError):
-    pass
+#: Families whose files are opened inside tasks.
+PACKED = ("pdf", "office", "libreoffice", "image")
+#: Suffixes of sheets.
+SHEETS = ("xlsx", "xls", "ods", "csv", "tsv")
+#: Rows of one batch of cells.
+CELL_ROWS = 20_000
 
 
 def suffix(path: Column) -> Column:
@@ -131,139 +131,200 @@ def image_size(data: bytes) -> tuple[str, int, int] | None:
     return None
 
 
-def _member(archive: zipfile.ZipFile, name: str) -> bytes:
-    with archive.open(name) as f:
-        data = f.read(MAX_MEMBER + 1)
-    if len(data) > MAX_MEMBER:
-        raise TooLargeError(f"{name} has over {MAX_MEMBER} bytes")
-    return data
+def _member(archive: zipfile.ZipFile, name: str) -> ElementTree.Element:
+    return ElementTree.fromstring(cells.Bounded(archive, name).read())
+
 
+#: Elements that stand for characters, in Office's and in LibreOffice's files, and those whose contents aren't text.
+SEPARATORS = {"tab": "\t", "br": "\n", "cr": "\n", "line-break": "\n", "noBreakHyphen": "-"}
+PROPERTIES = frozenset({"pPr", "rPr", "tabs", "tracked-changes"})
 
-def _xml_text(data: bytes, blocks: frozenset[str], texts: frozenset[str] | None) -> str:
-    """Text of XML, a line for each block element; only inside ``texts`` elements if they are given."""
+
+def _xml_text(root: ElementTree.Element, blocks: frozenset[str], texts: frozenset[str] | None) -> str:
+    """Text of XML, a line for each block element, with tabs and breaks; only inside ``texts`` elements if they are given."""
     lines, line = [], []
 
     def walk(node: ElementTree.Element) -> None:
-        tag = node.tag.rpartition("}")[2]
-        if node.text and (texts is None or tag in texts):
+        name = cells.tag(node)
+        if name in PROPERTIES:
+            return
+        if name in SEPARATORS:
+            line.append(SEPARATORS[name])
+        elif name == "s" and texts is None:
+            line.append(" " * int(cells.attribute(node, "c", "1")))
+        if node.text and (texts is None or name in texts):
             line.append(node.text)
         for child in node:
             walk(child)
             if child.tail and texts is None:
                 line.append(child.tail)
-        if tag in blocks:
-            lines.append("".join(line).strip())
+        if name in blocks:
+            lines.extend(x.strip() for x in "".join(line).split("\n"))
             line.clear()
 
-    walk(ElementTree.fromstring(data))
+    walk(root)
     lines.append("".join(line).strip())
     return "\n".join(x for x in lines if x)
 
 
-def office_parts(data: bytes) -> Iterator[str]:
-    """Texts of the pages, sheets or slides of an Office or LibreOffice file."""
-    number = lambda name: int(re.sub(r"\D", "", name.rpartition("/")[2]) or 0)
+def _numbered(names: list[str], pattern: str) -> list[str]:
+    return sorted((n for n in names if re.fullmatch(pattern, n)), key=lambda n: (re.sub(r"\d", "", n), int(re.sub(r"\D", "", n.rpartition("/")[2]) or 0)))
+
+
+def office_parts(data: bytes) -> Iterator[tuple[str, str]]:
+    """(name, text) of an Office file: a document with its headers, footers, notes and comments, slides with their notes, or sheets."""
     with zipfile.ZipFile(io.BytesIO(data)) as archive:
         names = archive.namelist()
+        text = lambda n: _xml_text(_member(archive, n), frozenset({"p"}), frozenset({"t"}))
         if "word/document.xml" in names:
-            yield _xml_text(_member(archive, "word/document.xml"), frozenset({"p"}), frozenset({"t"}))
-        for name in sorted((n for n in names if re.fullmatch(r"ppt/slides/slide\d+\.xml", n)), key=number):
-            yield _xml_text(_member(archive, name), frozenset({"p"}), frozenset({"t"}))
+            yield "document", text("word/document.xml")
+            for n in _numbered(names, r"word/(header|footer|footnotes|endnotes|comments)\d*\.xml"):
+                if found := text(n):
+                    yield re.sub(r"word/|\d*\.xml", "", n), found
+        for n in _numbered(names, r"ppt/slides/slide\d+\.xml"):
+            yield "slide", text(n)
+        for n in _numbered(names, r"ppt/notesSlides/notesSlide\d+\.xml"):
+            yield "notes", text(n)
         if "xl/workbook.xml" in names:
-            shared = []
-            if "xl/sharedStrings.xml" in names:
-                strings = ElementTree.fromstring(_member(archive, "xl/sharedStrings.xml"))
-                shared = ["".join(t.text or "" for t in item.iter() if t.tag.endswith("}t")) for item in strings]
-            for name in sorted((n for n in names if re.fullmatch(r"xl/worksheets/sheet\d+\.xml", n)), key=number):
-                rows = []
-                for row in ElementTree.fromstring(_member(archive, name)).iter():
-                    if row.tag.endswith("}row"):
-                        cells = []
-                        for cell in row:
-                            value = "".join(v.text or "" for v in cell.iter() if v.tag.endswith(("}v", "}t")))
-                            known = cell.get("t") == "s" and value.isdigit() and int(value) < len(shared)
-                            cells.append(shared[int(value)] if known else value)
-                        rows.append("\t".join(cells))
-                yield "\n".join(rows)
-        if "content.xml" in names:
-            yield _xml_text(_member(archive, "content.xml"), frozenset({"p", "h"}), None)
-
-
-_STRING = re.compile(rb"\((?:[^()\\]|\\.)*\)|<[0-9A-Fa-f\s]*>", re.S)
-_SHOWN = re.compile(rb"((?:\((?:[^()\\]|\\.)*\)|<[0-9A-Fa-f\s]*>)\s*(?:Tj|'|\"))|(\[(?:[^\]\\]|\\.)*\]\s*TJ)|(T\*|Td|TD|ET)", re.S)
-_ESCAPES = {b"n": b"\n", b"r": b"\r", b"t": b"\t", b"b": b"\b", b"f": b"\f"}
-
-
-def _pdf_string(token: bytes) -> str:
-    if token[:1] == b"<":
-        digits = re.sub(rb"\s", b"", token[1:-1])
-        return bytes.fromhex((digits + b"0" * (len(digits) % 2)).decode()).decode("latin-1")
-    known = lambda m: _ESCAPES.get(m[1], m[1]) if not m[1][:1].isdigit() else bytes([int(m[1], 8) & 255])
-    return re.sub(rb"\\([0-7]{1,3}|.)", known, token[1:-1], flags=re.S).decode("latin-1")
-
-
-def pdf_parts(data: bytes) -> Iterator[str]:
-    """Texts of a PDF's content streams with simple fonts, plain or deflated; other encodings give no text."""
-    for m in re.finditer(rb"<<(?:(?!endobj).){0,4096}?>>\s*stream\r?\n", data, re.S):
-        end = data.find(b"endstream", m.end())
-        stream = data[m.end() : end if end >= 0 else len(data)]
-        if b"FlateDecode" in m[0]:
-            try:
-                unpacked = zlib.decompressobj()
-                stream = unpacked.decompress(stream, MAX_MEMBER)
-            except zlib.error:
-                continue
-            if unpacked.unconsumed_tail:
-                raise TooLargeError(f"a stream has over {MAX_MEMBER} bytes")
-        if b"BT" not in stream:
-            continue
-        out = []
-        for one, many, _ in _SHOWN.findall(stream):
-            strings = _STRING.findall(one or many)
-            out.append("".join(map(_pdf_string, strings)) if strings else "\n")
-        yield re.sub(r"\n+", "\n", "".join(out)).strip()
+            yield from cells.grid_texts(cells.xlsx_cells(archive))
 
 
-PARTS = pa.schema([("path", pa.string()), ("family", pa.string()), ("part", pa.int32()), ("text", pa.string()), ("format", pa.string()), ("width", pa.int32()), ("height", pa.int32()), ("error", pa.string())])
+def libreoffice_parts(data: bytes) -> Iterator[tuple[str, str]]:
+    """(name, text) of a LibreOffice file: its sheets, its slides, or its text with headers and footers."""
+    with zipfile.ZipFile(io.BytesIO(data)) as archive:
+        root = _member(archive, "content.xml")
+        blocks, kinds = frozenset({"p", "h"}), {cells.tag(n) for n in root.iter()}
+        if "spreadsheet" in kinds:
+            yield from cells.grid_texts(cells.ods_cells(archive))
+        elif "presentation" in kinds:
+            for page in (n for n in root.iter() if cells.tag(n) == "page"):
+                yield cells.attribute(page, "name", ""), _xml_text(page, blocks, None)
+        else:
+            yield "document", _xml_text(root, blocks, None)
+        if "styles.xml" in archive.namelist():
+            for n in _member(archive, "styles.xml").iter():
+                if cells.tag(n) in ("header", "footer") and (found := _xml_text(n, blocks, None)):
+                    yield cells.tag(n), found
+
+
+def parts_of(kind: str, ending: str, data: bytes) -> Iterator[tuple]:
+    """(text, name, format, width, height, error) of each part of a file of this family and suffix."""
+    if kind == "image":
+        size = image_size(data)
+        yield (None, None, *size, None) if size else (None, None, None, None, None, "not an image of a known format")
+    elif kind == "pdf":
+        for text, error in pdf.page_texts(data):
+            yield text, "page", None, None, None, error
+    else:
+        found = compound.word_texts(data) if ending == "doc" else cells.grid_texts(compound.xls_cells(data)) if ending == "xls" else office_parts(data) if kind == "office" else libreoffice_parts(data)
+        for name, text in found:
+            yield text, name, None, None, None, None
+
+
+def file_rows(kind: str, ending: str, data: bytes) -> list[tuple]:
+    """The same of any bytes: a file that can't be read, or that has no part, gives one row with an error."""
+    found = []
+    try:
+        for row in parts_of(kind, ending, data):
+            found.append(row)
+        return found or [(None, None, None, None, None, "no part of the file is read")]
+    except Exception as e:  # noqa: BLE001  whatever a damaged file leads to is its own row, not the end of the job
+        return [*found, (None, None, None, None, None, f"{type(e).__name__}: {e}"[:200])]
+
+
+PARTS = pa.schema([("path", pa.string()), ("family", pa.string()), ("part", pa.int32()), ("name", pa.string()), ("text", pa.string()), ("format", pa.string()), ("width", pa.int32()), ("height", pa.int32()), ("error", pa.string())])
+PARTS_SQL = "path string, family string, part int, name string, text string, format string, width int, height int, error string"
+CELLS = pa.schema([
+    ("path", pa.string()), ("family", pa.string()), ("sheet_no", pa.int32()), ("sheet", pa.string()), ("row", pa.int32()), ("column", pa.int32()), ("type", pa.string()), ("value", pa.string()),
+    ("rows_spanned", pa.int32()), ("columns_spanned", pa.int32()), ("error", pa.string()),
+])
+CELLS_SQL = "path string, family string, sheet_no int, sheet string, row int, column int, type string, value string, rows_spanned int, columns_spanned int, error string"
+
+
+def _binary(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+
+
+def _valid(text: str | None) -> str | None:
+    """Text that UTF-8 can hold: lone halves of surrogate pairs become marks."""
+    return text if text is None else text.encode("utf-8", "replace").decode()
+
+
+def _record(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    columns = zip(*rows, strict=True) if rows else [[]] * len(schema)
+    return pa.RecordBatch.from_arrays([pa.array(map(_valid, c) if pa.types.is_string(f.type) else c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
+
+
+def _opened(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, str, str, bytes]]:
+    """(path, family, suffix, content), a file at a time."""
+    for b in batches:
+        for i in range(b.num_rows):
+            yield tuple(b.column(c)[i].as_py() for c in ("path", "family", "suffix", "content"))
 
 
 def read_packed(spark: SparkSession, path: str) -> DataFrame:
-    """PDF, Office, LibreOffice and image files: a row for each part, or one with ``error`` if a file can't be read."""
-    return packed_parts(spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path))
+    """PDF, Office, LibreOffice and image files: a row for each page, sheet, slide or other part.
+
+    A part that can't be read has an ``error``; of a file that can't, the parts before the damage are followed by such a row.
+    Spark's reader passes over files of no bytes; the data source of ``datasource`` gives them a row too.
+    """
+    return packed_parts(_binary(spark, path))
 
 
 def packed_parts(files: DataFrame) -> DataFrame:
     """The same of rows (path, content)."""
-    kinds = ("pdf", "office", "libreoffice", "image")
-    files = files.select("path", family(F.col("path")).alias("family"), "content").where(F.col("family").isin(*kinds))
+    files = files.select("path", family(F.col("path")).alias("family"), suffix(F.col("path")).alias("suffix"), "content").where(F.col("family").isin(*PACKED))
 
-    def parts(kind: str, data: bytes) -> Iterator[tuple]:
-        if kind == "image":
-            size = image_size(data)
-            yield (None, *size, None) if size else (None, None, None, None, "not an image of a known format")
-            return
-        for text in pdf_parts(data) if kind == "pdf" else office_parts(data):
-            yield text, None, None, None, None
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for file, kind, ending, data in _opened(batches):
+            yield _record([(file, kind, k, name, text, *rest) for k, (text, name, *rest) in enumerate(file_rows(kind, ending, data or b""))], PARTS)
+
+    return files.mapInArrow(run, PARTS_SQL)
+
+
+def read_cells(spark: SparkSession, path: str) -> DataFrame:
+    """Sheets (xlsx, xls, ods, csv): a row for each cell that holds something, with its place, type, value and span; see ``cells.Cell``.
+
+    Rows and columns count from 0.  A file that can't be read to its end has a row with ``error`` behind its cells; one
+    without cells has no row.
+    """
+    return sheet_cells(_binary(spark, path))
+
+
+def _cells_of(ending: str, data: bytes) -> Iterator[cells.Cell]:
+    if ending in ("csv", "tsv"):
+        yield from cells.csv_cells(data)
+    elif ending == "xls":
+        yield from compound.xls_cells(data)
+    else:
+        with zipfile.ZipFile(io.BytesIO(data)) as archive:
+            yield from cells.xlsx_cells(archive) if ending == "xlsx" else cells.ods_cells(archive)
+
+
+def sheet_cells(files: DataFrame) -> DataFrame:
+    """The same of rows (path, content)."""
+    files = files.select("path", family(F.col("path")).alias("family"), suffix(F.col("path")).alias("suffix"), "content").where(F.col("suffix").isin(*SHEETS))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            out = []
-            for file, kind, data in zip(b.column("path").to_pylist(), b.column("family").to_pylist(), b.column("content").to_pylist(), strict=True):
-                try:
-                    found = list(parts(kind, data))
-                except (zipfile.BadZipFile, ElementTree.ParseError, struct.error, ValueError, KeyError, RuntimeError, NotImplementedError) as e:
-                    found = [(None, None, None, None, f"{type(e).__name__}: {e}"[:200])]
-                out += [(file, kind, k, *row) for k, row in enumerate(found)]
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True) if out else [[]] * len(PARTS), PARTS, strict=True)], schema=PARTS)
+        for file, kind, ending, data in _opened(batches):
+            rows: list[tuple] = []
+            try:
+                for cell in _cells_of(ending, data or b""):
+                    rows.append((file, kind, *cell, None))
+                    if len(rows) == CELL_ROWS:
+                        yield _record(rows, CELLS)
+                        rows = []
+            except Exception as e:  # noqa: BLE001  see file_rows
+                rows.append((file, kind, *[None] * 8, f"{type(e).__name__}: {e}"[:200]))
+            yield _record(rows, CELLS)
 
-    return files.mapInArrow(run, "path string, family string, part int, text string, format string, width int, height int, error string")
+    return files.mapInArrow(run, CELLS_SQL)
 
 
 def read_documents(spark: SparkSession, path: str) -> DataFrame:
-    """Every readable file below a folder: (path, family, part, text); a CSV file's text is its lines."""
-    plain = [_whole(spark, path, n).select("path", F.lit(n).alias("family"), F.lit(0).alias("part"), "text") for n in ("text", "code", "csv")]
-    marked = read_markdown(spark, path).select("path", F.lit("markdown").alias("family"), F.lit(0).alias("part"), "text")
-    out = read_packed(spark, path).where(F.col("error").isNull()).select("path", "family", "part", "text")
-    for more in (*plain, marked):
-        out = out.unionByName(more)
-    return out
+    """Every file of a known family below a folder: (path, family, part, text, error); a CSV file's text is its lines."""
+    whole = lambda rows, name: rows.select("path", F.lit(name).alias("family"), F.lit(0).alias("part"), "text", F.lit(None).cast("string").alias("error"))
+    out = read_packed(spark, path).select("path", "family", "part", "text", "error")
+    for name in ("text", "code", "csv"):
+        out = out.unionByName(whole(_whole(spark, path, name), name))
+    return out.unionByName(whole(read_markdown(spark, path), "markdown"))

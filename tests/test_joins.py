@@ -14,10 +14,10 @@ def at(minutes):
 
 
 def test_asof_ties_nulls_and_empty(spark):
-    left = spark.createDataFrame([(1, "a", at(0)), (2, "a", at(5)), (3, "a", at(9)), (4, "b", at(9)), (5, None, at(9))], "id int, k string, ts timestamp")
-    right = spark.createDataFrame([("a", at(5), 10), ("a", at(5), 11), ("a", at(7), 12), (None, at(1), 13)], "k string, ts timestamp, v int")
+    left = spark.createDataFrame([(1, "a", at(0)), (2, "a", at(5)), (3, "a", at(9)), (4, "b", at(9)), (5, None, at(9)), (6, "a", None), (7, "c", at(9)), (8, "c", None)], "id int, k string, ts timestamp")
+    right = spark.createDataFrame([("a", at(5), 10), ("a", at(5), 11), ("a", at(7), 12), (None, at(1), 13), ("a", None, 14), ("c", None, 15)], "k string, ts timestamp, v int")
     got = {r["id"]: r["asof_v"] for r in joins.asof_join(left, right, ["k"], "ts", ["v"], tie="v").collect()}
-    assert got == {1: None, 2: 11, 3: 12, 4: None, 5: 13}
+    assert got == {1: None, 2: 11, 3: 12, 4: None, 5: None, 6: None, 7: None, 8: None}
     assert joins.asof_join(left, right.limit(0), ["k"], "ts", ["v"]).where("asof_v is not null").count() == 0
 
 
@@ -55,6 +55,17 @@ def test_range_join_meets_each_pair_once(spark):
     assert got == want
 
 
+def test_widths_that_part_nothing(spark):
+    import pytest
+
+    a = spark.createDataFrame([(1, "a", at(5)), (2, "a", at(6)), (3, "a", None)], "id int, k string, ts timestamp")
+    same = joins.interval_join(a, a.select("k", F.col("ts").alias("t")), ["k"], "ts", "t", 0)
+    assert sorted(r["id"] for r in same.collect()) == [1, 2]
+    for wrong in (lambda: joins.interval_join(a, a, ["k"], "ts", "ts", -1), lambda: joins.range_join(a, a, "id", "id", "id", 0.0), lambda: joins.range_join(a, a, "id", "id", "id", float("nan"))):
+        with pytest.raises(ValueError):
+            wrong()
+
+
 def test_salted_join_keeps_all_kinds(spark):
     big = spark.createDataFrame([(i, i % 3) for i in range(50)], "id int, k int")
     small = spark.createDataFrame([(0, "x"), (1, "y"), (1, "z")], "k int, v string")

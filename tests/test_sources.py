@@ -7,7 +7,8 @@ import zlib
 
 import pytest
 
-from leafmill.sources import documents
+from leafmill.plans import writers
+from leafmill.sources import cells, compound, datasource, documents, pdf
 
 
 def _zip(path, members):
@@ -84,13 +85,13 @@ def test_webp_headers():
 
 
 def test_members_over_the_bound_are_errors(monkeypatch):
-    monkeypatch.setattr(documents, "MAX_MEMBER", 1000)
+    monkeypatch.setattr(cells, "MAX_MEMBER", 1000)
+    monkeypatch.setattr(pdf, "MAX_STREAM", 1000)
     packed = zlib.compress(b"BT (" + b"x" * 5000 + b") Tj ET")
-    pdf = b"%PDF-1.4\n1 0 obj\n<</Filter /FlateDecode>>\nstream\n" + packed + b"\nendstream\nendobj\n"
-    with pytest.raises(documents.TooLargeError):
-        list(documents.pdf_parts(pdf))
+    data = b"%PDF-1.4\n1 0 obj\n<</Filter /FlateDecode>>\nstream\n" + packed + b"\nendstream\nendobj\n"
+    assert "bytes" in documents.file_rows("pdf", "pdf", data)[0][-1]
     out = io.BytesIO()
     with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
         z.writestr("content.xml", "<a>" + "x" * 5000 + "</a>")
-    with pytest.raises(documents.TooLargeError):
-        list(documents.office_parts(out.getvalue()))
+    with pytest.raises(cells.TooLargeError):
+        list(documents.libreoffice_parts(out.getvalue()))
