@@ -2,17 +2,16 @@
 
 One scan finds the seeds and every other identifier-like token, each with its lexical patterns, the one to three
 words before it and behind it.  Patterns and tokens (instances) form a graph that Spark scores in rounds: a pattern is
-as sure as its instances are known and as its words stand beside nothing else, an instance as its patterns together.
-Instances of sure patterns are seeds of the next round.  In the end they are reported wherever they occur, as kind
-``context``.
+as sure as its instances are known and as its words stand beside nothing else, an instance as its patterns together,
+less where tokens of its form mostly stand elsewhere.  Instances of sure patterns are seeds of the next round.  In the
+end they are reported wherever they occur, as kind ``context``.
 """
 
 from __future__ import annotations
 
+import heapq
 import re
-from bisect import bisect_right
-from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -22,9 +21,9 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from leafmill.llm.common import batch, bounded, id_and_text, materialize, release, slices, strings, utf8
+from leafmill.llm.common import bounded, id_and_text, materialize, release, slices, utf8
 from leafmill.llm.hashing import mix, text_words
-from leafmill.llm.spans import SPAN_SQL, SPAN_TYPE, Span, as_dicts, joined_column, sha256
+from leafmill.llm.spans import SPAN_SQL, SPAN_TYPE, Span, joined_column, sha256
 
 KINDS = ("email", "ip", "card", "phone")
 CONTEXT = "context"
@@ -33,13 +32,23 @@ DOMAIN = re.compile(r"[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 # runs of digits can only match from their start, so the looking behind spares every other attempt
 IP = re.compile(r"(?<![0-9])[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
-CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
+CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])++")  # possessive: nothing is kept of the steps of a long run
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 DIGITS = re.compile(r"[0-9]+")
 SPACES = str.maketrans("\t\n\x0b\x0c\r", "     ")
 #: An identifier-like token: with a digit, of at least so many code points between the marks around it.
 TOKEN_CHARS = 5
 MARKS = ".,;:!?()[]{}<>\"'"
+#: Forms of tokens that say a time, a date, an amount, a version, a measure or a range, and so nobody's name.
+ORDINARY = re.compile(
+    r"""\d{1,2}[:.]\d\d(?:[:.]\d\d)?(?:[ap]\.?m)? | \d{1,2}(?:[ap]m|h\d{0,2})
+    | \d{1,4}[-/.]\d{1,2}[-/.]\d{1,4}(?:T[\d:.+Z-]*)? | \d{1,2}[-/.][a-z]{3,9}[-/.]\d{2,4}
+    | [-+~]?[$\u20ac\xa3\xa5]?\d{1,3}(?:[,.']\d{3})+(?:[.,]\d+)? | [-+~]?[$\u20ac\xa3\xa5]?\d+[.,]\d{1,4} | [-+~]?[$\u20ac\xa3\xa5]\d+ | [-+~]?\d[\d.,']*[%$\u20ac\xa3\xa5\xb0]
+    | v\d+(?:\.\d+)* | v?\d+(?:\.\d+){1,3}(?:[-+]?[a-z]+\.?\d*)?
+    | \d[\d.,]*-?(?:st|nd|rd|th|mm|cm|m|km|mg|g|kg|ml|l|s|ms|min|h|hz|khz|mhz|ghz|w|kw|v|kb|mb|gb|tb|px|p|fps|kmh|mph|x|usd|eur|gbp)
+    | \d{1,4}[-/\u2013]\d{1,4} | \d+x\d+""",
+    re.X | re.I,
+)
 #: Words on either side that make a pattern, at most.
 WORDS = 3
 #: What an instance that is neither known nor accepted counts against a pattern; an ordinary word there counts 1.
@@ -48,6 +57,8 @@ UNKNOWN = 0.25
 MAP_BITS = 24
 #: Sequences whose counts a task holds.
 HELD = 1 << 19
+#: Code points and places of a text that are worked through at once.
+SLICE, PLACES = 1 << 18, 4096
 
 
 def emails(text: str) -> list[tuple[int, int]]:
@@ -88,9 +99,9 @@ def base_spans(text: str) -> list[Span]:
     return out
 
 
-def candidates(clean: str, base: list[Span]) -> list[tuple[int, int]]:
-    """Tokens with a digit that no base span touches, without the marks around them."""
-    out, done, taken = [], 0, sorted((s[0], s[2]) for s in base)
+def candidates(clean: str, base: list[Span]) -> Iterator[tuple[int, int]]:
+    """Tokens with a digit that no base span touches, without the marks around them, and of no ordinary form."""
+    done, taken = 0, sorted((s[0], s[2]) for s in base)
     k, reach = 0, -1
     for m in DIGITS.finditer(clean):
         if m.start() < done:
@@ -104,13 +115,21 @@ def candidates(clean: str, base: list[Span]) -> list[tuple[int, int]]:
         while k < len(taken) and taken[k][0] < end:
             reach = max(reach, taken[k][1])
             k += 1
-        if end - start >= TOKEN_CHARS and reach <= start:
-            out.append((start, end))
-    return out
+        if end - start >= TOKEN_CHARS and reach <= start and not (end - start < 40 and ORDINARY.fullmatch(clean, start, end)):
+            yield start, end
+
+
+def hashed(text: str) -> int:
+    return xxhash.xxh3_64_intdigest(text.encode("utf-8", "surrogatepass")) - (1 << 63)
+
+
+_UPPER, _LETTERS, _RUN = re.compile("[A-Z]+"), re.compile("[^\\W\\d_]+"), re.compile("[0-9]+")
 
 
-def instance(token: str) -> int:
-    return xxhash.xxh3_64_intdigest(token) - (1 << 63)
+def form(token: str) -> str:
+    """A token's form: letters as ``a`` (``A`` where all of a run are capitals of A to Z), digits by their number, marks as they are."""
+    parts = _LETTERS.sub(lambda m: "A" if _UPPER.fullmatch(m[0]) else "a", token[:200])
+    return _RUN.sub(lambda m: f"9{{{len(m[0])}}}", parts)
 
 
 def sequences(words: np.ndarray) -> list[np.ndarray]:
@@ -127,51 +146,114 @@ def sequences(words: np.ndarray) -> list[np.ndarray]:
 WORD = re.compile(r"[^ ]+")
 
 
-def patterns(clean: str, words: np.ndarray, places: list[tuple[int, int]]) -> tuple[list[list[int]], list[list[int]]]:
-    """Of each place its patterns: up to ``WORDS`` words before it (even numbers) and behind it (odd ones).
+def around(clean: str, start: int, end: int) -> tuple[int, int]:
+    """Where the part begins that has ``WORDS`` words more on either side of what stands from start to end."""
+    low = clean.rfind(" ", 0, start) + 1
+    for _ in range(WORDS):
+        while low and clean[low - 1] == " ":
+            low -= 1
+        low = clean.rfind(" ", 0, low) + 1
+    for _ in range(WORDS + 1):
+        m = WORD.search(clean, end)
+        end = m.end() if m else len(clean)
+    return low, end
 
-    Beside each stands at how many other places of the text its words occur, told once in a text.
-    """
-    starts = [m.start() for m in WORD.finditer(clean)]
-    rows = [r.view(np.int64) for r in sequences(words)]
-    out = []
-    for start, end in places:
-        first, behind = bisect_right(starts, start) - 1, bisect_right(starts, end - 1)
-        own = [int(r[first - n]) for n, r in enumerate(rows, 1) if first >= n]
-        out.append(own + [int(r[behind]) | 1 for n, r in enumerate(rows, 1) if behind + n <= len(starts)])
-    here = Counter(p for own in out for p in own)
-    values, n = np.unique(np.concatenate(rows), return_counts=True)
-    asked = np.fromiter(here, np.int64, len(here))
-    total = dict(zip(asked.tolist(), n[np.searchsorted(values, asked & -2)].tolist(), strict=True)) if len(asked) else {}
-    return out, [[total.pop(p) - here[p] if p in total else 0 for p in own] for own in out]
 
+def place_patterns(clean: str, places: list[tuple[int, int, bool]], until: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(patterns, valid, elsewhere) of places near each other, a row for each: the words before it (even numbers) and behind it (odd ones).
 
-_EDGE = pa.struct([("start", pa.int64()), ("end", pa.int64()), ("seed", pa.bool_()), ("instance", pa.int64()), ("patterns", pa.list_(pa.int64())), ("elsewhere", pa.list_(pa.int64()))])
-ROWS = pa.schema([("row_id", pa.int64()), ("doc_id", pa.int64()), *((f"n_{k}", pa.int64()) for k in KINDS), ("base_sha256", pa.string()), ("base", pa.list_(SPAN_TYPE)), ("edges", pa.list_(_EDGE))])
-ROWS_SQL = f"row_id long, doc_id long, {', '.join(f'n_{k} long' for k in KINDS)}, base_sha256 string, base array<{SPAN_SQL}>, edges array<struct<start:bigint,end:bigint,seed:boolean,instance:bigint,patterns:array<bigint>,elsewhere:array<bigint>>>"
+    ``elsewhere`` is at how many other places before ``until`` a pattern's words occur, told once.
+    """
+    low, high = around(clean, places[0][0], max(until, max(p[1] for p in places)))
+    part = clean[low:high]
+    starts = np.fromiter((m.start() for m in WORD.finditer(part)), np.int64)
+    rows = [r.view(np.int64) for r in sequences(next(iter(text_words([part.encode("utf-8", "surrogatepass")]))))]
+    begin, end = (np.fromiter((p[i] - low for p in places), np.int64, len(places)) for i in (0, 1))
+    first, behind = np.searchsorted(starts, begin, "right") - 1, np.searchsorted(starts, end - 1, "right")
+    found, valid = np.zeros((len(places), 2 * WORDS), np.int64), np.zeros((len(places), 2 * WORDS), bool)
+    for n, r in enumerate(rows, 1):
+        for column, at, odd in ((n - 1, first - n, 0), (WORDS + n - 1, behind, 1)):
+            ok = (at >= 0) & (at + n <= len(starts))
+            found[ok, column] = r[at[ok]] | odd
+            valid[:, column] = ok
+    asked, where, here = np.unique(found[valid], return_index=True, return_counts=True)
+    own = slice(*np.searchsorted(starts, (places[0][0] - low, until - low)))
+    values, n = np.unique(np.concatenate([r[own] for r in rows]), return_counts=True)
+    at = np.searchsorted(values, asked & -2).clip(0, max(0, len(values) - 1))
+    total = np.where(values[at] == (asked & -2), n[at], 0) if len(values) else np.zeros(len(asked), np.int64)
+    told = np.zeros(int(valid.sum()), np.int64)
+    told[where] = np.maximum(total - here, 0)
+    elsewhere = np.zeros_like(found)
+    elsewhere[valid] = told
+    return found, valid, elsewhere
+
+
+def place_groups(clean: str, base: list[Span]) -> Iterator[tuple[list[tuple[int, int, bool]], int]]:
+    """(places near each other, where the next ones begin): seeds and candidates by their start."""
+    seeds = ((s, e, True) for s, _, e, _ in base)
+    group: list[tuple[int, int, bool]] = []
+    for place in heapq.merge(seeds, ((s, e, False) for s, e in candidates(clean, base))):
+        if group and (place[0] >= group[0][0] + SLICE or len(group) == PLACES):
+            yield group, min(place[0], group[0][0] + SLICE)
+            group = []
+        group.append(place)
+    if group:
+        yield group, min(len(clean), group[0][0] + SLICE)
+
+
+DOCS = ("doc_id", *(f"n_{k}" for k in KINDS), "base_sha256", "base")
+ROWS = pa.schema([
+    ("row_id", pa.int64()), ("doc_id", pa.int64()), *((f"n_{k}", pa.int64()) for k in KINDS), ("base_sha256", pa.string()), ("base", pa.list_(SPAN_TYPE)),
+    ("start", pa.int64()), ("end", pa.int64()), ("seed", pa.bool_()), ("instance", pa.int64()), ("form", pa.int64()), ("patterns", pa.list_(pa.int64())), ("elsewhere", pa.list_(pa.int64())),
+])
+ROWS_SQL = (
+    f"row_id long, doc_id long, {', '.join(f'n_{k} long' for k in KINDS)}, base_sha256 string, base array<{SPAN_SQL}>, "
+    "start long, end long, seed boolean, instance long, form long, patterns array<long>, elsewhere array<long>"
+)
+
+
+def _rows(n: int, **columns: Iterable | pa.Array) -> pa.RecordBatch:
+    """A batch of ``ROWS`` with these columns, nulls in the others."""
+    arrays = [columns.get(f.name, pa.nulls(n, f.type)) for f in ROWS]
+    return pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x, f.type) for x, f in zip(arrays, ROWS, strict=True)], schema=ROWS)
+
+
+def _lists(values: np.ndarray, valid: np.ndarray) -> pa.Array:
+    offsets = np.zeros(len(valid) + 1, np.int32)
+    np.cumsum(valid.sum(1), out=offsets[1:])
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values[valid]))
+
+
+def _span_lists(spans: list[list[Span]]) -> pa.Array:
+    offsets = np.zeros(len(spans) + 1, np.int32)
+    np.cumsum([len(x) for x in spans], out=offsets[1:])
+    columns = [pa.array((s[i] for own in spans for s in own), f.type) for i, f in enumerate(SPAN_TYPE)]
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.StructArray.from_arrays(columns, fields=list(SPAN_TYPE)))
 
 
 def extract(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Base spans of each document, and its edges between patterns and tokens."""
+    """A row for each document with its base spans, and one for each place of a seed or candidate with its patterns.
+
+    Rows of places have no base_sha256.  They leave a task in batches of at most ``PLACES``, so what it holds of a text
+    are its base spans and one slice.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         row_id = TaskContext.get().partitionId() << 33
-        nothing = (0, 0, 0, 0, sha256([]), [], [])
         for b in slices(batches):
-            out = [nothing] * b.num_rows
-            likely = pc.indices_nonzero(pc.fill_null(pc.match_substring_regex(b.column("text"), "[0-9@]"), False))
-            found = []
-            for i, text in zip(likely.to_pylist(), strings(b.column("text").take(likely)), strict=True):
-                base, clean = base_spans(text), text.translate(SPACES)
-                places = [(s, e, True) for s, _, e, _ in base] + [(s, e, False) for s, e in candidates(clean, base)]
-                if places:
-                    found.append((i, text, clean, base, places))
-            for (i, text, clean, base, places), words in zip(found, text_words([f[1].encode() for f in found]), strict=True):
-                around = zip(places, *patterns(clean, words, [p[:2] for p in places]), strict=True)
-                edges = [{"start": s, "end": e, "seed": seed, "instance": instance(text[s:e]), "patterns": p, "elsewhere": q} for (s, e, seed), p, q in around]
-                out[i] = (*(sum(s[1] == k for s in base) for k in range(4)), sha256(base), as_dicts(base), edges)
-            ids = range(row_id, row_id := row_id + b.num_rows)
-            yield batch(ROWS, [list(ids), b.column("doc_id"), *map(list, zip(*out, strict=True))] if out else [[]] * len(ROWS))
+            base: list[list[Span]] = [[]] * b.num_rows
+            likely = pc.indices_nonzero(pc.fill_null(pc.match_substring_regex(b.column("text"), "[0-9@]"), False)).to_pylist()
+            for i in likely:
+                text = b.column("text")[i].as_py()
+                base[i], clean = sorted(base_spans(text)), text.translate(SPACES)
+                for places, until in place_groups(clean, base[i]):
+                    found, valid, elsewhere = place_patterns(clean, places, until)
+                    tokens, n = [text[s:e] for s, e, _ in places], len(places)
+                    start, end, seed = zip(*places, strict=True)
+                    yield _rows(n, row_id=[row_id + i] * n, start=start, end=end, seed=seed, instance=map(hashed, tokens), form=[hashed(form(t)) for t in tokens], patterns=_lists(found, valid), elsewhere=_lists(elsewhere, valid))
+            counts = {f"n_{k}": [sum(s[3] == k for s in own) for own in base] for k in KINDS}
+            yield _rows(b.num_rows, row_id=range(row_id, row_id + b.num_rows), doc_id=b.column("doc_id"), **counts, base_sha256=list(map(sha256, base)), base=_span_lists(base))
+            row_id += b.num_rows
 
     return id_and_text(docs, id_col, text_col).mapInArrow(run, ROWS_SQL)
 
@@ -221,15 +303,16 @@ def count_sequences(docs: DataFrame, wanted: DataFrame, id_col: str = "doc_id",
     return hits.groupBy("sequence").agg(F.sum("n").alias("total")).join(bounded(wanted), "sequence")
 
 
-def accepted_instances(graph: DataFrame, count, rounds: int, min_support: float, min_confidence: float) -> DataFrame:
-    """(instance, score) of unknown instances that the graph (pattern, instance, n, seed, elsewhere) makes sure of.
+def accepted_instances(graph: DataFrame, forms: DataFrame, count, rounds: int, min_support: float, min_confidence: float, min_score: float) -> DataFrame:
+    """(instance, score) of unknown instances that the graph (pattern, instance, form, n, seed, elsewhere) makes sure of.
 
     Every round scores patterns by their instances, and instances by their patterns.  A pattern's support is the sum
     of its instances' scores; against it count its unknown instances, a little, and all places where its words
     stand beside an ordinary word, which ``count`` finds for the patterns that those in the same texts (elsewhere)
-    leave sure, so that it isn't asked for common words.  An
-    instance's score is the noisy-or over its sure patterns.  Accepted instances are known in the next round, in
-    which they induce patterns of their own; the rounds end when nothing is accepted any more.
+    leave sure, so that it isn't asked for common words.  An instance's score is the noisy-or over its sure patterns.
+    It is accepted if that is ``min_score`` after being weighed with its form: of the unknown instances of a form (``forms``
+    has their number) those without a sure pattern count against it, a little each.  Accepted instances are known in the next round, in which they induce patterns
+    of their own; the rounds end when nothing is accepted any more.
     """
     spark = graph.sparkSession
     accepted = spark.createDataFrame([], "instance long, score double")
@@ -247,30 +330,37 @@ def accepted_instances(graph: DataFrame, count, rounds: int, min_support: float,
         sure = hopeful.join(counted, "sequence").withColumn("confidence", share(F.greatest(F.col("total") - F.col("met"), F.lit(0))))
         sure = materialize(sure.where(F.col("confidence") >= min_confidence).select("pattern", "confidence"), "sure-patterns")
         doubt = F.sum(F.log1p(-F.least(F.col("confidence"), F.lit(0.999999))))
-        found = graph.where("not seed").join(sure, "pattern").groupBy("instance").agg((1 - F.exp(doubt)).alias("score"))
+        met = materialize(graph.where("not seed").join(sure, "pattern").groupBy("instance").agg((1 - F.exp(doubt)).alias("score"), F.any_value("form").alias("form")), "met-instances")
+        weights = met.groupBy("form").agg(F.count("*").alias("in")).join(forms, "form").select("form", (F.col("in") / (F.col("in") + UNKNOWN * (F.col("total") - F.col("in")))).alias("weight"))
+        weights = materialize(weights, "form-weights")
+        found = met.join(bounded(weights), "form").where(F.col("score") * F.col("weight") >= min_score).select("instance", "score")
         before, accepted = accepted, materialize(accepted.unionByName(found).groupBy("instance").agg(F.max("score").alias("score")), "accepted")
-        release(before, hopeful, new, sure)
+        release(before, hopeful, new, sure, met, weights)
         known, was = accepted.count(), known
         if known == was:
             break
     return accepted
 
 
-def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rounds: int = 5, min_support: float = 0.9, min_confidence: float = 0.75) -> DataFrame:
+def find_personal_data(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rounds: int = 5, min_support: float = 0.9, min_confidence: float = 0.7, min_score: float = 0.6
+) -> DataFrame:
     """One row per document: doc_id, counts of the base kinds, base_sha256, spans as text and found as an array.
 
     A null text is empty; repeated rows give repeated results; an empty table gives none.  Base spans of
     different kinds may overlap, spans of kind ``context`` overlap none of them.  Whole texts are read, with tokens
-    and words of any length.
+    and words of any length; of a very long one a task holds the text, its base spans, and one slice of what else it finds.
+    Candidates have a digit and at least ``TOKEN_CHARS`` code points, and no form of a time, date, amount, version or measure.
     """
-    rows = materialize(extract(docs, id_col, text_col), "pii")
-    places = rows.select("row_id", F.explode("edges").alias("e")).select("row_id", "e.*")
-    edges = places.select("instance", "seed", F.explode(F.arrays_zip("patterns", "elsewhere")).alias("p")).select("instance", "seed", F.col("p.patterns").alias("pattern"), F.col("p.elsewhere").alias("elsewhere"))
+    table = materialize(extract(docs, id_col, text_col), "pii")
+    rows, places = table.where("base_sha256 is not null").select("row_id", *DOCS), table.where("base_sha256 is null")
+    edges = places.select("instance", "seed", "form", F.explode(F.arrays_zip("patterns", "elsewhere")).alias("p")).select("instance", "seed", "form", F.col("p.patterns").alias("pattern"), F.col("p.elsewhere").alias("elsewhere"))
     # aggregates are written before they are joined, so that Spark can split a hot pattern
-    graph = materialize(edges.groupBy("pattern", "instance").agg(F.max("seed").alias("seed"), F.count("*").alias("n"), F.sum("elsewhere").alias("elsewhere")), "pii-graph")
-    accepted = accepted_instances(graph, lambda wanted: count_sequences(docs, wanted, id_col, text_col), rounds, min_support, min_confidence)
+    graph = materialize(edges.groupBy("pattern", "instance").agg(F.max("seed").alias("seed"), F.any_value("form").alias("form"), F.count("*").alias("n"), F.sum("elsewhere").alias("elsewhere")), "pii-graph")
+    forms = materialize(places.where("not seed").select("instance", "form").distinct().groupBy("form").agg(F.count("*").alias("total")), "forms")
+    accepted = accepted_instances(graph, forms, lambda wanted: count_sequences(docs, wanted, id_col, text_col), rounds, min_support, min_confidence, min_score)
     span = F.struct("start", F.lit(len(KINDS)).alias("rank"), "end", F.lit(CONTEXT).alias("kind")).cast(SPAN_SQL)
     added = places.where("not seed").join(accepted.select("instance"), "instance", "left_semi").groupBy("row_id").agg(F.collect_list(span).alias("_added"))
     found = F.array_sort(F.concat("base", F.coalesce("_added", F.array().cast(f"array<{SPAN_SQL}>"))))
-    out = rows.drop("edges").join(added, "row_id", "left").withColumn("found", found)
+    out = rows.join(added, "row_id", "left").withColumn("found", found)
     return out.select("doc_id", *(f"n_{k}" for k in KINDS), "base_sha256", joined_column(F.col("found")).alias("spans"), "found")

@@ -376,7 +376,83 @@ def test_pii_counts_word_sequences(spark):
 def test_pii_long_runs_are_linear():
     for text in ("a" * 300_000, "1" * 300_000, "1." * 150_000, "@" * 100_000, "+1" + " (" * 100_000, "a@" * 100_000, "9 " * 150_000):
         pii.base_spans(text)
-        pii.candidates(text, [])
+        list(pii.candidates(text, []))
+
+
+def test_pii_groups_of_places_give_what_one_group_gives(monkeypatch):
+    """Patterns don't depend on where a text is cut into slices."""
+    rng = random.Random(6)
+    text = " ".join(rng.choice(["word", "an", "x" * 40, f"id{rng.randrange(99999)}", "a@b.c", " ", "4111 1111 1111 1111", f"K-{rng.randrange(9)}-77"]) for _ in range(3000)).translate(pii.SPACES)
+    base = sorted(pii.base_spans(text))
+
+    def found():
+        out = {}
+        for places, until in pii.place_groups(text, base):
+            rows, valid, elsewhere = pii.place_patterns(text, places, until)
+            assert (elsewhere >= 0).all()
+            out |= {p: r[v].tolist() for p, r, v in zip(places, rows, valid, strict=True)}
+        return out
+
+    whole = found()
+    for slice_, places in ((1000, 4096), (1 << 18, 7), (1, 1)):
+        monkeypatch.setattr(pii, "SLICE", slice_)
+        monkeypatch.setattr(pii, "PLACES", places)
+        assert found() == whole and len(whole) > 1000
+
+
+def test_pii_precision_and_recall_on_planted_identifiers(spark):
+    """Handles, account and badge numbers in places where addresses stand too; times, dates, prices and versions in those places and others."""
+    rng = random.Random(21)
+    slots = ["mail me at {} or call", "my account is {} as before", "write to {} please", "contact {} for help", "signed in as {} today", "the badge {} was shown"]
+    plain = ["the meeting at {} was short", "we paid {} for it", "release {} is out", "it took {} in all", "room {} is free", "see page {} there"]
+    secret = [lambda: f"AC-{rng.randrange(10**5):05d}-{rng.choice('XYZ')}{rng.randrange(10)}", lambda: f"@{rng.choice(['lea', 'tom', 'ana'])}{rng.randrange(1000, 9999)}", lambda: f"ID#{rng.randrange(10**8):08d}"]
+    common = [lambda: f"{rng.randrange(1, 12)}:{rng.randrange(10, 59)}pm", lambda: f"{rng.randrange(1, 12)}/{rng.randrange(1, 28)}/20{rng.randrange(10, 30)}", lambda: f"${rng.randrange(100, 999)}.{rng.randrange(10, 99)}"]
+    common += [lambda: f"v{rng.randrange(9)}.{rng.randrange(20)}.{rng.randrange(9)}", lambda: f"{rng.randrange(100, 900)}.{rng.randrange(9)}km", lambda: f"{rng.randrange(10_000, 99_999)}"]
+    texts, want = [], []
+    for i in range(3000):
+        kind = rng.random()
+        text, own = rng.choice(plain).format(rng.choice(common)()), []
+        if kind < 0.35:
+            text = rng.choice(slots).format(f"user{i}@example.com")
+        elif kind < 0.55:
+            own = [rng.choice(secret)()]
+            text = rng.choice(slots).format(own[0])
+        elif kind < 0.62:
+            text = rng.choice(slots).format(rng.choice(common)())
+        texts.append(f"{rng.choice(['so', 'then', 'well'])} {text}")
+        want.append(own)
+    got = context_spans(by_id(pii.find_personal_data(docs(spark, texts))), texts)
+    hit = sum(set(got[i]) == set(own) for i, own in enumerate(want, 1) if own)
+    false = sum(len(set(got[i]) - set(own)) for i, own in enumerate(want, 1))
+    recall, precision = hit / sum(map(bool, want)), hit / max(1, hit + false)
+    print(f"precision {precision:.3f}, recall {recall:.3f}")
+    assert precision >= 0.9 and recall >= 0.9
+
+
+def test_pii_ordinary_forms_in_sure_places(spark):
+    texts = [f"mail me at user{k}@example.com or call" for k in range(40)] + [f"mail me at {x} or call" for x in ("12:30pm", "10/12/2024", "1,299.00", "$1299", "v2.10.3", "2.4.1-rc2", "1080p", "99.95%", "2019-2024", "1st-class7x")]
+    got = context_spans(by_id(pii.find_personal_data(docs(spark, texts))), texts)
+    assert [x for own in got.values() for x in own] == ["1st-class7x"]
+
+
+def test_pii_memory_of_a_long_numeric_text():
+    """A text of numbers of 20 MB, in a process of its own: what it takes is far below an executor's share."""
+    import subprocess
+    import sys
+
+    code = """
+import random, resource
+from leafmill.llm import pii
+rng = random.Random(1)
+text = "\\n".join(str(rng.randrange(10**9, 10**12)) for _ in range(1_600_000))
+before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+base, clean, n = sorted(pii.base_spans(text)), text.translate(pii.SPACES), 0
+for places, until in pii.place_groups(clean, base):
+    n += int(pii.place_patterns(clean, places, until)[1].sum())
+print(len(text), n, (resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before) // 1024)
+"""
+    size, n, grown = map(int, subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True).stdout.split()[-3:])
+    assert size > 19_000_000 and n > 9_000_000 and grown < 700, grown
 
 
 def der(tag, *parts):
