@@ -8,6 +8,7 @@ from collections.abc import Iterable, Iterator, Sequence
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.utils import AnalysisException
 
 from leafmill.sources.scratch import new_path
 
@@ -74,14 +75,46 @@ def bounded(ids: DataFrame) -> DataFrame:
     return F.broadcast(ids) if ids.count() <= MAX_BROADCAST_IDS else ids
 
 
-def without(docs: DataFrame, dropped: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """docs less the rows whose id is in ``dropped``; rows of null id stay, rows of one id go or stay together.
+#: A row's own number, in tables of ``identified``.
+ROW = "_leafmill_row"
 
-    Few ids are broadcast, so no text is shuffled; more are joined through a shuffle.
+
+def identified(docs: DataFrame) -> DataFrame:
+    """docs with ``ROW``, a number for each row that is the same whenever the table is read.
+
+    Rows of Parquet files are numbered by their file and place in it; any other table is written with numbers first.
+    """
+    own = [f"_{i}" for i in range(len(docs.columns))]
+    try:
+        rows = docs.select("*", F.col("_metadata.file_path"), F.col("_metadata.row_index")).toDF(*own, "_at", "_place")
+    except AnalysisException:
+        return materialize(numbered(docs).withColumn("_row", F.monotonically_increasing_id()), "numbered").toDF(*docs.columns, ROW)
+    # a row for each file of the table, which the driver has listed anyway
+    found = rows.select("_at").distinct().collect()
+    files = docs.sparkSession.createDataFrame([(r[0], i) for i, r in enumerate(sorted(found))], "_file string, _no long")
+    return rows.join(F.broadcast(files), F.col("_at") == F.col("_file")).select(*own, F.expr("shiftleft(_no, 40) + _place")).toDF(*docs.columns, ROW)
+
+
+def without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
+    """``identified`` docs less the rows whose ``ROW`` is the first column of ``dropped``, and without ``ROW``.
+
+    Few numbers are broadcast, so no text is shuffled; more are joined through a shuffle.
+    """
+    ids = materialize(dropped.toDF("_dropped").distinct(), "dropped")
+    return docs.join(bounded(ids), F.col(ROW) == F.col("_dropped"), "left_anti").drop(ROW)
+
+
+def all_but_one(docs: DataFrame, groups: DataFrame, longest: bool = False) -> DataFrame:
+    """Numbers of the rows of ``identified`` docs that aren't the first of their group; ``groups`` are (number, group).
+
+    First is the row of the smallest id, one that has none last, then of the least number; of the longest texts if asked.
     """
-    ids = materialize(dropped.select(F.col(id_col).alias("_dropped")).distinct(), "dropped")
-    plain = numbered(docs)
-    return plain.join(bounded(ids), F.col(place(docs, id_col)) == F.col("_dropped"), "left_anti").toDF(*docs.columns)
+    keys = picked(docs, row=ROW, id="doc_id", text="text")
+    order = [-F.coalesce(F.char_length("text"), F.lit(0)) if longest else F.lit(0), F.col("id").isNull(), F.col("id"), F.col("row")]
+    keys = keys.select(F.col("row").alias("_row"), F.struct(*(c.alias(f"_{i}") for i, c in enumerate(order))).alias("_order"))
+    groups = materialize(groups.toDF("_row", "_group"), "groups")
+    best = groups.join(keys, "_row").groupBy("_group").agg(F.min("_order").alias("_best")).select(F.col("_best._3").alias("_row"))
+    return groups.join(best, "_row", "left_anti").select("_row")
 
 
 def in_order(df: DataFrame, keys: list[Column], part_rows: int, label: str) -> DataFrame:

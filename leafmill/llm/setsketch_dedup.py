@@ -150,12 +150,12 @@ def signature(regs: np.ndarray) -> tuple[int, int]:
     return tuple(np.packbits((regs[:SIGNATURE] & 1).astype(np.uint8)).view(np.int64).tolist())
 
 
-SKETCHES_SQL = "doc_id long, n_shingles long, set_key binary, bands array<long>, s1 long, s2 long"
+SKETCHES_SQL = "doc_id long, text_key long, n_shingles long, set_key binary, bands array<long>, s1 long, s2 long"
 SETS_SQL = "doc_id long, n_shingles long, registers binary, shingles binary"
 
 
 def sketches(docs: DataFrame, words: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Each document's set size, a key of its set and its bands' keys."""
+    """Each document's set size, a key of its set and its bands' keys; text_key is a hash of the text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
@@ -164,19 +164,20 @@ def sketches(docs: DataFrame, words: int = 2, id_col: str = "doc_id", text_col:
             regs = [registers(s) for s in sets]
             bands = [band_keys(r) if len(s) else None for r, s in zip(regs, sets, strict=True)]
             s1, s2 = zip(*map(signature, regs), strict=True)
-            arrays = [b.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(keys, pa.binary()), pa.array(bands, pa.list_(pa.int64())), pa.array(s1, pa.int64()), pa.array(s2, pa.int64())]
-            yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "n_shingles", "set_key", "bands", "s1", "s2"])
+            arrays = [b.column("doc_id"), b.column("text_key"), pa.array([len(s) for s in sets], pa.int64()), pa.array(keys, pa.binary()), pa.array(bands, pa.list_(pa.int64())), pa.array(s1, pa.int64()), pa.array(s2, pa.int64())]
+            yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "text_key", "n_shingles", "set_key", "bands", "s1", "s2"])
 
-    return id_and_text(docs, id_col, text_col).mapInArrow(run, SKETCHES_SQL)
+    return id_and_text(docs, id_col, text_col).withColumn("text_key", F.xxhash64("text")).mapInArrow(run, SKETCHES_SQL)
 
 
 def full_sets(texts: DataFrame, words: int = 2) -> DataFrame:
-    """Sets and registers of rows (doc_id, text)."""
+    """Sets and registers of rows (node, set_key, text), called doc_id by their node; a text that hashes like the node's but has another set is left out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
-            sets = shingle_sets(utf8(b.column("text")), words)
-            arrays = [b.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([registers(s).tobytes() for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())]
+            found = zip(b.column("node").to_pylist(), b.column("set_key").to_pylist(), shingle_sets(utf8(b.column("text")), words), strict=True)
+            own = [(node, s) for node, key, s in found if xxhash.xxh3_128_digest(s.tobytes()) == key]
+            arrays = [pa.array([n for n, _ in own], pa.int64()), pa.array([len(s) for _, s in own], pa.int64()), pa.array([registers(s).tobytes() for _, s in own], pa.binary()), pa.array([s.tobytes() for _, s in own], pa.binary())]
             yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "n_shingles", "registers", "shingles"])
 
     return texts.mapInArrow(run, SETS_SQL)
@@ -314,24 +315,29 @@ def near_duplicates(docs: DataFrame, words: int = 2, percent: int = 80, id_col:
     """One row per document: doc_id, n_shingles, component_id, kept.
 
     Linked are documents with 100 * intersection >= percent * union of their shingle sets, of whole texts however
-    long.  Null, empty and blank texts have an empty set and are linked with nothing.  Repeated rows of one doc_id are
-    equal and stay rows.  A row without id is linked with the documents of an equal set only.  An empty table gives
-    none.  Ties don't arise: the smallest doc_id of a component stays.
+    long.  Null, empty and blank texts have an empty set and are linked with nothing.  Every row of docs is a document:
+    ids may repeat, with equal or other texts, or be null.  component_id is the smallest id that links reach, null where all
+    of them are null; rows of one id and component are kept together.  An empty table gives none.  Ties don't arise: the
+    smallest doc_id of a component stays.
     """
     sketch = materialize(sketches(docs, words, id_col, text_col), "sketches")
-    # equal sets are one node, called by its smallest doc_id
+    # equal sets are one node with a number of its own, so that ids may repeat or be null
     filled = sketch.where("n_shingles > 0")
-    classes = materialize(filled.groupBy("set_key", "n_shingles").agg(F.min("doc_id").alias("node")), "classes")
-    nodes = filled.join(classes.select(F.col("node").alias("doc_id")), "doc_id", "left_semi").select("doc_id", "bands", "s1", "s2").dropDuplicates(["doc_id"])
-    edges = star_edges(nodes)
-    wanted = materialize(edges.select("doc_id").union(edges.select("hub")).distinct(), "wanted")
-    texts = id_and_text(docs, id_col, text_col).join(bounded(wanted), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    sets = materialize(full_sets(texts, words), "sets")
+    same = filled.groupBy("set_key", "n_shingles").agg(F.min("doc_id").alias("least"), F.min(F.struct("text_key", "bands", "s1", "s2")).alias("_one"))
+    classes = materialize(same.select("set_key", "n_shingles", "least", "_one.*").withColumn("node", F.monotonically_increasing_id()), "classes")
+    edges = star_edges(classes.select(F.col("node").alias("doc_id"), "bands", "s1", "s2"))
+    ends = edges.select("doc_id").union(edges.select("hub")).distinct().withColumnRenamed("doc_id", "node")
+    wanted = materialize(classes.join(ends, "node", "left_semi").select("text_key", "set_key", "node"), "wanted")
+    texts = id_and_text(docs, id_col, text_col).select(F.xxhash64("text").alias("text_key"), "text").join(bounded(wanted), "text_key")
+    # one text of each node: repeated ones are dropped before they are hashed, by the partition that has them
+    sets = materialize(full_sets(texts.dropDuplicates(["node", "text_key"]).select("node", "set_key", "text"), words), "sets")
     stars = materialize(hub_links(edges, sets, percent), "hub-links")
     links = materialize(stars.where("similar").select("u", "v").union(rest_links(stars, sets, percent)), "links")
     release(edges, wanted, sets, stars)
-    found = connected_components(links).withColumnsRenamed({"id": "node", "component_id": "_component"})
-    nodes = classes.join(found, "node", "left").select("set_key", "n_shingles", F.coalesce("_component", "node").alias("_component"))
-    out = sketch.join(nodes, ["set_key", "n_shingles"], "left")
+    found = connected_components(links).toDF("node", "_group")
+    joined = materialize(classes.select("node", "set_key", "n_shingles", "least").join(found, "node", "left").withColumn("_group", F.coalesce("_group", "node")), "joined-classes")
+    least = materialize(joined.groupBy("_group").agg(F.min("least").alias("_component")), "least-ids")
+    nodes = materialize(joined.join(least, "_group").select("set_key", "n_shingles", "_component"), "components-of-sets")
+    out = sketch.select("doc_id", "set_key", "n_shingles").join(nodes, ["set_key", "n_shingles"], "left")
     component = F.when(F.col("n_shingles") > 0, F.col("_component")).otherwise(F.col("doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))

@@ -258,3 +258,13 @@ def test_traversal_order():
     cells = index.visits(a, b)
     sums = [a[c // 6] + b[c % 6] for c in cells]
     assert sums == sorted(sums) and set(cells) == {i * 6 + j for i in range(6) for j in range(6) if a[i] + b[j] <= 0.5}
+
+
+def test_setsketch_by_rows_of_repeated_and_null_ids(spark):
+    """Links of every row are found: texts that share an id, and texts without one."""
+    rng = random.Random(9)
+    text = lambda: " ".join(f"w{rng.randrange(10_000)}" for _ in range(120))
+    a, b, c = text(), text(), text()
+    got = setsketch_dedup.near_duplicates(docs(spark, [(1, a), (1, b), (2, a + " x"), (3, b + " y"), (None, c), (7, c + " z"), (None, c + " q"), (None, text()), (None, "")]))
+    rows = sorted(((r["doc_id"], r["component_id"], r["kept"]) for r in got.collect()), key=str)
+    assert rows == sorted([(1, 1, True), (1, 1, True), (2, 1, False), (3, 1, False), (None, 7, False), (7, 7, True), (None, 7, False), (None, None, True), (None, None, True)], key=str)

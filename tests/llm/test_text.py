@@ -494,7 +494,7 @@ def made_keys(rng):
     yield "private_key", der(0x30, der(2, b"\0"), *[number(rng.randrange(20, 130)) for _ in range(5)])
     yield "private_key", der(0x30, der(2, b"\1"), der(4, rng.randbytes(32)), der(0xA0, der(6, b"\x2a\x86\x48\xce\x3d")))
     yield "private_key", der(0x30, der(0x30, der(6, b"\x2a\x86\x48\x86\xf7\x0d\x01\x05\x0d"), der(0x30, number(8))), der(4, rng.randbytes(64)))
-    yield "public_key", der(0x30, algorithm, der(3, b"\0" + rng.randbytes(rng.randrange(60, 200))))
+    yield "public_key", der(0x30, algorithm, der(3, b"\0" + der(0x30, number(rng.randrange(60, 200)), der(2, b"\1\0\1"))))
     field = lambda x: len(x).to_bytes(4, "big") + x
     yield "ssh_key", b"openssh-key-v1\0" + field(b"none") + field(b"none") + field(b"") + b"\0\0\0\1" + field(rng.randbytes(51))
     yield "ssh_key", field(b"ssh-ed25519") + field(rng.randbytes(32))
@@ -526,8 +526,76 @@ def test_structural_confirmation_on_made_keys():
         assert bool(secret_scan.confirmed_spans(f"({token(head, payload)}.{'s' * 43})")) == good
 
 
+def test_inner_keys_are_parsed_by_their_algorithm():
+    rng = random.Random(3)
+    oid = {k: der(0x30, der(6, bytes.fromhex(v)), *more) for k, v, more in (("rsa", "2a864886f70d010101", [der(5)]), ("dsa", "2a8648ce380401", []), ("curve", "2a8648ce3d0201", []), ("ed25519", "2b6570", []), ("unknown", "2a0304", []))}
+    number = lambda n: der(2, b"\x01" + rng.randbytes(n - 2) + b"\x01")
+    rsa, curve = der(0x30, der(2, b"\0"), *[number(40) for _ in range(8)]), der(0x30, der(2, b"\1"), der(4, rng.randbytes(32)))
+    inner = {"rsa": rsa, "curve": curve, "dsa": number(20), "ed25519": der(4, rng.randbytes(32))}
+    public = {"rsa": der(0x30, number(64), der(2, b"\1\0\1")), "curve": b"\x04" + rng.randbytes(64), "dsa": number(64), "ed25519": rng.randbytes(32)}
+    shell = lambda name, key: der(0x30, der(2, b"\0"), oid[name], der(4, key))
+    for name in oid:
+        for other in inner:
+            good = name == other or name == "unknown" and other != "dsa"
+            assert (secret_scan.key_kind(shell(name, inner[other])) == "private_key") == good, (name, other)
+            if name != "unknown":
+                assert (secret_scan.key_kind(der(0x30, oid[name], der(3, b"\0" + public[other]))) == "public_key") == (name == other), (name, other)
+    for junk in (b"hello world, this is no key", b"", rng.randbytes(60), der(0x30, der(2, b"\0")), der(4, rng.randbytes(31))):
+        for name in oid:
+            assert secret_scan.key_kind(shell(name, junk)) is None
+            assert secret_scan.key_kind(der(0x30, oid[name], der(3, b"\0" + junk))) is None or name == "curve"
+    assert secret_scan.key_kind(der(0x30, oid["rsa"], der(3, bytes(65)))) is None and secret_scan.key_kind(der(0x30, oid["curve"], der(3, bytes(66)))) is None
+
+
+def test_keys_in_other_writings():
+    """Tokens behind marks, base64 over lines without marks, whole blocks encoded once more."""
+    rng = random.Random(8)
+    part = lambda obj: base64.urlsafe_b64encode(json.dumps(obj).encode()).decode().rstrip("=")
+    token = f"{part({'alg': 'HS256'})}.{part({'sub': '1'})}.{'s' * 43}"
+    for before in ("", "see.", "a-", "x=", "Bearer ", "https://h/?t=", "dir/file-name.", "(", "eyJx-", "a.b-c."):
+        text = f"{before}{token} end"
+        assert [(text[a:b], k) for a, _, b, k in secret_scan.confirmed_spans(text)] == [(token, "signed_token")], before
+    number = lambda n: der(2, b"\x01" + rng.randbytes(n - 2) + b"\x01")
+    for size in (20, 37, 64, 128):
+        rsa = der(0x30, der(2, b"\0"), *[number(size) for _ in range(8)])
+        b64 = base64.b64encode(rsa).decode()
+        for wide, sep in ((64, "\n"), (76, "\r\n"), (44, "\n    ")):
+            lines = sep.join(b64[i : i + wide] for i in range(0, len(b64), wide))
+            for after in ("", "\nThe end", " and so on", "\n\nnext"):
+                text = f"key:\n{lines}{after}"
+                found = [(text[a:b], k) for a, _, b, k in secret_scan.confirmed_spans(text)]
+                assert found == [(lines, "private_key")] or b64.endswith("=") is False and found and found[0][1] == "private_key", (size, wide, after)
+        pem = f"-----BEGIN RSA PRIVATE KEY-----\n{chr(10).join(re.findall('.{1,64}', b64))}\n-----END RSA PRIVATE KEY-----\n"
+        twice = base64.b64encode(pem.encode()).decode()
+        assert [(b - a, k) for a, _, b, k in secret_scan.confirmed_spans(f"data: {twice};")] == [(len(twice), "private_key")]
+        assert secret_scan.confirmed_spans(base64.b64encode(twice.encode()).decode()) == []
+
+
+def test_random_near_misses_are_no_keys():
+    """Thousands of texts that look like keys: random bytes, random nests of fields, keys with a byte changed, words in base64."""
+    rng, wrong, n = random.Random(17), [], 0
+    keys = [data for _ in range(6) for kind, data in made_keys(rng) if kind != "ssh_key"]
+
+    def nest(depth):
+        return der(rng.choice([2, 3, 4, 5, 6, 12, 0xA0] if not depth else [0x30, 0x30, 0x31, 0xA0]), *([rng.randbytes(rng.randrange(1, 40))] if not depth else [nest(depth - 1) for _ in range(rng.randrange(1, 5))]))
+
+    for _ in range(1200):
+        data = rng.choice([lambda: rng.randbytes(rng.randrange(30, 300)), lambda: nest(2), lambda: nest(1), lambda: der(0x30, der(2, b"\0"), nest(1), der(4, rng.randbytes(40))), lambda: " ".join(rng.choices(["some", "words", "of", "a", "text"], k=40)).encode()])()
+        for text in (base64.b64encode(data).decode(), data.hex(), base64.urlsafe_b64encode(data).decode().rstrip("="), f"{base64.urlsafe_b64encode(data[:40]).decode().rstrip('=')}.{base64.urlsafe_b64encode(data).decode().rstrip('=')}.x"):
+            n += 1
+            wrong += secret_scan.confirmed_spans(f"x {text} y")
+    for data in keys:
+        for _ in range(20):  # a length changed: the fields no longer add up
+            at = 1 if rng.random() < 0.5 else 2 + (data[1] & 0x7F if data[1] & 0x80 else 0) + 1
+            bad = bytearray(data)
+            bad[at] = (bad[at] + rng.randrange(1, 100)) & 0xFF
+            n += 1
+            wrong += secret_scan.confirmed_spans(f"x {base64.b64encode(bytes(bad)).decode()} y")
+    assert n > 5000 and not wrong
+
+
 def test_secrets_in_long_texts_are_linear():
-    for text in ("-----BEGIN A-----" * 60_000, "-----BEGIN A-----\n-----END A-----" * 30_000, "a" * 1_000_000, "ab.cd" * 200_000, "0" * 1_000_000, "3080" * 200_000, base64.b64encode(b"\x30\x82\xff\xff" * 200_000).decode(), base64.b64encode(b"\x30\x80" * 200_000).decode()):
+    for text in ("-----BEGIN A-----" * 60_000, "-----BEGIN A-----\n-----END A-----" * 30_000, "a" * 1_000_000, "ab.cd" * 200_000, "0" * 1_000_000, "3080" * 200_000, base64.b64encode(b"\x30\x82\xff\xff" * 200_000).decode(), base64.b64encode(b"\x30\x80" * 200_000).decode(), "-eyJ" * 250_000, ("-eyJ" * 500 + ".") * 500, "eyJ.eyJ." * 125_000, ("A" * 64 + "\n") * 15_000, ("A" * 64 + "\n" + "A" * 63 + "\n") * 8_000):
         secret_scan.base_spans(text)
         secret_scan.confirmed_spans(text)
 
