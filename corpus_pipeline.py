@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from leafmill.llm import exact_dedup, language_id, packing, secret_scan, setsketch_dedup
-from leafmill.llm.common import materialize, table, without
+from leafmill.llm.common import ROW, all_but_one, identified, materialize, table, without
 
 
 #: Rows and bytes of a batch: whole texts are wide rows, and an executor holds several batches for each of its tasks.
@@ -28,32 +28,46 @@ def wide_rows(spark: SparkSession) -> None:
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in no known language, or in none for sure, go."""
+    """Documents in no known language, or in none for sure, go: null texts and those without letters too.
+
+    Rows are judged one by one, by a number of their own, so ids may repeat or be null.  An empty table stays empty.
+    """
     wide_rows(spark)
-    found = language_id.identify(docs, language_id.fit_text_models(docs))
-    return without(docs, found.where("not accepted"))
+    rows = identified(docs)
+    found = language_id.identify(rows, language_id.fit_text_models(rows, id_col=ROW), id_col=ROW)
+    return without(rows, found.where("not accepted").select("doc_id"))
 
 
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of equal texts stays."""
+    """One document of each group of equal texts stays: that of most code points, then of the smallest id, one without id last.
+
+    Null and blank texts are one group.  Rows repeated under one id are copies like any others.
+    """
     wide_rows(spark)
-    return without(docs, exact_dedup.exact_duplicates(docs).where("not kept"))
+    rows = identified(docs)
+    groups = exact_dedup.exact_duplicates(rows, id_col=ROW).where("group_size > 1").select("doc_id", "keep_id")
+    return without(rows, all_but_one(rows, groups, longest=True))
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays: shingles of five words, a similarity of 0.8 or more."""
+    """One document of each group of near copies stays, the one of smallest id: shingles of five words, a similarity of 0.8 or more.
+
+    Null and blank texts are near to nothing and stay.
+    """
     wide_rows(spark)
-    return without(docs, setsketch_dedup.near_duplicates(docs, words=5, percent=80).where("not kept"))
+    rows = identified(docs)
+    groups = setsketch_dedup.near_duplicates(rows, words=5, percent=80, id_col=ROW).where("n_shingles > 0").select("doc_id", "component_id")
+    return without(rows, all_but_one(rows, groups))
 
 
 def secret_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document stays, its secrets are replaced by a mark."""
+    """Every document stays, its secrets are replaced by a mark; null texts stay null."""
     wide_rows(spark)
     return secret_scan.redact_secrets(docs)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document's pieces with their sequence and place."""
+    """Every document's pieces with their sequence and place; null texts are packed as empty ones, rows of one id each for itself."""
     wide_rows(spark)
     return packing.pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
 
