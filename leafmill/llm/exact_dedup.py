@@ -19,7 +19,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from leafmill.llm.common import ASCII_SPACE, batch, bounded, id_and_text, materialize, release, slices, utf8
+from leafmill.llm.common import ASCII_SPACE, ROW, batch, bounded, identified, materialize, picked, release, slices, utf8
 
 PRIME = (1 << 31) - 1
 BASES = (1_000_003, 998_244_353)
@@ -27,7 +27,7 @@ CHUNK = 1 << 16
 #: Texts of more bytes are hashed chunk by chunk in tasks of their own.
 HUGE = 1 << 22
 
-FINGERPRINTS = pa.schema([("doc_id", pa.int64()), ("n_chars", pa.int64()), ("n_bytes", pa.int64()), ("fingerprint", pa.int64()), ("sha256", pa.binary())])
+FINGERPRINTS = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("n_chars", pa.int64()), ("n_bytes", pa.int64()), ("fingerprint", pa.int64()), ("sha256", pa.binary())])
 HASHES = pa.schema([("doc_id", pa.binary()), ("chunk_no", pa.int64()), ("n_bytes", pa.int64()), ("h1", pa.int64()), ("h2", pa.int64())])
 CHUNKS = pa.schema([("fingerprint", pa.int64()), ("n_bytes", pa.int64()), ("chunk_no", pa.int64()), ("chunk", pa.binary())])
 
@@ -63,8 +63,8 @@ def fingerprint(text: bytes, prime: int = PRIME, size: int = CHUNK) -> int:
     return found[0] << 31 | found[1]
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", prime: int = PRIME, chunk: int = CHUNK, huge: int = HUGE) -> DataFrame:
-    """doc_id, code points, bytes after normalising, fingerprint and SHA-256 of the normalised text; one scan.
+def fingerprints(rows: DataFrame, prime: int = PRIME, chunk: int = CHUNK, huge: int = HUGE) -> DataFrame:
+    """Of rows (row, doc_id, text): row, doc_id, code points, bytes after normalising, fingerprint and SHA-256 of the normalised text; one scan.
 
     The fingerprint of a text of over ``huge`` bytes is null.
     """
@@ -76,6 +76,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             yield batch(
                 FINGERPRINTS,
                 [
+                    b.column("row"),
                     b.column("doc_id"),
                     pc.cast(pc.fill_null(pc.utf8_length(b.column("text")), 0), pa.int64()),
                     [len(t) for t in texts],
@@ -84,7 +85,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 ],
             )
 
-    return id_and_text(docs, id_col, text_col).mapInArrow(run, "doc_id long, n_chars long, n_bytes long, fingerprint long, sha256 binary")
+    return rows.mapInArrow(run, "row long, doc_id long, n_chars long, n_bytes long, fingerprint long, sha256 binary")
 
 
 def huge_fingerprints(texts: DataFrame, prime: int = PRIME, chunk: int = CHUNK) -> DataFrame:
@@ -158,29 +159,17 @@ def chunk_rows(rows: DataFrame, chunk: int = CHUNK) -> DataFrame:
     return rows.mapInArrow(run, "fingerprint long, n_bytes long, chunk_no long, chunk binary")
 
 
-def keyed_texts(rows: DataFrame, prime: int, chunk: int, huge: int) -> DataFrame:
-    """(fingerprint, n_bytes, text) of rows (text), worked out anew; null fingerprints for huge texts."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches):
-            raw = utf8(b.column("text"))
-            texts = [t.translate(None, ASCII_SPACE) for t in raw]
-            keys = [fingerprint(t, prime, chunk) if len(r) <= huge else None for t, r in zip(texts, raw, strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array([len(t) for t in texts], pa.int64()), b.column("text")], ["fingerprint", "n_bytes", "text"])
-
-    return rows.mapInArrow(run, "fingerprint long, n_bytes long, text string")
-
-
 def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", prime: int = PRIME, chunk: int = CHUNK, huge: int = HUGE) -> DataFrame:
     """One row per document: doc_id, keep_id, group_size, kept, text_sha256.
 
     Texts are equal when they are so after deleting ASCII white space; null counts as empty, so empty, blank
     and null texts form one group.  Of a group the row with most code points stays, of those the smallest
     doc_id, a row without id last.  Rows repeated under one doc_id share their fate and count each, and so do a group's
-    rows without id if one of them stays.  An empty table gives none.
+    rows without id if one of them stays.  An empty table gives none.  Texts are compared by rows' own numbers, whatever their ids.
     """
-    rows = id_and_text(docs, id_col, text_col)
-    prints = materialize(fingerprints(docs, id_col, text_col, prime, chunk, huge), "fingerprints")
+    known = picked(identified(docs), row=ROW, doc_id=id_col, text=text_col)
+    rows = known.select("row", F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    prints = materialize(fingerprints(rows, prime, chunk, huge), "fingerprints")
     long_ones = prints.where("fingerprint is null")
     if not long_ones.isEmpty():
         texts = rows.where(F.octet_length("text") > huge).select("text")
@@ -192,15 +181,11 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     key = ["fingerprint", "n_bytes"]
     # aggregates are written before they are joined, so that Spark can split a hot group
     shared = materialize(prints.groupBy(*key).agg(F.count("*").alias("_n")).where("_n > 1").select(*key), "shared")
-    # texts of documents whose fingerprint others have too, compared chunk by chunk; rows without id are looked at by
-    # their fingerprint itself, worked out again, and the huge of them by their SHA-256 alone
-    doubtful = materialize(prints.where("doc_id is not null").join(shared, key, "left_semi").select("doc_id", *key).distinct(), "doubtful")
-    texts = rows.join(bounded(doubtful), "doc_id").select(*key, "text")
-    nameless = keyed_texts(rows.where("doc_id is null").select("text"), prime, chunk, huge).join(bounded(shared), key, "left_semi").select(*key, "text")
-    pieces = chunk_rows(texts.unionByName(nameless), chunk)
+    # texts of rows whose fingerprint others have too, compared chunk by chunk
+    doubtful = materialize(prints.join(shared, key, "left_semi").select("row", *key), "doubtful")
+    pieces = chunk_rows(rows.select("row", "text").join(bounded(doubtful), "row").select(*key, "text"), chunk)
     broken = pieces.groupBy(*key, "chunk_no").agg(F.min("chunk").alias("_lo"), F.max("chunk").alias("_hi")).where("_lo <> _hi").select(*key)
-    unlike = prints.where((F.col("n_bytes") > huge) & F.col("doc_id").isNull()).select(*key)
-    broken = materialize(broken.union(unlike).distinct(), "collisions")
+    broken = materialize(broken.distinct(), "collisions")
     release(doubtful, shared)
     # a collision's texts, hardly ever any, are told apart by their SHA-256
     split = broken.withColumn("_split", F.lit(True))

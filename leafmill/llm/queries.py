@@ -35,7 +35,7 @@ def personal_data_base(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    model = url_filter.fit(url_filter.labelled_urls(spark))
+    model = url_filter.fit_once(url_filter.labelled_urls(spark))
     return url_filter.judge_urls(table(spark, sf_dir, "pages"), model)
 
 

@@ -261,23 +261,40 @@ def covered(doc: np.ndarray, place: np.ndarray, length: int) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(doc[at]), pa.array(place[at]), pa.array(ends)], ["doc_id", "start", "end"])
 
 
-def hot_windows(blocks: DataFrame, length: int) -> DataFrame:
-    """The same for grams of very many first occurrences: a row for each window, summed up before the shuffle."""
+def hot_windows(blocks: DataFrame, length: int, name_bits: int = 64) -> DataFrame:
+    """The same for grams of very many first occurrences: a row for each window, summed up before the shuffle.
+
+    Of the windows of one name the least and the greatest bytes are carried along: where they are equal, all are.  Windows
+    of a name whose bytes differ are grouped by their bytes instead.  Of a name so many bits count.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if not b.num_rows:
-                continue
-            n = b.column("n").to_numpy().astype(np.int64)
-            row, name, _ = window_names(b.column("block").to_pylist(), n, length)
-            place = b.column("lo").to_numpy()[row] + np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
-            columns = (b.column("gram").to_numpy()[row], name.view(np.int64), b.column("doc_id").to_numpy()[row], place)
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["gram", "name", "doc_id", "place"])
-
-    windows = blocks.mapInArrow(run, "gram long, name long, doc_id long, place long")
-    firsts = windows.groupBy("gram", "name").agg(F.count("*").alias("_n"), F.min(F.struct("doc_id", "place")).alias("_first")).where("_n > 1").drop("_n")
-    later = windows.join(materialize(firsts, "hot-windows"), ["gram", "name"]).where(F.struct("doc_id", "place") != F.col("_first"))
-    return later.select("doc_id", F.col("place").alias("start"), (F.col("place") + length).alias("end"))
+        for whole in batches:
+            for b in (whole.slice(at, 256) for at in range(0, whole.num_rows, 256)):
+                n = b.column("n").to_numpy().astype(np.int64)
+                row, name, windows = window_names(b.column("block").to_pylist(), n, length)
+                place = b.column("lo").to_numpy()[row] + np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
+                shown = pa.FixedSizeBinaryArray.from_buffers(pa.binary(length), len(row), [None, pa.py_buffer(np.ascontiguousarray(windows[np.arange(len(row))]))]).cast(pa.binary())
+                short = name & np.uint64((1 << name_bits) - 1)
+                columns = (b.column("gram").to_numpy()[row], short.view(np.int64), b.column("doc_id").to_numpy()[row], place)
+                yield pa.RecordBatch.from_arrays([*(pa.array(c) for c in columns), shown], ["gram", "name", "doc_id", "place", "window"])
+
+    windows = blocks.mapInArrow(run, "gram long, name long, doc_id long, place long, window binary")
+
+    def later(rows: DataFrame, firsts: DataFrame, key: list[str]) -> DataFrame:
+        found = rows.join(firsts, key).where(F.struct("doc_id", "place") != F.col("_first"))
+        return found.select("doc_id", F.col("place").alias("start"), (F.col("place") + length).alias("end"))
+
+    first = F.min(F.struct("doc_id", "place")).alias("_first")
+    named = windows.groupBy("gram", "name").agg(F.count("*").alias("_n"), first, F.min("window").alias("_lo"), F.max("window").alias("_hi")).where("_n > 1")
+    named = materialize(named.select("gram", "name", "_first", (F.col("_lo") == F.col("_hi")).alias("_alike")), "hot-windows")
+    out = later(windows.drop("window"), named.where("_alike").drop("_alike"), ["gram", "name"])
+    mixed = named.where("not _alike").select("gram", "name")
+    if not mixed.isEmpty():
+        own = windows.join(mixed, ["gram", "name"], "left_semi")
+        shown = materialize(own.groupBy("gram", "window").agg(F.count("*").alias("_n"), first).where("_n > 1").drop("_n"), "mixed-windows")
+        out = out.union(later(own, shown, ["gram", "window"]))
+    return out
 
 
 RESULT_SQL = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"

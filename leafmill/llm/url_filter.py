@@ -17,11 +17,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from leafmill.llm.common import materialize, picked
+from leafmill.sources.scratch import new_path, shared_dir
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: So many rules become literals of the plan at most; more are a table that is joined.
 MAX_RULES = 200
 MAX_LABELLED = 10_000
+#: Part of a kept model's name: to be raised when fitting changes.
+MODEL_VERSION = 1
 
 #: (verdict, rule): a rule is host/path-prefix.
 RULES = (
@@ -151,6 +154,24 @@ def fit(labelled: DataFrame, url_col: str = "url", label_col: str = "block", fea
     return PipelineModel([hashing, regression.fit(hashing.transform(data.coalesce(1)))])
 
 
+def fit_once(labelled: DataFrame, url_col: str = "url", label_col: str = "block", features: int = 1 << 16) -> PipelineModel:
+    """``fit``, kept in the shared folder under a sum of the labelled table's hashes, so that a table is fitted once.
+
+    Runs at the same time may fit it each; the first that is written is kept, and all are equal.
+    """
+    spark = labelled.sparkSession
+    own = F.xxhash64(F.col(url_col), F.col(label_col), F.lit(features), F.lit(MODEL_VERSION))
+    rows, total = labelled.agg(F.count("*"), F.coalesce(F.sum(own.cast("decimal(38,0)")), F.lit(0))).first()
+    path = f"{shared_dir(spark)}/leafmill-url-model-{rows}-{total}"
+    kept, new = (spark._jvm.org.apache.hadoop.fs.Path(p) for p in (path, fresh := new_path(spark, "url-model")))
+    files = kept.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not files.exists(kept):
+        fit(labelled, url_col, label_col, features).save(fresh)
+        if not files.exists(kept):
+            files.rename(new, kept)
+    return PipelineModel.load(path)
+
+
 def judge_urls(
     pages: DataFrame,
     model: PipelineModel,

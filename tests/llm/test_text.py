@@ -47,6 +47,23 @@ def test_exact_with_collisions(spark, prime):
             assert got[i] == {"doc_id": i, "keep_id": keep, "group_size": len(members), "kept": i == keep, "text_sha256": hashlib.sha256(norm.encode()).hexdigest()}
 
 
+@pytest.mark.parametrize("prime", [exact_dedup.PRIME, 3])
+def test_exact_huge_texts_without_ids(spark, tmp_path, prime):
+    """Rows without id, and of one id, are compared chunk by chunk like any others, of any length; from files and from other tables."""
+    rng = random.Random(4)
+    big = "".join(rng.choices("abc", k=2000))
+    rows = [(None, big), (None, big + " "), (None, big[::-1]), (None, big[:-1] + "x"), (4, big), (4, big[::-1]), (None, "s"), (5, "s ")]
+    table = docs(spark, rows)
+    table.repartition(3).write.parquet(f"file://{tmp_path}/t")
+    groups = {}
+    for i, t in rows:
+        groups.setdefault(t.replace(" ", ""), []).append((-len(t), i is None, i or 0, i))
+    want = sorted(((i, min(groups[t.replace(" ", "")])[3], len(groups[t.replace(" ", "")])) for i, t in rows), key=str)
+    for df in (table, spark.read.parquet(f"file://{tmp_path}/t")):
+        got = exact_dedup.exact_duplicates(df, prime=prime, chunk=64, huge=500)
+        assert sorted(((r["doc_id"], r["keep_id"], r["group_size"]) for r in got.collect()), key=str) == want
+
+
 @pytest.mark.parametrize("prime", [exact_dedup.PRIME, 3])
 def test_exact_huge_texts_and_extreme_ids(spark, prime):
     """Texts hashed chunk by chunk in many tasks, the smallest id there is, and rows without id."""
@@ -876,6 +893,16 @@ def test_suffixes_of_names_alike_are_told_apart(monkeypatch):
     assert not suffix_dedup.unlike(windows, one, other) and suffix_dedup.unlike(windows, np.append(one, 0), np.append(other, 40))
 
 
+def test_hot_windows_of_names_alike_are_told_apart(spark):
+    """With names of two bits nearly all windows share one: bytes decide, and the result is the same."""
+    rng = random.Random(7)
+    rows = [(g, d, 10 * d, 31, bytes(rng.choices(b"ab", k=30)) + b"x" * rng.choice((70, 71)) + bytes(rng.choices(b"ab", k=30))) for g in (1, 2) for d in range(12)]
+    rows = [(g, d, lo, len(block) - 99, block) for g, d, lo, _, block in rows for _ in range(2)] + [(3, 1, 0, 1, b"y" * 100)]
+    blocks = spark.createDataFrame([(g, d + 100 * (i % 2), lo, n, block) for i, (g, d, lo, n, block) in enumerate(rows)], "gram long, doc_id long, lo long, n int, block binary")
+    found = [sorted(map(tuple, suffix_dedup.hot_windows(blocks, 100, bits).collect())) for bits in (64, 2)]
+    assert found[0] == found[1] and len(found[0]) > 300
+
+
 def test_suffixes_on_the_documents(spark):
     texts = {r["doc_id"]: r["text"] for r in read(spark, SF_DIR).collect()}
     assert by_id(queries.op9_suffix_dedup(spark, SF_DIR)) == plain_cut(texts)
@@ -889,3 +916,13 @@ def test_suffixes_nulls_repeats_and_empty(spark):
     twice = suffix_dedup.remove_repeats(docs(spark, [(5, text), (5, text)])).collect()
     assert [r["n_removed"] for r in twice] == [0, 0]
     assert suffix_dedup.remove_repeats(docs(spark, ["x"]).limit(0)).count() == 0
+
+
+def test_url_model_is_fitted_once(spark, monkeypatch):
+    rows = [(k % 2, f"https://{'bad' if k % 2 else 'good'}{k}.com/") for k in range(40)]
+    table = spark.createDataFrame(rows, "block int, url string")
+    fits, fit = [], url_filter.fit
+    monkeypatch.setattr(url_filter, "fit", lambda *a: (fits.append(1), fit(*a))[1])
+    pages = spark.createDataFrame([(1, "https://bad.com/"), (2, "https://good.com/")], "page_id long, url string")
+    found = [[r["block_probability"] for r in url_filter.judge_urls(pages, url_filter.fit_once(t), rules=()).orderBy("page_id").collect()] for t in (table, table.orderBy("url"), table.where("url <> 'https://bad1.com/'"))]
+    assert len(fits) == 2 and found[0] == found[1] != found[2] and found[0][0] > 0.5 > found[0][1]
