@@ -163,7 +163,8 @@ def fit_once(labelled: DataFrame, url_col: str = "url", label_col: str = "block"
     own = F.xxhash64(F.col(url_col), F.col(label_col), F.lit(features), F.lit(MODEL_VERSION))
     rows, total = labelled.agg(F.count("*"), F.coalesce(F.sum(own.cast("decimal(38,0)")), F.lit(0))).first()
     path = f"{shared_dir(spark)}/leafmill-url-model-{rows}-{total}"
-    kept, new = (spark._jvm.org.apache.hadoop.fs.Path(p) for p in (path, fresh := new_path(spark, "url-model")))
+    fresh = new_path(spark, "url-model")
+    kept, new = (spark._jvm.org.apache.hadoop.fs.Path(p) for p in (path, fresh))
     files = kept.getFileSystem(spark._jsc.hadoopConfiguration())
     if not files.exists(kept):
         fit(labelled, url_col, label_col, features).save(fresh)
