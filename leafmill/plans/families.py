@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 from leafmill.plans import writers
 from leafmill.plans.registry import query, table
 from leafmill.sources import datasource, documents
+from leafmill.sources import images as pixels
+from leafmill.sources import markdown as marks
 from leafmill.sources.scratch import new_path
 
 _TRIM = "trim(x, ' ' || chr(9) || chr(11) || chr(12) || chr(13))"
@@ -271,3 +273,47 @@ def markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = table(spark, sf_dir, "part").select(F.concat_ws(".", "p_partkey", F.lit("md")).alias("path"), text.alias("text"))
     rows = documents.markdown_rows(files)
     return rows.select(_key().alias("p_partkey"), "title", F.array_join("headings", ",").alias("headings"), "text")
+
+
+@query(
+    "doc_image_content",
+    """
+    WITH cells AS (SELECT p_partkey, p_size AS width, (p_partkey % 13 + 1)::INT AS height, x, y, unnest(range(3)) AS c FROM (SELECT *, unnest(range(p_partkey % 13 + 1)) AS y FROM (SELECT *, unnest(range(p_size)) AS x FROM part))),
+    seen AS (SELECT *, (p_partkey * 7 + x * 3 + y * 5 + c * 11) % 256 AS v FROM cells)
+    SELECT p_partkey, any_value(width) AS width, any_value(height) AS height, 3 AS channels, round(avg(v) FILTER (c = 0), 6) AS red, round(avg(v) FILTER (c = 1), 6) AS green, round(avg(v) FILTER (c = 2), 6) AS blue,
+      min(v) FILTER (c = 0)::INT AS least_red, max(v) FILTER (c = 2)::INT AS greatest_blue, false AS failed FROM seen WHERE p_partkey % 40 <> 7 GROUP BY p_partkey
+    UNION ALL SELECT p_partkey, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, true FROM part WHERE p_partkey % 40 = 7
+    """,
+)
+def image_content(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An image of each part, its pixels by rule; of those with a byte changed only the error is left."""
+
+    def make(r: dict) -> bytes:
+        k, wide, high = r["p_partkey"], r["p_size"], r["p_partkey"] % 13 + 1
+        data = writers.png(wide, high, bytes((k * 7 + x * 3 + y * 5 + c * 11) % 256 for y in range(high) for x in range(wide) for c in range(3)))
+        return data[:-20] + bytes([data[-20] ^ 1]) + data[-19:] if k % 40 == 7 else data
+
+    files = made(table(spark, sf_dir, "part").select("p_partkey", "p_size"), lambda r: f"{r['p_partkey']}.png", make)
+    rows = pixels.read_images(spark, folder(files, "png"))
+    means = [F.round(F.col("means")[i], 6).alias(name) for i, name in enumerate(("red", "green", "blue"))]
+    return rows.select(_key().alias("p_partkey"), "width", "height", "channels", *means, F.col("least")[0].alias("least_red"), F.col("greatest")[2].alias("greatest_blue"), F.col("error").isNotNull().alias("failed"))
+
+
+_BLOCKS = [("heading", 1, "p_name", "NULL", 0), ("paragraph", 0, "'Some ' || p_brand || ' and ' || p_type", "NULL", 0), ("item", 1, "'size ' || p_size", "NULL", 0), ("item", 2, "p_brand", "NULL", 0), ("table row", 0, "'key' || chr(9) || 'price'", "'head'", 2), ("table row", 1, "p_partkey || chr(9) || '# ' || p_size", "NULL", 2), ("code", 0, "'x = ' || p_size || chr(10) || '# no heading'", "'py'", 0), ("quote", 1, "p_type", "NULL", 0)]
+
+
+@query(
+    "doc_markdown_blocks",
+    " UNION ALL ".join(f"SELECT p_partkey, {i}::INT AS block, '{kind}' AS kind, {level}::INT AS level, {text} AS text, {first}::VARCHAR AS first, {cells}::INT AS n_cells FROM part" for i, (kind, level, text, first, cells) in enumerate(_BLOCKS)),
+)
+def markdown_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A Markdown file of each part, written and read as its blocks."""
+    parts = (
+        "# ", "p_name", "\n\nSome **", "p_brand", "** and [", "p_type", "](http://x/y)\n\n- size ", "p_size", "\n  - `", "p_brand", "`\n\n| key | price |\n|---|:--:|\n| ", "p_partkey", " | \\# ", "p_size",
+        " |\n\n```py\nx = ", "p_size", "\n# no heading\n```\n> ", "p_type", "\n",
+    )
+    text = F.concat(*[F.col(p).cast("string") if p.startswith("p_") else F.lit(p) for p in parts])
+    rows = table(spark, sf_dir, "part").select("p_partkey", text.alias("text"))
+    files = made(rows, lambda r: f"{r['p_partkey']}.md", lambda r: r["text"].encode())
+    found = marks.markdown_blocks(documents._whole(spark, folder(files, "markdown"), "markdown"))
+    return found.select(_key().alias("p_partkey"), "block", "kind", "level", "text", "first", F.coalesce(F.array_size("cells"), F.lit(0)).alias("n_cells"))

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from leafmill.operators import aggregates, joins
+from leafmill.operators import aggregates, graphs, joins, sketches
 from leafmill.plans.registry import query, table
+from leafmill.sources.scratch import new_path
 
 _MONEY = "decimal(18,4)"
 
@@ -423,6 +424,49 @@ for _name, _sql, _method in (
         query(_name + _suffix, _SET.format(set=_sql, step=_step, name=_column))(lambda spark, sf_dir, _m=_method, _s=_step, _c=_column: _m(*_set_sides(spark, sf_dir, _s, _c)))
 
 
-@query("s_recursive", "WITH RECURSIVE t(n, f) AS (SELECT 1::BIGINT, 1::BIGINT UNION ALL SELECT n + 1, f * (n + 1) FROM t WHERE n < 15) SELECT n, f FROM t")
+@query(
+    "s_recursive",
+    """
+    WITH RECURSIVE edges AS (SELECT DISTINCT o_custkey AS src, following AS dst FROM (SELECT o_custkey, lead(o_custkey) OVER (PARTITION BY o_orderdate ORDER BY o_orderkey) AS following FROM orders WHERE o_orderstatus = 'P') WHERE following IS NOT NULL),
+    reach(node, hops) AS (SELECT c_custkey, 0 FROM customer WHERE c_mktsegment = 'BUILDING' AND c_acctbal < 0 UNION SELECT dst, hops + 1 FROM reach JOIN edges ON src = node WHERE hops < 100)
+    SELECT node, min(hops) AS hops FROM reach GROUP BY node
+    """,
+)
 def recursive(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.sql("WITH RECURSIVE t(n, f) AS (SELECT 1L, 1L UNION ALL SELECT n + 1, f * (n + 1) FROM t WHERE n < 15) SELECT n, f FROM t")
+    """Customers that others lead to, from order to order of a day: a graph with cycles, walked to its end."""
+    following = F.lead("o_custkey").over(Window.partitionBy("o_orderdate").orderBy("o_orderkey"))
+    edges = table(spark, sf_dir, "orders").where("o_orderstatus = 'P'").select(F.col("o_custkey").alias("src"), following.alias("dst"))
+    start = table(spark, sf_dir, "customer").where("c_mktsegment = 'BUILDING' AND c_acctbal < 0").select("c_custkey")
+    return graphs.reached(start, edges)
+
+
+@query(
+    "a_sketch_rollup",
+    """
+    SELECT event_type, count(*) AS n, count(DISTINCT user_id) AS users, true AS hll_near, true AS theta_near, true AS median_near, true AS as_unmerged, true AS both_near FROM events GROUP BY event_type
+    """,
+)
+def sketch_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sketches of each day and type, stored, merged over the days: near the exact values, and as those of the whole types at once.
+
+    both_near: users of the type that also have clicks, by the intersection of two sketches.
+    """
+    e = table(spark, sf_dir, "events").withColumn("day", F.date_trunc("day", "ts"))
+    stored = new_path(spark, "sketches")
+    sketches.sketched(e, ["day", "event_type"], "user_id", "value").write.parquet(stored)
+    rolled = sketches.merged(spark.read.parquet(stored), ["event_type"])
+    whole = sketches.estimated(sketches.sketched(e, ["event_type"], "user_id", "value")).select("event_type", F.col("theta_distinct").alias("_theta"), F.col("hll_distinct").alias("_hll"))
+    clicks = rolled.where("event_type = 'click'").select(F.col("theta").alias("_clicks"))
+    # one row of a bounded sketch becomes a literal
+    (one,) = clicks.first() or (None,)
+    both = F.theta_sketch_estimate(F.theta_intersection("theta", F.lit(bytes(one)) if one is not None else F.col("theta")))
+    found = sketches.estimated(rolled.withColumn("both", both))
+    users = e.groupBy("event_type", "user_id").agg(F.count("*").alias("k"))
+    clickers = users.where("event_type = 'click'").select("user_id", F.lit(1).alias("_clicked"))
+    exact = users.join(clickers, "user_id", "left").groupBy("event_type").agg(F.count("*").alias("users"), F.count("_clicked").alias("_both"))
+    ranks = e.join(found.select("event_type", "q50"), "event_type").groupBy("event_type").agg(F.avg((F.col("value") <= F.col("q50")).cast("int")).alias("_rank"))
+    near = lambda a, b, by: F.abs(F.col(a) - F.col(b)) <= by * F.col(b)
+    return found.join(whole, "event_type").join(exact, "event_type").join(ranks, "event_type").select(
+        "event_type", "n", "users", near("hll_distinct", "users", 0.08).alias("hll_near"), near("theta_distinct", "users", 0.08).alias("theta_near"), (F.abs(F.col("_rank") - 0.5) <= 0.03).alias("median_near"),
+        ((F.col("hll_distinct") == F.col("_hll")) & near("theta_distinct", "_theta", 0.04)).alias("as_unmerged"), near("both", "_both", 0.12).alias("both_near"),
+    )

@@ -178,3 +178,41 @@ def conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
 def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "lang")
     return docs.join(table(spark, sf_dir, "labels"), "doc_id").groupBy("lang", F.col("quality").cast("long").alias("quality")).agg(F.count("*").alias("n"), F.sum("toxic").cast("long").alias("n_toxic"))
+
+
+#: Nested JSON of an event: its properties with more around them; cut where the event's number is a multiple of nine.
+_NESTED_SQL = """(SELECT event_id, event_type, CASE WHEN event_id % 9 = 0 THEN left(j, 12) ELSE j END AS j FROM (
+  SELECT event_id, event_type, '{"props": ' || props || ', "user": {"id": ' || user_id || ', "tags": ["' || event_type || '", "t' || event_id % 3 || '"]}' || CASE WHEN event_id % 2 = 0 THEN ', "even": true' ELSE '' END || '}' AS j FROM events))"""
+
+
+def _nested(spark: SparkSession, sf_dir: str) -> DataFrame:
+    even = F.when(F.col("event_id") % 2 == 0, ', "even": true').otherwise("")
+    text = F.concat(F.lit('{"props": '), "props", F.lit(', "user": {"id": '), F.col("user_id").cast("string"), F.lit(', "tags": ["'), "event_type", F.lit('", "t'), (F.col("event_id") % 3).cast("string"), F.lit('"]}'), even, F.lit("}"))
+    cut = F.when(F.col("event_id") % 9 == 0, F.left(text, F.lit(12))).otherwise(text)
+    return table(spark, sf_dir, "events").select("event_id", "event_type", cut.alias("j"))
+
+
+@query(
+    "f_variant",
+    f"""
+    SELECT event_id, json_valid(j) AS valid, CASE WHEN json_valid(j) THEN json_extract_string(j, '$.props.k')::BIGINT END AS k, CASE WHEN json_valid(j) THEN json_extract_string(j, '$.user.id')::BIGINT END AS user_id,
+      CASE WHEN json_valid(j) THEN json_extract_string(j, '$.user.tags[1]') END AS tag, CASE WHEN json_valid(j) THEN coalesce(json_extract_string(j, '$.even')::BOOLEAN, false) END AS even, CASE WHEN json_valid(j) THEN NULL::BIGINT END AS tag_number
+    FROM {_NESTED_SQL}
+    """,
+)
+def variant(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """JSON parsed once to a variant, fields read from it by type; text that isn't JSON is null, and so is a field of another type."""
+    rows = _nested(spark, sf_dir).withColumn("v", F.try_parse_json("j"))
+    at = lambda path, kind: F.try_variant_get("v", path, kind)
+    even = F.when(F.col("v").isNotNull(), F.coalesce(at("$.even", "boolean"), F.lit(False)))
+    return rows.select("event_id", F.col("v").isNotNull().alias("valid"), at("$.props.k", "long").alias("k"), at("$.user.id", "long").alias("user_id"), at("$.user.tags[1]", "string").alias("tag"), even.alias("even"), at("$.user.tags[1]", "long").alias("tag_number"))
+
+
+@query(
+    "f_variant_schema",
+    "SELECT event_type, 'OBJECT<even: BOOLEAN, props: OBJECT<k: BIGINT>, user: OBJECT<id: BIGINT, tags: ARRAY<STRING>>>' AS schema, count(*) AS n, count(*) FILTER (event_id % 9 = 0) AS damaged FROM events GROUP BY event_type",
+)
+def variant_schema(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The schema that all of a group's variants fit, worked out by an aggregate."""
+    rows = _nested(spark, sf_dir).withColumn("v", F.try_parse_json("j"))
+    return rows.groupBy("event_type").agg(F.schema_of_variant_agg("v").alias("schema"), F.count("*").alias("n"), F.count_if(F.col("v").isNull()).alias("damaged"))

@@ -79,12 +79,55 @@ def late(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def streaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Own state over three batches; the state store that it needs is set for this stream alone."""
-    key, e, day = "spark.sql.streaming.stateStore.providerClass", _days(spark, sf_dir), F.dayofmonth("ts")
+    e, day = _days(spark, sf_dir), F.dayofmonth("ts")
     parts = [e.where(day <= 10), e.where((day > 10) & (day <= 20)), e.where(day > 20)]
-    before = spark.conf.get(key)
-    spark.conf.set(key, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    try:
-        rows = events.drain(events.streaks(events.in_turns(parts, "ts", "0 seconds")), "update")
-    finally:
-        spark.conf.set(key, before)
+    rows = events.with_own_state(spark, lambda: events.drain(events.streaks(events.in_turns(parts, "ts", "0 seconds")), "update"))
     return rows.groupBy("user_id").agg(F.max("n").alias("n"), F.max("longest").alias("longest"))
+
+
+def _tens(e: DataFrame) -> list[DataFrame]:
+    day = F.dayofmonth("ts")
+    return [e.where(day <= 10), e.where((day > 10) & (day <= 20)), e.where(day > 20)]
+
+
+@query("t_dedup_days", "SELECT DISTINCT user_id, event_type, date_trunc('day', ts)::TIMESTAMP AS day FROM events")
+def dedup_days(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A delay of one day: keys of days that are over leave the state."""
+    return events.drain(events.distinct_by_day(events.in_turns(_tens(_days(spark, sf_dir)), "ts", "1 day")), "append")
+
+
+_FOLLOWED = """
+    WITH c AS (SELECT * FROM events WHERE event_type = 'click'), p AS (SELECT * FROM events WHERE event_type = 'purchase'),
+    seen AS (SELECT least((SELECT max(ts) FROM c), (SELECT max(ts) FROM p)) - INTERVAL 1 HOUR AS until)
+    SELECT c.event_id, c.user_id, c.ts, p.event_id AS then_id FROM c LEFT JOIN p ON c.user_id = p.user_id AND p.ts BETWEEN c.ts AND c.ts + INTERVAL 6 HOUR
+    WHERE p.event_id IS NOT NULL OR c.ts + INTERVAL 6 HOUR < (SELECT until FROM seen)
+"""
+
+
+@query("t_join", _FOLLOWED)
+def join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two streams in three batches each: clicks with the purchases of the next six hours, alone when those are over."""
+    e = _days(spark, sf_dir)
+    sides = [events.in_turns(_tens(e.where(F.col("event_type") == kind)), "ts", "1 hour") for kind in ("click", "purchase")]
+    return events.drain(events.followed(*sides, "6 HOURS"), "append")
+
+
+@query(
+    "t_silence",
+    """
+    SELECT user_id, ts AS last FROM (SELECT user_id, ts, lead(ts) OVER (PARTITION BY user_id ORDER BY ts) AS following FROM events)
+    WHERE following - ts > INTERVAL 12 HOUR OR (following IS NULL AND ts + INTERVAL 12 HOUR < (SELECT max(ts) FROM events))
+    """,
+)
+def silence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Timers of event time: users that nothing came from for twelve hours."""
+    e = _days(spark, sf_dir)
+    rows = events.with_own_state(spark, lambda: events.drain(events.silences(events.in_turns(_tens(e), "ts", "0 seconds")), "append"))
+    return rows.select("user_id", F.timestamp_micros("last_us").cast("timestamp_ntz").alias("last"))
+
+
+@query("t_first_seen", "SELECT DISTINCT user_id, event_type FROM events")
+def first_seen(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """State that lives for an hour of the clock, longer than the query runs: every key once over all batches."""
+    e = _days(spark, sf_dir)
+    return events.with_own_state(spark, lambda: events.drain(events.first_seen(events.in_turns(_tens(e), "ts", "0 seconds"), 3_600_000), "append"), events.BY_THE_CLOCK)

@@ -5,8 +5,10 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, LongType, StructField, StructType
+from pyspark.sql.udtf import AnalyzeArgument, AnalyzeResult
 
 from leafmill.plans.registry import query, table
 
@@ -57,3 +59,41 @@ def table_function(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     nations = table(spark, sf_dir, "nation").select("n_nationkey")
     return nations.lateralJoin(Upto(F.col("n_nationkey").outer())).select("n_nationkey", "k")
+
+
+class Sessions:
+    """Numbers each user's sessions; its rows are those of the table that it is given, and two more columns.
+
+    The table has to be partitioned by user and ordered by time, which the call says.
+    """
+
+    def __init__(self) -> None:
+        self.last, self.session, self.seen = None, 0, 0
+
+    @staticmethod
+    def analyze(events: AnalyzeArgument, gap: AnalyzeArgument) -> AnalyzeResult:
+        if not events.isTable or not isinstance(gap.dataType, IntegerType):
+            raise ValueError("sessions take a table and a number of seconds")
+        return AnalyzeResult(StructType([*events.dataType.fields, StructField("session", LongType()), StructField("place", LongType())]))
+
+    def eval(self, row: Row, gap: int) -> Iterator[tuple]:
+        if self.last is not None:
+            new = (row["ts"] - self.last).total_seconds() > gap
+            self.session, self.seen = self.session + new, 0 if new else self.seen + 1
+        self.last = row["ts"]
+        yield (*row, self.session, self.seen)
+
+
+@query(
+    "u_table_argument",
+    """
+    SELECT event_id, user_id, ts, session, row_number() OVER (PARTITION BY user_id, session ORDER BY ts) - 1 AS place FROM (
+      SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING)::BIGINT AS session FROM (
+        SELECT *, CASE WHEN epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts) > 3600000000 THEN 1 ELSE 0 END AS new FROM events))
+    """,
+)
+def table_argument(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """State within a partition of a table argument; the schema comes from the table."""
+    spark.udtf.register("leafmill_sessions", F.udtf(Sessions, useArrow=True))
+    table(spark, sf_dir, "events").select("event_id", "user_id", "ts").createOrReplaceTempView("leafmill_events")
+    return spark.sql("SELECT * FROM leafmill_sessions(TABLE(leafmill_events) PARTITION BY (user_id) ORDER BY (ts), 3600)")

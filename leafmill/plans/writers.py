@@ -365,3 +365,23 @@ def image(kind: str, width: int, height: int) -> bytes:
     if kind == "jpeg":
         return b"\xff\xd8\xff\xe0\0\x04ab\xff\xc0\0\x11\x08" + struct.pack(">HH", height, width) + b"\x03" * 10
     return b"RIFF\0\0\0\0WEBPVP8L\0\0\0\0\x2f" + ((width - 1) | (height - 1) << 14).to_bytes(4, "little") + b"\0" * 8
+
+
+def png(width: int, height: int, samples: bytes, colour: int = 2, bits: int = 8, filters: tuple[int, ...] = (0, 1, 2, 3, 4), palette: bytes = b"") -> bytes:
+    """An image of rows of packed samples, each row by the next of the filters; the data in two chunks."""
+    per_pixel = {0: 1, 2: 3, 3: 1, 4: 2, 6: 4}[colour]
+    wide, step = (width * per_pixel * bits + 7) // 8, max(1, per_pixel * bits // 8)
+    raw, above = bytearray(), bytes(wide)
+    for y in range(height):
+        row, kind = samples[y * wide : (y + 1) * wide], filters[y % len(filters)]
+        raw.append(kind)
+        for i, value in enumerate(row):
+            a, b, c = row[i - step] if i >= step else 0, above[i], above[i - step] if i >= step else 0
+            nearest = min((a, b, c), key=lambda v: abs(a + b - c - v))  # noqa: B023
+            raw.append((value - (0, a, b, (a + b) // 2, nearest)[kind]) & 255)
+        above = row
+    packed = zlib.compress(bytes(raw))
+    chunk = lambda kind, body: struct.pack(">I", len(body)) + kind + body + struct.pack(">I", zlib.crc32(kind + body))
+    data = [packed[: len(packed) // 2], packed[len(packed) // 2 :]]
+    head = chunk(b"IHDR", struct.pack(">IIBBBBB", width, height, bits, colour, 0, 0, 0))
+    return b"\x89PNG\r\n\x1a\n" + head + (chunk(b"PLTE", palette) if palette else b"") + b"".join(chunk(b"IDAT", d) for d in data) + chunk(b"IEND", b"")

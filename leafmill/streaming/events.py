@@ -6,13 +6,14 @@ compared with batches; with another trigger and sink the same functions run on.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import json
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
-from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, StatefulProcessor, StatefulProcessorHandle, TimerValues
 
 from leafmill.sources.scratch import new_path
 
@@ -24,10 +25,30 @@ def read_events(spark: SparkSession, sf_dir: str, delay: str = "10 minutes") ->
     return stream.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", delay)
 
 
-def drain(stream: DataFrame, mode: str) -> DataFrame:
+#: The state store that states of one's own and their timers need.
+STORE = ("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+
+
+#: A state that lives by the clock asks for batches without data, without end; so a stream that is drained goes without them.
+BY_THE_CLOCK = ("spark.sql.streaming.noDataMicroBatches.enabled", "false")
+
+
+def with_own_state(spark: SparkSession, run: Callable[[], DataFrame], *more: tuple[str, str]) -> DataFrame:
+    """What ``run`` gives with ``STORE`` and more settings set for it alone."""
+    before = [(key, spark.conf.get(key)) for key, _ in (STORE, *more)]
+    for key, value in (STORE, *more):
+        spark.conf.set(key, value)
+    try:
+        return run()
+    finally:
+        for key, value in before:
+            spark.conf.set(key, value)
+
+
+def drain(stream: DataFrame, mode: str, progress: list[dict] | None = None) -> DataFrame:
     """Run a stream over what is there; its rows as a table.  complete: those of the last batch, else of all.
 
-    Each batch overwrites a folder of its own number, so a batch that is run again after a failure leaves its rows
+    ``progress`` gets a record of each batch.  Each batch overwrites a folder of its own number, so a batch that is run again after a failure leaves its rows
     once.
     """
     spark = stream.sparkSession
@@ -38,6 +59,8 @@ def drain(stream: DataFrame, mode: str) -> DataFrame:
 
     query = stream.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
+    if progress is not None:
+        progress.extend(json.loads(p.json) if hasattr(p, "json") else p for p in query.recentProgress)
     return spark.read.schema(stream.schema).option("recursiveFileLookup", "true").parquet(out)
 
 
@@ -76,6 +99,23 @@ def distinct_events(events: DataFrame) -> DataFrame:
     return events.dropDuplicatesWithinWatermark(["user_id", "event_type"]).select("user_id", "event_type")
 
 
+def distinct_by_day(events: DataFrame) -> DataFrame:
+    """First of each user, event type and day; a day's keys leave the state once the watermark has passed its end."""
+    day = F.window("ts", "1 day").alias("day")
+    return events.select("user_id", "event_type", day).dropDuplicates(["user_id", "event_type", "day"]).select("user_id", "event_type", F.col("day.start").cast("timestamp_ntz").alias("day"))
+
+
+def followed(first: DataFrame, then: DataFrame, within: str) -> DataFrame:
+    """(event_id, user_id, ts, then_id): each first event with the user's events of the other stream up to ``within`` later.
+
+    One that nothing follows comes with a null once both watermarks have passed its time by ``within``; the same condition lets either side
+    leave the state.  Both streams need a watermark on ``ts``.
+    """
+    a, b = first.select("event_id", "user_id", "ts").alias("a"), then.select(F.col("event_id").alias("then_id"), F.col("user_id").alias("then_user"), F.col("ts").alias("then_ts")).alias("b")
+    met = (F.col("user_id") == F.col("then_user")) & (F.col("then_ts") >= F.col("ts")) & (F.col("then_ts") <= F.col("ts") + F.expr(f"INTERVAL {within}"))
+    return a.join(b, met, "left_outer").select("event_id", "user_id", F.col("ts").cast("timestamp_ntz").alias("ts"), "then_id")
+
+
 def running_totals(events: DataFrame) -> DataFrame:
     """(user_id, n, total) whenever a user has events: state that lasts over batches."""
 
@@ -118,3 +158,77 @@ class Streaks(StatefulProcessor):
 def streaks(events: DataFrame) -> DataFrame:
     """(user_id, n, longest) whenever a user has events; a batch mustn't hold events before those of an earlier one."""
     return events.groupBy("user_id").transformWithStateInPandas(Streaks(), "user_id long, n long, longest long", "Update", "None")
+
+
+class Silence(StatefulProcessor):
+    """By user the time after which no event came for ``gap`` of event time, told when the next event or the timer comes."""
+
+    def __init__(self, gap_us: int):
+        self.gap = gap_us
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.state = handle.getValueState("last", "us long")
+
+    def _timer(self, us: int) -> int:
+        return -(-(us + self.gap) // 1000)
+
+    def _told(self, key: tuple, times: list[int]) -> Iterator[pd.DataFrame]:
+        if times:
+            yield pd.DataFrame({"user_id": [key[0]] * len(times), "last_us": times})
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
+        last = self.state.get()[0] if self.state.exists() else None
+        if last is not None:
+            self.handle.deleteTimer(self._timer(last))
+        told = []
+        for us in sorted(int(x) for frame in rows for x in frame["us"]):
+            if last is not None and us - last > self.gap:
+                told.append(last)
+            last = us
+        self.state.update((last,))
+        self.handle.registerTimer(self._timer(last))
+        yield from self._told(key, told)
+
+    def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:
+        if self.state.exists():
+            last = self.state.get()[0]
+            self.state.clear()  # the key is gone until the user's next event
+            yield from self._told(key, [last])
+
+    def close(self) -> None:
+        pass
+
+
+def silences(events: DataFrame, hours: int = 12) -> DataFrame:
+    """(user_id, last_us): each event that none of its user follows for so many hours, up to the watermark.
+
+    The timer of a user is that of the last event; when the watermark passes it the user's state is dropped, so the state holds the users of
+    the last hours.  Batches mustn't go back in time.
+    """
+    rows = events.select("user_id", F.unix_micros("ts").alias("us"), "ts")
+    return rows.groupBy("user_id").transformWithStateInPandas(Silence(hours * 3_600_000_000), "user_id long, last_us long", "Append", "EventTime")
+
+
+class Seen(StatefulProcessor):
+    """The first event of each key; the key is forgotten when its time to live, of the clock, is over."""
+
+    def __init__(self, ttl_ms: int):
+        self.ttl = ttl_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.state = handle.getValueState("seen", "n long", ttlDurationMs=self.ttl)
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
+        n = sum(map(len, rows))
+        if not self.state.exists():
+            self.state.update((n,))
+            yield pd.DataFrame({"user_id": [key[0]], "event_type": [key[1]]})
+
+    def close(self) -> None:
+        pass
+
+
+def first_seen(events: DataFrame, ttl_ms: int) -> DataFrame:
+    """(user_id, event_type) whenever it comes and wasn't seen for ``ttl_ms`` of processing time."""
+    return events.groupBy("user_id", "event_type").transformWithStateInPandas(Seen(ttl_ms), "user_id long, event_type string", "Append", "ProcessingTime")
