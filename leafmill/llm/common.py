@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterable, Iterator, Sequence
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -131,6 +132,19 @@ def in_order(df: DataFrame, keys: list[Column], part_rows: int, label: str) -> D
 SLICED_ROWS = 256
 
 
+@contextmanager
+def arrow_rows(spark: SparkSession, most: int = SLICED_ROWS) -> Iterator[None]:
+    """At most so many rows in a batch that goes to Python, for what runs inside; the session's setting is as before then."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    if not 0 < int(before) <= most:
+        spark.conf.set(key, str(most))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def slices(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for whole in batches:
         for at in range(0, whole.num_rows, SLICED_ROWS):

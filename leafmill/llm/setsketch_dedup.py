@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from leafmill.llm.common import bounded, id_and_text, materialize, release, slices, utf8
+from leafmill.llm.common import arrow_rows, bounded, id_and_text, materialize, release, slices, utf8
 from leafmill.llm.components import connected_components
 from leafmill.llm.forest import Forest
 from leafmill.llm.hashing import mix, text_words
@@ -186,7 +186,8 @@ def full_sets(texts: DataFrame, words: int = 2) -> DataFrame:
 def star_edges(sketch: DataFrame) -> DataFrame:
     """(hub, doc_id): members of buckets and the hubs they are near to by their signatures, each pair once.
 
-    sketch: one row per distinct set.  A bucket's hub takes the members whose signatures are near; those not near
+    sketch: one row per distinct set, with the smallest id that has it (rank).  A bucket's hub, of those with most company the one of
+    the smallest id as originals come before their copies, takes the members whose signatures are near; those not near
     enough to be linked for sure stay for a further hub of the bucket, chosen among them, until none are left.
     Buckets are counted and hubs chosen by aggregates that sum up before they shuffle, and are written before
     they are joined, so that Spark can split a hot bucket.
@@ -194,12 +195,12 @@ def star_edges(sketch: DataFrame) -> DataFrame:
     rows = sketch.select("doc_id", F.explode("bands").alias("bucket"))
     counts = materialize(rows.groupBy("bucket").agg(F.count("*").alias("_n")).where("_n > 1"), "bucket-counts")
     members = materialize(rows.join(counts, "bucket"), "buckets")
-    company = members.groupBy("doc_id").agg(F.sum("_n").alias("_company")).join(sketch.select("doc_id", "s1", "s2"), "doc_id")
-    left = materialize(members.drop("_n").join(company, "doc_id").select("bucket", "doc_id", "_company", "s1", "s2"), "bucket-members")
+    company = members.groupBy("doc_id").agg(F.sum("_n").alias("_company")).join(sketch.select("doc_id", "rank", "s1", "s2"), "doc_id")
+    left = materialize(members.drop("_n").join(company, "doc_id").select("bucket", "doc_id", "_company", "rank", "s1", "s2"), "bucket-members")
     release(members, counts)
     edges = []
     for k in range(HUBS):
-        best = F.max(F.struct("_company", (-F.col("doc_id")).alias("_id"), "s1", "s2"))
+        best = F.max(F.struct("_company", (-F.col("rank")).alias("_rank"), (-F.col("doc_id")).alias("_id"), "s1", "s2"))
         hubs = left.groupBy("bucket").agg(F.count("*").alias("_n"), best.alias("_h")).where("_n > 1")
         hubs = materialize(hubs.select("bucket", (-F.col("_h._id")).alias("hub"), F.col("_h.s1").alias("_h1"), F.col("_h.s2").alias("_h2")), "hubs")
         if hubs.isEmpty():
@@ -311,26 +312,20 @@ def rest_links(stars: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return dealt.mapInArrow(run, "u long, v long")
 
 
-def near_duplicates(docs: DataFrame, words: int = 2, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: doc_id, n_shingles, component_id, kept.
-
-    Linked are documents with 100 * intersection >= percent * union of their shingle sets, of whole texts however
-    long.  Null, empty and blank texts have an empty set and are linked with nothing.  Every row of docs is a document:
-    ids may repeat, with equal or other texts, or be null.  component_id is the smallest id that links reach, null where all
-    of them are null; rows of one id and component are kept together.  An empty table gives none.  Ties don't arise: the
-    smallest doc_id of a component stays.
-    """
+def _components_of_sets(docs: DataFrame, words: int, percent: int, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """Each row's set, and (set_key, n_shingles, _component) of each set; written tables."""
     sketch = materialize(sketches(docs, words, id_col, text_col), "sketches")
     # equal sets are one node with a number of its own, so that ids may repeat or be null
     filled = sketch.where("n_shingles > 0")
     same = filled.groupBy("set_key", "n_shingles").agg(F.min("doc_id").alias("least"), F.min(F.struct("text_key", "bands", "s1", "s2")).alias("_one"))
     classes = materialize(same.select("set_key", "n_shingles", "least", "_one.*").withColumn("node", F.monotonically_increasing_id()), "classes")
-    edges = star_edges(classes.select(F.col("node").alias("doc_id"), "bands", "s1", "s2"))
+    edges = star_edges(classes.select(F.col("node").alias("doc_id"), F.col("least").alias("rank"), "bands", "s1", "s2"))
     ends = edges.select("doc_id").union(edges.select("hub")).distinct().withColumnRenamed("doc_id", "node")
     wanted = materialize(classes.join(ends, "node", "left_semi").select("text_key", "set_key", "node"), "wanted")
     texts = id_and_text(docs, id_col, text_col).select(F.xxhash64("text").alias("text_key"), "text").join(bounded(wanted), "text_key")
-    # one text of each node: repeated ones are dropped before they are hashed, by the partition that has them
-    sets = materialize(full_sets(texts.dropDuplicates(["node", "text_key"]).select("node", "set_key", "text"), words), "sets")
+    # repeated texts of a node are dropped before they are hashed; texts that only share a hash stay, and full_sets tells them apart
+    texts = texts.withColumns({"_hash": F.hash("text"), "_size": F.octet_length("text")}).dropDuplicates(["node", "_hash", "_size"])
+    sets = materialize(full_sets(texts.select("node", "set_key", "text"), words), "sets")
     stars = materialize(hub_links(edges, sets, percent), "hub-links")
     links = materialize(stars.where("similar").select("u", "v").union(rest_links(stars, sets, percent)), "links")
     release(edges, wanted, sets, stars)
@@ -338,6 +333,20 @@ def near_duplicates(docs: DataFrame, words: int = 2, percent: int = 80, id_col:
     joined = materialize(classes.select("node", "set_key", "n_shingles", "least").join(found, "node", "left").withColumn("_group", F.coalesce("_group", "node")), "joined-classes")
     least = materialize(joined.groupBy("_group").agg(F.min("least").alias("_component")), "least-ids")
     nodes = materialize(joined.join(least, "_group").select("set_key", "n_shingles", "_component"), "components-of-sets")
+    return sketch, nodes
+
+
+def near_duplicates(docs: DataFrame, words: int = 2, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per document: doc_id, n_shingles, component_id, kept.
+
+    Linked are documents with 100 * intersection >= percent * union of their shingle sets, of whole texts however
+    long.  Null, empty and blank texts have an empty set and are linked with nothing.  Every row of docs is a document:
+    ids may repeat, with equal or other texts, or be null.  component_id is the smallest id that links reach, null where all
+    of them are null; rows of one id and component are kept together.  An empty table gives none.  Ties don't arise: the
+    smallest doc_id of a component stays.
+    """
+    with arrow_rows(docs.sparkSession):  # rows of sets are wide, and all steps that hold them run here
+        sketch, nodes = _components_of_sets(docs, words, percent, id_col, text_col)
     out = sketch.select("doc_id", "set_key", "n_shingles").join(nodes, ["set_key", "n_shingles"], "left")
     component = F.when(F.col("n_shingles") > 0, F.col("_component")).otherwise(F.col("doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
