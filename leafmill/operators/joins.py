@@ -10,24 +10,37 @@ from pyspark.sql import functions as F
 from leafmill.operators.names import fresh
 
 
-def asof_join(left: DataFrame, right: DataFrame, on: Sequence[str], time: str, values: Sequence[str], tie: str | None = None) -> DataFrame:
+def asof_join(left: DataFrame, right: DataFrame, on: Sequence[str], time: str, values: Sequence[str], tie: str | None = None, step: Column | None = None) -> DataFrame:
     """Each left row with the values of the last right row of its key at or before its time.
 
     One shuffle on the key: both sides are united and a window carries the last right row forward.  Right rows of
     equal time: the one with the greatest ``tie`` column counts, in that column's own order (nulls are least).  Unmatched rows get nulls.  Rows of null key or time match
-    nothing, on either side.  A hot key may be cut into time buckets first by adding them to ``on`` where matches
-    can't reach further back.
+    nothing, on either side.
+
+    ``step`` cuts keys with very many rows: an expression over the time column that never falls as time grows, such as its day or hour.  A key's
+    steps are then windows of their own, in as many tasks; left rows that nothing precedes within their step get the last right row
+    of an earlier one, which is carried over one row a step.  Matches reach back any number of steps; the result is the same.
     """
     names = left.columns
     right = right.dropna(subset=[*on, time])
-    c, side, rank = fresh([*names, *right.columns], "c", "side", "tie")
+    c, side, rank, part, before = fresh([*names, *right.columns], "c", "side", "tie", "step", "before")
     carried, order = F.struct(*[F.col(v) for v in values]), F.col(tie) if tie else F.lit(None).cast("int")
     kinds = right.select(carried.alias(c), order.alias(rank)).schema
     a = left.select(*names, F.lit(None).cast(kinds[c].dataType).alias(c), F.lit(1).alias(side), F.lit(None).cast(kinds[rank].dataType).alias(rank))
     b = right.select(*[F.col(n) if n in (*on, time) else F.lit(None).cast(left.schema[n].dataType).alias(n) for n in names], carried.alias(c), F.lit(0).alias(side), order.alias(rank))
-    w = Window.partitionBy(*on).orderBy(time, side, rank).rowsBetween(Window.unboundedPreceding, 0)
-    both = a.unionByName(b).withColumn(c, F.last(c, ignorenulls=True).over(w)).where(F.col(side) == 1)
-    return both.select(*names, *[F.col(c)[v].alias(f"asof_{v}") for v in values])
+    both, keys = a.unionByName(b), list(on)
+    if step is not None:
+        both, keys = both.withColumn(part, step), [*on, part]
+    w = Window.partitionBy(*keys).orderBy(time, side, rank).rowsBetween(Window.unboundedPreceding, 0)
+    found = both.withColumn(c, F.last(c, ignorenulls=True).over(w)).where(F.col(side) == 1)
+    if step is not None:
+        # summed up by task first, so a hot key sends a row for each of its steps
+        is_right = F.col(side) == 0
+        ends = both.groupBy(*keys).agg(F.max_by(F.when(is_right, F.col(c)), F.when(is_right, F.struct(time, rank))).alias(before))
+        earlier = Window.partitionBy(*on).orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
+        ends = ends.withColumn(before, F.last(before, ignorenulls=True).over(earlier))
+        found = found.join(ends, keys, "left").withColumn(c, F.coalesce(c, before))
+    return found.select(*names, *[F.col(c)[v].alias(f"asof_{v}") for v in values])
 
 
 def range_join(points: DataFrame, ranges: DataFrame, point: str, low: str, high: str, width: float, on: Sequence[str] = ()) -> DataFrame:

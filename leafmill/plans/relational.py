@@ -149,6 +149,22 @@ def asof_ties(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joins.asof_join(left, right, ["user_id"], "ts", ["event_id", "value"], tie="event_id").drop("ts")
 
 
+@query(
+    "j_asof_steps",
+    """
+    SELECT event_id, k, asof_event_id FROM (
+      SELECT event_id, event_type, k, last_value(CASE WHEN event_type <> 'purchase' THEN event_id END IGNORE NULLS) OVER (PARTITION BY k ORDER BY ts, (event_type = 'purchase')::INT, event_id ROWS UNBOUNDED PRECEDING) AS asof_event_id
+      FROM (SELECT *, CASE WHEN user_id % 3 = 0 THEN 0 ELSE user_id END AS k FROM events WHERE event_type IN ('purchase', 'error'))) WHERE event_type = 'purchase'
+    """,
+)
+def asof_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One key holds a third of all rows: its hours are windows of their own, and most matches lie in an earlier hour."""
+    e = table(spark, sf_dir, "events").withColumn("k", F.when(F.col("user_id") % 3 == 0, 0).otherwise(F.col("user_id")))
+    left, right = e.where("event_type = 'purchase'").select("event_id", "k", "ts"), e.where("event_type = 'error'").select("event_id", "k", "ts")
+    hour = F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 3_600_000_000)
+    return joins.asof_join(left, right, ["k"], "ts", ["event_id"], tie="event_id", step=hour).select("event_id", "k", "asof_event_id")
+
+
 @query(
     "j_range",
     """

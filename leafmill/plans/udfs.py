@@ -1,10 +1,12 @@
-"""User functions of each kind; all but the plain one run on Arrow batches."""
+"""User functions of each kind; all run on Arrow batches."""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, LongType, StructField, StructType
@@ -40,6 +42,30 @@ def batch_map(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").where("event_type = 'purchase'").select("event_id", "value").mapInPandas(run, "event_id long, big boolean")
 
 
+@query("u_scalar", "SELECT p_partkey, array_to_string(list_transform(list_filter(string_split(p_name, ' '), lambda w: w <> ''), lambda w: upper(w[1])), '') AS initials FROM part")
+def scalar(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A function of one value at a time, sent to it in Arrow batches."""
+
+    @F.udf(returnType="string", useArrow=True)
+    def initials(name: str | None) -> str | None:
+        return None if name is None else "".join(word[0].upper() for word in name.split(" ") if word)
+
+    return table(spark, sf_dir, "part").select("p_partkey", initials("p_name").alias("initials"))
+
+
+@query("u_arrow_map", "SELECT l_orderkey, l_linenumber, l_quantity FROM lineitem WHERE l_quantity > 40 AND l_discount < 0.05")
+def arrow_map(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Record batches filtered as they are, without a pandas copy."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            kept = pc.and_(pc.greater(batch["l_quantity"], 40), pc.less(batch["l_discount"], 0.05))
+            yield batch.filter(kept).select(["l_orderkey", "l_linenumber", "l_quantity"])
+
+    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity", "l_discount")
+    return rows.mapInArrow(run, rows.select("l_orderkey", "l_linenumber", "l_quantity").schema)
+
+
 @query("u_aggregate", "SELECT user_id, round(sum(value * value), 2) AS energy FROM events GROUP BY 1")
 def aggregate(spark: SparkSession, sf_dir: str) -> DataFrame:
     @F.pandas_udf("double")

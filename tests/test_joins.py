@@ -30,6 +30,29 @@ def test_asof_ties_in_the_columns_own_order(spark):
     assert got == {1: "10", 2: "none"}
 
 
+def test_asof_by_steps_is_the_same(spark):
+    """Steps that most matches lie before, against brute force: ties, nulls, keys without right rows, an empty side."""
+    import random
+
+    rnd = random.Random(5)
+    some = lambda v: None if rnd.random() < 0.05 else v
+    rows = [(i, some(rnd.choice("aaaab")), some(rnd.randrange(300))) for i in range(200)] + [(900, "z", 7)]
+    values = [(some(rnd.choice("aaaab")), some(rnd.randrange(0, 300, 25)), i) for i in range(40)]
+    left = spark.createDataFrame(rows, "id int, k string, step int")
+    right = spark.createDataFrame(values, "k string, step int, v int").withColumn("before", F.lit("x"))
+    want = {}
+    for i, k, t in rows:
+        past = [(rt, v) for rk, rt, v in values if None not in (k, t, rk, rt) and rk == k and rt <= t]
+        want[i] = max(past)[1] if past else None
+    for width in (1, 10, 1000):
+        got = joins.asof_join(left, right, ["k"], "step", ["v"], tie="v", step=F.floor(F.col("step") / width))
+        assert got.columns == ["id", "k", "step", "asof_v"]
+        assert sorted((r["id"], r["asof_v"] or -1) for r in got.collect()) == sorted((i, v or -1) for i, v in want.items())
+    none = joins.asof_join(left, right.limit(0), ["k"], "step", ["v"], step=F.floor(F.col("step") / 10))
+    assert none.count() == len(rows) and none.where("asof_v is not null").count() == 0
+    assert joins.asof_join(left.limit(0), right, ["k"], "step", ["v"], step=F.floor(F.col("step") / 10)).count() == 0
+
+
 def test_callers_columns_stay(spark):
     """Columns that are called as an operator's own would be."""
     import pytest

@@ -1,5 +1,7 @@
 """Physical plans: what reaches the scan, and what must not be in a plan."""
 
+import re
+
 import pytest
 
 from leafmill.plans import registry
@@ -36,3 +38,8 @@ def test_groups_are_limited_before_the_shuffle(spark):
 def test_partition_filters_prune_folders(spark):
     text = plan(registry.QUERIES["io_partitioned"](spark, SF_DIR))
     assert "PartitionFilters: [isnotnull(o_orderstatus" in text
+
+
+def test_steps_cut_a_hot_key(spark):
+    text = plan(registry.QUERIES["j_asof_steps"](spark, SF_DIR))
+    assert re.search(r"hashpartitioning\(k#\d+L?, step#\d+L?,", text)
