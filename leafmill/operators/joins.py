@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from leafmill.operators.names import fresh
+from leafmill.operators.names import free, fresh
 
 
 def asof_join(left: DataFrame, right: DataFrame, on: Sequence[str], time: str, values: Sequence[str], tie: str | None = None, step: Column | None = None) -> DataFrame:
@@ -59,6 +59,44 @@ def range_join(points: DataFrame, ranges: DataFrame, point: str, low: str, high:
     return dealt.join(cut, [*on, name]).where(inside).drop(name)
 
 
+def range_totals(points: DataFrame, ranges: DataFrame, point: str, low: str, high: str, width: float, on: Sequence[str] = (), value: str | None = None) -> DataFrame:
+    """Every row of ``ranges`` with ``n``, the points of its key in [low, high), and ``total``, the sum of their ``value``, without making the pairs.
+
+    Both are differences of running sums over the distinct points and ends, so the work is that of a sort however many points a
+    range holds.  Sums run within buckets of ``width`` and, one row a bucket, over the buckets of a key: choose it so that a
+    bucket's distinct points fit a task and a key's buckets too.  Equal points are summed up before they are
+    shuffled.  ``value`` should be of an exact type (integers, decimals), as sums are subtracted; its nulls add nothing.  Ranges that are empty or hold a null or NaN, and keys
+    without points or null, give 0; points that are null or NaN are in no range.
+    """
+    if not width > 0:
+        raise ValueError("width has to be positive")
+    names, results = ranges.columns, [free(ranges.columns, "n"), *([free(ranges.columns, "total")] if value else [])]
+    x, bucket, *own = fresh([*names, *points.columns, *results], "x", "bucket", *[f"{k}_{part}" for k in ("n", "total") for part in ("sum", "whole", "earlier", "low", "high")])
+    n, total = own[0], own[5]
+    # names of the parts of each sum
+    part_of = {own[at]: dict(zip(("whole", "earlier", "low", "high"), own[at + 1 : at + 5], strict=True)) for at in (0, 5)}
+    known = F.col(x).isNotNull() & ~F.isnan(F.col(x).cast("double"))
+    sums, zero = {n: F.lit(1).cast("long")}, F.lit(0).cast("long")
+    if value:
+        sums[total] = F.coalesce(F.col(value), F.lit(0))
+    rows = points.select(*on, F.col(point).alias(x), *[c.alias(k) for k, c in sums.items()]).where(known)
+    ends = [ranges.select(*on, F.col(end).alias(x), *[zero.alias(k) for k in sums]).where(known) for end in (low, high)]
+    steps = rows.unionByName(ends[0]).unionByName(ends[1]).groupBy(*on, x).agg(*[F.sum(k).alias(k) for k in sums])
+    steps = steps.withColumn(bucket, F.floor(F.col(x).cast("double") / width))
+    before = (Window.unboundedPreceding, -1)
+    within = Window.partitionBy(*on, bucket).orderBy(x).rowsBetween(*before)
+    earlier = Window.partitionBy(*on).orderBy(bucket).rowsBetween(*before)
+    # sums before a place in its bucket, and those of the buckets before it
+    whole = steps.groupBy(*on, bucket).agg(*[F.sum(k).alias(part_of[k]["whole"]) for k in sums])
+    whole = whole.select(*on, bucket, *[F.coalesce(F.sum(part_of[k]["whole"]).over(earlier), zero).alias(part_of[k]["earlier"]) for k in sums])
+    placed = steps.select(*on, x, bucket, *[F.coalesce(F.sum(k).over(within), zero).alias(k) for k in sums]).join(whole, [*on, bucket])
+    out = ranges
+    for end, mark in ((low, "low"), (high, "high")):
+        out = out.join(placed.select(*on, F.col(x).alias(end), *[(F.col(k) + F.col(part_of[k]["earlier"])).alias(part_of[k][mark]) for k in sums]), [*on, end], "left")
+    apart = lambda k: F.when(F.col(low) < F.col(high), F.col(part_of[k]["high"]) - F.col(part_of[k]["low"]))
+    return out.select(*names, *[F.coalesce(apart(k), zero).alias(name) for k, name in zip(sums, results, strict=True)])
+
+
 def interval_join(left: DataFrame, right: DataFrame, on: Sequence[str], left_time: str, right_time: str, seconds: int) -> DataFrame:
     """Pairs of one key whose times are at most ``seconds`` apart; right rows visit their own and both next buckets.  Nulls match nothing."""
     if seconds < 0:

@@ -191,6 +191,20 @@ def range_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joins.range_join(table(spark, sf_dir, "part"), ranges, "p_retailprice", "lo", "hi", 2.0).select("p_partkey", "c_custkey")
 
 
+@query(
+    "j_range_totals",
+    """
+    SELECT c_custkey, count(p_partkey) AS n, coalesce(sum(p_size), 0)::BIGINT AS total
+    FROM customer LEFT JOIN part ON p_retailprice >= c_acctbal AND p_retailprice < c_acctbal + 200 + c_custkey % 7 * 100 GROUP BY c_custkey
+    """,
+)
+def range_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Number and size of the parts in each customer's range of prices: ranges hold many parts, pairs aren't made."""
+    ranges = table(spark, sf_dir, "customer").select("c_custkey", F.col("c_acctbal").alias("lo"), (F.col("c_acctbal") + 200 + F.col("c_custkey") % 7 * 100).alias("hi"))
+    parts = table(spark, sf_dir, "part").select("p_retailprice", F.col("p_size").cast("long").alias("p_size"))
+    return joins.range_totals(parts, ranges, "p_retailprice", "lo", "hi", 10.0, value="p_size").select("c_custkey", "n", "total")
+
+
 @query(
     "j_interval",
     """

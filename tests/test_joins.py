@@ -78,6 +78,32 @@ def test_range_join_meets_each_pair_once(spark):
     assert got == want
 
 
+def test_range_totals_are_those_of_the_pairs(spark):
+    """Against brute force: equal points, ends on points, repeated and empty ranges, nulls, NaN, infinite ends, keys, clashing names."""
+    import random
+
+    rnd, nan, inf = random.Random(3), float("nan"), float("inf")
+    points = [(rnd.choice("aaab"), rnd.choice([None, nan, -0.0, *(rnd.randrange(-40, 40) / 2 for _ in range(9))]), rnd.choice([None, 1, 2, -3])) for _ in range(120)]
+    ranges = [(i, rnd.choice(["a", "b", "c", None]), *(rnd.choice([None, nan, -inf, inf, 0.0, *(rnd.randrange(-50, 50) / 2 for _ in range(20))]) for _ in range(2))) for i in range(120)]
+    ranges += ranges[:5]
+    p = spark.createDataFrame(points, "k string, x double, v long")
+    r = spark.createDataFrame(ranges, "bucket int, k string, lo double, hi double").selectExpr("*", "'y' AS n_sum", "'y' AS n_low", "'y' AS total_earlier", "'y' AS x")
+
+    def want(keyed):
+        for i, k, lo, hi in ranges:
+            good = None not in (lo, hi) and lo == lo and hi == hi
+            inside = [v for pk, x, v in points if good and x is not None and lo <= x < hi and (not keyed or pk == k)]
+            yield i, len(inside), sum(v or 0 for v in inside)
+
+    for on in ([], ["k"]):
+        for width in (0.5, 7.0, 1e6):
+            got = joins.range_totals(p, r, "x", "lo", "hi", width, on, "v")
+            assert got.columns == [*r.columns, "n", "total"]
+            assert sorted((g["bucket"], g["n"], g["total"]) for g in got.collect()) == sorted(want(bool(on)))
+    assert joins.range_totals(p.limit(0), r, "x", "lo", "hi", 1.0).where("n <> 0").count() == 0
+    assert joins.range_totals(p, r.limit(0), "x", "lo", "hi", 1.0).count() == 0
+
+
 def test_widths_that_part_nothing(spark):
     import pytest
 
