@@ -426,6 +426,21 @@ def sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return aggregates.sessions(table(spark, sf_dir, "events"), ["user_id"], "ts", 3600).groupBy("user_id", "session").agg(F.count("*").alias("n"))
 
 
+@query(
+    "w_sessions_steps",
+    """
+    SELECT k, session, count(*) AS n, min(ts) AS start FROM (SELECT k, ts, sum(new) OVER (PARTITION BY k ORDER BY ts)::BIGINT AS session FROM (
+      SELECT *, CASE WHEN epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY k ORDER BY ts) > 600000000 THEN 1 ELSE 0 END AS new
+      FROM (SELECT ts, CASE WHEN user_id % 3 = 0 THEN 0 ELSE user_id END AS k FROM events))) GROUP BY ALL
+    """,
+)
+def sessions_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One key holds a third of all rows: its hours are windows of their own, its sessions go on from hour to hour."""
+    e = table(spark, sf_dir, "events").select("ts", F.when(F.col("user_id") % 3 == 0, 0).otherwise(F.col("user_id")).alias("k"))
+    hour = F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 3_600_000_000)
+    return aggregates.sessions(e, ["k"], "ts", 600, step=hour).groupBy("k", "session").agg(F.count("*").alias("n"), F.min("ts").alias("start"))
+
+
 @query("s_sort_limit", "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 25 OFFSET 10")
 def sort_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice").orderBy(F.col("o_totalprice").desc(), "o_orderkey").offset(10).limit(25)

@@ -128,3 +128,25 @@ def test_sessions_and_top_k(spark):
     got = sorted((r["u"], r["ts"], r["session"]) for r in aggregates.sessions(e, ["u"], "ts", 1800).collect())
     assert [s for _, _, s in got] == [0, 0, 1, 0]
     assert aggregates.top_k(e, ["u"], [F.col("ts").desc()], 1).where("u = 'u'").first()["ts"] == at(100)
+
+
+def test_sessions_by_steps_are_the_same(spark):
+    """Against brute force: pauses within and between steps, steps without rows, equal and null times, null keys, clashing names."""
+    import random
+
+    rnd = random.Random(11)
+    rows = [(i, rnd.choice(["a", "a", "b", None]), None if rnd.random() < 0.03 else at(rnd.choice([rnd.randrange(400), 5 * rnd.randrange(1000)]))) for i in range(150)]
+    df = spark.createDataFrame(rows, "last int, k string, ts timestamp").selectExpr("*", "'x' AS key", "'x' AS k0", "'x' AS us")
+    want = {}
+    for key in ("a", "b", None):
+        number, past = 0, None
+        for ts, i in sorted((ts or dt.datetime.min, i) for i, k, ts in rows if k == key):
+            if past not in (None, dt.datetime.min) and ts - past > dt.timedelta(minutes=7):
+                number += 1
+            want[i], past = number, ts
+    minute = F.unix_micros("ts") / 60_000_000
+    for step in (None, F.floor(minute), F.floor(minute / 60), F.floor(minute / 1e9)):
+        got = aggregates.sessions(df, ["k"], "ts", 420, step=step)
+        assert got.columns == [*df.columns, "session"]
+        assert {r["last"]: r["session"] for r in got.collect()} == want
+    assert aggregates.sessions(df.limit(0), ["k"], "ts", 420, step=F.floor(minute)).count() == 0
