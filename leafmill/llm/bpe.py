@@ -310,7 +310,8 @@ ROWS = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256
 def encode_documents(docs: DataFrame, tokenizer_file: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
     """One row per document: doc_id, n_tokens, ids_sha256, decoded_sha256, and ``with_ids`` ids and decoded.
 
-    Null and empty texts have no tokens; repeated rows give repeated results; an empty table gives none.
+    Null and empty texts have no tokens; repeated rows give repeated results, null ids stay null; an empty table gives none.  Very long texts are
+    encoded whole, in the task that reads them.
     """
     schema = pa.schema([*ROWS, ("ids", pa.list_(pa.int32())), ("decoded", pa.string())]) if with_ids else ROWS
 

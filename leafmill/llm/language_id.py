@@ -173,7 +173,8 @@ def identify(
     language is the class of the greatest posterior, ``und`` if that is no language; accepted: a language, of
     at least ``min_confidence``.  A text that is null or without letters has no evidence of its own: it is
     ``und`` whatever is declared.  Several models are those of ``fit_text_models``, each for its fold of ids.  Ties go to the first language in alphabetical order; repeated rows give
-    repeated results; an empty table gives none.
+    repeated results, rows of null id a result each, from one fold's model; an empty table gives none.  Texts are scored whole, a very
+    long one in slices of ``SCORED`` bytes.
     """
     models = [model] if isinstance(model, TextModel) else list(model)
     names = [*models[0].languages, NONE]

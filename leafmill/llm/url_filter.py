@@ -186,7 +186,7 @@ def judge_urls(
     A rule decides where one fits (the longest wins, of equally long ones the first in alphabetical order), else the
     model: block from ``threshold`` on.  Rules are (verdict, host/path prefix); many may come as a table.
     A null url, or one without ``://``, has empty host and path and is judged by the model like any other;
-    repeated rows give repeated results; an empty table gives an empty one.
+    repeated rows give repeated results, null ids stay null; an empty table gives an empty one.  Urls are judged whole, of any length.
     """
     host, path = host_and_path(F.col("_url"))
     rows = picked(pages, page_id=id_col, _url=url_col).select("page_id", F.col("_url").cast("string").alias("_url")).select("page_id", host.alias("host"), path.alias("path"))

@@ -926,3 +926,24 @@ def test_url_model_is_fitted_once(spark, monkeypatch):
     pages = spark.createDataFrame([(1, "https://bad.com/"), (2, "https://good.com/")], "page_id long, url string")
     found = [[r["block_probability"] for r in url_filter.judge_urls(pages, url_filter.fit_once(t), rules=()).orderBy("page_id").collect()] for t in (table, table.orderBy("url"), table.where("url <> 'https://bad1.com/'"))]
     assert len(fits) == 2 and found[0] == found[1] != found[2] and found[0][0] > 0.5 > found[0][1]
+
+
+def test_very_long_rows_and_null_ids(spark):
+    """Operators on one row at a time: ids that are null, and texts and urls far longer than a slice."""
+    path = "news/" * 20_000
+    urls = spark.createDataFrame([(None, f"http://example.com/en/{path}"), (2, f"http://{'a.' * 5000}net/es/{path}")], "page_id long, url string")
+    got = by_id(url_filter.judge_urls(urls, url_filter.fit(url_filter.labelled_urls(spark))), "page_id")
+    assert (got[None]["path"], got[None]["verdict"]) == (f"/en/{path}", "block")
+    assert (got[2]["rule"], got[2]["verdict"], len(got[2]["host"])) == ("net/es/", "block", 10_003)
+
+    rows = read(spark, SF_DIR).select("doc_id", "text", "lang", "source")
+    first = rows.where("lang = 'de'").orderBy("doc_id").first()
+    long = " ".join([first["text"]] * (2 * language_id.SCORED // len(first["text"]) + 1))
+    table = rows.unionByName(spark.createDataFrame([(None, long, "de", "src0"), (None, first["text"], "de", "src0")], rows.schema))
+    found = language_id.identify(table, language_id.fit_text_models(rows))
+    assert [(r["language"], r["accepted"]) for r in found.where("doc_id is null").collect()] == [("de", True)] * 2
+    assert found.count() == rows.count() + 2
+
+    text = "Wörter, words; " * 150_000
+    (row,) = bpe.encode_documents(spark.createDataFrame([(None, text)], "doc_id long, text string"), WORD).collect()
+    check_bpe({None: row}, {None: text})
