@@ -1,13 +1,15 @@
 """Documents of every family as a Spark data source: ``spark.read.format("documents")`` and ``spark.readStream``.
 
 Call ``register`` first.  Files are listed when a query is planned, dealt out by their size and opened by
-tasks through Arrow's file systems (mounted folders, object stores, HDFS where its library is installed).
+tasks through Arrow's file systems (mounted folders, object stores, HDFS where its library is installed).  A tar archive is
+listed as one file and read as its members, each a document; so millions of small files needn't be listed one by one.
 """
 
 from __future__ import annotations
 
 import datetime as dt
 import json
+import tarfile
 from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
@@ -16,6 +18,7 @@ from pyspark.sql import SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, EqualTo, Filter, In, InputPartition
 
 from leafmill.sources import cells, documents
+from leafmill.sources.archives import located, members
 
 SCHEMA = pa.schema([("path", pa.string()), ("family", pa.string()), ("part", pa.int32()), ("name", pa.string()), ("text", pa.string()), ("length", pa.int64()), ("modified", pa.timestamp("us", tz="UTC")), ("error", pa.string())])
 DDL = "path string, family string, part int, name string, text string, length long, modified timestamp, error string"
@@ -35,12 +38,16 @@ def family_of(path: str) -> str | None:
     return next((name for name, endings in documents.FAMILIES.items() if ending in endings), None)
 
 
+def is_archive(path: str) -> bool:
+    return suffix_of(path) == documents.ARCHIVE
+
+
 def listed(path: str) -> list[Listed]:
-    """Files of known families below a folder, oldest first; hidden ones aren't read."""
-    system, root = fs.FileSystem.from_uri(path if ":" in path.split("/")[0] else f"file://{path}")
+    """Files of known families and archives below a folder, oldest first; hidden ones aren't read."""
+    system, root = located(path)
     found = system.get_file_info(fs.FileSelector(root, recursive=True))
     hidden = lambda p: any(step[:1] in "._" for step in p[len(root) :].split("/") if step)
-    return sorted((f.mtime_ns or 0, f.path, f.size) for f in found if f.is_file and family_of(f.path) and not hidden(f.path))
+    return sorted((f.mtime_ns or 0, f.path, f.size) for f in found if f.is_file and (family_of(f.path) or is_archive(f.path)) and not hidden(f.path))
 
 
 class Files(InputPartition):
@@ -63,21 +70,47 @@ def dealt(files: Sequence[Listed], most: int) -> list[Files]:
     return [Files(group) for group in out]
 
 
-def opened(folder: str, files: list[Listed]) -> Iterator[pa.RecordBatch]:
-    """Rows of files; one that is gone or damaged is a row with an error."""
-    system, _ = fs.FileSystem.from_uri(folder if ":" in folder.split("/")[0] else f"file://{folder}")
+def _files(folder: str, files: list[Listed], families: set[str] | None) -> Iterator[tuple[int, str, int, bytes | None, str | None]]:
+    """(time of change, path, size, bytes, error) of files and of archives' members of the families, all known ones if none are given; one that is gone has an error."""
+    system, _ = located(folder)
     for changed, path, size in files:
-        family = family_of(path)
         try:
-            with system.open_input_stream(path) as f:
-                data = f.read()
-            rows = documents.file_rows(family, suffix_of(path), data) if family in documents.PACKED else [(cells.decoded(data), None, None, None, None, None)]
-        except OSError as e:
-            rows = [(None, None, None, None, None, f"{type(e).__name__}: {e}"[:200])]
+            if is_archive(path):
+                with system.open_input_stream(path) as f:
+                    for name, data in members(f):
+                        found = family_of(name)
+                        if found and (families is None or found in families):
+                            yield changed, f"{path}/{name}", len(data), data, None
+            else:
+                with system.open_input_stream(path) as f:
+                    data = f.read()
+                yield changed, path, size, data, None
+        except (tarfile.TarError, OSError) as e:
+            # of no family, so no row where families are asked for
+            if families is None or not is_archive(path):
+                yield changed, path, size, None, f"{type(e).__name__}: {e}"[:200]
+
+
+def opened(folder: str, files: list[Listed], families: set[str] | None = None) -> Iterator[pa.RecordBatch]:
+    """Rows of files; one that is gone or damaged is a row with an error."""
+    text = documents._valid
+    rows: list[tuple] = []
+    held = 0
+    for changed, path, size, data, error in _files(folder, files, families):
+        family = family_of(path)
+        parts = [(None, None, None, None, None, error)] if data is None else documents.file_rows(family, suffix_of(path), data) if family in documents.PACKED else [(cells.decoded(data), None, None, None, None, None)]
         when = dt.datetime.fromtimestamp(changed / 1e9, dt.UTC)
-        text = documents._valid
-        columns = zip(*((path, family, k, text(name), text(found), size, when, text(error)) for k, (found, name, *_, error) in enumerate(rows)), strict=True)
-        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, SCHEMA, strict=True)], schema=SCHEMA)
+        rows += [(path, family, k, text(name), text(found), size, when, text(error)) for k, (found, name, *_, error) in enumerate(parts)]
+        held += sum(len(found or "") for found, *_ in parts)
+        if len(rows) >= documents.PART_ROWS or held >= documents.PART_CHARS:
+            yield _record(rows)
+            rows, held = [], 0
+    if rows:
+        yield _record(rows)
+
+
+def _record(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), SCHEMA, strict=True)], schema=SCHEMA)
 
 
 class _Read:
@@ -87,10 +120,10 @@ class _Read:
         self.path, self.most, self.families = options["path"], int(options.get("partitionbytes", PARTITION_BYTES)), None
 
     def wanted(self, files: list[Listed]) -> list[Listed]:
-        return files if self.families is None else [f for f in files if family_of(f[1]) in self.families]
+        return files if self.families is None else [f for f in files if is_archive(f[1]) or family_of(f[1]) in self.families]
 
     def read(self, partition: Files) -> Iterator[pa.RecordBatch]:
-        return opened(self.path, partition.files)
+        return opened(self.path, partition.files, self.families)
 
 
 class DocumentsReader(_Read, DataSourceReader):

@@ -9,6 +9,7 @@ from __future__ import annotations
 import io
 import re
 import struct
+import tarfile
 import zipfile
 from collections.abc import Iterator
 from xml.etree import ElementTree
@@ -42,6 +43,10 @@ PACKED = ("pdf", "office", "libreoffice", "image")
 SHEETS = ("xlsx", "xls", "ods", "csv", "tsv")
 #: Rows of one batch of cells.
 CELL_ROWS = 20_000
+#: Rows and characters of one batch of parts, about.
+PART_ROWS, PART_CHARS = 256, 4 << 20
+#: Suffix of an archive that ``archives.read_archives`` couldn't read to its end, and what its row says.
+ARCHIVE, DAMAGED = "tar", "a damaged archive"
 
 
 def suffix(path: Column) -> Column:
@@ -273,11 +278,20 @@ def read_packed(spark: SparkSession, path: str) -> DataFrame:
 
 def packed_parts(files: DataFrame) -> DataFrame:
     """The same of rows (path, content)."""
-    files = files.select("path", family(F.col("path")).alias("family"), suffix(F.col("path")).alias("suffix"), "content").where(F.col("family").isin(*PACKED))
+    files = files.select("path", family(F.col("path")).alias("family"), suffix(F.col("path")).alias("suffix"), "content").where(F.col("family").isin(*PACKED) | (F.col("suffix") == ARCHIVE))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows: list[tuple] = []
+        held = 0
         for file, kind, ending, data in _opened(batches):
-            yield _record([(file, kind, k, name, text, *rest) for k, (text, name, *rest) in enumerate(file_rows(kind, ending, data or b""))], PARTS)
+            found = file_rows(kind, ending, data or b"") if ending != ARCHIVE else [(*[None] * 5, DAMAGED)]
+            rows += [(file, kind, k, name, text, *rest) for k, (text, name, *rest) in enumerate(found)]
+            held += sum(len(text or "") for text, *_ in found)
+            # many small files are one batch, a large one is its own
+            if len(rows) >= PART_ROWS or held >= PART_CHARS:
+                yield _record(rows, PARTS)
+                rows, held = [], 0
+        yield _record(rows, PARTS)
 
     return files.mapInArrow(run, PARTS_SQL)
 
@@ -303,12 +317,14 @@ def _cells_of(ending: str, data: bytes) -> Iterator[cells.Cell]:
 
 def sheet_cells(files: DataFrame) -> DataFrame:
     """The same of rows (path, content)."""
-    files = files.select("path", family(F.col("path")).alias("family"), suffix(F.col("path")).alias("suffix"), "content").where(F.col("suffix").isin(*SHEETS))
+    files = files.select("path", family(F.col("path")).alias("family"), suffix(F.col("path")).alias("suffix"), "content").where(F.col("suffix").isin(*SHEETS, ARCHIVE))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for file, kind, ending, data in _opened(batches):
             rows: list[tuple] = []
             try:
+                if ending == ARCHIVE:
+                    raise tarfile.ReadError(DAMAGED)
                 for cell in _cells_of(ending, data or b""):
                     rows.append((file, kind, *cell, None))
                     if len(rows) == CELL_ROWS:
