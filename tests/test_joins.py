@@ -78,6 +78,25 @@ def test_range_join_meets_each_pair_once(spark):
     assert got == want
 
 
+def test_range_join_of_repeated_ranges_is_the_same_dealt_evenly(spark, monkeypatch):
+    points = spark.range(0, 400).select((F.col("id") % 2 * 1.0).alias("p"), "id")
+    ranges = spark.createDataFrame([(0.0, 35.0)] * 7 + [(10.0, 10.0), (0.5, 200.0), (None, 3.0), (-5.0, 1.0)], "lo double, hi double")
+    want = sorted(tuple(r) for r in joins.range_join(points, ranges, "p", "lo", "hi", 10.0).collect())
+    monkeypatch.setattr(joins, "REPEATS", 3)
+    for most in (joins.BROADCAST_ROWS, 0):
+        monkeypatch.setattr(joins, "BROADCAST_ROWS", most)
+        got = joins.range_join(points, ranges, "p", "lo", "hi", 10.0, tasks=16, repeated=True)
+        assert got.columns == ["p", "id", "lo", "hi"] and sorted(tuple(r) for r in got.collect()) == want
+        dealt = joins.range_join(points, ranges, "p", "lo", "hi", 0.25, tasks=16)
+        assert dealt.rdd.getNumPartitions() == 16 and sorted(tuple(r) for r in dealt.collect()) == want
+    # points of two buckets, all in one or two tasks before
+    most = joins.range_join(points, ranges, "p", "lo", "hi", 10.0, tasks=16, repeated=True)
+    assert most.rdd.getNumPartitions() == 16
+    monkeypatch.undo()
+    even = joins.range_join(points, ranges, "p", "lo", "hi", 10.0, tasks=16, repeated=True).groupBy(F.spark_partition_id()).agg(F.count("*").alias("n"))
+    assert even.count() == 16 and even.agg(F.max("n")).first()[0] < 2 * len(want) / 16
+
+
 def test_range_totals_are_those_of_the_pairs(spark):
     """Against brute force: equal points, ends on points, repeated and empty ranges, nulls, NaN, infinite ends, keys, clashing names."""
     import random
