@@ -35,7 +35,8 @@ def merged(sketches: DataFrame, by: Sequence[str]) -> DataFrame:
 
 def estimated(sketches: DataFrame, quantiles: Sequence[float] = (0.5,)) -> DataFrame:
     """The sketches' columns replaced by hll_distinct, theta_distinct and q<percent> of each quantile, null where there are no numbers."""
+    # a sketch that saw its values in order, in one task, would be read by another formula than a merged one of equal buckets: a union with itself is a merged one
     some = F.kll_sketch_get_n_double("kll") > 0
     read = [F.when(some, F.kll_sketch_get_quantile_double("kll", F.lit(float(q)))).alias(f"q{round(100 * q)}") for q in quantiles]
     others = [c for c in sketches.columns if c not in ("hll", "theta", "kll")]
-    return sketches.select(*others, F.hll_sketch_estimate("hll").alias("hll_distinct"), F.theta_sketch_estimate("theta").alias("theta_distinct"), *read)
+    return sketches.select(*others, F.hll_sketch_estimate(F.hll_union("hll", "hll")).alias("hll_distinct"), F.theta_sketch_estimate("theta").alias("theta_distinct"), *read)

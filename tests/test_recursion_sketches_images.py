@@ -46,6 +46,14 @@ def test_sketches_merge_to_what_is_sketched_at_once(spark):
     assert twice["n"] == 60_002 and abs(twice["theta_distinct"] / df.select("user").dropna().distinct().count() - 1) < 0.07
 
 
+def test_estimates_are_those_of_the_buckets_however_they_were_filled(spark):
+    """Sketched in one task, in many, and merged from days; the first was another number before."""
+    df = spark.range(60_000).select((F.col("id") % 7).alias("day"), F.lit(1).alias("kind"), F.pmod(F.xxhash64("id"), F.lit(20_000)).alias("user"), (F.col("id") % 1000).alias("v"))
+    days = sketches.merged(sketches.sketched(df, ["day", "kind"], "user", "v"), ["kind"])
+    found = [sketches.estimated(s).first()["hll_distinct"] for s in (sketches.sketched(df.coalesce(1), ["kind"], "user", "v"), sketches.sketched(df.repartition(5), ["kind"], "user", "v"), days)]
+    assert len(set(found)) == 1
+
+
 def pixels(rng, colour, bits, width, height):
     per_pixel = images.SAMPLES[colour]
     wide = (width * per_pixel * bits + 7) // 8
