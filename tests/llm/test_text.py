@@ -947,3 +947,34 @@ def test_very_long_rows_and_null_ids(spark):
     text = "Wörter, words; " * 150_000
     (row,) = bpe.encode_documents(spark.createDataFrame([(None, text)], "doc_id long, text string"), WORD).collect()
     check_bpe({None: row}, {None: text})
+
+
+def test_headers_of_signed_tokens_have_no_limit():
+    """Headers of over 2 kB, which were passed over before, and every place of a word against trying each alone."""
+    import time
+
+    part = lambda p: base64.urlsafe_b64encode(json.dumps(p).encode()).decode().rstrip("=")
+    payload = f".{part({'sub': '1'})}.sig"
+    for n in (10, 2_000, 100_000):
+        token = part({"x5c": "c" * n, "alg": "RS256", "brackets": '}{"\\"[]\\'}) + payload
+        assert list(secret_scan.token_spans(f"a {token}.b")) == [(2, 2 + len(token))]
+
+    def each(text: str) -> list:
+        out, done = [], 0
+        for m in secret_scan.HEADER.finditer(text):
+            if m.start() >= done and (t := re.match(r"[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{4,}\.[A-Za-z0-9_-]*", text[m.start() :])) and secret_scan.is_signed_token(t[0]):
+                done = m.start() + t.end()
+                out.append((m.start(), done))
+        return out
+
+    rng, found = random.Random(12), 0
+    pieces = ["eyJ", "eyJhIjoi", "e30", "-", "x", "fQ", "In0", ".", " ", part({"alg": "none"}), part({"a": 1}), part({"alg": "a", "b": "{"}), part([{"alg": "x"}]), part({"a": {"alg": "b"}}), "e30-", part({"alg": '"}'})]
+    for _ in range(20_000):
+        text = "".join(rng.choice(pieces) for _ in range(rng.randrange(1, 12))) + rng.choice(["", payload, ".e30.", f".{part({'alg': 'a', 'c': 1})}.e30.x"])
+        want = each(text)
+        found += bool(want)
+        assert list(secret_scan.token_spans(text)) == want, text
+    assert found > 300
+    began = time.process_time()
+    assert not list(secret_scan.token_spans("eyJhIjoi-" * 200_000 + payload))
+    assert time.process_time() - began < 20
