@@ -1,12 +1,14 @@
 """Archives of many small files: what is written is read again, and damage is a row."""
 
+import base64
 import io
 import tarfile
 
+import pytest
 from pyspark.sql import functions as F
 
 from leafmill.plans import families, writers
-from leafmill.sources import archives, datasource, documents, images
+from leafmill.sources import archives, datasource, documents, images, pdf
 
 
 def test_files_are_few_archives_and_read_again(spark, monkeypatch):
@@ -47,3 +49,17 @@ def test_a_damaged_archive_is_a_row_behind_its_members(spark, tmp_path):
     assert found.where("family = 'text'").select("text").collect() == [("two",), ("two",)]
     pictures = images.image_contents(archives.read_archives(spark, f"file://{tmp_path}").where("path LIKE '%.png'"))
     assert sorted(str(r["width"]) for r in pictures.collect()) == ["2", "2", "None", "None"]
+
+
+def test_a_font_is_read_once_for_all_pages(monkeypatch):
+    """Its map was read again for each page; texts are the same, also of groups that the short form of zeros is for."""
+    read = []
+    keep = pdf.Font._unicode_map
+    monkeypatch.setattr(pdf.Font, "_unicode_map", lambda self, data: read.append(1) or keep(self, data))
+    pages = [[f"page {i} \u0431\u0443\u043a\u0432\u044b", "x" * 200] for i in range(7)]
+    assert list(pdf.page_texts(writers.pdf(pages, plain=False))) == [("\n".join(p), None) for p in pages] and len(read) == 1
+    for data in (b"", b"a", b"\0\0\0\0", b"\0" * 9, bytes(range(256)), b"\xff" * 7):
+        assert pdf._from_ascii85(base64.a85encode(data)) == data and writers._ascii85(data) == base64.a85encode(data)
+    for bad in (b"s8W-\"", b"v", b"uuuuu", b"abczd"):
+        with pytest.raises(ValueError):
+            pdf._from_ascii85(bad)
