@@ -64,3 +64,15 @@ def test_keys_of_a_shared_state_are_forgotten_one_by_one():
         frame = pd.DataFrame({"user_id": users, "event_type": ["a"] * len(users)})
         told.append([u for out in seen.handleInputRows((0,), iter([frame]), clock) for u in out["user_id"]])
     assert told == [[1, 2], [3], [], [1], [2], [3]]
+
+
+def test_streaks_in_shared_states(spark):
+    rows, progress, want = made(), [], {}
+    got = events.with_own_state(spark, lambda: events.drain(events.streaks(stream_of(spark, rows), buckets=3), "update", progress))
+    for _, user, kind, _ in rows:
+        n, longest, current, last = want.get(user, (0, 0, 0, None))
+        current = current + 1 if kind == last else 1
+        want[user] = (n + 1, max(longest, current), current, kind)
+    ends = got.groupBy("user_id").agg(F.max("n"), F.max("longest")).collect()
+    assert Counter(map(tuple, ends)) == Counter({(user, n, longest): 1 for user, (n, longest, _, _) in want.items()})
+    assert held(progress)[-1] <= 4, progress
