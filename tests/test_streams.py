@@ -76,3 +76,17 @@ def test_streaks_in_shared_states(spark):
     ends = got.groupBy("user_id").agg(F.max("n"), F.max("longest")).collect()
     assert Counter(map(tuple, ends)) == Counter({(user, n, longest): 1 for user, (n, longest, _, _) in want.items()})
     assert held(progress)[-1] <= 4, progress
+
+
+def test_silences_in_shared_states(spark):
+    """Users of one state fall silent at times of their own: each is told once, by the next event or by the watermark."""
+    rows, progress, gap, last, want = made(), [], 12 * 3_600_000_000, {}, Counter()
+    rows += [(len(rows) + i, 100 + i, "a", rows[-1][3] + (i + 1) * 3_600_000_000) for i in range(40)]
+    got = events.with_own_state(spark, lambda: events.drain(events.silences(stream_of(spark, rows), buckets=3), "append", progress))
+    for _, user, _, us in rows:
+        if user in last and us - last[user] > gap:
+            want[user, last[user]] += 1
+        last[user] = us
+    want.update((user, us) for user, us in last.items() if us + gap < rows[-1][3])
+    assert Counter(map(tuple, got.collect())) == want
+    assert max(held(progress)) <= 3 * 4, progress
