@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -87,10 +88,15 @@ def table_function(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nations.lateralJoin(Upto(F.col("n_nationkey").outer())).select("n_nationkey", "k")
 
 
+#: What ``Sessions`` and ``BatchSessions`` add to a table's columns.
+NUMBERED = [StructField("session", LongType()), StructField("place", LongType())]
+
+
 class Sessions:
     """Numbers each user's sessions; its rows are those of the table that it is given, and two more columns.
 
-    The table has to be partitioned by user and ordered by time, which the call says.
+    The table has to be partitioned by user and ordered by time, which the call says.  It takes a row at a time, so Spark makes
+    a record batch for each; ``BatchSessions`` is for tables of many rows.
     """
 
     def __init__(self) -> None:
@@ -100,7 +106,7 @@ class Sessions:
     def analyze(events: AnalyzeArgument, gap: AnalyzeArgument) -> AnalyzeResult:
         if not events.isTable or not isinstance(gap.dataType, IntegerType):
             raise ValueError("sessions take a table and a number of seconds")
-        return AnalyzeResult(StructType([*events.dataType.fields, StructField("session", LongType()), StructField("place", LongType())]))
+        return AnalyzeResult(StructType([*events.dataType.fields, *NUMBERED]))
 
     def eval(self, row: Row, gap: int) -> Iterator[tuple]:
         if self.last is not None:
@@ -110,6 +116,31 @@ class Sessions:
         yield (*row, self.session, self.seen)
 
 
+class BatchSessions:
+    """As ``Sessions``, on record batches as they come, of any size; a row without a time is of the session before it."""
+
+    def __init__(self) -> None:
+        self.last, self.session, self.seen = None, 0, -1
+
+    def eval(self, rows: pa.RecordBatch, gap: pa.Array) -> Iterator[pa.RecordBatch]:
+        if rows.num_rows:
+            ts = rows.column("ts").cast(pa.timestamp("us")).cast(pa.int64())
+            us, missing, at = ts.fill_null(0).to_numpy(), ts.is_null().to_numpy(zero_copy_only=False), np.arange(len(ts))
+            before = np.concatenate(([self.last or 0], us[:-1]))
+            unknown = missing | np.concatenate(([self.last is None], missing[:-1]))
+            new = ~unknown & (us - before > gap[0].as_py() * 1_000_000)
+            session = self.session + np.cumsum(new)
+            place = at - np.maximum.accumulate(np.where(new, at, -1 - self.seen))
+            self.last, self.session, self.seen = None if missing[-1] else int(us[-1]), int(session[-1]), int(place[-1])
+            yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(session, pa.int64()), pa.array(place, pa.int64())], [*rows.schema.names, *(f.name for f in NUMBERED)])
+
+
+def numbered_sessions(events: DataFrame, user: str, gap: int) -> DataFrame:
+    """``events`` with session and place, numbers from 0 of each user's sessions by ``ts`` and of the rows in them; rows without a time come last."""
+    function = F.arrow_udtf(BatchSessions, returnType=StructType([*events.schema.fields, *NUMBERED]))
+    return function(events.asTable().partitionBy(user).orderBy(F.asc_nulls_last("ts")), F.lit(gap))
+
+
 @query(
     "u_table_argument",
     """
@@ -120,6 +151,4 @@ class Sessions:
 )
 def table_argument(spark: SparkSession, sf_dir: str) -> DataFrame:
     """State within a partition of a table argument; the schema comes from the table."""
-    spark.udtf.register("leafmill_sessions", F.udtf(Sessions, useArrow=True))
-    table(spark, sf_dir, "events").select("event_id", "user_id", "ts").createOrReplaceTempView("leafmill_events")
-    return spark.sql("SELECT * FROM leafmill_sessions(TABLE(leafmill_events) PARTITION BY (user_id) ORDER BY (ts), 3600)")
+    return numbered_sessions(table(spark, sf_dir, "events").select("event_id", "user_id", "ts"), "user_id", 3600)

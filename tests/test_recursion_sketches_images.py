@@ -225,3 +225,40 @@ def test_table_argument_takes_any_table(spark, gap):
     assert sorted(map(tuple, got), key=str) == [("u", 0, 0, "x"), ("u", 1, 0, "y"), ("w", 0, 0, None)]
     with pytest.raises(Exception, match="seconds"):
         spark.sql("SELECT * FROM sessions_of_test(TABLE(of_test) PARTITION BY (user) ORDER BY (ts), 'x')").collect()
+
+
+def test_sessions_go_on_over_record_batches(spark):
+    """Batches of three rows cut users anywhere; rows without a time are last and of the session before; rows without a user are a user's."""
+    from leafmill.plans.udfs import numbered_sessions
+
+    dice, users = random.Random(3), (None, "u", "v", "w")
+    rows = [(dice.choice(users), dice.choice((None, *range(0, 40_000, 7))), i) for i in range(200)]
+    times = {(user, at) for user, at, _ in rows}
+    rows = [r for r in rows if r[:2] in times and (times.discard(r[:2]) or True)]  # one row each of a user's times, also of none
+    want, last, session, place = {}, {}, {}, {}
+    for user, at, i in sorted(rows, key=lambda r: (r[0] or "", r[1] is None, r[1] or 0)):
+        new = user in last and None not in (at, last[user]) and at - last[user] > 600
+        session[user] = session.get(user, 0) + new
+        place[user] = 0 if new or user not in place else place[user] + 1
+        want[i], last[user] = (session[user], place[user]), at
+    table = spark.createDataFrame(rows, "user string, at long, i long").select("user", F.timestamp_seconds("at").alias("ts"), "i")
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, 3)
+    try:
+        for name in ("ts", "ntz"):
+            t = table if name == "ts" else table.withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+            got = numbered_sessions(t, "user", 600)
+            assert got.columns == ["user", "ts", "i", "session", "place"]
+            assert {r["i"]: (r["session"], r["place"]) for r in got.collect()} == want and max(s for s, _ in want.values()) > 3
+    finally:
+        spark.conf.set(key, before)
+
+
+def test_table_argument_passes_record_batches(spark):
+    """Not a batch for each row, which is what a function of rows makes."""
+    from leafmill.plans import registry
+    from tests.conftest import SF_DIR
+
+    df = registry.QUERIES["u_table_argument"](spark, SF_DIR)
+    assert "BatchSessions" in df._jdf.queryExecution().executedPlan().toString() and df.select("event_id").distinct().count() == 10_000
