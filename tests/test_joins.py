@@ -97,6 +97,25 @@ def test_range_join_of_repeated_ranges_is_the_same_dealt_evenly(spark, monkeypat
     assert even.count() == 16 and even.agg(F.max("n")).first()[0] < 2 * len(want) / 16
 
 
+def test_repeated_ranges_are_not_held_at_once(spark, monkeypatch):
+    """Rows that are made for the first one to leave its task: all pairs of the first point before, however many."""
+    points = spark.range(0, 40, 1, 2).select((F.col("id") % 2 * 1.0).alias("p"), "id")
+    ranges = spark.createDataFrame([(0.0, 35.0)] * 50 + [(-5.0, 2.0)] * 20, "lo double, hi double")
+    monkeypatch.setattr(joins, "REPEATS", 8)
+    for tasks in (2, None):
+        for most in (joins.BROADCAST_ROWS, 0):
+            with monkeypatch.context() as m:
+                m.setattr(joins, "BROADCAST_ROWS", most)
+                got = joins.range_join(points, ranges, "p", "lo", "hi", 10.0, tasks=tasks, repeated=True)
+            node = got._jdf.queryExecution().executedPlan()
+            assert len(node.executeTake(1)) == 1
+            node = node.executedPlan()
+            while not node.nodeName().startswith("Generate"):
+                node = node.plan() if node.nodeName() == "ResultQueryStage" else node.children().head()
+            assert 0 < node.metrics().apply("numOutputRows").value() <= 8
+            assert got.count() == 40 * 70
+
+
 def test_range_totals_are_those_of_the_pairs(spark):
     """Against brute force: equal points, ends on points, repeated and empty ranges, nulls, NaN, infinite ends, keys, clashing names."""
     import random
